@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence's probability is a logistic function of its words; a document is toxic unless every sentence is clean (noisy-or). Words
-are hashed into buckets. A first pass over the training documents counts buckets by label and keeps the most telling; then
+A sentence's probability is a logistic function of its words and of their first bytes (inflected forms share those); a document is
+toxic unless every sentence is clean (noisy-or). Both are hashed into buckets. A first pass over the training documents counts buckets by label and keeps the most telling; then
 full-batch gradient steps on the documents' likelihood, each a Spark job that sums over partitions. Training takes at most
 ``TRAIN_ROWS`` labelled rows, chosen by the order of a hash; scoring takes every text whole.
 """
@@ -17,21 +17,24 @@ from .common import remainder
 from .shared import cut_lineage
 from .words import ALNUM, blocks, words_of
 
-BUCKETS, KEPT, TRAIN_ROWS, PARTS, STEPS, RATE, PENALTY, CLEAR = 1 << 18, 2048, 20_000, 8, 40, 0.25, 1e-3, 2.5
+BUCKETS, KEPT, TRAIN_ROWS, PARTS, STEPS, RATE, PENALTY, CLEAR = 1 << 18, 4096, 20_000, 8, 40, 0.25, 1e-3, 2.5
+#: Lengths of word beginnings that are features beside the whole word.
+PREFIXES = (4, 5, 6)
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
 RESULT = "struct<score:double,n_sentences:int,n_toxic:int,worst:int,worst_score:double,worst_start:bigint,worst_end:bigint>"
 
 
 def sentences_block(data: np.ndarray, offsets: np.ndarray):
-    """Words of a block as (bucket of each, first word of each sentence, text of each sentence, its first and last byte)."""
+    """Features of a block as (bucket of each, first feature of each sentence, text of each sentence, its first and last byte)."""
     w = words_of(data, offsets, ALNUM)
     owner = w.owner()
     stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
     place = stops[w.starts] + owner
     edge = np.flatnonzero(np.concatenate([[True], np.diff(place) > 0])) if len(owner) else np.zeros(0, np.int64)
     last = np.append(edge[1:], len(owner))[: len(edge)] - 1
-    return (w.hashes >> np.uint64(46)).astype(np.int64), edge, owner[edge], w.starts[edge] - offsets[owner[edge]], w.ends[last] - offsets[owner[edge]]
+    features = np.stack([w.hashes, *[w.prefixes(n) for n in PREFIXES]], axis=1).ravel()
+    return (features >> np.uint64(46)).astype(np.int64), edge * (len(PREFIXES) + 1), owner[edge], w.starts[edge] - offsets[owner[edge]], w.ends[last] - offsets[owner[edge]]
 
 
 class Model:

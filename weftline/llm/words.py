@@ -104,6 +104,10 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.folded[self.starts[i] : self.ends[i]].tobytes()
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """Hash of the first n bytes of each word (of the whole word if it has no more)."""
+        return _runs(self.folded.astype(np.uint64) + np.uint64(1 + n), self.starts, np.minimum(self.starts + n, self.ends), 0x100000001B3)
+
     def owner(self) -> np.ndarray:
         """Row of each word within the block."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
