@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, media, mixing, quality, simhash, token_counts, token_output, toxicity
+from . import decontamination, language_model, licences, media, mixing, quality, simhash, token_counts, token_output, toxicity
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_and_read(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_simhash, op5_decontamination, op6_media, op7_licences, op9_token_output, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_simhash, op5_decontamination, op6_media, op7_licences, op8_language_model, op9_token_output, op10_toxicity)}
 
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -141,7 +141,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind=ALNUM, hashed: bool = T
 
 def pack(planes: np.ndarray) -> bytes:
     """Values as byte planes: equal high bytes lie together and compress."""
-    return np.ascontiguousarray(planes).view(np.uint8).reshape(len(planes), -1).T.tobytes()
+    return np.ascontiguousarray(planes).view(np.uint8).reshape(len(planes), planes.itemsize).T.tobytes()
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
