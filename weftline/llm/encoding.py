@@ -1,19 +1,28 @@
-"""Encoding whole text columns with a public tokenizer, once for each distinct white-space-separated piece in a worker."""
+"""Encoding whole text columns with a public tokenizer, once for each distinct piece in a worker."""
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 
-from .words import blocks
+from .words import Words, blocks, polynomial
 
-#: Known pieces that a worker keeps; when there are more it starts anew.
-CACHE_PIECES = 600_000
-#: Letters of ASCII and Latin-1, then ASCII punctuation without the apostrophe: the tokenizer splits between them.
-_LETTERS_THEN_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+#: Known pieces that a worker keeps (about 30 bytes each); when there are more it starts anew.
+KNOWN_PIECES, BLOCK = 4_000_000, 2 << 20
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+#: Second byte of a Latin-1 letter after C3.
+_LATIN = np.zeros(256, bool)
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,58 +31,93 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Pieces that a tokenizer of the ``spaced`` kind encodes independently: cut at ASCII white space, and between letters (of
+    ASCII and Latin-1) and ASCII marks other than the apostrophe, both ways. A-Z are folded unless a combining mark may follow."""
+    n = len(data)
+    combining = bool(((data == 0xCC) | (data == 0xCD)).any())
+    folded = data.copy() if combining else _FOLD[data]
+    inside, letter, mark = ~_SPACE[data], _LETTER[data], _MARK[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+    lead = lead[_LATIN[data[lead + 1]]]
+    letter[lead] = letter[lead + 1] = True
+    start = inside.copy()
+    start[1:] &= ~inside[:-1] | letter[1:] & mark[:-1] | mark[1:] & letter[:-1]
+    bounds = offsets[offsets < n]
+    start[bounds] = inside[bounds]
+    starts = np.flatnonzero(start)
+    stop = inside
+    stop[:-1] &= ~inside[1:] | start[1:]
+    ends = np.flatnonzero(stop) + 1
+    hashes = polynomial(folded.astype(np.uint64) + np.uint64(1), starts, ends, 0x100000001B3)
+    return Words(folded, starts, ends, hashes, np.searchsorted(starts, offsets))
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, equal to the library's ``encode(text, add_special_tokens=False)``.
 
-    With ``spaced`` the tokenizer must drop white space and never look across it, as word_bpe_49k does: its normaliser works on
-    characters and their combining marks, and its pattern matches no white space. Texts are then split at ASCII white space,
-    and pieces are encoded once. A text that may hold a special token's string is encoded as a whole.
+    With ``spaced`` the tokenizer must drop white space, fold case by character and split letters from marks, as word_bpe_49k does;
+    distinct pieces are then encoded once, known by a 64-bit hash. A text that may hold a special token's string is encoded whole.
     """
 
     def __init__(self, path: str, spaced: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.special = tuple({t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.spaced, self.ids = spaced, {}
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        ids, parts, new = self.ids, {}, []
-        for p in pieces:
-            low = p.lower() if p.isascii() else p
-            if (known := ids.get(low)) is not None:
-                ids[p] = known
-                continue
-            m = _LETTERS_THEN_MARKS.fullmatch(low)
-            parts[p] = found = m.groups() if m else (low,)
-            new += [x for x in found if x not in ids]
-        new = list(dict.fromkeys(new))
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            ids[x] = np.array(e.ids, "<u4").tobytes()
-        for p, found in parts.items():
-            ids[p] = ids[found[0]] if len(found) == 1 else ids[found[0]] + ids[found[1]]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        length = np.fromiter(map(len, got), np.int64, len(got))
+        total = int(length.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        start = self.used + np.cumsum(length) - length
+        self.used += total
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.length = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.length, at, length)
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block, and where each text's begin."""
+        w = pieces_of(data, offsets)
+        if len(self.keys) > KNOWN_PIECES:
+            self._forget()
+        distinct, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != distinct
+        if new.any():
+            self._learn(distinct[new], [w.word(i) for i in first[new].tolist()])
+            at = np.searchsorted(self.keys, distinct)
+        length = self.length[at][back]
+        stop = np.cumsum(length)
+        bounds = np.concatenate([[0], stop])[w.first]
+        where = np.repeat(self.start[at][back] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)
+        return self.pool[where], bounds
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def column(self, texts: pa.Array):
         """The ids of each text, null counting as empty."""
-        for row, stop, data, offsets in blocks(texts):
-            raw, bounds = data.tobytes(), offsets.tolist()
-            texts_raw = [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-            whole = [not self.spaced or any(s in t for s in self.special) for t in texts_raw] if not self.spaced or any(s in raw for s in self.special) else None
-            pieces = [t.split() for t in texts_raw]
-            if whole:
-                pieces = [[] if w else p for w, p in zip(whole, pieces, strict=True)]
-            if len(self.ids) > CACHE_PIECES:
-                self.ids = {}
-            ids = self.ids
-            if new := {p for ps in pieces for p in ps if p not in ids}:
-                self._learn(list(new))
-            get = ids.__getitem__
-            for k, ps in enumerate(pieces):
-                if whole and whole[k]:
-                    yield np.array(self.tokenizer.encode(texts_raw[k].decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    yield b"".join(map(get, ps))
+        for row, stop, data, offsets in blocks(texts, BLOCK):
+            bounds = offsets.tolist()
+            raw = data.tobytes()
+            whole = set()
+            if not self.spaced or any(s in raw for s in self.special):
+                whole = {k for k in range(stop - row) if not self.spaced or any(s in raw[bounds[k] : bounds[k + 1]] for s in self.special)}
+            ids, cut = self._block(data, offsets) if self.spaced else (np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64))
+            cut = cut.tolist()
+            for k in range(stop - row):
+                yield self._whole(raw[bounds[k] : bounds[k + 1]]) if k in whole else ids[cut[k] : cut[k + 1]].tobytes()
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

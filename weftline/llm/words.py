@@ -83,7 +83,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(base, size)
 
 
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hash of values[start:end] for every pair, from one running sum."""
     power, inverse = powers(base, len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
@@ -106,7 +106,7 @@ class Words:
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hash of the first n bytes of each word (of the whole word if it has no more)."""
-        return _runs(self.folded.astype(np.uint64) + np.uint64(1 + n), self.starts, np.minimum(self.starts + n, self.ends), 0x100000001B3)
+        return polynomial(self.folded.astype(np.uint64) + np.uint64(1 + n), self.starts, np.minimum(self.starts + n, self.ends), 0x100000001B3)
 
     def owner(self) -> np.ndarray:
         """Row of each word within the block."""
@@ -119,7 +119,7 @@ class Words:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         at = np.arange(count)
         text_end = np.repeat(self.first[1:], np.diff(self.first))[:count]
-        return _runs(self.hashes, at, at + n, 0x9E3779B97F4A7C15), at + n <= text_end
+        return polynomial(self.hashes, at, at + n, 0x9E3779B97F4A7C15), at + n <= text_end
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, kind=ALNUM, hashed: bool = True) -> Words:
@@ -135,7 +135,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind=ALNUM, hashed: bool = T
     after[:-1] = mask[1:]
     after[bounds - 1] = False
     starts, ends = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
-    hashes = _runs(folded.astype(np.uint64) + np.uint64(1), starts, ends, 0x100000001B3) if hashed else np.zeros(0, np.uint64)
+    hashes = polynomial(folded.astype(np.uint64) + np.uint64(1), starts, ends, 0x100000001B3) if hashed else np.zeros(0, np.uint64)
     return Words(folded, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
