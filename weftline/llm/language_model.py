@@ -180,7 +180,7 @@ class Model(NamedTuple):
                     at, there = _find(f["keys"], h[cut[s] : cut[s + 1]])
                     out[cut[s] : cut[s + 1]] = np.where(there, f["counts"][at], 0) if len(f["keys"]) else 0
         low = self.word_rest / (self.vocabulary + 1)
-        return count, (np.maximum(self.word_discounts.after(stands), 0) / self.pairs if self.pairs else 0) + low
+        return count, np.maximum(self.word_discounts.after(stands), 0) / max(self.pairs, 1) + low
 
     def probabilities(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each token b after a, and b's training count."""
