@@ -67,7 +67,11 @@ def _set(batches, fit_rows):
 
 
 def fit(labelled: DataFrame) -> Model:
-    """labelled: (text, y), at most TRAIN_ROWS rows, checkpointed. Without toxic rows every score is near zero."""
+    """labelled: (text, y), at most TRAIN_ROWS rows, checkpointed. Without toxic rows every score is near zero.
+
+    The rows are bounded, so few partitions take them, and as many partial sums reach the driver at any size of input.
+    """
+    labelled = labelled.coalesce(PARTS)
 
     def counts(batches):
         n = np.zeros((2, BUCKETS), np.int32)
@@ -117,7 +121,7 @@ def fit(labelled: DataFrame) -> Model:
             _set([b], add)
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(empty, pa.int32()), pa.array(pairs, pa.binary())], ["y", "empty", "pairs"])
 
-    bags = cut_lineage(labelled.mapInArrow(gather, "y int, empty int, pairs binary").coalesce(PARTS))
+    bags = cut_lineage(labelled.mapInArrow(gather, "y int, empty int, pairs binary"))
     weights, bias = np.clip(odds[telling], 0, 6) * 0.5, -6.0
     first = second = np.zeros(len(telling) + 1)
     for step in range(1, STEPS + 1):
