@@ -9,11 +9,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from math import log
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-A, B, C, D, FL, FR, N = (F.col(x).cast("double") for x in ("a", "b", "c", "d", "fl", "fr", "n"))
+class Counts(NamedTuple):
+    a: Column
+    b: Column
+    c: Column
+    d: Column
+    fl: Column
+    fr: Column
+    n: Column
+
+
+class Weights(NamedTuple):
+    """Of a pair's items: wl, wr robust; il, ir smooth inverse frequency; gl, gr the domain factor."""
+
+    wl: Column
+    wr: Column
+    il: Column
+    ir: Column
+    gl: Column
+    gr: Column
+
+
+def counts() -> Counts:
+    return Counts(*(F.col(x).cast("double") for x in Counts._fields))
+
+
+def weights_of() -> Weights:
+    return Weights(*(F.col(x) for x in Weights._fields))
 
 
 def ratio(x: Column, y: Column) -> Column:
@@ -30,31 +57,38 @@ def blend(x: Column, y: Column, alpha: float) -> Column:
 
 
 def jaccard() -> Column:
-    return ratio(A, A + B + C)
+    k = counts()
+    return ratio(k.a, k.a + k.b + k.c)
 
 
 def dice() -> Column:
-    return ratio(2 * A, 2 * A + B + C)
+    k = counts()
+    return ratio(2 * k.a, 2 * k.a + k.b + k.c)
 
 
 def overlap() -> Column:
-    return ratio(A, F.least(FL, FR))
+    k = counts()
+    return ratio(k.a, F.least(k.fl, k.fr))
 
 
 def cosine() -> Column:
-    return ratio(A, F.sqrt(FL * FR))
+    k = counts()
+    return ratio(k.a, F.sqrt(k.fl * k.fr))
 
 
 def conditional_fraction() -> Column:
-    return ratio(A, F.greatest(FL, FR))
+    k = counts()
+    return ratio(k.a, F.greatest(k.fl, k.fr))
 
 
 def lift() -> Column:
-    return ratio(N * A, FL * FR)
+    k = counts()
+    return ratio(k.n * k.a, k.fl * k.fr)
 
 
 def tversky(alpha: float = 0.5, beta: float = 0.5) -> Column:
-    return ratio(A, A + alpha * B + beta * C)
+    k = counts()
+    return ratio(k.a, k.a + alpha * k.b + beta * k.c)
 
 
 def cfws(alpha: float = 0.5) -> Column:
@@ -67,24 +101,28 @@ def cfws_cosine(alpha: float = 0.5) -> Column:
 
 def jensen_shannon() -> Column:
     """1 - sqrt(JS / ln 2) of the items' uniform profiles over their units, from counts alone."""
-    p, q = ratio(A, FL), ratio(A, FR)
-    both = FL + FR
-    js = 0.5 * (p * F.log(2 * FR / both) + (1 - p) * log(2) + q * F.log(2 * FL / both) + (1 - q) * log(2))
-    js = F.when((FL == 0) & (FR == 0), 0.0).when((FL == 0) | (FR == 0), 0.5 * log(2)).otherwise(F.greatest(F.lit(0.0), js))
+    k = counts()
+    p, q = ratio(k.a, k.fl), ratio(k.a, k.fr)
+    both = k.fl + k.fr
+    js = 0.5 * (p * F.log(2 * k.fr / both) + (1 - p) * log(2) + q * F.log(2 * k.fl / both) + (1 - q) * log(2))
+    js = F.when((k.fl == 0) & (k.fr == 0), 0.0).when((k.fl == 0) | (k.fr == 0), 0.5 * log(2)).otherwise(F.greatest(F.lit(0.0), js))
     return 1 - F.sqrt(js / log(2))
 
 
 def phi() -> Column:
-    return ratio(A * D - B * C, F.sqrt(FL * FR * (B + D) * (C + D)))
+    k = counts()
+    return ratio(k.a * k.d - k.b * k.c, F.sqrt(k.fl * k.fr * (k.b + k.d) * (k.c + k.d)))
 
 
 def pmi(eps: float = 0.5) -> Column:
-    size = N + 4 * eps
-    return F.log(F.greatest(F.lit(1e-15), ((A + eps) / size) / (((FL + eps) / size) * ((FR + eps) / size))))
+    k = counts()
+    size = k.n + 4 * eps
+    return F.log(F.greatest(F.lit(1e-15), ((k.a + eps) / size) / (((k.fl + eps) / size) * ((k.fr + eps) / size))))
 
 
 def npmi(eps: float = 0.5) -> Column:
-    base = -F.log((A + eps) / (N + 4 * eps))
+    k = counts()
+    base = -F.log((k.a + eps) / (k.n + 4 * eps))
     return F.when(base == 0, 1.0).otherwise(clip(pmi(eps) / base, -1.0, 1.0))
 
 
@@ -94,8 +132,9 @@ def npmi01(eps: float = 0.5) -> Column:
 
 def _cells(eps: float) -> list[tuple[Column, Column]]:
     """Smoothed joint probability and product of its margins, of the four cells."""
-    size = N + 4 * eps
-    p = [(x + eps) / size for x in (A, B, C, D)]
+    k = counts()
+    size = k.n + 4 * eps
+    p = [(x + eps) / size for x in (k.a, k.b, k.c, k.d)]
     left, right = p[0] + p[1], p[0] + p[2]
     return list(zip(p, (left * right, left * (1 - right), (1 - left) * right, (1 - left) * (1 - right)), strict=True))
 
@@ -105,23 +144,27 @@ def mutual_information(eps: float = 0.5) -> Column:
 
 
 def _binary_entropy(f: Column, eps: float) -> Column:
-    p = (f + eps) / (N + 2 * eps)
+    k = counts()
+    p = (f + eps) / (k.n + 2 * eps)
     return -(p * F.log(p) + (1 - p) * F.log(1 - p))
 
 
 def nmi(eps: float = 0.5) -> Column:
-    return ratio(mutual_information(eps), F.sqrt(_binary_entropy(FL, eps) * _binary_entropy(FR, eps)))
+    k = counts()
+    return ratio(mutual_information(eps), F.sqrt(_binary_entropy(k.fl, eps) * _binary_entropy(k.fr, eps)))
 
 
 def yules_q(eps: float = 0.5) -> Column:
-    up = (A + eps) * (D + 3 * eps)
-    return ratio(up - B * C, up + B * C)
+    k = counts()
+    up = (k.a + eps) * (k.d + 3 * eps)
+    return ratio(up - k.b * k.c, up + k.b * k.c)
 
 
 def yules_y(eps: float = 0.5) -> Column:
     """1 where b*c = 0: the odds ratio is infinite there."""
-    root = F.sqrt((A + eps) * (D + 3 * eps) / (B * C))
-    return F.when(B * C == 0, 1.0).otherwise(clip((root - 1) / (root + 1), -1.0, 1.0))
+    k = counts()
+    root = F.sqrt((k.a + eps) * (k.d + 3 * eps) / (k.b * k.c))
+    return F.when(k.b * k.c == 0, 1.0).otherwise(clip((root - 1) / (root + 1), -1.0, 1.0))
 
 
 def scaled_lift_raw() -> Column:
@@ -135,22 +178,21 @@ METRICS: dict[str, Callable[..., Column]] = {
     "npmi01": npmi01, "mutual_information": mutual_information, "nmi": nmi, "yules_q": yules_q, "yules_y": yules_y,
 }
 
-# Item weights of a pair: wl, wr robust; il, ir smooth inverse frequency; gl, gr the domain factor.
-WL, WR, IL, IR, GL, GR = (F.col(x) for x in ("wl", "wr", "il", "ir", "gl", "gr"))
-
-
 def npmi_smoothed(s: float = 0.5) -> Column:
     """NPMI01 with margins and joint smoothed alike."""
-    size = N + 2 * s
-    joint = (A + s) / size
-    value = F.log(joint / (((FL + s) / size) * ((FR + s) / size))) / -F.log(joint)
+    k = counts()
+    size = k.n + 2 * s
+    joint = (k.a + s) / size
+    value = F.log(joint / (((k.fl + s) / size) * ((k.fr + s) / size))) / -F.log(joint)
     return (clip(value, -1.0, 1.0) + 1) / 2
 
 
 def npmi_idf(alpha: float = 0.5, cosine_form: bool = False, assoc: Column | None = None, smoothing: float = 0.5) -> Column:
     """Association times mean inverse frequency, blended with a conditional fraction."""
-    shared = (npmi_smoothed(smoothing) if assoc is None else assoc) * (IL + IR) / 2
-    left, right = FL * IL, FR * IR
+    k = counts()
+    w = weights_of()
+    shared = (npmi_smoothed(smoothing) if assoc is None else assoc) * (w.il + w.ir) / 2
+    left, right = k.fl * w.il, k.fr * w.ir
     x = ratio(shared, F.sqrt(left * right)) if cosine_form else ratio(shared, left + right - shared)
     y = ratio(shared, F.greatest(left, right))
     eps = 1e-10
@@ -158,14 +200,17 @@ def npmi_idf(alpha: float = 0.5, cosine_form: bool = False, assoc: Column | None
 
 
 def idf_base(alpha: float = 0.5, cosine_form: bool = False) -> Column:
-    shared, left, right = A * F.least(WL, WR), FL * WL, FR * WR
+    k = counts()
+    w = weights_of()
+    shared, left, right = k.a * F.least(w.wl, w.wr), k.fl * w.wl, k.fr * w.wr
     x = cosine() if cosine_form else ratio(shared, left + right - shared)
     return blend(x, ratio(shared, F.greatest(left, right)), alpha)
 
 
 def domain(base: Column, effect: str | None = None, power: float = 0.35) -> Column:
     """None, ``stretch`` or ``multiply`` by the items' domain factors."""
-    theta = F.pow((GL + GR) / 2, F.lit(power))
+    w = weights_of()
+    theta = F.pow((w.gl + w.gr) / 2, F.lit(power))
     if effect == "stretch":
         return 1 - F.pow(1 - base, F.greatest(theta, F.lit(1.0)))
     if effect == "multiply":
@@ -174,9 +219,10 @@ def domain(base: Column, effect: str | None = None, power: float = 0.35) -> Colu
 
 
 def ppmi_weight(gamma: float = 2.0, cap: float = 10.0, min_support: int = 5) -> Column:
-    p = F.log(F.greatest(A / N, F.lit(1e-9)) / (F.greatest(FL / N, F.lit(1e-9)) * F.greatest(FR / N, F.lit(1e-9))))
+    k = counts()
+    p = F.log(F.greatest(k.a / k.n, F.lit(1e-9)) / (F.greatest(k.fl / k.n, F.lit(1e-9)) * F.greatest(k.fr / k.n, F.lit(1e-9))))
     value = 1 / (1 + F.exp(-gamma * F.least(F.lit(cap), F.greatest(F.lit(0.0), p))))
-    return F.when(A < min_support, 0.0).otherwise(value)
+    return F.when(k.a < min_support, 0.0).otherwise(value)
 
 
 def idf_cfws(alpha: float = 0.5, cosine_form: bool = False, effect: str | None = None, ppmi_eta: float = 0.0) -> Column:
@@ -187,12 +233,15 @@ def idf_cfws(alpha: float = 0.5, cosine_form: bool = False, effect: str | None =
 
 
 def _idf_mean_base(alpha: float) -> Column:
-    shared, left, right = A * (IL + IR) / 2, FL * IL, FR * IR
+    k = counts()
+    w = weights_of()
+    shared, left, right = k.a * (w.il + w.ir) / 2, k.fl * w.il, k.fr * w.ir
     return blend(ratio(shared, left + right - shared), ratio(shared, F.greatest(left, right)), alpha)
 
 
 def support_gate(mode: str = "cap", t: float = 5.0, rate: float = 12.0) -> Column:
-    return F.least(F.lit(1.0), A / t) if mode == "cap" else 1 - F.exp(-rate * A / N)
+    k = counts()
+    return F.least(F.lit(1.0), k.a / t) if mode == "cap" else 1 - F.exp(-rate * k.a / k.n)
 
 
 def _combined(x: Column, y: Column, weights: tuple[float, float], how: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pairs",)
+MODULES = ("pairs", "tables", "graphs")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
