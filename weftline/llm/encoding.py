@@ -10,7 +10,7 @@ import pyarrow as pa
 from .words import Words, blocks, polynomial
 
 #: Known pieces that a worker keeps (about 30 bytes each); when there are more it starts anew.
-KNOWN_PIECES, BLOCK = 4_000_000, 2 << 20
+KNOWN_PIECES = 2_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -108,7 +108,7 @@ class Encoder:
 
     def column(self, texts: pa.Array):
         """The ids of each text, null counting as empty."""
-        for row, stop, data, offsets in blocks(texts, BLOCK):
+        for row, stop, data, offsets in blocks(texts):
             bounds = offsets.tolist()
             raw = data.tobytes()
             whole = set()

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken in blocks of about this many bytes, so memory doesn't follow the Arrow batch.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def _table(separators: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
