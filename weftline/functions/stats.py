@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-_ERFC = np.frompyfunc(math.erfc, 1, 1)
-
 
 def _numbers(column: pa.Array) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -67,7 +65,7 @@ def fisher_p(tail: str = "two-sided"):
 
 @F.arrow_udf(DoubleType())
 def erfc(x: pa.Array) -> pa.Array:
-    return _doubles(_ERFC(_numbers(x)).astype(float))
+    return _doubles([math.erfc(v) for v in _numbers(x).tolist()])
 
 
 def _regularized_gamma_upper(s: float, x: float) -> float:

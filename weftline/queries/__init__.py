@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pairs", "tables", "graphs")
+MODULES = ("pairs", "tables", "graphs", "series")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

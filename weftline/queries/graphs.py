@@ -136,9 +136,9 @@ def by_name(spark, sf):
 
 
 @R.add("g4_modularity", f"""WITH {_GRAPH}, {_COMMUNITY}, x AS (SELECT e.*, l.community AS cl, r.community AS cr FROM e JOIN cm l ON l.network_id = e.network_id AND l.node = left_item JOIN cm r ON r.network_id = e.network_id AND r.node = right_item),
-m AS (SELECT network_id, sum(similarity) AS m FROM x GROUP BY ALL), k AS (SELECT network_id, c, sum(s) AS k FROM (SELECT network_id, cl AS c, similarity AS s FROM x UNION ALL SELECT network_id, cr, similarity FROM x) GROUP BY ALL),
+mm AS (SELECT network_id, sum(similarity) AS m FROM x GROUP BY ALL), k AS (SELECT network_id, c, sum(s) AS k FROM (SELECT network_id, cl AS c, similarity AS s FROM x UNION ALL SELECT network_id, cr, similarity FROM x) GROUP BY ALL),
 i AS (SELECT network_id, cl AS c, sum(similarity) AS w FROM x WHERE cl = cr GROUP BY ALL)
-SELECT k.network_id, round(sum(coalesce(w, 0) / m - pow(k / (2 * m), 2)), 6) AS modularity FROM k JOIN m USING (network_id) LEFT JOIN i ON i.network_id = k.network_id AND i.c = k.c GROUP BY ALL""")
+SELECT k.network_id, round(sum(coalesce(w, 0) / m - pow(k / (2 * m), 2)), 6) AS modularity FROM k JOIN mm USING (network_id) LEFT JOIN i ON i.network_id = k.network_id AND i.c = k.c GROUP BY ALL""")
 def g4(spark, sf):
     return G.modularity(graph(spark, sf), by_name(spark, sf)).withColumn("modularity", F.round("modularity", 6))
 
@@ -156,9 +156,9 @@ def g7(spark, sf):
 
 @R.add("g8_clustering", f"""WITH {_GRAPH}, n1 AS (SELECT network_id, left_item, right_item, similarity / max(similarity) OVER (PARTITION BY network_id) AS w FROM e),
 tr AS (SELECT p.network_id, p.left_item AS x, p.right_item AS y, q.right_item AS z, cbrt(p.w * q.w * r.w) AS g FROM n1 p JOIN n1 q ON q.network_id = p.network_id AND q.left_item = p.right_item JOIN n1 r ON r.network_id = p.network_id AND r.left_item = p.left_item AND r.right_item = q.right_item),
-at AS (SELECT network_id, node, count(*) AS t, sum(g) AS tg FROM (SELECT network_id, unnest([x, y, z]) AS node, g FROM tr) GROUP BY ALL)
+att AS (SELECT network_id, node, count(*) AS t, sum(g) AS tg FROM (SELECT network_id, unnest([x, y, z]) AS node, g FROM tr) GROUP BY ALL)
 SELECT deg.network_id, round(avg(CASE WHEN degree > 1 THEN 2. * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END), 6) AS clustering, round(avg(CASE WHEN degree > 1 THEN 2. * coalesce(tg, 0) / (degree * (degree - 1)) ELSE 0 END), 6) AS weighted_clustering
-FROM deg LEFT JOIN at ON at.network_id = deg.network_id AND at.node = deg.node GROUP BY ALL""")
+FROM deg LEFT JOIN att ON att.network_id = deg.network_id AND att.node = deg.node GROUP BY ALL""")
 def g8(spark, sf):
     out = G.clustering(nodes(spark, sf), graph(spark, sf))
     return out.select("network_id", F.round("clustering", 6).alias("clustering"), F.round("weighted_clustering", 6).alias("weighted_clustering"))
@@ -261,7 +261,7 @@ def e3(spark, sf):
 
 
 @R.add("e4_silhouette", f"""WITH {_WITH_COM}, d AS (SELECT network_id, left_item AS node, cl AS own, cr AS other, 1 - similarity AS d FROM x UNION ALL SELECT network_id, right_item, cr, cl, 1 - similarity FROM x),
-m AS (SELECT network_id, node, own, other, avg(d) AS d FROM d GROUP BY ALL), s AS (SELECT network_id, node, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM m GROUP BY ALL)
+ds AS (SELECT network_id, node, own, other, avg(d) AS d FROM d GROUP BY ALL), s AS (SELECT network_id, node, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM ds GROUP BY ALL)
 SELECT s.network_id, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, (SELECT count(DISTINCT community) FROM cm WHERE cm.network_id = s.network_id) AS n_communities FROM s GROUP BY ALL""")
 def e4(spark, sf):
     return V.silhouette(scored(spark, sf), by_name(spark, sf), ["network_id"]).withColumn("silhouette", F.round("silhouette", 6))
