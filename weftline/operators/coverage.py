@@ -104,7 +104,7 @@ def crosstab(df: DataFrame, row: str, column: str, levels: list) -> DataFrame:
 
 def with_percent_cells(df: DataFrame, columns: list[str], total: str) -> DataFrame:
     """Counts as text cells ``n (percent)`` of a total column."""
-    return df.select(*[F.format_string("%d (%.1f)", F.col(c), F.col(c) * 100.0 / F.col(total)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return df.select(*[F.format_string("%d (%.1f)", F.col(c), F.round(F.col(c) * 100.0 / F.col(total), 1)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def keep_items(rates_: DataFrame, threshold: float, policy: str = "any") -> DataFrame:

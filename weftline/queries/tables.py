@@ -453,7 +453,7 @@ def a18(spark, sf):
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("region", "y").orderBy(F.desc("n"), "item"))).filter("rank <= 3")
 
 
-@R.add("a19_publication_table", "SELECT g, printf('%d (%.1f)', f, f * 100. / t) AS f, printf('%d (%.1f)', o, o * 100. / t) AS o, t AS total FROM (SELECT o_orderpriority AS g, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) AS t FROM orders GROUP BY ALL)")
+@R.add("a19_publication_table", "SELECT g, printf('%d (%.1f)', f, round(f * 100 / t, 1)) AS f, printf('%d (%.1f)', o, round(o * 100 / t, 1)) AS o, t AS total FROM (SELECT o_orderpriority AS g, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) AS t FROM orders GROUP BY ALL)")
 def a19(spark, sf):
     counts = V.crosstab(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
     counts = counts.select(F.col("o_orderpriority").alias("g"), F.col("F").alias("f"), F.col("O").alias("o"), (F.col("F") + F.col("O") + F.col("P")).alias("total"))
