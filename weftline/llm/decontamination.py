@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .words import ALNUM, Words, blocks, words_of
 
 WINDOW = 10
@@ -113,6 +114,7 @@ def scanner(benchmark: DataFrame, window: int = WINDOW, spans: bool = False):
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with one more column ``_found`` (FOUND; its text is only filled with ``spans``)."""
+    bounded_batches()
     size = benchmark.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
     if size <= broadcast_bytes:
         return docs.withColumn("_found", scanner(benchmark, window, spans)(F.col("text")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from .words import Words, blocks, polynomial
 
 #: Known pieces that a worker keeps (about 30 bytes each); when there are more it starts anew.
-KNOWN_PIECES = 2_000_000
+KNOWN_PIECES = 1_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32

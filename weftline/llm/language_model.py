@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder
-from .shared import cut_lineage, make_dir, mapped, shared_dir, write_bytes
+from .shared import bounded_batches, cut_lineage, make_dir, mapped, shared_dir, write_bytes
 from .words import SPACED, blocks, mix64, pack, unpack, words_of
 
 SHARD_TOKENS, FLUSH_TOKENS, SCORE_TOKENS, WORD_SHARD = 3_000_000, 2_000_000, 1_000_000, 1_000_000
@@ -242,6 +242,7 @@ def train(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Model:
     spark = docs.sparkSession
     folder = shared_dir(spark, "model")
     make_dir(folder)
+    bounded_batches()
     docs = docs.select("text")
     bytes_read = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_shards = max(1, round(bytes_read / 20 / WORD_SHARD))

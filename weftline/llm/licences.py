@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .words import ALNUM, Words, blocks, words_of
 
 # Phrases and their labels.
@@ -145,6 +146,7 @@ class Scanner:
 
 def scanner(**options):
     """A Column function text -> FOUND."""
+    bounded_batches()
     held = Scanner(**options)
     return F.arrow_udf(lambda texts: held.column(texts), FOUND)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import cut_lineage, make_dir, open_fs, read_bytes, shared_dir, write_bytes
+from .shared import bounded_batches, cut_lineage, make_dir, open_fs, read_bytes, shared_dir, write_bytes
 from .words import flat
 
 ROW, ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 64, 64 << 20, 8 << 20, 4 << 20, 3
@@ -75,6 +75,7 @@ def write_archives(docs: DataFrame, folder: str | None = None, archive_bytes: in
     """(folder, manifest): the manifest has one row per archive and is also stored beside the archives."""
     folder = folder or shared_dir(docs.sparkSession, "media")
     make_dir(folder)
+    bounded_batches()
 
     def save(batches):
         made, out, archive, n = [], None, None, 0

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder
-from .shared import cut_lineage
+from .shared import bounded_batches, cut_lineage
 from .words import SPACED, blocks, mix64, words_of
 
 FEATURES, RIDGE, WIDTH, SEED, BINS, SLOTS = 256, 1e-3, 0.35, 11, 2000, 16
@@ -96,6 +96,7 @@ def statistics():
         x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(STATISTICS), pa.int32()), pa.array(x.astype(np.float32).ravel(), pa.float32()))
 
+    bounded_batches()
     return F.arrow_udf(of, "array<float>")
 
 

@@ -33,6 +33,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch of whole texts. Spark's own default is 10,000 whatever their bytes, in the JVM and in Python alike.
+BATCH_ROWS = 500
+
+
+def bounded_batches() -> None:
+    """Let the active session send smaller Arrow batches, unless it does already."""
+    session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if session is not None and not 0 < int(session.conf.get(key)) <= BATCH_ROWS:
+        session.conf.set(key, str(BATCH_ROWS))
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """pyarrow file system and path of a URI (file, hdfs, s3, gs)."""
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)

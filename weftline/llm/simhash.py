@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut_lineage
+from .shared import bounded_batches, cut_lineage
 from .words import SPACED, blocks, words_of
 
 SHINGLE, BITS, DISTANCE, SEED, BUCKET = 4, 64, 4, 42, 2048
@@ -63,6 +63,7 @@ def fingerprint(shingle: int = SHINGLE):
         parts = [fingerprint_block(data, offsets, shingle) for _, _, data, offsets in blocks(texts)]
         return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64), pa.int64())
 
+    bounded_batches()
     return F.arrow_udf(of, "long")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_path, encoder
+from .shared import bounded_batches
 
 
 def token_count(path: str | None = None, spaced: bool = True):
@@ -16,6 +17,7 @@ def token_count(path: str | None = None, spaced: bool = True):
     def count(texts: pa.Array) -> pa.Array:
         return pa.array([len(b) // 4 for b in encoder(path, spaced).column(texts)], pa.int64())
 
+    bounded_batches()
     return F.arrow_udf(count, "long")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_path, encoder
-from .shared import cut_lineage, make_dir, open_fs, shared_dir
+from .shared import bounded_batches, cut_lineage, make_dir, open_fs, shared_dir
 
 MAGIC, BLOCK, END_ID = b"WFTTOK01", 1 << 16, 2
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -145,6 +145,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, bits:
     """Encode and write all documents; the manifest (MANIFEST, one row per file, parts in ascending doc_id order), checkpointed."""
     folder, path = folder or shared_dir(docs.sparkSession, "tokens"), path or default_path()
     make_dir(folder)
+    bounded_batches()
     end = struct.pack("<I", end_id)
 
     def save(batches):

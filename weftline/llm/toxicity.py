@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder
-from .shared import cut_lineage
+from .shared import bounded_batches, cut_lineage
 from .words import ALNUM, blocks, words_of
 
 BUCKETS, KEPT, TRAIN_ROWS, PARTS, STEPS, RATE, PENALTY, CLEAR = 1 << 18, 4096, 20_000, 8, 40, 0.25, 1e-3, 2.5
@@ -159,6 +159,7 @@ def fit(labelled: DataFrame) -> Model:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = 5) -> Model:
     """Fit on at most ``rows`` labels whose id's crc32 modulo ``folds`` isn't 0. Null labels are left out. The chosen labels are
     few enough to broadcast, so no text is shuffled to find its label."""
+    bounded_batches()
     known = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("y"))
     known = known.filter(remainder(F.col("_id"), folds) != 0).orderBy(F.xxhash64("_id", F.lit(5)), "_id", "y").limit(rows)
     some = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
