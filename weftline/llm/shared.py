@@ -33,6 +33,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def as_table(df: DataFrame) -> DataFrame:
+    """The rows as a table written in the shared folder. Rounds of self-joins need this rather than a checkpoint, which carries
+    inferred constraints along; their number grows with every round."""
+    place = shared_dir(df.sparkSession, "table")
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 #: Rows of an Arrow batch of whole texts. Spark's own default is 10,000 whatever their bytes, in the JVM and in Python alike.
 BATCH_ROWS = 500
 
