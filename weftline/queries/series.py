@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from weftline.operators import compare as C
 from weftline.operators import temporal as T
+from weftline.operators.filters import group_items
 
 from .base import INC, Registry, incidence, table
+from .tables import _CLASS, classes
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -149,3 +151,24 @@ def t7(spark, sf):
 @R.add("t11_welch", f"WITH {_B}, a AS (SELECT avg(breadth) AS m, var_samp(breadth) AS v, count(*) AS n FROM b WHERE g = '1-URGENT'), z AS (SELECT avg(breadth) AS m, var_samp(breadth) AS v, count(*) AS n FROM b WHERE g = '5-LOW') SELECT round((a.m - z.m) / sqrt(a.v / a.n + z.v / z.n), 6) AS t, round(pow(a.v / a.n + z.v / z.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(z.v / z.n, 2) / (z.n - 1)), 4) AS df, round((a.m - z.m) / sqrt(((a.n - 1) * a.v + (z.n - 1) * z.v) / (a.n + z.n - 2)), 6) AS cohens_d FROM a, z")
 def t11(spark, sf):
     return C.welch(breadth(spark, sf), "g", "breadth", "1-URGENT", "5-LOW").select(F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("cohens_d", 6).alias("cohens_d"))
+
+
+@R.add("w4_monthly_class_coverage", f"WITH {INC}, {_CLASS}, n AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(DISTINCT unit) AS n FROM inc GROUP BY ALL), k AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, unit, item_group FROM inc JOIN cls USING (item)) SELECT month, item_group AS item, round(count(*) / n, 6) AS rate FROM k JOIN n USING (month) GROUP BY month, item_group, n")
+def w4(spark, sf):
+    rows = incidence(spark, sf, "o_orderdate").withColumn("month", F.trunc("o_orderdate", "month"))
+    n = rows.groupBy("month").agg(F.count_distinct("unit").alias("n"))
+    grouped = group_items(rows.select("month", "unit", "item"), classes(spark, sf))
+    return grouped.groupBy("month", "item").agg(F.count("*").alias("c")).join(n, "month").select("month", "item", F.round(F.col("c") / F.col("n"), 6).alias("rate"))
+
+
+@R.add("w5_top_series", f"WITH {_M}, s AS (SELECT g, arg_max(count, month) AS latest, max(count) AS peak, avg(count) AS mean FROM ser GROUP BY ALL) SELECT g, latest, peak, round(mean, 6) AS mean FROM s ORDER BY s.mean DESC, g LIMIT 2")
+def w5(spark, sf):
+    out = series(spark, sf).groupBy("g").agg(F.max_by("count", "month").alias("latest"), F.max("count").alias("peak"), F.avg("count").alias("m"))
+    return out.orderBy(F.desc("m"), "g").limit(2).select("g", "latest", "peak", F.round("m", 6).alias("mean"))
+
+
+@R.add("w19_month_forms", "SELECT strftime(o_orderdate, '%Y-%m') AS year_month, count(*) AS n FROM orders GROUP BY ALL")
+def w19(spark, sf):
+    raw = orders(spark, sf).select(F.when(F.col("o_custkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM")).alias("ym"), "y", F.month("o_orderdate").alias("m"))
+    form = F.coalesce("ym", F.concat_ws("-", F.col("y").cast("string"), F.lpad(F.col("m").cast("string"), 2, "0")))
+    return raw.groupBy(form.alias("year_month")).agg(F.count("*").alias("n"))

@@ -489,3 +489,69 @@ def j1(spark, sf):
     fallback = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("region")).agg(F.count("*").alias("population"))
     regions = table(spark, sf, "nation").select(F.col("n_nationkey").alias("region"), F.explode(F.array(F.lit(1997), F.lit(1998))).alias("year"))
     return V.population_of(regions, exact, fallback)
+
+
+@R.add("p21_grouped_levels", "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS grp, count(*) AS n FROM part GROUP BY ALL")
+def p21(spark, sf):
+    size = F.col("p_size")
+    grp = F.when(size < 10, "small").when(size < 30, "middle").otherwise("large")
+    return table(spark, sf, "part").groupBy(grp.alias("grp")).agg(F.count("*").alias("n"))
+
+
+@R.add("f8_cohort_wildcards", f"{_COHORTS} SELECT cohort_id, coalesce(s.o_orderstatus, '-') AS status, coalesce(s.stratum, '-') AS priority, count(DISTINCT unit) AS units FROM ch JOIN specs s USING (cohort_id) GROUP BY ALL")
+def f8(spark, sf):
+    specs = spark.createDataFrame(_SPECS, "cohort_id string, status string, priority string")
+    sizes = cohort_rows(spark, sf).groupBy("cohort_id").agg(F.count_distinct("unit").alias("units"))
+    return sizes.join(specs, "cohort_id").fillna("-", ["status", "priority"])
+
+
+@R.add("f9_spec_slice", f"WITH {INC} SELECT item, count(*) AS n FROM inc WHERE o_orderstatus = 'F' AND stratum = '5-LOW' GROUP BY ALL")
+def f9(spark, sf):
+    rows = S.cohort(incidence(spark, sf, "o_orderstatus"), S.Cohort(where={"o_orderstatus": "F", "stratum": "5-LOW"}))
+    return rows.groupBy("item").agg(F.count("*").alias("n"))
+
+
+@R.add("f13_members_and_items", f"WITH {INC} SELECT stratum, item, count(*) AS n FROM inc WHERE stratum IN ('1-URGENT', '2-HIGH') AND item IN ('Brand#1', 'Brand#2', 'Brand#11', 'Brand#12') GROUP BY ALL")
+def f13(spark, sf):
+    rows = incidence(spark, sf).filter(F.col("stratum").isin("1-URGENT", "2-HIGH") & F.col("item").isin("Brand#1", "Brand#2", "Brand#11", "Brand#12"))
+    return rows.groupBy("stratum", "item").agg(F.count("*").alias("n"))
+
+
+@R.add("j2_mapped_classes", f"WITH {INC}, {_CLASS} SELECT coalesce(item_group, 'Unknown') AS item_group, count(*) AS n FROM inc LEFT JOIN cls ON cls.item = inc.item AND item_group <> 'PROMO' GROUP BY ALL")
+def j2(spark, sf):
+    dim = classes(spark, sf).filter("item_group <> 'PROMO'")
+    return incidence(spark, sf).join(dim, "item", "left").groupBy(F.coalesce("item_group", F.lit("Unknown")).alias("item_group")).agg(F.count("*").alias("n"))
+
+
+@R.add("j3_removed_items", f"WITH {INC} SELECT DISTINCT p_brand AS item FROM part WHERE p_brand NOT IN (SELECT item FROM inc WHERE o_orderstatus = 'P' GROUP BY ALL HAVING count(*) > (SELECT count(*) / count(DISTINCT item) FROM inc WHERE o_orderstatus = 'P'))")
+def j3(spark, sf):
+    counts = incidence(spark, sf, "o_orderstatus").filter("o_orderstatus = 'P'").groupBy("item").count()
+    kept = counts.join(counts.agg(F.avg("count").alias("mean")), F.lit(True)).filter("count > mean").select("item")
+    return table(spark, sf, "part").select(F.col("p_brand").alias("item")).distinct().join(kept, "item", "left_anti")
+
+
+@R.add("a10_long_counts", f"WITH {INC}, {_UNITS}, sz AS (SELECT g, s, count(*) AS n FROM un GROUP BY ALL), cn AS (SELECT g, s, item, count(*) AS c FROM inc JOIN un USING (unit) GROUP BY ALL) SELECT sz.g, sz.s, i.item, coalesce(c, 0) AS count, n FROM sz CROSS JOIN (SELECT DISTINCT item FROM inc) i LEFT JOIN cn ON cn.g = sz.g AND cn.s = sz.s AND cn.item = i.item")
+def a10(spark, sf):
+    return V.rates(incidence(spark, sf).select("unit", "item"), units(spark, sf), ["g", "s"]).select("g", "s", "item", "count", "n")
+
+
+@R.add("a15_box_table", f"WITH {_RATES} SELECT item, round(quantile_cont(rate, .25), 6) AS q1, round(median(rate), 6) AS median, round(quantile_cont(rate, .75), 6) AS q3, round(avg(rate), 6) AS mean FROM rt GROUP BY ALL")
+def a15(spark, sf):
+    q = lambda p, name: F.round(F.percentile("rate", F.lit(p)), 6).alias(name)
+    return group_rates(spark, sf).groupBy("item").agg(q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.round(F.avg("rate"), 6).alias("mean"))
+
+
+@R.add("a16_disparity_range", f"WITH {_RATES} SELECT item, round(max(rate) - min(rate), 6) AS range, round(avg(rate), 6) AS mean, count(*) AS groups FROM rt GROUP BY ALL")
+def a16(spark, sf):
+    return V.extremes(group_rates(spark, sf), "g").select("item", F.round("range", 6).alias("range"), F.round("mean", 6).alias("mean"), "groups")
+
+
+@R.add("a17_group_totals", f"WITH {INC}, {_CLASS} SELECT item_group, item, count(*) AS n FROM inc JOIN cls USING (item) GROUP BY ALL")
+def a17(spark, sf):
+    return incidence(spark, sf).join(classes(spark, sf), "item").groupBy("item_group", "item").agg(F.count("*").alias("n"))
+
+
+@R.add("a27_ordered_grid", f"WITH {_RATES} SELECT g, item, round(rate, 6) AS rate, round(avg(rate) OVER (PARTITION BY item), 6) AS order_key FROM rt WHERE g <> '3-MEDIUM'")
+def a27(spark, sf):
+    rows = group_rates(spark, sf).filter("g <> '3-MEDIUM'")
+    return rows.select("g", "item", F.round("rate", 6).alias("rate"), F.round(F.avg("rate").over(Window.partitionBy("item")), 6).alias("order_key"))
