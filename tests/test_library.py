@@ -1,5 +1,6 @@
 """Hand examples and invariants of the library, and agreement of registered queries with their SQL on the smallest tables."""
 
+import itertools
 import math
 import os
 import subprocess
@@ -223,3 +224,23 @@ def test_query_agrees_with_sql(spark, duck, name):
     plain = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
     want = sorted((tuple(plain(r[i]) for i in at) for r in result.fetchall()), key=str)
     assert sorted((tuple(plain(v) for v in r) for r in df.select(*[f"`{c}`" for c in columns]).collect()), key=str) == want
+
+
+def test_split_points_are_optimal():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        x = np.concatenate([rng.normal(m, 1, rng.integers(3, 6)) for m in rng.choice([0, 6, 12], 3)])
+
+        def loss(cuts, x=x):
+            ends = [0, *cuts, len(x)]
+            return sum(((x[a:b] - x[a:b].mean()) ** 2).sum() + 5 for a, b in zip(ends, ends[1:], strict=False))
+
+        every = [c for k in range(4) for c in itertools.combinations(range(3, len(x) - 2), k) if all(b - a >= 3 for a, b in zip((0, *c), (*c, len(x)), strict=True))]
+        assert loss(temporal.split_points(x, 5.0)) == pytest.approx(min(map(loss, every)))
+
+
+def test_breaks_of_a_series(spark):
+    rows = [("a", i, 10.0 if i < 12 else 40.0) for i in range(24)] + [("b", i, 5.0) for i in range(24)]
+    df = spark.createDataFrame(rows, "g string, i int, count double").withColumn("month", F.add_months(F.lit("2020-01-01").cast("date"), F.col("i")))
+    got = [(r.g, r.break_number, str(r.month)) for r in temporal.breaks(df, ["g"]).collect()]
+    assert got == [("a", 1, "2020-12-01")]

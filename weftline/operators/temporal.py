@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,54 @@ def seasonal_means(series: DataFrame, keys: list[str], value: str = "count") ->
     full = F.count(value).over(w.rowsBetween(-6, 6)) == 13
     rows = series.withColumn("d", F.when(full, F.col(value) - (inner + outer) / 2)).groupBy(*keys, F.month("month").alias("month_of_year")).agg(F.avg("d").alias("e"))
     return rows.select(*keys, "month_of_year", (F.col("e") - F.avg("e").over(Window.partitionBy(*keys))).alias("effect"))
+
+
+def split_points(values: np.ndarray, penalty: float, least: int = 3) -> list[int]:
+    """Ends of segments (but for the last) that minimise squared deviations from segment means plus a penalty for each segment,
+    segments having at least ``least`` values: optimal partitioning over all positions."""
+    n = len(values)
+    if n < 2 * least:
+        return []
+    s1, s2 = np.concatenate([[0], np.cumsum(values)]), np.concatenate([[0], np.cumsum(values**2)])
+    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = -penalty
+    for t in range(least, n + 1):
+        s = np.arange(0, t - least + 1)
+        cost = best[s] + s2[t] - s2[s] - (s1[t] - s1[s]) ** 2 / (t - s) + penalty
+        best[t], last[t] = cost.min(), s[cost.argmin()]
+    out, t = [], n
+    while last[t] > 0:
+        t = last[t]
+        out.append(int(t))
+    return out[::-1]
+
+
+def breaks(series: DataFrame, keys: list[str], value: str = "count", least: int = 3, most: int = 2) -> DataFrame:
+    """(keys, break_number, month) of the first ``most`` level shifts of each series: the last month before the shift.
+
+    A group is one monthly series, some hundred rows at most; the penalty is three times the log of its length.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "break_number int", "month date"])
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[value]).sort_values("month")
+        at = split_points(pdf[value].to_numpy(float), 3 * np.log(max(len(pdf), 2)), least)[:most]
+        out = pdf.iloc[[t - 1 for t in at]][[*keys, "month"]].copy()
+        out.insert(len(keys), "break_number", range(1, len(at) + 1))
+        return out
+
+    return series.select(*keys, "month", value).groupBy(*keys).applyInPandas(find, schema)
+
+
+def volume_summary(series: DataFrame, keys: list[str], value: str = "count") -> DataFrame:
+    """One row per series: span, months, mean, deviation, trend and seasonal trend, shocks, breaks, seasonal amplitude."""
+    trend = mann_kendall(series, keys, value).select(*keys, "tau", F.col("z").alias("trend_z"))
+    seasonal = mann_kendall(series, keys, value, F.month("month")).select(*keys, F.col("z").alias("seasonal_z"))
+    jolts = shocks(series, keys, value).groupBy(*keys).agg(F.count_if("shock").alias("shocks"))
+    dates = breaks(series, keys, value).groupBy(*keys).agg(F.sort_array(F.collect_list("month")).alias("breaks"))
+    swing = seasonal_means(series, keys, value).groupBy(*keys).agg((F.max("effect") - F.min("effect")).alias("amplitude"))
+    out = summary(series, keys, value)
+    for part in (trend, seasonal, jolts, dates, swing):
+        out = out.join(part, keys, "left")
+    return out

@@ -172,3 +172,13 @@ def w19(spark, sf):
     raw = orders(spark, sf).select(F.when(F.col("o_custkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM")).alias("ym"), "y", F.month("o_orderdate").alias("m"))
     form = F.coalesce("ym", F.concat_ws("-", F.col("y").cast("string"), F.lpad(F.col("m").cast("string"), 2, "0")))
     return raw.groupBy(form.alias("year_month")).agg(F.count("*").alias("n"))
+
+
+@R.add("w7_breaks")
+def w7(spark, sf):
+    return T.breaks(series(spark, sf), ["g"])
+
+
+@R.add("w20_volume_summary")
+def w20(spark, sf):
+    return T.volume_summary(series(spark, sf), ["g"])
