@@ -194,7 +194,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return files.repartition(F.col("path")).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a given number of partitions: the rows are tiny, and would else be merged into one task that reads every file
+    return files.repartition(max(1, manifest.count()), F.col("path")).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
