@@ -163,6 +163,22 @@ def test_rules_with_larger_consequents(spark):
     assert r.support == pytest.approx(10 / 12) and r.confidence == pytest.approx(10 / 11)
 
 
+def test_rules_of_all_sizes_against_brute_force(spark):
+    baskets = ["abcdef"] * 6 + ["abc", "abd", "ef", "f", "g", "ag"]
+    rules = networks.association_rules(spark.createDataFrame([(u, i) for u, b in enumerate(baskets) for i in b], "unit int, item string"), 0.1, 0.3, 1.0)
+    n, got = len(baskets), {(tuple(r.antecedent), tuple(r.consequent)): (r.support, r.confidence, r.lift) for r in rules.collect()}
+    share = {s: sum(set(s) <= set(b) for b in baskets) / n for k in range(1, 8) for s in itertools.combinations("abcdefg", k)}
+    want = {}
+    for s in (s for s, x in share.items() if x >= 0.1):
+        for one in (c for k in range(1, len(s)) for c in itertools.combinations(s, k)):
+            two = tuple(x for x in s if x not in one)
+            r = share[s], share[s] / share[one], share[s] / (share[one] * share[two])
+            if r[1] >= 0.3 and r[2] >= 1:
+                want[one, two] = r
+    assert max(len(a) + len(b) for a, b in want) == 6 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_gini_and_wilson(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 1, 1, 1)] + [("b", float(x)) for x in (0, 0, 0, 4)] + [("c", 0.0)], "k string, v double")
     assert {r.k: round(r.gini, 6) for r in coverage.gini(df, ["k"], "v").collect()} == {"a": 0.0, "b": 0.75, "c": 0.0}

@@ -72,16 +72,19 @@ def grid_search(inc: DataFrame, dataset: str, labels: DataFrame, grid: Grid) ->
     return networks.join(out, "network_id").drop("network_id")
 
 
-def association_rules(inc: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3, min_lift: float = 1.0, most_items: int = 4) -> DataFrame:
-    """(antecedent, consequent, support, confidence, lift) of frequent itemsets of up to ``most_items``, consequents of any size.
+def association_rules(inc: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3, min_lift: float = 1.0, most_items: int | None = None) -> DataFrame:
+    """(antecedent, consequent, support, confidence, lift) of all frequent itemsets, consequents of any size; ``most_items`` keeps to
+    itemsets of that many items.
 
     FP-growth finds the itemsets; every split of one is a rule, scored by joining the supports of both sides.
     """
     baskets = inc.groupBy("unit").agg(F.collect_set("item").alias("items"))
     n = inc.agg(F.count_distinct("unit").alias("n"))
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets).freqItemsets
-    sets = cut(sets.filter(F.size("items") <= most_items).select(F.sort_array("items").alias("items"), "freq"))
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("items")) - 2).cast("int"))
+    if most_items is not None:
+        sets = sets.filter(F.size("items") <= most_items)
+    sets = cut(sets.select(F.sort_array("items").alias("items"), "freq"))
+    masks = F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2), F.size("items")) - 2).cast("long"))
     split = sets.filter("size(items) > 1").select("items", F.col("freq").alias("both"), F.explode(masks).alias("mask"))
     side = lambda bit: F.expr(f"filter(items, (x, i) -> shiftright(mask, i) % 2 = {bit})")
     split = split.select("both", side(1).alias("antecedent"), side(0).alias("consequent"))

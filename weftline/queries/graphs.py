@@ -322,6 +322,11 @@ def r1(spark, sf):
     return out.select(F.col("antecedent")[0].alias("antecedent"), F.col("consequent")[0].alias("consequent"), *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
+@R.add("r1_rules")
+def r1_all(spark, sf):
+    return P.association_rules(incidence(spark, sf), min_support=0.01, min_confidence=0.1, min_lift=0.9)
+
+
 @R.add("r2_stratified_rules")
 def r2(spark, sf):
     return P.stratified_rules(incidence(spark, sf), "stratum", min_support=0.01, min_confidence=0.1, min_lift=1.0)
