@@ -150,6 +150,30 @@ def test_louvain_finds_the_triangles(spark, triangles):
     assert evaluate.stability(found, ["network_id"]).first().stability == 1.0
 
 
+def test_louvain_moves_until_nothing_can(spark):
+    """A ring of 48 nodes: one hashed round a level leaves communities that can be merged with gain."""
+    ends = [sorted((f"n{i:02}", f"n{(i + 1) % 48:02}")) for i in range(48)]
+    edges = spark.createDataFrame([("r", *e, 1.0) for e in ends], "network_id string, left_item string, right_item string, similarity double")
+    nodes = spark.createDataFrame([("r", f"n{i:02}") for i in range(48)], "network_id string, node string")
+    runs = spark.createDataFrame([("r", 1.0, 0), ("r", 1.0, 1)], "network_id string, gamma double, seed int")
+    found = {}
+    for r in graph.louvain(nodes, edges, runs, rounds=1).collect():
+        found.setdefault(r.seed, {})[r.node] = r.community
+    for of in found.values():
+        size = {c: sum(x == c for x in of.values()) for c in of.values()}
+        between = {tuple(sorted((of[a], of[b]))) for a, b in ends if of[a] != of[b]}
+        assert between and all(1 - 2 * size[a] * 2 * size[b] / 96 <= 1e-9 for a, b in between)
+    with pytest.raises(RuntimeError, match="still move"):
+        graph.louvain(nodes, edges, runs, most_rounds=1)
+
+
+def test_grid_query_runs_the_default_grid(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(networks, "grid_search", lambda inc, dataset, labels, grid: asked.append(grid))
+    QUERIES["e8_grid"](spark, SF)
+    assert asked == [networks.Grid()] and len(list(itertools.product(asked[0].metrics, asked[0].taus, asked[0].gammas, asked[0].seeds))) == 480
+
+
 def test_agreement(spark):
     rows = [("same", a, b) for a, b in ((1, 2), (1, 2), (2, 1), (2, 1))] + [("cross", a, b) for a, b in ((1, 1), (1, 2), (2, 1), (2, 2))]
     got = {r.k: (r.ari, r.nmi) for r in evaluate.agreement(spark.createDataFrame(rows, "k string, x int, y int"), ["k"]).collect()}

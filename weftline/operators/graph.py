@@ -99,24 +99,26 @@ def modularity(edges: DataFrame, communities: DataFrame, gamma: float = 1.0, key
     return rows.groupBy(*keys).agg(q.alias("modularity"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, runs: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, runs: DataFrame, rounds: int = 12, most_rounds: int = 10_000) -> DataFrame:
     """Communities by local moves and contraction, for every run (network_id, gamma, seed) at once: (network_id, gamma, seed, node,
     community), a community named by its smallest node.
 
-    Within a round only nodes whose hash with the seed and the round is even may move, each to the neighbouring community of the
-    best positive gain (ties: the smallest name); so two nodes seldom swap for ever. Rounds end when nothing moves. Isolated
-    nodes stay alone. The result depends on the data and the seed alone.
+    In the first ``rounds`` of a level only nodes whose hash with the seed and the round is even may move, each to the neighbouring
+    community of the best positive gain (ties: the smallest name); so two nodes seldom swap for ever. Later a move takes place only
+    if it is the best of all that leave or enter either of its two communities: such gains add up, so modularity rises with every
+    round and rounds end when nothing can move. Levels end when none contracts any more. A level of ``most_rounds`` is an error.
+    Isolated nodes stay alone. The result depends on the data and the seed alone.
     """
     keys = ["network_id", "gamma", "seed"]
     member = cut(nodes.join(runs, "network_id").select(*keys, "node", F.col("node").alias("top")))
     links = cut(mirrored(edges).join(runs, "network_id").select(*keys, "u", "v", "w"))
-    for level in range(levels):
+    level = 0
+    while True:
         strength = links.groupBy(*keys, "u").agg(F.sum("w").alias("k"))
         total = links.groupBy(*keys).agg(F.sum("w").alias("m2"))
         strength = cut(strength.join(total, keys))
-        at = cut(strength.select(*keys, "u", "k", "m2", F.col("u").alias("c")))
-        moved_any = False
-        for step in range(rounds):
+        at = strength.select(*keys, "u", "k", "m2", F.col("u").alias("c"))
+        for step in range(most_rounds):
             sums = at.groupBy(*keys, "c").agg(F.sum("k").alias("big"))
             to = links.filter("u <> v").join(at.select(*keys, F.col("u").alias("v"), F.col("c").alias("to")), [*keys, "v"]).groupBy(*keys, "u", "to").agg(F.sum("w").alias("w"))
             stay = at.select(*keys, "u", F.col("c").alias("to"), F.lit(0.0).alias("w"))
@@ -124,20 +126,31 @@ def louvain(nodes: DataFrame, edges: DataFrame, runs: DataFrame, rounds: int = 1
             own = F.col("to") == F.col("c")
             gain = F.round(F.col("w") - F.col("gamma") * F.col("k") * (F.col("big") - F.when(own, F.col("k")).otherwise(0.0)) / F.col("m2"), 12)
             best = options.withColumn("gain", gain).groupBy(*keys, "u", "k", "m2", "c").agg(F.min(F.struct((-F.col("gain")).alias("g"), (~own).alias("o"), "to")).alias("b"), F.max(F.when(own, F.col("gain"))).alias("now"))
-            may = (F.pmod(F.xxhash64("u", "seed", F.lit(step + 100 * level)), F.lit(2)) == 0) & (-F.col("b.g") > F.col("now") + 1e-9)
-            at = cut(best.select(*keys, "u", "k", "m2", F.when(may, F.col("b.to")).otherwise(F.col("c")).alias("c"), may.alias("moved"), (-F.col("b.g") > F.col("now") + 1e-9).alias("could")))
-            facts = at.agg(F.coalesce(F.bool_or("moved"), F.lit(False)), F.coalesce(F.bool_or("could"), F.lit(False))).first()
-            moved_any |= facts[0]
-            at = at.drop("moved", "could")
-            if not facts[1]:
+            best = best.withColumn("could", -F.col("b.g") > F.col("now") + 1e-9)
+            if step < rounds:
+                best = best.withColumn("may", (F.pmod(F.xxhash64("u", "seed", F.lit(step + 100 * level)), F.lit(2)) == 0) & F.col("could"))
+            else:
+                best = cut(best)
+                rank = F.struct((-F.col("b.g") - F.col("now")).alias("rise"), "u")
+                ends = best.filter("could").select(*keys, F.explode(F.array("c", "b.to")).alias("end"), rank.alias("rank"))
+                top = ends.groupBy(*keys, "end").agg(F.max("rank")["u"].alias("u"))
+                first = top.groupBy(*keys, "u").agg((F.count("*") == 2).alias("may"))
+                best = best.join(first, [*keys, "u"], "left").withColumn("may", F.coalesce("may", F.lit(False)))
+            at = cut(best.select(*keys, "u", "k", "m2", F.when(F.col("may"), F.col("b.to")).otherwise(F.col("c")).alias("c"), "could"))
+            could = at.agg(F.coalesce(F.bool_or("could"), F.lit(False))).first()[0]
+            at = at.drop("could")
+            if not could:
                 break
+        else:
+            raise RuntimeError(f"communities still move after {most_rounds} rounds of level {level}")
         names = at.groupBy(*keys, "c").agg(F.min("u").alias("name"))
         at = at.join(names, [*keys, "c"]).select(*keys, "u", F.col("name").alias("c"))
         member = cut(member.join(at.withColumnRenamed("u", "top"), [*keys, "top"], "left").select(*keys, "node", F.coalesce("c", "top").alias("top")))
-        if not moved_any:
+        if at.filter("u <> c").isEmpty():
             break
         small = links.join(at.withColumnsRenamed({"c": "cu"}), [*keys, "u"]).join(at.withColumnsRenamed({"u": "v", "c": "cv"}), [*keys, "v"])
         links = cut(small.groupBy(*keys, F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+        level += 1
     name = F.min("node").over(Window.partitionBy(*keys, "top"))
     return member.select(*keys, "node", name.alias("community"))
 

@@ -60,7 +60,7 @@ def grid_search(inc: DataFrame, dataset: str, labels: DataFrame, grid: Grid) ->
     nodes = networks.join(items, dataset).select("network_id", "node")
     settings = [F.struct(F.lit(g).alias("gamma"), F.lit(s).alias("seed")) for g in grid.gammas for s in grid.seeds]
     runs = networks.select("network_id", F.explode(F.array(*settings)).alias("r")).select("network_id", "r.*")
-    communities = graph.louvain(nodes, edges.select("network_id", "left_item", "right_item", "similarity"), runs, rounds=8, levels=2)
+    communities = graph.louvain(nodes, edges.select("network_id", "left_item", "right_item", "similarity"), runs)
     keys = ["network_id", "gamma", "seed"]
     agree = evaluate.against_labels(communities, labels, keys)
     keyed = full.select("network_id", "left_item", "right_item", "similarity").join(runs, "network_id")

@@ -224,7 +224,7 @@ def g13(spark, sf):
 @R.add("g3_louvain")
 def g3(spark, sf):
     runs = nodes(spark, sf).select("network_id").distinct().select("network_id", F.lit(1.0).alias("gamma"), F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"))
-    return G.louvain(nodes(spark, sf), graph(spark, sf), runs, rounds=8, levels=2)
+    return G.louvain(nodes(spark, sf), graph(spark, sf), runs)
 
 
 @R.add("g5_power_iteration")
@@ -309,9 +309,8 @@ def e11(spark, sf):
 
 @R.add("e8_grid")
 def e8(spark, sf):
-    grid = P.Grid(metrics=("jaccard", "phi"), taus=(0.0825,), gammas=(1.0,), seeds=(0, 1))
     dims = classes(spark, sf).withColumnRenamed("item_group", "label")
-    return P.grid_search(incidence(spark, sf), "stratum", dims, grid)
+    return P.grid_search(incidence(spark, sf), "stratum", dims, P.Grid())
 
 
 @R.add("r1_pair_rules", f"""WITH {INC}, n AS (SELECT count(DISTINCT unit) AS n FROM inc), f AS (SELECT item, count(*) AS f FROM inc GROUP BY ALL),
