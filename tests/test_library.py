@@ -136,6 +136,20 @@ def test_graph_measures(triangles):
     assert b["c"] == b["d"] == max(b.values()) and b["a"] == b["g"] == 0
 
 
+def test_paths_of_a_long_chain(spark):
+    """A chain of 24 nodes and a ring of 5: hops beyond any fixed bound, and betweenness by hand."""
+    links = [("chain", f"n{i:02}", f"n{i + 1:02}") for i in range(23)] + [("ring", *sorted((f"n{i:02}", f"n{(i + 1) % 5:02}"))) for i in range(5)]
+    edges = spark.createDataFrame([(*x, 1.0) for x in links], "network_id string, left_item string, right_item string, similarity double")
+    nodes = spark.createDataFrame([("chain", f"n{i:02}") for i in range(24)] + [("ring", f"n{i:02}") for i in range(5)], "network_id string, node string")
+    found = graph.paths(edges)
+    got = {(r.network_id, r.s, r.t): (r.hops, r.routes) for r in found.collect()}
+    chain = {("chain", f"n{i:02}", f"n{j:02}"): (abs(i - j), 1) for i in range(24) for j in range(24) if i != j}
+    ring = {("ring", f"n{i:02}", f"n{j:02}"): (min((i - j) % 5, (j - i) % 5), 1) for i in range(5) for j in range(5) if i != j}
+    assert got == chain | ring
+    b = {(r.network_id, r.node): r.betweenness for r in graph.betweenness(nodes, found).collect()}
+    assert all(b["chain", f"n{i:02}"] == pytest.approx(2 * i * (23 - i) / (23 * 22)) for i in range(24))
+
+
 def test_louvain_finds_the_triangles(spark, triangles):
     nodes, edges = triangles
     runs = spark.createDataFrame([("n", 1.0, 0), ("n", 1.0, 1)], "network_id string, gamma double, seed int")

@@ -155,19 +155,20 @@ def louvain(nodes: DataFrame, edges: DataFrame, runs: DataFrame, rounds: int = 1
     return member.select(*keys, "node", name.alias("community"))
 
 
-def paths(edges: DataFrame, max_hops: int = 20) -> DataFrame:
+def paths(edges: DataFrame) -> DataFrame:
     """(network_id, s, t, hops, routes): shortest hop distance of every connected pair and how many shortest paths there are.
 
-    A front grows by one hop a round from all sources at once; what was seen is anti-joined away. As many rows as pairs of nodes.
+    A front grows by one hop a round from all sources at once, until it is empty; what was seen is anti-joined away. As many rows as
+    pairs of nodes.
     """
     links = mirrored(edges).select("network_id", F.col("u").alias("t"), F.col("v").alias("next")).persist()
     front = cut(links.select("network_id", F.col("t").alias("s"), F.col("next").alias("t"), F.lit(1).alias("hops"), F.lit(1).cast("long").alias("routes")))
     seen = front
-    for hop in range(2, max_hops + 1):
+    hop = 1
+    while not front.isEmpty():
+        hop += 1
         grown = front.join(links, ["network_id", "t"]).filter("s <> next").groupBy("network_id", "s", F.col("next").alias("t")).agg(F.sum("routes").alias("routes"))
         front = cut(grown.join(seen.select("network_id", "s", "t"), ["network_id", "s", "t"], "left_anti").select("network_id", "s", "t", F.lit(hop).alias("hops"), "routes"))
-        if front.isEmpty():
-            break
         seen = cut(seen.unionByName(front))
     links.unpersist()
     return seen
