@@ -81,6 +81,17 @@ def test_nested_cohorts_count_units_once(spark):
     assert got == {"broad": 2, "narrow": 1}
 
 
+def test_long_cohort_lists_are_whole(spark):
+    rows = [(u, f"g{u % 3}", u % 4 if u % 5 else None) for u in range(20)]
+    df = spark.createDataFrame(rows, "unit int, g string, y int")
+    specs = [(f"c{i:05}", f"g{i % 4}" if i % 2 else None, i % 5 if i % 3 else None) for i in range(10_200)]
+    fits = [(c, u) for c, g, y in specs for u, rg, ry in rows if g in (None, rg) and (y is None or y == ry)]
+    table = spark.createDataFrame(specs, "cohort_id string, g string, y int")
+    out = filters.cohorts(df, table, ["g", "y"])
+    assert set(out.columns) == {"unit", "g", "y", "cohort_id"} and sorted((r.cohort_id, r.unit) for r in out.collect()) == sorted(fits)
+    assert {r.cohort_id for r in filters.cohorts(df, table, ["g", "y"], min_size=20).collect()} == {c for c, g, y in specs if g is None and y is None}
+
+
 def test_result_tokens(spark):
     raw = {"R": "R", "resistant": "R", " s ": "S", "I": "I", "1": "R", "0": "S", "S/R": "R", "s\\i": "I", "": None, "NA": None, "-": None, ".": None, "x": None, "Sens": "S", None: None}
     df = spark.createDataFrame([(k,) for k in raw], "raw string")

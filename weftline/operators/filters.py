@@ -85,12 +85,21 @@ def cohort(df: DataFrame, spec: Cohort, unit: str = "unit") -> DataFrame:
     return rows.join(size, F.lit(True)).filter("_enough").drop("_enough")
 
 
-def cohorts(df: DataFrame, specs: DataFrame, keys: list[str], min_size: int = 0, unit: str = "unit") -> DataFrame:
-    """Rows tagged with cohort_id for each spec (cohort_id, keys) that they fit; a null key fits any value. The specs are few: one
-    row a cohort, compared with every row in one pass. A unit may be in many cohorts, nested ones included, once in each."""
-    names = [F.col(k).alias(f"_{k}") for k in keys]
-    fit = _all(F.col(f"_{k}").isNull() | (F.col(f"_{k}") == F.col(k)) for k in keys)
-    out = df.join(F.broadcast(specs.select("cohort_id", *names).limit(10_000)), fit).drop(*[f"_{k}" for k in keys])
+def cohorts(df: DataFrame, specs: DataFrame, keys: list[str], min_size: int = 0, unit: str = "unit", few: int = 10_000) -> DataFrame:
+    """Rows tagged with cohort_id for each spec (cohort_id, keys) that they fit; a null key fits any value. One row a cohort. Up to
+    ``few`` specs are compared with every row in one pass; more are joined on their keys, one join for each set of keys that are
+    not null. A unit may be in many cohorts, nested ones included, once in each."""
+    specs = specs.select("cohort_id", *[F.col(k).alias(f"_{k}") for k in keys])
+    if specs.limit(few + 1).count() <= few:
+        out = df.join(F.broadcast(specs), _all(F.col(f"_{k}").isNull() | (F.col(f"_{k}") == F.col(k)) for k in keys))
+    else:
+        out = None
+        for used in specs.select(*[F.col(f"_{k}").isNotNull().alias(k) for k in keys]).distinct().collect():
+            named = [k for k in keys if used[k]]
+            alike = specs.filter(_all(F.col(f"_{k}").isNotNull() == used[k] for k in keys))
+            part = df.join(alike, _all(F.col(f"_{k}") == F.col(k) for k in named)) if named else df.crossJoin(alike)
+            out = part if out is None else out.unionByName(part)
+    out = out.drop(*[f"_{k}" for k in keys])
     if min_size:
         out = out.join(out.groupBy("cohort_id").agg(F.count_distinct(unit).alias("_n")).filter(F.col("_n") >= min_size).select("cohort_id"), "cohort_id", "left_semi")
     return out
