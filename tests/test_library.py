@@ -199,6 +199,15 @@ def test_grid_query_runs_the_default_grid(spark, monkeypatch):
     assert asked == [networks.Grid()] and len(list(itertools.product(asked[0].metrics, asked[0].taus, asked[0].gammas, asked[0].seeds))) == 480
 
 
+def test_power_clusters_of_every_network(spark):
+    got = QUERIES["g5_power_iteration"](spark, SF)
+    edges = QUERIES["g1_threshold_graph"](spark, SF)
+    want = {(r.network_id, n) for r in edges.collect() for n in (r.left_item, r.right_item)}
+    rows = [(r.network_id, r.node) for r in got.collect()]
+    assert len({n for n, _ in want}) > 1 and len(rows) == len(set(rows)) and set(rows) == want
+    assert got.agg(F.max("cluster")).first()[0] <= 3
+
+
 def test_agreement(spark):
     rows = [("same", a, b) for a, b in ((1, 2), (1, 2), (2, 1), (2, 1))] + [("cross", a, b) for a, b in ((1, 1), (1, 2), (2, 1), (2, 2))]
     got = {r.k: (r.ari, r.nmi) for r in evaluate.agreement(spark.createDataFrame(rows, "k string, x int, y int"), ["k"]).collect()}

@@ -35,6 +35,16 @@ def power_clusters(edges: DataFrame, k: int) -> DataFrame:
     return names.join(found, "id").select("node", "cluster")
 
 
+def power_clusters_by_network(edges: DataFrame, k: int) -> DataFrame:
+    """power_clusters within each of a few networks, whose names are read first: (network_id, node, cluster) of nodes with an edge."""
+    names = [r[0] for r in edges.select("network_id").distinct().orderBy("network_id").collect()]
+    out = None
+    for name in names:
+        part = power_clusters(edges.filter(F.col("network_id") == name), k).select(F.lit(name).alias("network_id"), "node", "cluster")
+        out = part if out is None else out.unionByName(part)
+    return edges.sparkSession.createDataFrame([], "network_id string, node string, cluster int") if out is None else out
+
+
 @dataclass
 class Grid:
     metrics: tuple[str, ...] = ("jaccard", "dice", "cosine", "phi")

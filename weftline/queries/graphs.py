@@ -229,7 +229,7 @@ def g3(spark, sf):
 
 @R.add("g5_power_iteration")
 def g5(spark, sf):
-    return P.power_clusters(graph(spark, sf).filter("network_id = '1-URGENT'"), k=4)
+    return P.power_clusters_by_network(graph(spark, sf), k=4)
 
 
 #: Two fixed partitions of the brands: by their first digit, and by the class of their parts.
