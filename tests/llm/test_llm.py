@@ -300,42 +300,72 @@ def test_automaton_regions():
         licences.Automaton("x", "{{0-2}} end")
 
 
-@pytest.mark.parametrize("shard_tokens", [10**6, 500])
-def test_language_model(docs, shard_tokens):
+def brute_model(texts, order):
+    """p(word | context) of an interpolated Kneser-Ney model with counts in dictionaries, its discounts, and raw word counts."""
+    raw = collections.Counter(w for t in texts for w in t)
+    grams = collections.Counter(tuple(p[i : i + order]) for t in texts for p in [["<s>"] * (order - 1) + t] for i in range(len(t)))
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    discounts = {k: (0, *language_model.Discounts.of([sum(c == n for c in v.values()) for n in (1, 2, 3, 4)])) for k, v in levels.items()}
+    follow = {k: collections.defaultdict(list) for k in levels}
+    for k, v in levels.items():
+        for g, c in v.items():
+            follow[k][g[:-1]].append(c)
+
+    def p(context, word):
+        k = len(context) + 1
+        below = p(context[1:], word) if context else 1 / (len(raw) + 1)
+        seen = follow[k].get(context)
+        if not seen:
+            return below
+        d, c = discounts[k], levels[k][*context, word]
+        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in seen) * below) / sum(seen)
+
+    return p, discounts, raw
+
+
+@pytest.mark.parametrize(("order", "shard_tokens"), [(1, 500), (2, 10**6), (2, 500), (3, 10**6), (3, 500), (4, 400)])
+def test_language_model(docs, order, shard_tokens, monkeypatch):
+    monkeypatch.setattr(language_model, "WIDE", 3)
     held_out = F.col("doc_id").isin(1, 2, 105)
     rows = [(r.doc_id, [*spaced(r.text), "</s>"]) for r in docs.collect()]
-    train = [t for i, t in rows if i not in (1, 2, 105) and i is not None]
-    uni = collections.Counter(w for t in train for w in t)
-    pairs = collections.Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
-    cont = collections.Counter(b for _, b in pairs)
-    follow = collections.defaultdict(list)
-    for (a, _), c in pairs.items():
-        follow[a].append(c)
-    model = language_model.train(docs.filter(~held_out & F.col("doc_id").isNotNull()), shard_tokens=shard_tokens)
-    d, e = (0, *model.discounts), (0, *model.word_discounts)
-    times = [sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)]
-    assert model.discounts == language_model.Discounts.of(times)
-
-    def low(b):
-        return max(cont[b] - e[min(cont[b], 3)], 0) / len(pairs) + sum(e[min(c, 3)] for c in cont.values()) / len(pairs) / (len(uni) + 1)
-
-    def p(a, b):
-        if a not in follow:
-            return low(b)
-        c = pairs[a, b]
-        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in follow[a]) * low(b)) / sum(follow[a])
-
-    for a in ("<s>", "kaß", "never seen"):
-        assert sum(p(a, b) for b in uni) + low("never seen") * (1 if a not in follow else sum(d[min(x, 3)] for x in follow[a]) / sum(follow[a])) == pytest.approx(1)
+    p, discounts, uni = brute_model([t for i, t in rows if i not in (1, 2, 105) and i is not None], order)
+    model = language_model.train(docs.filter(~held_out & F.col("doc_id").isNotNull()), order, shard_tokens=shard_tokens)
+    assert [(0, *d) for d in model.discounts] == [discounts[k] for k in range(1, order + 1)]
+    assert (len(model.spread) > 0) == (shard_tokens < 10**6 and order > 1)
+    for context in (("<s>", "<s>", "<s>"), ("kaß", "turan", "never seen"), ("never seen", "loran", "kaß")):
+        context = context[len(context) - order + 1 :]
+        assert sum(p(context, b) for b in uni) + p(context, "never seen") == pytest.approx(1)
     total = sum(uni.values())
     want = collections.Counter()
     for i, t in rows:
         base = sum(math.log10((uni[b] + 1) / (total + len(uni) + 1)) for b in t)
-        want[i, len(t), sum(uni[b] > 0 for b in t), total, round(base, 4), round(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t, strict=False)), 4)] += 1
+        padded = ["<s>"] * (order - 1) + t
+        score = sum(math.log10(p(tuple(padded[j : j + order - 1]), b)) for j, b in enumerate(t))
+        want[i, len(t), sum(uni[b] > 0 for b in t), total, round(base, 4), round(score, 4)] += 1
     got = language_model.score_with(docs, model, F.coalesce(held_out, F.lit(False))).collect()
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == want
 
 
+def test_language_model_tables_keep_large_counts_and_wide_contexts():
+    rng = np.random.default_rng(1)
+    word = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    ctx = np.repeat(rng.integers(0, 1 << 63, 60, dtype=np.uint64), np.concatenate([[900, 256, 255], np.full(56, 28), [21]]))
+    counts = np.where(rng.random(3000) < 0.1, rng.integers(200, 100_000, 3000), rng.integers(1, 5, 3000))
+    mixed = rng.permutation(3000)
+    f = language_model.table("3.", ctx[mixed], word[mixed], counts[mixed])
+    order = np.argsort(ctx & np.uint64((1 << 40) - 1), kind="stable")
+    got, stats = language_model.look_up(f, "3.", ctx[order], word[order])
+    assert (got == counts[order]).all()
+    for c in np.unique(ctx):
+        mine = counts[ctx == c]
+        assert stats[ctx[order] == c][0].tolist() == [mine.sum(), (mine == 1).sum(), (mine == 2).sum(), (mine > 2).sum()]
+    none, empty = language_model.look_up(f, "3.", ctx[order] ^ np.uint64(1), word[order])
+    assert not none.any() and not empty.any()
+    assert not language_model.look_up(f, "3.", ctx[order], word[order] ^ np.uint64(1 << 40))[0].any()
+
+
 def test_language_model_without_rows(docs):
     assert language_model.score(docs.limit(0)).count() == 0
     empty = language_model.train(docs.limit(0))

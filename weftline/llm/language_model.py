@@ -1,16 +1,20 @@
-"""LM scoring with an interpolated modified Kneser-Ney bigram model over hashed words.
+"""LM scoring with an interpolated modified Kneser-Ney model over hashed words, of any order (three by default).
 
 Counting: tasks turn texts into 64-bit word hashes, count within some million tokens, and send blocks of counts to shards. Words are
-sharded by their hash. Bigrams are sharded by their first word, so a shard knows all that follows a word; the few words that make
-up more than half a shard alone are spread by the whole bigram. A shard merges its blocks and stores sorted hash arrays (one file
-in the shared folder); it sends on, for each second word, in how many bigrams it stands, which is merged by word. Shards hold about
-``SHARD_TOKENS`` tokens, so their number follows the corpus and a task's memory doesn't.
+sharded by their hash. An n-gram is sharded by its last word but one, so a shard knows all that follows a context, and the shorter
+n-grams that follow from its own: one shuffle serves every order from two up. The few words that make up more than half a shard
+alone are spread by their last two context words; their bigrams are then merged once more, by the whole bigram, and the figures of
+these words as contexts are added up. A shard merges its blocks and stores sorted hash arrays (one file in the shared folder); it
+sends on, for each last word, in how many bigrams it stands, which is merged by word. Shards hold about ``SHARD_TOKENS`` tokens, so
+their number follows the corpus and a task's memory doesn't.
+
+A file has, for each order, the 40-bit fingerprints of its contexts with their numbers of followers, and the followers as 24-bit
+fingerprints with counts of one byte (larger counts stand apart). Contexts with more than ``WIDE`` followers keep 32 bits of each.
+So an n-gram takes about six bytes; with a million contexts in a shard, one that was never seen is taken for a seen one with
+probability 1e-6, and a follower for another with at most 1.5e-5.
 
 Scoring: workers memory-map the arrays and look up batches of tokens, shard by shard. What the driver holds is one row of figures
 for each shard and the spread words.
-
-Why bigrams: in the tables at hand four of five word trigrams occur once, and their counts alone would take more than the disk
-that the text takes.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder
-from .shared import bounded_batches, cut_lineage, make_dir, mapped, shared_dir, write_bytes
+from .shared import bounded_batches, cut_lineage, make_dir, mapped, read_bytes, shared_dir, write_bytes
 from .words import SPACED, blocks, mix64, pack, unpack, words_of
 
-SHARD_TOKENS, FLUSH_TOKENS, SCORE_TOKENS, WORD_SHARD = 3_000_000, 2_000_000, 1_000_000, 1_000_000
+ORDER, SHARD_TOKENS, FLUSH_TOKENS, SCORE_TOKENS, WORD_SHARD, WIDE = 3, 3_000_000, 3_000_000, 1_000_000, 1_000_000, 255
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
 
@@ -49,20 +53,40 @@ def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before
 
 
+def columns_of(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of every n-gram, oldest first: as many columns as the order."""
+    out = [tokens]
+    for _ in range(order - 1):
+        out.insert(0, contexts(out[0], lengths))
+    return out
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(mix64(a + np.uint64(0x51ED270B)) + b)
 
 
+def chain(words: list[np.ndarray]) -> np.ndarray:
+    """Hash of the words of each row; of one word, itself."""
+    out = words[0]
+    for w in words[1:]:
+        out = pair_hash(out, w)
+    return out
+
+
 def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the sums of their counts, and where each stands first."""
+    """Sorted distinct keys, the sums of their counts, and a place of each."""
     if not len(keys):
         return keys, counts.astype(np.int64), np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts[order].astype(np.int64), first), order[first]
 
 
+def _times(counts: np.ndarray) -> np.ndarray:
+    return np.array([int((counts == k).sum()) for k in (1, 2, 3, 4)])
+
+
 def _steps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
@@ -118,7 +142,15 @@ class Files:
     @staticmethod
     @lru_cache(4096)
     def open(uri: str) -> dict[str, np.ndarray]:
-        raw, out = mapped(uri, np.uint8), {}
+        return Files._arrays(mapped(uri, np.uint8))
+
+    @staticmethod
+    def read(uri: str) -> dict[str, np.ndarray]:
+        return Files._arrays(np.frombuffer(read_bytes(uri), np.uint8))
+
+    @staticmethod
+    def _arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
         for line in raw[:4096].tobytes().decode().split("\n"):
             if line:
                 name, kind, at, n = line.split()
@@ -142,33 +174,146 @@ class Discounts(NamedTuple):
 
     @classmethod
     def of(cls, n: list[int]) -> Discounts:
-        """From the numbers of n-grams seen once to four times; where one is zero, the plain steps .5, 1, 1.5."""
+        """From the numbers of n-grams seen once to four times; where one is zero, the plain steps .5, 1, 1.5. A tenth is the least, so
+        that every context leaves something to words it was not seen with."""
         if not all(n[:4]):
             return cls(0.5, 1.0, 1.5)
         y = n[0] / (n[0] + 2 * n[1])
         d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3)]
-        return cls(*(min(max(x, 0.0), k + 1.0) for k, x in enumerate(d)))
+        return cls(*(min(max(x, 0.1), k + 0.9) for k, x in enumerate(d)))
 
     def after(self, counts: np.ndarray) -> np.ndarray:
         return counts - np.where(counts == 1, self.one, np.where(counts == 2, self.two, self.more)) * (counts > 0)
 
 
+def table(name: str, ctx: np.ndarray, word: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of distinct (context, word) rows, their names beginning with ``name``."""
+    key = (ctx << np.uint64(24)) | ((word >> np.uint64(20)) & np.uint64(0xFFFFFF))
+    order = np.argsort(key)
+    key, counts = key[order], counts[order]
+    short = key >> np.uint64(24)
+    first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(short)))
+    wide = n > WIDE
+    of_wide = np.repeat(wide, n)
+    some, w, c = short[first[~wide]], key[~of_wide] & np.uint64(0xFFFFFF), counts[~of_wide]
+    out = {"hi": (some >> np.uint64(8)).astype(np.uint32), "lo": some.astype(np.uint8), "n": n[~wide].astype(np.uint8)}
+    out["starts"] = (np.cumsum(n[~wide]) - n[~wide])[::16].astype(np.uint32)
+    out |= {"w": (w >> np.uint64(8)).astype(np.uint16), "v": w.astype(np.uint8), **_bytes("c", c)}
+    which = np.repeat(np.cumsum(wide) - 1, n)[of_wide].astype(np.uint64)
+    by = np.argsort((which << np.uint64(32)) | ((word[order[of_wide]] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)))
+    full, c = ((word[order[of_wide]] >> np.uint64(16)) & np.uint64(0xFFFFFFFF))[by], counts[of_wide][by]
+    stop = np.cumsum(n[wide])
+    stats = _stats_of(c, stop - n[wide]) if len(c) else np.zeros((0, 4))
+    out |= {"wide": short[first[wide]], "wide_stop": stop.astype(np.uint32), "wide_stats": stats.astype(np.uint64).ravel(), "u": full.astype(np.uint32), **_bytes("d", c)}
+    return {f"{name}{k}": v for k, v in out.items()}
+
+
+def _stats_of(counts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sum, ones, twos and higher counts of each run."""
+    return np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
+
+
+def _bytes(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
+    large = np.flatnonzero(counts >= 255)
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}_at": large.astype(np.uint32), f"{name}_large": counts[large].astype(np.uint64)}
+
+
+def _counts_at(f: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = f[name][at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = f[f"{name}_large"][np.searchsorted(f[f"{name}_at"], at[big].astype(np.uint32))]
+    return out
+
+
+def _lower_bound(value, begin: np.ndarray, stop: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """First place from ``begin`` on, before ``stop``, whose value isn't below the one wanted; each row has its own sorted run."""
+    low, high = begin.copy(), stop.copy()
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        mid = (low[open_] + high[open_]) >> 1
+        less = value(mid) < wanted[open_]
+        low[open_[less]] = mid[less] + 1
+        high[open_[~less]] = mid[~less]
+        open_ = open_[low[open_] < high[open_]]
+    return low
+
+
+def look_up(f: dict[str, np.ndarray], name: str, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (context, word) rows, and their contexts' figures (sum, ones, twos, higher); zeros where unknown. Equal contexts
+    must stand together."""
+    f = {k[len(name) :]: v for k, v in f.items() if k.startswith(name)}
+    count, stats = np.zeros(len(ctx), np.int64), np.zeros((len(ctx), 4))
+    edge = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    back = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(ctx))))
+    short = ctx[edge] & np.uint64((1 << 40) - 1)
+    at, known = _find_short(f, short)
+    if known.any():
+        have, at = np.flatnonzero(known), at[known]
+        near = (at >> 4) << 4
+        ahead = near[:, None] + np.arange(15)
+        begin = f["starts"][at >> 4].astype(np.int64) + np.where(ahead < at[:, None], f["n"][np.minimum(ahead, len(f["n"]) - 1)], 0).sum(1, dtype=np.int64)
+        n = f["n"][at].astype(np.int64)
+        stop = begin + n
+        flat = np.repeat(stop - np.cumsum(n), n) + np.arange(n.sum())
+        per = np.zeros((len(edge), 4))
+        per[have] = _stats_of(_counts_at(f, "c", flat), np.cumsum(n) - n)
+        place = np.full(len(edge), -1)
+        place[have] = np.arange(len(have))
+        rows = np.flatnonzero(known[back])
+        stats[rows] = per[back[rows]]
+        mine = place[back[rows]]
+        fits = lambda x: (f["w"][x].astype(np.uint32) << np.uint32(8)) | f["v"][x]
+        _take(f, "c", fits, begin[mine], stop[mine], ((word[rows] >> np.uint64(20)) & np.uint64(0xFFFFFF)).astype(np.uint32), count, rows)
+    at, known = _find(f["wide"], short)
+    if known.any():
+        rows = np.flatnonzero(known[back])
+        mine = at[back[rows]]
+        stats[rows] = f["wide_stats"].reshape(-1, 4)[mine]
+        stop = f["wide_stop"].astype(np.int64)
+        begin = np.concatenate([[0], stop[:-1]])
+        _take(f, "d", lambda x: f["u"][x], begin[mine], stop[mine], ((word[rows] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), count, rows)
+    return count, stats
+
+
+def _take(f, name, value, begin, stop, wanted, count, rows) -> None:
+    at = _lower_bound(value, begin, stop, wanted)
+    inside = np.flatnonzero(at < stop)
+    inside = inside[value(at[inside]) == wanted[inside]]
+    count[rows[inside]] = _counts_at(f, name, at[inside])
+
+
+def _find_short(f: dict[str, np.ndarray], short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of 40-bit fingerprints, and whether they are there."""
+    hi, lo = (short >> np.uint64(8)).astype(np.uint32), short.astype(np.uint8)
+    keys = f["hi"]
+    if not len(keys):
+        return np.zeros(len(short), np.int64), np.zeros(len(short), bool)
+    at = np.searchsorted(keys, hi)
+    while True:
+        here = np.minimum(at, len(keys) - 1)
+        same = (at < len(keys)) & (keys[here] == hi)
+        wrong = same & (f["lo"][here] != lo)
+        if not wrong.any():
+            return here, same
+        at = at + wrong
+
+
 class Model(NamedTuple):
+    order: int
     words: list[str]
-    follows: list[str]
     seconds: list[str]
+    grams: list[str]
+    apart: list[str]
     spread: np.ndarray
     spread_stats: np.ndarray
     tokens: int
     vocabulary: int
     pairs: int
-    discounts: Discounts
-    word_discounts: Discounts
+    discounts: list[Discounts]
     word_rest: float
 
-    def shard_of(self, a: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        return _route(a, h2, self.spread, len(self.follows))
-
     def words_at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Training count of distinct sorted words, and their probability below the bigram level."""
         count, stands = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
@@ -180,46 +325,72 @@ class Model(NamedTuple):
                     at, there = _find(f["keys"], h[cut[s] : cut[s + 1]])
                     out[cut[s] : cut[s + 1]] = np.where(there, f["counts"][at], 0) if len(f["keys"]) else 0
         low = self.word_rest / (self.vocabulary + 1)
-        return count, np.maximum(self.word_discounts.after(stands), 0) / max(self.pairs, 1) + low
-
-    def probabilities(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each token b after a, and b's training count."""
-        distinct, back = np.unique(b, return_inverse=True)
+        return count, np.maximum(self.discounts[0].after(stands), 0) / max(self.pairs, 1) + low
+
+    def rows_at(self, files: list[str], shard: np.ndarray, name: str, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count, stats = np.zeros(len(ctx), np.int64), np.zeros((len(ctx), 4))
+        order = np.lexsort((ctx & np.uint64((1 << 40) - 1), shard))
+        cut = np.searchsorted(shard[order], np.arange(len(files) + 1))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            if files[s]:
+                here = order[cut[s] : cut[s + 1]]
+                count[here], stats[here] = look_up(Files.open(files[s]), name, ctx[here], word[here])
+        return count, stats
+
+    def probabilities(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each row's last word after the others, and its training count."""
+        distinct, back = np.unique(words[-1], return_inverse=True)
         count, low = self.words_at(distinct)
         count, p = count[back], low[back]
-        if not self.follows:
+        if self.order == 1 or not self.grams:
             return p, count
-        h2 = pair_hash(a, b)
-        shard = self.shard_of(a, h2)
-        order = np.lexsort((h2, shard))
-        cut = np.searchsorted(shard[order], np.arange(len(self.follows) + 1))
-        for s, uri in enumerate(self.follows):
-            if not uri or cut[s] == cut[s + 1]:
-                continue
-            here = order[cut[s] : cut[s + 1]]
-            f = Files.open(uri)
-            at, there = _find(f["keys"], h2[here])
-            c = np.where(there, f["counts"][at], 0).astype(np.int64) if len(f["keys"]) else np.zeros(len(here), np.int64)
-            big = np.flatnonzero(c == 255)
-            if len(big):
-                c[big] = f["large_counts"][_find(f["large_keys"], h2[here[big]])[0]]
-            ctx, back = np.unique(a[here], return_inverse=True)
-            stats = np.zeros((len(ctx), 4))
-            for keys, values in ((f["contexts"], f["stats"].reshape(-1, 4)), (self.spread, self.spread_stats)):
-                at, known = _find(keys, ctx)
-                if known.any():
-                    stats[known] = values[at[known]]
-            stats = stats[back]
-            total, d = stats[:, 0], self.discounts
+        at, apart = _find(self.spread, words[-2])
+        for k in range(2, self.order + 1):
+            ctx = chain(words[-k:-1])
+            c, stats = np.zeros(len(p), np.int64), np.zeros((len(p), 4))
+            rows = np.flatnonzero(~apart) if k == 2 else np.arange(len(p))
+            c[rows], stats[rows] = self.rows_at(self.grams, _route([w[rows] for w in words], self.spread, len(self.grams)), f"{k}.", ctx[rows], words[-1][rows])
+            if k == 2 and apart.any():
+                rows = np.flatnonzero(apart)
+                c[rows], _ = self.rows_at(self.apart, _whole_route(words[-2][rows], words[-1][rows], len(self.apart)), "2.", ctx[rows], words[-1][rows])
+                stats[rows] = self.spread_stats[at[rows]]
+            d, total = self.discounts[k - 1], stats[:, 0]
             rest = stats[:, 1] * d.one + stats[:, 2] * d.two + stats[:, 3] * d.more
             some = np.maximum(total, 1)
-            p[here] = np.where(total > 0, np.maximum(d.after(c), 0) / some + rest / some * p[here], p[here])
+            p = np.where(total > 0, np.maximum(d.after(c), 0) / some + rest / some * p, p)
         return p, count
 
 
-def _route(a: np.ndarray, h2: np.ndarray, spread: np.ndarray, shards: int) -> np.ndarray:
-    apart = _find(spread, a)[1]
-    return (np.where(apart, h2, mix64(a)) % np.uint64(shards)).astype(np.int64)
+def _route(words: list[np.ndarray], spread: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each n-gram: by its last word but one or, where that is spread, by its last two context words."""
+    last = words[-2]
+    out = mix64(last)
+    apart = np.flatnonzero(_find(spread, last)[1])
+    if len(apart):
+        out[apart] = mix64(chain([w[apart] for w in (words[-3:-1] if len(words) > 2 else words)]) + np.uint64(1))
+    return (out % np.uint64(shards)).astype(np.int64)
+
+
+def _whole_route(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
+    return (mix64(pair_hash(a, b) + np.uint64(2)) % np.uint64(shards)).astype(np.int64)
+
+
+def _pack_rows(words: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Rows of words with counts: a dictionary, and codes sorted by the last context word, which is told in runs."""
+    columns = [words[-2], *reversed(words[:-2]), words[-1]]
+    names, codes = np.unique(np.concatenate(columns), return_inverse=True)
+    codes = codes.reshape(len(columns), -1)
+    order = np.argsort(codes[0] * len(names) + codes[1])
+    runs = np.bincount(codes[0], minlength=len(names))
+    kind = np.uint32 if len(names) > 65535 else np.uint16
+    return encode(_steps(names), _small(runs), *[c[order].astype(kind) for c in codes[1:]], _small(counts[order]))
+
+
+def _unpack_rows(body: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    steps, runs, *codes, counts = decode(body)
+    names = np.cumsum(steps, dtype=np.uint64)
+    columns = [np.repeat(names, runs), *[names[c] for c in codes]]
+    return [*reversed(columns[1:-1]), columns[0], columns[-1]], counts.astype(np.int64)
 
 
 def _flushed(batches, column: int, limit: int):
@@ -237,7 +408,40 @@ def _flushed(batches, column: int, limit: int):
         yield np.concatenate(tokens), np.concatenate(lengths)
 
 
-def train(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Model:
+def _merged_rows(batches):
+    """(shard, words, counts) of packed rows, in order of shards; the blocks of a shard follow each other, equal rows are summed
+    before they grow too many."""
+    shard, parts, n = None, [], 0
+
+    def total():
+        words, counts = [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts])
+        _, counts, at = _sum_by(chain(words), counts)
+        return [w[at] for w in words], counts
+
+    for batch in batches:
+        for s, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if s != shard and parts:
+                yield shard, *total()
+                parts, n = [], 0
+            shard = s
+            parts.append(_unpack_rows(body.as_py()))
+            n += len(parts[-1][1])
+            if n > 2 * SHARD_TOKENS:
+                parts = [total()]
+                n = len(parts[0][1]) // 2
+    if parts:
+        yield shard, *total()
+
+
+ROW = "kind string, shard int, body binary, uri string, times array<long>"
+
+
+def _row(kind: str, shard: int, body: bytes = b"", uri: str = "", times=()) -> pa.RecordBatch:
+    columns = [pa.array([kind]), pa.array([shard], pa.int32()), pa.array([body], pa.binary()), pa.array([uri]), pa.array([list(map(int, times))], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ROW.split(", ")])
+
+
+def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Model:
     """docs: (text). An empty table gives a model in which every word is unknown."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "model")
@@ -274,100 +478,114 @@ def train(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Model:
         for shard, keys, counts in merged(batches):
             uri = f"{folder}/words-{shard}-{uuid.uuid4().hex}"
             Files.write(uri, {"keys": keys, "counts": _small(counts)})
-            top = np.argsort(-counts)[:1024]
-            times = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([times], pa.list_(pa.int64())), pa.array([encode(keys[top], counts[top])], pa.binary())], ["shard", "uri", "n", "total", "times", "top"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([_times(counts).tolist()], pa.list_(pa.int64()))], ["shard", "uri", "n", "total", "times"])
 
     def by_shard(rows: DataFrame, shards: int) -> DataFrame:
-        return rows.repartition(min(shards, max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("shard")
+        """One task for about every shard, or a few shards a task where there are many."""
+        tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8)
+        return rows.repartition(min(shards, tasks), "shard").sortWithinPartitions("shard")
 
-    word_row = "shard int, uri string, n long, total long, times array<long>, top binary"
-    words = cut_lineage(by_shard(docs.mapInArrow(count_words, "shard int, body binary"), word_shards).mapInArrow(store_words, word_row)).collect()
+    word_row = "shard int, uri string, n long, total long, times array<long>"
+    stored = cut_lineage(by_shard(docs.mapInArrow(count_words, "shard int, body binary"), word_shards).mapInArrow(store_words, word_row))
+    words = stored.collect()
     total = sum(r["total"] for r in words)
     vocabulary = sum(r["n"] for r in words)
+    uris = lambda rows, shards: [{r["shard"]: r["uri"] for r in rows}.get(s, "") for s in range(shards)]
+    if order == 1 or not total:
+        times = np.sum([r["times"] for r in words], axis=0).tolist() if words else [0] * 4
+        return Model(order, uris(words, word_shards), uris(words, word_shards), [], [], np.zeros(0, np.uint64), np.zeros((0, 4)), total, vocabulary, total, [Discounts.of(times)], _rest(Discounts.of(times), times, vocabulary, total))
     shards = max(1, -(-total // shard_tokens))
-    spread = []
-    for r in words:
-        keys, counts = decode(r["top"])
-        spread.append(keys[counts > total / (2 * shards)])
-    spread = np.sort(np.concatenate([*spread, np.array([BEGIN], np.uint64)])) if shards > 1 else np.zeros(0, np.uint64)
-
-    def count_pairs(batches):
-        for b, lengths in _flushed(batches, 0, FLUSH_TOKENS):
-            a = contexts(b, lengths)
-            h2, counts, first = _sum_by(pair_hash(a, b), np.ones(len(b), np.uint8))
-            a, b = a[first], b[first]
-
-            def body(i, a=a, b=b, counts=counts):
-                ua, at_a = np.unique(a[i], return_inverse=True)
-                order = np.argsort(at_a, kind="stable")
-                ub, at_b = np.unique(b[i], return_inverse=True)
-                return encode(_steps(ua), _small(np.bincount(at_a)), _steps(ub), at_b[order].astype(np.uint32 if len(ub) > 65535 else np.uint16), _small(counts[i][order]))
-
-            yield _blocks_by(_route(a, h2, spread, shards), shards, body)
-
-    def store_pairs(batches):
-        shard, parts = None, []
-
-        def close():
-            a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            keys, counts, first = _sum_by(pair_hash(a, b), c)
-            a, b = a[first], b[first]
-            times = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            stats = []
-            for value in (counts, counts == 1, counts == 2, counts > 2):
-                ctx, n, _ = _sum_by(a, value.astype(np.int64))
-                stats.append(n)
-            stats = np.stack(stats, axis=1)
-            apart = _find(spread, ctx)[1]
-            uri = f"{folder}/pairs-{shard}-{uuid.uuid4().hex}"
-            large = counts >= 255
-            Files.write(uri, {"keys": keys, "large_keys": keys[large], "large_counts": counts[large], "contexts": ctx[~apart], "stats": stats[~apart].astype(np.uint32 if stats.max() < 1 << 32 else np.uint64).ravel(), "counts": np.minimum(counts, 255).astype(np.uint8)})
-            yield uri, len(keys), times, ctx[apart], stats[apart], *np.unique(b, return_counts=True)
-
-        def rows():
-            for uri, n, times, ctx, stats, seconds, stands in close():
-                at = word_shard(seconds, word_shards)
-                sent = _blocks_by(at, word_shards, lambda i: encode(_steps(seconds[i]), _small(stands[i])))
-                m = len(sent)
-                first = pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int32()), pa.array([encode(ctx, stats.ravel())], pa.binary()), pa.array([uri]), pa.array([n], pa.int64()), pa.array([times], pa.list_(pa.int64()))], ["shard", "body", "uri", "n", "times"])
-                yield first
-                yield pa.RecordBatch.from_arrays([sent.column(0), sent.column(1), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))], ["shard", "body", "uri", "n", "times"])
-
-        for batch in batches:
-            for s, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if s != shard and parts:
-                    yield from rows()
-                    parts.clear()
-                shard = s
-                ua, runs, ub, at_b, c = decode(block.as_py())
-                parts.append((np.repeat(np.cumsum(ua, dtype=np.uint64), runs), np.cumsum(ub, dtype=np.uint64)[at_b], c.astype(np.uint32)))
-        if parts:
-            yield from rows()
-
-    pair_row = "shard int, body binary, uri string, n long, times array<long>"
-    pairs = cut_lineage(by_shard(docs.mapInArrow(count_pairs, "shard int, body binary"), shards).mapInArrow(store_pairs, pair_row))
-    figures = pairs.filter("shard < 0").collect()
-    seconds = cut_lineage(by_shard(pairs.filter("shard >= 0").select("shard", "body"), word_shards).mapInArrow(store_words, word_row)).collect()
-
-    follows = [""] * shards
-    apart: dict[int, np.ndarray] = {}
-    times, n_pairs = np.zeros(4, np.int64), 0
-    for r in figures:
-        follows[-1 - r["shard"]] = r["uri"]
-        times += np.array(r["times"])
-        n_pairs += r["n"]
-        ctx, stats = decode(r["body"])
-        for k, x in zip(ctx.tolist(), stats.reshape(-1, 4), strict=True):
-            apart[k] = apart.get(k, 0) + x
-    uris = lambda rows: [next((r["uri"] for r in rows if r["shard"] == s), "") for s in range(word_shards)]
-    second_times = np.sum([r["times"] for r in seconds], axis=0).tolist() if seconds else [0] * 4
-    d1 = Discounts.of(second_times)
-    n_seconds = sum(r["n"] for r in seconds)
-    rest = (d1.one * second_times[0] + d1.two * second_times[1] + d1.more * (n_seconds - second_times[0] - second_times[1])) / n_pairs if n_pairs else 1.0
-    spread = np.array(sorted(apart), np.uint64)
-    stats = np.array([apart[k] for k in sorted(apart)], float).reshape(-1, 4)
-    return Model(uris(words), follows if n_pairs else [], uris(seconds), spread, stats, total, vocabulary, n_pairs, Discounts.of(times.tolist()), d1, rest)
+    floor = total / (2 * shards)
+
+    def hot_words(batches):
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                f = Files.read(uri)
+                yield pa.RecordBatch.from_arrays([pa.array(f["keys"][f["counts"] > floor].view(np.int64))], ["word"])
+
+    spread = np.zeros(0, np.uint64)
+    if shards > 1:
+        hot = [r[0] for r in stored.select("uri").repartition(len(words), "uri").mapInArrow(hot_words, "word long").collect()]
+        spread = np.unique(np.append(np.array(hot, np.int64).view(np.uint64), BEGIN))
+
+    def count_rows(batches):
+        for tokens, lengths in _flushed(batches, 0, FLUSH_TOKENS):
+            columns = columns_of(tokens, lengths, order)
+            _, counts, at = _sum_by(chain(columns), np.ones(len(tokens), np.uint8))
+            columns = [c[at] for c in columns]
+            yield _blocks_by(_route(columns, spread, shards), shards, lambda i, columns=columns, counts=counts: _pack_rows([c[i] for c in columns], counts[i]))
+
+    def sent(kind, shard, count, body):
+        for b in _blocks_by(shard, count, body).to_pylist():
+            yield _row(kind, b["shard"], b["body"])
+
+    def seconds_of(c):
+        keys, stands = np.unique(c, return_counts=True)
+        return sent("second", word_shard(keys, word_shards), word_shards, lambda i: encode(_steps(keys[i]), _small(stands[i])))
+
+    def store_rows(batches):
+        for shard, columns, counts in _merged_rows(batches):
+            arrays, times = {}, np.zeros((order + 1, 4), np.int64)
+            while len(columns) > 1:
+                k = len(columns)
+                if k == 2:
+                    apart = _find(spread, columns[0])[1]
+                    a, b, some = columns[0][apart], columns[1][apart], counts[apart]
+                    yield from sent("apart", _whole_route(a, b, shards), shards, lambda i, a=a, b=b, some=some: _pack_rows([a[i], b[i]], some[i]))
+                    columns, counts = [c[~apart] for c in columns], counts[~apart]
+                    yield from seconds_of(columns[1])
+                times[k] = _times(counts)
+                arrays |= table(f"{k}.", chain(columns[:-1]), columns[-1], counts)
+                columns = columns[1:]
+                if k > 2:
+                    _, counts, at = _sum_by(chain(columns), np.ones(len(counts), np.uint8))
+                    columns = [c[at] for c in columns]
+            uri = f"{folder}/grams-{shard}-{uuid.uuid4().hex}"
+            Files.write(uri, arrays)
+            yield _row("grams", shard, b"", uri, times.ravel())
+
+    def store_apart(batches):
+        for shard, (a, b), counts in _merged_rows(batches):
+            times = np.zeros((order + 1, 4), np.int64)
+            times[2] = _times(counts)
+            yield from seconds_of(b)
+            uri = f"{folder}/apart-{shard}-{uuid.uuid4().hex}"
+            Files.write(uri, table("2.", a, b, counts))
+            by = np.argsort(a, kind="stable")
+            keys, first = np.unique(a[by], return_index=True)
+            yield _row("rows", shard, encode(keys, _stats_of(counts[by], first).ravel()), uri, times.ravel())
+
+    def add_up(batches):
+        """Figures of the spread words as contexts, one block for all shards of a task."""
+        keys, stats = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
+        for b in batches:
+            for body in b.column(0):
+                k, x = decode(body.as_py())
+                keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
+                both, stats = np.concatenate([stats, x.reshape(-1, 4).astype(np.int64)]), np.zeros((len(keys), 4), np.int64)
+                np.add.at(stats, back, both)
+        yield pa.RecordBatch.from_arrays([pa.array([encode(keys, stats.ravel())], pa.binary())], ["body"])
+
+    rows = cut_lineage(by_shard(docs.mapInArrow(count_rows, "shard int, body binary"), shards).mapInArrow(store_rows, ROW))
+    more = cut_lineage(by_shard(rows.filter("kind = 'apart'").select("shard", "body"), shards).mapInArrow(store_apart, ROW))
+    second_blocks = rows.unionByName(more).filter("kind = 'second'").select("shard", "body")
+    seconds = cut_lineage(by_shard(second_blocks, word_shards).mapInArrow(store_words, word_row)).collect()
+    grams, apart = (f.filter(F.col("kind") == k).select("shard", "uri", "times").collect() for f, k in ((rows, "grams"), (more, "rows")))
+    context_sums = [decode(r[0]) for r in more.filter("kind = 'rows'").select("body").coalesce(8).mapInArrow(add_up, "body binary").collect()]
+    spread_stats = np.zeros((len(spread), 4))
+    for keys, stats in context_sums:
+        spread_stats[np.searchsorted(spread, keys)] += stats.reshape(-1, 4)
+
+    times = np.sum([r["times"] for r in [*grams, *apart]], axis=0).reshape(-1, 4)
+    second_times = np.sum([r["times"] for r in seconds], axis=0).tolist()
+    pairs, kinds = sum(r["total"] for r in seconds), sum(r["n"] for r in seconds)
+    discounts = [Discounts.of(second_times), *[Discounts.of(times[k].tolist()) for k in range(2, order + 1)]]
+    return Model(order, uris(words, word_shards), uris(seconds, word_shards), uris(grams, shards), uris(apart, shards), spread, spread_stats, total, vocabulary, pairs, discounts, _rest(discounts[0], second_times, kinds, pairs))
+
+
+def _rest(d: Discounts, times: list[int], kinds: int, total: int) -> float:
+    """Share of the lowest level that discounts set free."""
+    return (d.one * times[0] + d.two * times[1] + d.more * (kinds - times[0] - times[1])) / total if total else 1.0
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -384,7 +602,7 @@ def score_with(docs: DataFrame, model: Model, held_out) -> DataFrame:
 
         def flush():
             tokens, lengths = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-            p, count = m.probabilities(contexts(tokens, lengths), tokens)
+            p, count = m.probabilities(columns_of(tokens, lengths, m.order))
             at = np.cumsum(lengths) - lengths
             per = lambda x: np.add.reduceat(x, at)
             columns = [pa.concat_arrays([w[2] for w in waiting]), pa.concat_arrays([w[3] for w in waiting]), pa.array(lengths, pa.int64()), pa.array(per((count > 0).astype(np.int64))), pa.array(np.full(len(lengths), m.tokens, np.int64)), pa.array(per(np.log10((count + 1) / floor))), pa.array(per(np.log10(p)))]
@@ -407,8 +625,8 @@ def score_with(docs: DataFrame, model: Model, held_out) -> DataFrame:
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER) -> DataFrame:
     """Score all documents by a model of those whose id's crc32 modulo ``folds`` isn't ``fold``. Null and empty texts are one end.
     Repeated documents count and are scored each. Other columns of ``docs`` are not looked at."""
     held_out = remainder(F.col("doc_id"), folds) == fold
-    return score_with(docs, train(docs.filter(~held_out)), held_out)
+    return score_with(docs, train(docs.filter(~held_out), order), held_out)
