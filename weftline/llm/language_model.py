@@ -1,17 +1,18 @@
-"""LM scoring with an interpolated modified Kneser-Ney model over hashed words, of any order (three by default).
-
-Counting: tasks turn texts into 64-bit word hashes, count within some million tokens, and send blocks of counts to shards. Words are
-sharded by their hash. An n-gram is sharded by its last word but one, so a shard knows all that follows a context, and the shorter
-n-grams that follow from its own: one shuffle serves every order from two up. The few words that make up more than half a shard
-alone are spread by their last two context words; their bigrams are then merged once more, by the whole bigram, and the figures of
-these words as contexts are added up. A shard merges its blocks and stores sorted hash arrays (one file in the shared folder); it
-sends on, for each last word, in how many bigrams it stands, which is merged by word. Shards hold about ``SHARD_TOKENS`` tokens, so
-their number follows the corpus and a task's memory doesn't.
-
-A file has, for each order, the 40-bit fingerprints of its contexts with their numbers of followers, and the followers as 24-bit
-fingerprints with counts of one byte (larger counts stand apart). Contexts with more than ``WIDE`` followers keep 32 bits of each.
-So an n-gram takes about six bytes; with a million contexts in a shard, one that was never seen is taken for a seen one with
-probability 1e-6, and a follower for another with at most 1.5e-5.
+"""LM scoring with an interpolated modified Kneser-Ney model of any order (three by default).
+
+Counting: tasks turn texts into 64-bit word hashes, count within some million tokens, and send blocks of counts to shards by ranges
+of hashes. A word's number is its rank in these stored sorted arrays; from here on n-grams are made of numbers. An n-gram is sharded
+by its last word but one, so a shard knows all that follows a context, and the shorter n-grams that follow from its own: one shuffle
+serves every order from two up. The few words that make up more than half a shard alone are spread by their last two context words;
+their bigrams are then merged once more, by the whole bigram, and the figures of these words as contexts are added up. A shard
+merges its blocks and stores sorted hash arrays (one file in the shared folder); it sends on, for each last word, in how many
+bigrams it stands, which is merged by word. Shards hold about ``SHARD_TOKENS`` tokens, so their number follows the corpus and a
+task's memory doesn't.
+
+A file has, for each order, the 40-bit fingerprints of its contexts with their numbers of followers, and the followers as the low 24
+bits of their numbers (so exact below 16 million words) with counts of one byte (larger counts stand apart). Contexts with more than
+``WIDE`` followers keep 32 bits of each. So an n-gram takes about six bytes; with a million contexts in a shard, one that was never
+seen is taken for a seen one with probability 1e-6.
 
 Scoring: workers memory-map the arrays and look up batches of tokens, shard by shard. What the driver holds is one row of figures
 for each shard and the spread words.
@@ -34,8 +35,8 @@ from .common import remainder
 from .shared import bounded_batches, cut_lineage, make_dir, mapped, read_bytes, shared_dir, write_bytes
 from .words import SPACED, blocks, mix64, pack, unpack, words_of
 
-ORDER, SHARD_TOKENS, FLUSH_TOKENS, SCORE_TOKENS, WORD_SHARD, WIDE = 3, 3_000_000, 3_000_000, 1_000_000, 1_000_000, 255
-BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
+ORDER, SHARD_TOKENS, FLUSH_TOKENS, SCORE_TOKENS, WORD_SHARD, WIDE = 3, 3_000_000, 2_000_000, 1_000_000, 1_000_000, 255
+END = np.uint64(0xFEDCBA9876543210)
 
 
 def tokens_of(texts: pa.Array):
@@ -45,31 +46,25 @@ def tokens_of(texts: pa.Array):
         yield np.insert(w.hashes, w.first[1:], END), np.diff(w.first) + 1
 
 
-def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The token before each token; BEGIN at the start of a text."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(lengths) - lengths] = BEGIN
-    return before
-
-
-def columns_of(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
-    """The words of every n-gram, oldest first: as many columns as the order."""
-    out = [tokens]
+def columns_of(words: np.ndarray, lengths: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
+    """The words of every n-gram, oldest first: as many columns as the order. ``begin`` stands before a text's first word."""
+    out, starts = [words], np.cumsum(lengths) - lengths
     for _ in range(order - 1):
-        out.insert(0, contexts(out[0], lengths))
+        before = np.empty_like(words)
+        before[1:] = out[0][:-1]
+        before[starts] = begin
+        out.insert(0, before)
     return out
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(mix64(a + np.uint64(0x51ED270B)) + b)
-
-
 def chain(words: list[np.ndarray]) -> np.ndarray:
-    """Hash of the words of each row; of one word, itself."""
-    out = words[0]
-    for w in words[1:]:
-        out = pair_hash(out, w)
+    """Hash of the words of each row."""
+    out = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        out += np.uint64(0x51ED270B)
+        out = mix64(out)
+        out += w
+        out = mix64(out)
     return out
 
 
@@ -88,7 +83,11 @@ def _times(counts: np.ndarray) -> np.ndarray:
 
 
 def _steps(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_keys, prepend=np.uint64(0))
+    return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
+
+
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(np.uint32 if not len(numbers) or int(numbers.max()) < 1 << 32 else np.uint64)
 
 
 _COMPRESS, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -188,7 +187,8 @@ class Discounts(NamedTuple):
 
 def table(name: str, ctx: np.ndarray, word: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Arrays of distinct (context, word) rows, their names beginning with ``name``."""
-    key = (ctx << np.uint64(24)) | ((word >> np.uint64(20)) & np.uint64(0xFFFFFF))
+    word = word.astype(np.uint64)
+    key = (ctx << np.uint64(24)) | (word & np.uint64(0xFFFFFF))
     order = np.argsort(key)
     key, counts = key[order], counts[order]
     short = key >> np.uint64(24)
@@ -201,8 +201,9 @@ def table(name: str, ctx: np.ndarray, word: np.ndarray, counts: np.ndarray) -> d
     out["starts"] = (np.cumsum(n[~wide]) - n[~wide])[::16].astype(np.uint32)
     out |= {"w": (w >> np.uint64(8)).astype(np.uint16), "v": w.astype(np.uint8), **_bytes("c", c)}
     which = np.repeat(np.cumsum(wide) - 1, n)[of_wide].astype(np.uint64)
-    by = np.argsort((which << np.uint64(32)) | ((word[order[of_wide]] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)))
-    full, c = ((word[order[of_wide]] >> np.uint64(16)) & np.uint64(0xFFFFFFFF))[by], counts[of_wide][by]
+    full = word[order[of_wide]] & np.uint64(0xFFFFFFFF)
+    by = np.argsort((which << np.uint64(32)) | full)
+    full, c = full[by], counts[of_wide][by]
     stop = np.cumsum(n[wide])
     stats = _stats_of(c, stop - n[wide]) if len(c) else np.zeros((0, 4))
     out |= {"wide": short[first[wide]], "wide_stop": stop.astype(np.uint32), "wide_stats": stats.astype(np.uint64).ravel(), "u": full.astype(np.uint32), **_bytes("d", c)}
@@ -265,7 +266,7 @@ def look_up(f: dict[str, np.ndarray], name: str, ctx: np.ndarray, word: np.ndarr
         stats[rows] = per[back[rows]]
         mine = place[back[rows]]
         fits = lambda x: (f["w"][x].astype(np.uint32) << np.uint32(8)) | f["v"][x]
-        _take(f, "c", fits, begin[mine], stop[mine], ((word[rows] >> np.uint64(20)) & np.uint64(0xFFFFFF)).astype(np.uint32), count, rows)
+        _take(f, "c", fits, begin[mine], stop[mine], (word[rows] & 0xFFFFFF).astype(np.uint32), count, rows)
     at, known = _find(f["wide"], short)
     if known.any():
         rows = np.flatnonzero(known[back])
@@ -273,7 +274,7 @@ def look_up(f: dict[str, np.ndarray], name: str, ctx: np.ndarray, word: np.ndarr
         stats[rows] = f["wide_stats"].reshape(-1, 4)[mine]
         stop = f["wide_stop"].astype(np.int64)
         begin = np.concatenate([[0], stop[:-1]])
-        _take(f, "d", lambda x: f["u"][x], begin[mine], stop[mine], ((word[rows] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), count, rows)
+        _take(f, "d", lambda x: f["u"][x], begin[mine], stop[mine], (word[rows] & 0xFFFFFFFF).astype(np.uint32), count, rows)
     return count, stats
 
 
@@ -300,32 +301,59 @@ def _find_short(f: dict[str, np.ndarray], short: np.ndarray) -> tuple[np.ndarray
         at = at + wrong
 
 
+class Vocabulary(NamedTuple):
+    """Files of words by ranges of hashes; a word's number is that of its file's first word plus its place. 0 is an unknown word,
+    one above the last is the begin of a text."""
+
+    files: list[str]
+    first: np.ndarray
+
+    @property
+    def begin(self) -> int:
+        return int(self.first[-1])
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and training counts of distinct sorted hashes."""
+        number, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        cut = np.searchsorted(word_shard(h, len(self.files)), np.arange(len(self.files) + 1))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            if self.files[s]:
+                f, here = Files.open(self.files[s]), slice(cut[s], cut[s + 1])
+                at, there = _find(f["keys"], h[here])
+                number[here], count[here] = np.where(there, self.first[s] + at, 0), np.where(there, f["counts"][at], 0)
+        return number, count
+
+
 class Model(NamedTuple):
     order: int
-    words: list[str]
+    words: Vocabulary
     seconds: list[str]
     grams: list[str]
     apart: list[str]
     spread: np.ndarray
     spread_stats: np.ndarray
     tokens: int
-    vocabulary: int
     pairs: int
     discounts: list[Discounts]
     word_rest: float
 
-    def words_at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training count of distinct sorted words, and their probability below the bigram level."""
-        count, stands = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        for files, out in ((self.words, count), (self.seconds, stands)):
-            cut = np.searchsorted(word_shard(h, len(files)), np.arange(len(files) + 1)) if files else [0]
-            for s, uri in enumerate(files):
-                if uri and cut[s] < cut[s + 1]:
-                    f = Files.open(uri)
-                    at, there = _find(f["keys"], h[cut[s] : cut[s + 1]])
-                    out[cut[s] : cut[s + 1]] = np.where(there, f["counts"][at], 0) if len(f["keys"]) else 0
-        low = self.word_rest / (self.vocabulary + 1)
-        return count, np.maximum(self.discounts[0].after(stands), 0) / max(self.pairs, 1) + low
+    @property
+    def vocabulary(self) -> int:
+        return self.words.begin - 1
+
+    def words_at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and training counts of distinct sorted hashes, and their probability below the bigram level."""
+        number, count = self.words.find(h)
+        stands = count
+        if self.order > 1:
+            stands = np.zeros(len(h), np.int64)
+            known = np.flatnonzero(number)
+            shard = np.searchsorted(self.words.first, number[known], "right") - 1
+            for s in np.unique(shard).tolist():
+                here = known[shard == s]
+                if self.seconds[s]:
+                    stands[here] = Files.open(self.seconds[s])["counts"][number[here] - self.words.first[s]]
+        return number, count, np.maximum(self.discounts[0].after(stands), 0) / max(self.pairs, 1) + self.word_rest / (self.vocabulary + 1)
 
     def rows_at(self, files: list[str], shard: np.ndarray, name: str, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, stats = np.zeros(len(ctx), np.int64), np.zeros((len(ctx), 4))
@@ -337,13 +365,14 @@ class Model(NamedTuple):
                 count[here], stats[here] = look_up(Files.open(files[s]), name, ctx[here], word[here])
         return count, stats
 
-    def probabilities(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each row's last word after the others, and its training count."""
-        distinct, back = np.unique(words[-1], return_inverse=True)
-        count, low = self.words_at(distinct)
-        count, p = count[back], low[back]
+    def probabilities(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each token of texts after those before it, and its training count."""
+        distinct, back = np.unique(tokens, return_inverse=True)
+        number, count, p = self.words_at(distinct)
+        count, p = count[back], p[back]
         if self.order == 1 or not self.grams:
             return p, count
+        words = columns_of(number.astype(np.uint64)[back], lengths, self.order, self.words.begin)
         at, apart = _find(self.spread, words[-2])
         for k in range(2, self.order + 1):
             ctx = chain(words[-k:-1])
@@ -364,7 +393,7 @@ class Model(NamedTuple):
 def _route(words: list[np.ndarray], spread: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each n-gram: by its last word but one or, where that is spread, by its last two context words."""
     last = words[-2]
-    out = mix64(last)
+    out = mix64(last.astype(np.uint64))
     apart = np.flatnonzero(_find(spread, last)[1])
     if len(apart):
         out[apart] = mix64(chain([w[apart] for w in (words[-3:-1] if len(words) > 2 else words)]) + np.uint64(1))
@@ -372,7 +401,7 @@ def _route(words: list[np.ndarray], spread: np.ndarray, shards: int) -> np.ndarr
 
 
 def _whole_route(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(pair_hash(a, b) + np.uint64(2)) % np.uint64(shards)).astype(np.int64)
+    return (mix64(chain([a, b]) + np.uint64(2)) % np.uint64(shards)).astype(np.int64)
 
 
 def _pack_rows(words: list[np.ndarray], counts: np.ndarray) -> bytes:
@@ -383,14 +412,14 @@ def _pack_rows(words: list[np.ndarray], counts: np.ndarray) -> bytes:
     order = np.argsort(codes[0] * len(names) + codes[1])
     runs = np.bincount(codes[0], minlength=len(names))
     kind = np.uint32 if len(names) > 65535 else np.uint16
-    return encode(_steps(names), _small(runs), *[c[order].astype(kind) for c in codes[1:]], _small(counts[order]))
+    return encode(_narrow(_steps(names)), _small(runs), *[c[order].astype(kind) for c in codes[1:]], _small(counts[order]))
 
 
 def _unpack_rows(body: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     steps, runs, *codes, counts = decode(body)
-    names = np.cumsum(steps, dtype=np.uint64)
+    names = _narrow(np.cumsum(steps, dtype=np.uint64))
     columns = [np.repeat(names, runs), *[names[c] for c in codes]]
-    return [*reversed(columns[1:-1]), columns[0], columns[-1]], counts.astype(np.int64)
+    return [*reversed(columns[1:-1]), columns[0], columns[-1]], counts
 
 
 def _flushed(batches, column: int, limit: int):
@@ -415,19 +444,20 @@ def _merged_rows(batches):
 
     def total():
         words, counts = [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts])
+        parts.clear()
         _, counts, at = _sum_by(chain(words), counts)
-        return [w[at] for w in words], counts
+        return [w[at] for w in words], _narrow(counts)
 
     for batch in batches:
         for s, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if s != shard and parts:
                 yield shard, *total()
-                parts, n = [], 0
+                n = 0
             shard = s
             parts.append(_unpack_rows(body.as_py()))
             n += len(parts[-1][1])
             if n > 2 * SHARD_TOKENS:
-                parts = [total()]
+                parts.append(total())
                 n = len(parts[0][1]) // 2
     if parts:
         yield shard, *total()
@@ -478,41 +508,61 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
         for shard, keys, counts in merged(batches):
             uri = f"{folder}/words-{shard}-{uuid.uuid4().hex}"
             Files.write(uri, {"keys": keys, "counts": _small(counts)})
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([_times(counts).tolist()], pa.list_(pa.int64()))], ["shard", "uri", "n", "total", "times"])
+            yield _figures(shard, uri, counts)
 
     def by_shard(rows: DataFrame, shards: int) -> DataFrame:
         """One task for about every shard, or a few shards a task where there are many."""
         tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8)
         return rows.repartition(min(shards, tasks), "shard").sortWithinPartitions("shard")
 
+    def store_seconds(batches):
+        for shard, keys, counts in merged(batches):
+            dense = np.zeros(int(first[shard + 1] - first[shard]), np.int64)
+            dense[keys.astype(np.int64) - first[shard]] = counts
+            uri = f"{folder}/seconds-{shard}-{uuid.uuid4().hex}"
+            Files.write(uri, {"counts": _small(dense)})
+            yield _figures(shard, uri, counts)
+
+    def _figures(shard, uri, counts):
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(counts)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([_times(counts).tolist()], pa.list_(pa.int64()))], ["shard", "uri", "n", "total", "times"])
+
     word_row = "shard int, uri string, n long, total long, times array<long>"
     stored = cut_lineage(by_shard(docs.mapInArrow(count_words, "shard int, body binary"), word_shards).mapInArrow(store_words, word_row))
-    words = stored.collect()
-    total = sum(r["total"] for r in words)
-    vocabulary = sum(r["n"] for r in words)
+    figures = stored.collect()
+    total = sum(r["total"] for r in figures)
     uris = lambda rows, shards: [{r["shard"]: r["uri"] for r in rows}.get(s, "") for s in range(shards)]
+    sizes = np.zeros(word_shards, np.int64)
+    for r in figures:
+        sizes[r["shard"]] = r["n"]
+    first = np.cumsum(np.concatenate([[1], sizes]))
+    words = Vocabulary(uris(figures, word_shards), first)
+    none = np.zeros(0, np.uint64)
     if order == 1 or not total:
-        times = np.sum([r["times"] for r in words], axis=0).tolist() if words else [0] * 4
-        return Model(order, uris(words, word_shards), uris(words, word_shards), [], [], np.zeros(0, np.uint64), np.zeros((0, 4)), total, vocabulary, total, [Discounts.of(times)], _rest(Discounts.of(times), times, vocabulary, total))
+        times = np.sum([r["times"] for r in figures], axis=0).tolist() if figures else [0] * 4
+        d = Discounts.of(times)
+        return Model(order, words, [""] * word_shards, [], [], none, np.zeros((0, 4)), total, total, [d], _rest(d, times, words.begin - 1, total))
     shards = max(1, -(-total // shard_tokens))
     floor = total / (2 * shards)
 
     def hot_words(batches):
         for b in batches:
-            for uri in b.column(0).to_pylist():
-                f = Files.read(uri)
-                yield pa.RecordBatch.from_arrays([pa.array(f["keys"][f["counts"] > floor].view(np.int64))], ["word"])
+            for shard, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = np.flatnonzero(Files.read(uri)["counts"] > floor)
+                yield pa.RecordBatch.from_arrays([pa.array(first[shard] + at)], ["word"])
 
-    spread = np.zeros(0, np.uint64)
+    spread = none
     if shards > 1:
-        hot = [r[0] for r in stored.select("uri").repartition(len(words), "uri").mapInArrow(hot_words, "word long").collect()]
-        spread = np.unique(np.append(np.array(hot, np.int64).view(np.uint64), BEGIN))
+        hot = [r[0] for r in stored.select("shard", "uri").repartition(len(figures), "uri").mapInArrow(hot_words, "word long").collect()]
+        spread = np.array(sorted([*hot, words.begin]), np.uint64)
 
     def count_rows(batches):
         for tokens, lengths in _flushed(batches, 0, FLUSH_TOKENS):
-            columns = columns_of(tokens, lengths, order)
-            _, counts, at = _sum_by(chain(columns), np.ones(len(tokens), np.uint8))
-            columns = [c[at] for c in columns]
+            distinct, back = np.unique(tokens, return_inverse=True)
+            n = len(tokens)
+            del tokens
+            columns = columns_of(_narrow(np.append(words.find(distinct)[0], words.begin))[back], lengths, order, words.begin)
+            _, counts, at = _sum_by(chain(columns), np.ones(n, np.uint8))
+            columns, counts = [c[at] for c in columns], _small(counts)
             yield _blocks_by(_route(columns, spread, shards), shards, lambda i, columns=columns, counts=counts: _pack_rows([c[i] for c in columns], counts[i]))
 
     def sent(kind, shard, count, body):
@@ -521,7 +571,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
 
     def seconds_of(c):
         keys, stands = np.unique(c, return_counts=True)
-        return sent("second", word_shard(keys, word_shards), word_shards, lambda i: encode(_steps(keys[i]), _small(stands[i])))
+        return sent("second", np.searchsorted(first, keys.astype(np.int64), "right") - 1, word_shards, lambda i: encode(_narrow(_steps(keys[i])), _small(stands[i])))
 
     def store_rows(batches):
         for shard, columns, counts in _merged_rows(batches):
@@ -550,10 +600,10 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
             times[2] = _times(counts)
             yield from seconds_of(b)
             uri = f"{folder}/apart-{shard}-{uuid.uuid4().hex}"
-            Files.write(uri, table("2.", a, b, counts))
+            Files.write(uri, table("2.", chain([a]), b, counts))
             by = np.argsort(a, kind="stable")
-            keys, first = np.unique(a[by], return_index=True)
-            yield _row("rows", shard, encode(keys, _stats_of(counts[by], first).ravel()), uri, times.ravel())
+            keys, begin = np.unique(a[by], return_index=True)
+            yield _row("rows", shard, encode(keys.astype(np.uint64), _stats_of(counts[by], begin).ravel()), uri, times.ravel())
 
     def add_up(batches):
         """Figures of the spread words as contexts, one block for all shards of a task."""
@@ -569,7 +619,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
     rows = cut_lineage(by_shard(docs.mapInArrow(count_rows, "shard int, body binary"), shards).mapInArrow(store_rows, ROW))
     more = cut_lineage(by_shard(rows.filter("kind = 'apart'").select("shard", "body"), shards).mapInArrow(store_apart, ROW))
     second_blocks = rows.unionByName(more).filter("kind = 'second'").select("shard", "body")
-    seconds = cut_lineage(by_shard(second_blocks, word_shards).mapInArrow(store_words, word_row)).collect()
+    seconds = cut_lineage(by_shard(second_blocks, word_shards).mapInArrow(store_seconds, word_row)).collect()
     grams, apart = (f.filter(F.col("kind") == k).select("shard", "uri", "times").collect() for f, k in ((rows, "grams"), (more, "rows")))
     context_sums = [decode(r[0]) for r in more.filter("kind = 'rows'").select("body").coalesce(8).mapInArrow(add_up, "body binary").collect()]
     spread_stats = np.zeros((len(spread), 4))
@@ -580,7 +630,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
     second_times = np.sum([r["times"] for r in seconds], axis=0).tolist()
     pairs, kinds = sum(r["total"] for r in seconds), sum(r["n"] for r in seconds)
     discounts = [Discounts.of(second_times), *[Discounts.of(times[k].tolist()) for k in range(2, order + 1)]]
-    return Model(order, uris(words, word_shards), uris(seconds, word_shards), uris(grams, shards), uris(apart, shards), spread, spread_stats, total, vocabulary, pairs, discounts, _rest(discounts[0], second_times, kinds, pairs))
+    return Model(order, words, uris(seconds, word_shards), uris(grams, shards), uris(apart, shards), spread, spread_stats, total, pairs, discounts, _rest(discounts[0], second_times, kinds, pairs))
 
 
 def _rest(d: Discounts, times: list[int], kinds: int, total: int) -> float:
@@ -602,7 +652,7 @@ def score_with(docs: DataFrame, model: Model, held_out) -> DataFrame:
 
         def flush():
             tokens, lengths = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-            p, count = m.probabilities(columns_of(tokens, lengths, m.order))
+            p, count = m.probabilities(tokens, lengths)
             at = np.cumsum(lengths) - lengths
             per = lambda x: np.add.reduceat(x, at)
             columns = [pa.concat_arrays([w[2] for w in waiting]), pa.concat_arrays([w[3] for w in waiting]), pa.array(lengths, pa.int64()), pa.array(per((count > 0).astype(np.int64))), pa.array(np.full(len(lengths), m.tokens, np.int64)), pa.array(per(np.log10((count + 1) / floor))), pa.array(per(np.log10(p)))]
