@@ -141,7 +141,7 @@ class Files:
     @staticmethod
     @lru_cache(4096)
     def open(uri: str) -> dict[str, np.ndarray]:
-        return Files._arrays(mapped(uri, np.uint8))
+        return Files._arrays(mapped(uri, np.uint8).view(np.ndarray))
 
     @staticmethod
     def read(uri: str) -> dict[str, np.ndarray]:
@@ -215,6 +215,24 @@ def _stats_of(counts: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
 
 
+#: A count's part in its context's figures: itself in the low 32 bits, then whether it is one or two; 255 is added apart.
+_PARTS = np.where(np.arange(256) == 255, 0, np.arange(256)).astype(np.int64)
+_PARTS[1] += 1 << 32
+_PARTS[2] += 1 << 48
+
+
+def _small_stats(f: dict[str, np.ndarray], flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The figures of contexts of at most WIDE followers, whose places lie in ``flat``."""
+    raw, begin = f["c"][flat], np.cumsum(n) - n
+    packed = np.add.reduceat(_PARTS[raw], begin)
+    ones, twos = (packed >> 32) & 0xFFFF, packed >> 48
+    out = np.stack([packed & 0xFFFFFFFF, ones, twos, n - ones - twos], axis=1).astype(float)
+    big = np.flatnonzero(raw == 255)
+    if len(big):
+        np.add.at(out[:, 0], np.searchsorted(begin, big, "right") - 1, _counts_at(f, "c", flat[big]))
+    return out
+
+
 def _bytes(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
     large = np.flatnonzero(counts >= 255)
     return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}_at": large.astype(np.uint32), f"{name}_large": counts[large].astype(np.uint64)}
@@ -259,7 +277,7 @@ def look_up(f: dict[str, np.ndarray], name: str, ctx: np.ndarray, word: np.ndarr
         stop = begin + n
         flat = np.repeat(stop - np.cumsum(n), n) + np.arange(n.sum())
         per = np.zeros((len(edge), 4))
-        per[have] = _stats_of(_counts_at(f, "c", flat), np.cumsum(n) - n)
+        per[have] = _small_stats(f, flat, n)
         place = np.full(len(edge), -1)
         place[have] = np.arange(len(have))
         rows = np.flatnonzero(known[back])
@@ -357,7 +375,8 @@ class Model(NamedTuple):
 
     def rows_at(self, files: list[str], shard: np.ndarray, name: str, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, stats = np.zeros(len(ctx), np.int64), np.zeros((len(ctx), 4))
-        order = np.lexsort((ctx & np.uint64((1 << 40) - 1), shard))
+        short = ctx & np.uint64((1 << 40) - 1)
+        order = np.argsort(shard.astype(np.uint64) << np.uint64(40) | short) if len(files) < 1 << 24 else np.lexsort((short, shard))
         cut = np.searchsorted(shard[order], np.arange(len(files) + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             if files[s]:
@@ -374,12 +393,14 @@ class Model(NamedTuple):
             return p, count
         words = columns_of(number.astype(np.uint64)[back], lengths, self.order, self.words.begin)
         at, apart = _find(self.spread, words[-2])
+        shard = _route(words, self.spread, len(self.grams))
         for k in range(2, self.order + 1):
             ctx = chain(words[-k:-1])
-            c, stats = np.zeros(len(p), np.int64), np.zeros((len(p), 4))
-            rows = np.flatnonzero(~apart) if k == 2 else np.arange(len(p))
-            c[rows], stats[rows] = self.rows_at(self.grams, _route([w[rows] for w in words], self.spread, len(self.grams)), f"{k}.", ctx[rows], words[-1][rows])
-            if k == 2 and apart.any():
+            if k > 2 or not apart.any():
+                c, stats = self.rows_at(self.grams, shard, f"{k}.", ctx, words[-1])
+            else:
+                c, stats, rows = np.zeros(len(p), np.int64), np.zeros((len(p), 4)), np.flatnonzero(~apart)
+                c[rows], stats[rows] = self.rows_at(self.grams, shard[rows], "2.", ctx[rows], words[-1][rows])
                 rows = np.flatnonzero(apart)
                 c[rows], _ = self.rows_at(self.apart, _whole_route(words[-2][rows], words[-1][rows], len(self.apart)), "2.", ctx[rows], words[-1][rows])
                 stats[rows] = self.spread_stats[at[rows]]
