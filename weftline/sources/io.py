@@ -13,9 +13,12 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new place that the driver and all executors see: under spark.checkpoint.dir, which is set here only if unset."""
+    """A new place that the driver and all executors see: under spark.checkpoint.dir, which is set here only if unset and only where
+    driver and executors are one process; on a cluster a missing setting is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
