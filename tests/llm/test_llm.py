@@ -231,25 +231,25 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("limit", [decontamination.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [decontamination.BUILT_BYTES, 0])
 def test_decontamination(spark, docs, limit):
     rows = docs.collect()
     long = next(r.text for r in rows if r.doc_id == 105)
     items = [("1", " ".join(alnum(long)[50:75])), ("10", rows[4].text), ("2", "LORAN"), ("3", ""), ("4", None), ("5", "words, here"), ("", rows[7].text), ("1", "x " + (rows[9].text or ""))]
     bench = spark.createDataFrame([(int(n) if n else None, t) for n, t in items], "item_id long, text string")
-    got = decontamination.report(docs, bench, broadcast_bytes=limit).collect()
+    got = decontamination.report(docs, bench, built_bytes=limit).collect()
     want = []
     for r in rows:
         n, hit, names = brute_hits(r.text, items)
         want.append((-1 if r.doc_id is None else r.doc_id, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
     assert sorted(((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got), key=str) == sorted(want, key=str)
-    clean = decontamination.decontaminate(docs, bench, broadcast_bytes=limit)
+    clean = decontamination.decontaminate(docs, bench, built_bytes=limit)
     assert clean.columns == docs.columns and clean.count() == sum(not w[2] for w in want)
-    cut = decontamination.decontaminate(docs, bench, remove="spans", broadcast_bytes=limit).collect()
+    cut = decontamination.decontaminate(docs, bench, remove="spans", built_bytes=limit).collect()
     left = {(r.doc_id, len(alnum(r.text))) for r in cut}
     assert left == {((None if w[0] == -1 else w[0]), w[1] - w[2]) for w in want}
-    assert decontamination.report(docs, bench.limit(0), broadcast_bytes=limit).filter("contaminated").count() == 0
-    assert decontamination.report(docs.limit(0), bench, broadcast_bytes=limit).count() == 0
+    assert decontamination.report(docs, bench.limit(0), built_bytes=limit).filter("contaminated").count() == 0
+    assert decontamination.report(docs.limit(0), bench, built_bytes=limit).count() == 0
 
 
 def test_media_round_trip(spark, docs):

@@ -10,16 +10,18 @@ from .shared import as_table
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) of comparable ids -> (id, root): the smallest id of each component with an edge; ids without an edge and
-    roots themselves don't appear. A round moves each id to the smallest neighbour; minima are pre-aggregated, and the joins with
-    them can be split where a hub has many edges. Every round is written as a table; the driver sees a count and a checksum.
+    roots themselves don't appear. A round moves each id to the smallest neighbour; minima are pre-aggregated and written as tables
+    of known size, so that small ones are broadcast and joins with large ones can be split where a hub has many edges. The driver
+    sees a count and a checksum.
     """
     up = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     up, seen = as_table(up), None
     for _ in range(max_rounds):
         both = up.unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = as_table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = as_table(large)
+        low = as_table(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         up = as_table(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         now = tuple(up.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder
-from .shared import bounded_batches, cut_lineage, make_dir, mapped, read_bytes, shared_dir, write_bytes
+from .shared import Arrays, bounded_batches, cut_lineage, make_dir, shared_dir
 from .words import SPACED, blocks, mix64, pack, unpack, words_of
 
 ORDER, SHARD_TOKENS, FLUSH_TOKENS, SCORE_TOKENS, WORD_SHARD, WIDE = 3, 3_000_000, 2_000_000, 1_000_000, 1_000_000, 255
@@ -126,38 +125,6 @@ def _blocks_by(shard: np.ndarray, shards: int, body) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([body(order[cut[s] : cut[s + 1]]) for s in some], pa.binary())], ["shard", "body"])
 
 
-class Files:
-    """An array file: for each array its type and length, then the values, each array aligned to 8 bytes."""
-
-    @staticmethod
-    def write(uri: str, arrays: dict[str, np.ndarray]) -> None:
-        head, at = [], 4096
-        for name, a in arrays.items():
-            head.append(f"{name} {a.dtype.str} {at} {len(a)}")
-            at += -(-a.nbytes // 8) * 8
-        body = "\n".join(head).encode().ljust(4096, b"\n")
-        write_bytes(uri, body + b"".join(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0") for a in arrays.values()))
-
-    @staticmethod
-    @lru_cache(4096)
-    def open(uri: str) -> dict[str, np.ndarray]:
-        return Files._arrays(mapped(uri, np.uint8).view(np.ndarray))
-
-    @staticmethod
-    def read(uri: str) -> dict[str, np.ndarray]:
-        return Files._arrays(np.frombuffer(read_bytes(uri), np.uint8))
-
-    @staticmethod
-    def _arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
-        out = {}
-        for line in raw[:4096].tobytes().decode().split("\n"):
-            if line:
-                name, kind, at, n = line.split()
-                kind = np.dtype(kind)
-                out[name] = raw[int(at) : int(at) + int(n) * kind.itemsize].view(kind)
-        return out
-
-
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each wanted key in sorted keys, and whether it is there."""
     if not len(keys):
@@ -336,7 +303,7 @@ class Vocabulary(NamedTuple):
         cut = np.searchsorted(word_shard(h, len(self.files)), np.arange(len(self.files) + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             if self.files[s]:
-                f, here = Files.open(self.files[s]), slice(cut[s], cut[s + 1])
+                f, here = Arrays.open(self.files[s]), slice(cut[s], cut[s + 1])
                 at, there = _find(f["keys"], h[here])
                 number[here], count[here] = np.where(there, self.first[s] + at, 0), np.where(there, f["counts"][at], 0)
         return number, count
@@ -370,7 +337,7 @@ class Model(NamedTuple):
             for s in np.unique(shard).tolist():
                 here = known[shard == s]
                 if self.seconds[s]:
-                    stands[here] = Files.open(self.seconds[s])["counts"][number[here] - self.words.first[s]]
+                    stands[here] = Arrays.open(self.seconds[s])["counts"][number[here] - self.words.first[s]]
         return number, count, np.maximum(self.discounts[0].after(stands), 0) / max(self.pairs, 1) + self.word_rest / (self.vocabulary + 1)
 
     def rows_at(self, files: list[str], shard: np.ndarray, name: str, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +348,7 @@ class Model(NamedTuple):
         for s in np.flatnonzero(np.diff(cut)).tolist():
             if files[s]:
                 here = order[cut[s] : cut[s + 1]]
-                count[here], stats[here] = look_up(Files.open(files[s]), name, ctx[here], word[here])
+                count[here], stats[here] = look_up(Arrays.open(files[s]), name, ctx[here], word[here])
         return count, stats
 
     def probabilities(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -528,7 +495,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
     def store_words(batches):
         for shard, keys, counts in merged(batches):
             uri = f"{folder}/words-{shard}-{uuid.uuid4().hex}"
-            Files.write(uri, {"keys": keys, "counts": _small(counts)})
+            Arrays.write(uri, {"keys": keys, "counts": _small(counts)})
             yield _figures(shard, uri, counts)
 
     def by_shard(rows: DataFrame, shards: int) -> DataFrame:
@@ -541,7 +508,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
             dense = np.zeros(int(first[shard + 1] - first[shard]), np.int64)
             dense[keys.astype(np.int64) - first[shard]] = counts
             uri = f"{folder}/seconds-{shard}-{uuid.uuid4().hex}"
-            Files.write(uri, {"counts": _small(dense)})
+            Arrays.write(uri, {"counts": _small(dense)})
             yield _figures(shard, uri, counts)
 
     def _figures(shard, uri, counts):
@@ -568,7 +535,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
     def hot_words(batches):
         for b in batches:
             for shard, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = np.flatnonzero(Files.read(uri)["counts"] > floor)
+                at = np.flatnonzero(Arrays.read(uri)["counts"] > floor)
                 yield pa.RecordBatch.from_arrays([pa.array(first[shard] + at)], ["word"])
 
     spread = none
@@ -612,7 +579,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
                     _, counts, at = _sum_by(chain(columns), np.ones(len(counts), np.uint8))
                     columns = [c[at] for c in columns]
             uri = f"{folder}/grams-{shard}-{uuid.uuid4().hex}"
-            Files.write(uri, arrays)
+            Arrays.write(uri, arrays)
             yield _row("grams", shard, b"", uri, times.ravel())
 
     def store_apart(batches):
@@ -621,7 +588,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
             times[2] = _times(counts)
             yield from seconds_of(b)
             uri = f"{folder}/apart-{shard}-{uuid.uuid4().hex}"
-            Files.write(uri, table("2.", chain([a]), b, counts))
+            Arrays.write(uri, table("2.", chain([a]), b, counts))
             by = np.argsort(a, kind="stable")
             keys, begin = np.unique(a[by], return_index=True)
             yield _row("rows", shard, encode(keys.astype(np.uint64), _stats_of(counts[by], begin).ravel()), uri, times.ravel())

@@ -4,23 +4,21 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.operators.lineage import cut as as_table  # noqa: F401
+from weftline.sources.io import scratch
+
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """URI of a new folder under ``spark.checkpoint.dir`` (set here only when the session has none)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root:
-        root = root if root.startswith("file:") else f"file://{root}"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    """URI of a new folder under ``spark.checkpoint.dir``."""
+    path = scratch(spark, label)
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -33,14 +31,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def as_table(df: DataFrame) -> DataFrame:
-    """The rows as a table written in the shared folder. Rounds of self-joins need this rather than a checkpoint, which carries
-    inferred constraints along; their number grows with every round."""
-    place = shared_dir(df.sparkSession, "table")
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
 #: Rows of an Arrow batch of whole texts. Spark's own default is 10,000 whatever their bytes, in the JVM and in Python alike.
 BATCH_ROWS = 500
 
@@ -75,12 +65,47 @@ def read_bytes(uri: str) -> bytes:
 
 
 def mapped(uri: str, dtype) -> np.ndarray:
-    """The array in a file of raw values, memory-mapped; a remote file is first copied to a local one."""
+    """The array in a file of raw values, memory-mapped; a remote file is copied to a nameless local one, whose space is free again
+    when the array goes."""
     where, path = open_fs(uri)
-    if urlparse(uri).scheme not in ("", "file"):
-        local = os.path.join(tempfile.mkdtemp(prefix="spark-"), "array")
-        with where.open_input_stream(path) as src, open(local, "wb") as out:
+    if urlparse(uri).scheme in ("", "file"):
+        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+    with tempfile.TemporaryFile() as local:
+        with where.open_input_stream(path) as src:
             while chunk := src.read(1 << 22):
-                out.write(chunk)
-        path = local
-    return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+                local.write(chunk)
+        local.flush()
+        return np.memmap(local, dtype=dtype, mode="r") if local.tell() else np.zeros(0, dtype)
+
+
+class Arrays:
+    """A file of named arrays: for each its name, type, place and length, then the values, each array aligned to 8 bytes."""
+
+    @staticmethod
+    def write(uri: str, arrays: dict[str, np.ndarray]) -> None:
+        head, at = [], 4096
+        for name, a in arrays.items():
+            head.append(f"{name} {a.dtype.str} {at} {len(a)}")
+            at += -(-a.nbytes // 8) * 8
+        body = "\n".join(head).encode().ljust(4096, b"\n")
+        write_bytes(uri, body + b"".join(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0") for a in arrays.values()))
+
+    @staticmethod
+    @lru_cache(4096)
+    def open(uri: str) -> dict[str, np.ndarray]:
+        """Memory-mapped."""
+        return Arrays._named(mapped(uri, np.uint8).view(np.ndarray))
+
+    @staticmethod
+    def read(uri: str) -> dict[str, np.ndarray]:
+        return Arrays._named(np.frombuffer(read_bytes(uri), np.uint8))
+
+    @staticmethod
+    def _named(raw: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for line in raw[:4096].tobytes().decode().split("\n"):
+            if line:
+                name, kind, at, n = line.split()
+                kind = np.dtype(kind)
+                out[name] = raw[int(at) : int(at) + int(n) * kind.itemsize].view(kind)
+        return out

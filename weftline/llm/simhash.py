@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, row_again, whole_row
 from .graph import components
-from .shared import bounded_batches, cut_lineage
+from .shared import as_table, bounded_batches, cut_lineage
 from .words import SPACED, blocks, words_of
 
 SHINGLE, BITS, DISTANCE, SEED, BUCKET = 4, 64, 4, 42, 2048
@@ -190,14 +191,22 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     return buckets.select("fps", "exacts").mapInArrow(verify, "a long, b long").distinct()
 
 
+def _keys() -> list:
+    """Two hashes of a text, by which rows without an id of their own are found again."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
-    """(marks, classes): marks (doc_id, fp), checkpointed; classes (fp, root, component_id), one row per distinct fingerprint."""
-    marks = cut_lineage(docs.select("doc_id", fingerprint(shingle)(F.col("text")).alias("fp")))
+    """(marks, classes): marks (doc_id, k1, k2, fp) with two hashes of the text, checkpointed; classes (fp, root, component_id), one
+    row per distinct fingerprint. A component's smallest id is small beside its fingerprints and kept as a table, so it is
+    broadcast below Spark's limit and else joined where a large component can be split."""
+    marks = cut_lineage(docs.select("doc_id", *_keys(), fingerprint(shingle)(F.col("text")).alias("fp")))
     prints = cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(prints, distance))
     rooted = prints.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marks, cut_lineage(rooted.join(least, "root").select("fp", "root", "component_id"))
+    rooted = as_table(rooted)
+    least = as_table(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    return marks, cut_lineage(rooted.join(least, "root", "left").select("fp", "root", F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -212,16 +221,24 @@ def duplicates(docs: DataFrame, **options) -> DataFrame:
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id.
 
-    Texts are not dealt out by component: what goes is an anti-join on the ids of the dropped. Rows whose doc_id is null or
-    repeated can't be told apart so; they alone are joined with their fingerprints, and one of each component stays.
+    Texts are fingerprinted once and not dealt out by component: what goes is an anti-join on the ids of the dropped, a table of
+    known size. Rows whose doc_id is null or repeated can't be told apart so; they alone are joined with their marks by hashes of
+    their texts, and one of each component stays. Columns may have any names.
     """
     marks, classes = groups(docs, **options)
     whose = marks.join(classes, "fp")
     repeated = marks.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    dropped = whose.filter("doc_id <> component_id").select("doc_id").unionByName(repeated).distinct()
-    plain = docs.filter("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    odd = docs.filter("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
-    names = docs.columns
-    odd = odd.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), fingerprint(options.get("shingle", SHINGLE))(F.col("text")).alias("fp"))
-    odd = odd.join(classes, "fp").filter(F.col("row.doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    return plain.select(*names).unionByName(odd.select("row.*"))
+    dropped = as_table(whose.filter("doc_id <> component_id").select("doc_id").unionByName(repeated).distinct())
+    chosen = whose.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).join(repeated.withColumn("twice", F.lit(True)), "doc_id", "left").filter("doc_id is null or twice")
+    chosen = as_table(chosen.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("c")).select(F.col("c.doc_id").alias("_id"), F.col("c.k1").alias("_k1"), F.col("c.k2").alias("_k2")))
+    plain = docs.filter("doc_id is not null").join(dropped, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
+    if chosen.isEmpty():
+        return plain
+    return plain.unionByName(_one_each(docs, chosen))
+
+
+def _one_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of docs for each (_id, _k1, _k2); equal rows differ in nothing that matters here, and any of them is taken."""
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_x"), F.xxhash64(F.lit(1), "text").alias("_y"))
+    found = rows.join(chosen, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_k1")) & (F.col("_y") == F.col("_k2")))
+    return row_again(found.groupBy("_id", "_k1", "_k2").agg(F.first("row").alias("row")), docs.columns)
