@@ -71,7 +71,7 @@ def test_windows_are_equal_where_words_are():
 
 
 def test_mixing_meets_targets(docs):
-    rows = mixing.mixed_sizes(docs, rows_per_block=4, blocks_per_shard=3).collect()
+    rows = mixing.mixed_sizes(docs, rows_per_block=4, shard_words=2000).collect()
     assert len(rows) == docs.count()
     source = {(r.doc_id, len(spaced(r.text))): r.source for r in docs.collect()}
     by = collections.defaultdict(list)
@@ -91,7 +91,7 @@ def test_mixing_meets_targets(docs):
     for s, v in by.items():
         assert v[0].source_size == sizes[s] and v[0].target == pytest.approx(target[s])
         assert abs(sum(r.taken for r in v) - target[s]) <= 2
-    assert {tuple(r) for r in rows} == {tuple(r) for r in mixing.mixed_sizes(docs, rows_per_block=4, blocks_per_shard=3).collect()}
+    assert {tuple(r) for r in rows} == {tuple(r) for r in mixing.mixed_sizes(docs, rows_per_block=4, shard_words=2000).collect()}
 
 
 def test_mixing_without_rows_and_without_words(spark, docs):
@@ -102,7 +102,7 @@ def test_mixing_without_rows_and_without_words(spark, docs):
 
 
 def test_mix_repeats_whole_rows(docs):
-    out = mixing.mix(docs, rows_per_block=4, blocks_per_shard=3)
+    out = mixing.mix(docs, rows_per_block=4, shard_words=2000)
     assert out.columns == docs.columns
     texts = {(r.doc_id, r.text) for r in docs.collect()}
     counts = collections.Counter((r.doc_id, r.text) for r in out.collect())

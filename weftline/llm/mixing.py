@@ -7,8 +7,9 @@ distribution (source after source, each by inverting the exact conditional distr
 the quotas add up exactly. Inside a shard, draws are ordered by a hash.
 
 Only DataFrame and SQL functions are used. Document rows are never windowed or grouped by source alone: what is windowed is the
-table of sources, the table of blocks (one row for about ``rows_per_block`` documents), and the documents of one block per source.
-The driver reads one row of totals. The array of quotas in a tree node has one entry per source.
+table of sources, ``RANGES`` ranges of hashes of the table of blocks (one row for about ``rows_per_block`` documents) with running
+sums over the ranges, and the documents of one block per source. The driver reads one row of totals. The array of quotas in a tree
+node has one entry per source. Texts are shuffled once, to their shards: the table of draws is broadcast below Spark's limit.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage
+from .common import row_again, whole_row
+from .shared import as_table, cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating; share of all words that the mix takes; most passes over a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
+#: Words of a shard, and ranges into which the blocks of a source are cut for running sums.
+SHARD_WORDS, RANGES = 4_000_000, 256
 
 
 def word_count(text: Column) -> Column:
@@ -83,31 +87,59 @@ def _split(nodes: DataFrame, seed: int) -> DataFrame:
     ).select("c.node", "c.quotas")
 
 
-def plan(docs: DataFrame, size: Column, weights=WEIGHTS, share=SHARE, most=MOST, rows_per_block: int = 256, blocks_per_shard: int = 64, seed: int = 7):
-    """(sizes, blocks): sizes is (doc_id, source, size, block, order) with source_size and target, checkpointed; blocks is
-    (rank, block, draws), draws an array of (shard, slot, pass, cut, take): the block is taken whole, or, if cut is not null,
-    documents of a lower order hash whole and those at it with ``take`` words each."""
-    base = cut_lineage(docs.select("doc_id", "source", size.alias("size")))
+def _running(rows: DataFrame, keys: list[str], place: Column, *totals: str) -> DataFrame:
+    """Adds ``at`` (rows before) and ``<total>_before`` of each row in the order of keys[1:], range, place, block within keys[0]. Only
+    a range is sorted in one task; ranges are added up beforehand."""
+    rows = rows.withColumn("_h", place).withColumn("_range", F.pmod("_h", F.lit(RANGES)))
+    by = [*keys, "_range"]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{c}") for c in totals])
+    before = Window.partitionBy(keys[0]).orderBy(*keys[1:], "_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = sums.select(*by, F.coalesce(F.sum("_n").over(before), zero).alias("_n"), *[F.coalesce(F.sum(f"_{c}").over(before), zero).alias(f"_{c}") for c in totals])
+    inside = Window.partitionBy(*by).orderBy("_h", "block")
+    out = rows.withColumn("at", F.row_number().over(inside) - 1)
+    for c in totals:
+        out = out.withColumn(f"{c}_before", F.sum(c).over(inside) - F.col(c))
+    out = out.join(sums, by).withColumn("at", F.col("at") + F.col("_n"))
+    for c in totals:
+        out = out.withColumn(f"{c}_before", F.col(f"{c}_before") + F.col(f"_{c}"))
+    return out.drop("_h", "_range", "_n", *[f"_{c}" for c in totals])
+
+
+def _order(doc_id: Column, text_key: Column, seed: int) -> Column:
+    return F.xxhash64(doc_id, text_key, F.lit(seed))
+
+
+def _text_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows without an id apart."""
+    return F.when(doc_id.isNull(), F.xxhash64(text))
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, rows_per_block: int = 256, shard_words: int = SHARD_WORDS, seed: int = 7):
+    """(sizes, blocks, sources, shards): sizes is (doc_id, source, size, block, order) with source_size and target, checkpointed;
+    blocks is (rank, block, draws), draws an array of (shard, slot, pass, cut, take): the block is taken whole, or, if cut is not
+    null, documents of a lower order hash whole and those at it with ``take`` words each; sources is one row per source; shards is
+    how many there are, of about ``shard_words`` words each."""
+    base = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _text_key(F.col("doc_id"), F.col("text")).alias("key")))
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     sources = cut_lineage(targets(sources, weights, share, most).withColumn("blocks", F.ceil(F.col("source_rows") / rows_per_block)))
     rows = base.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("order", F.lit(seed + 1)), F.col("blocks")))
+    rows = rows.withColumn("order", _order(F.col("doc_id"), F.col("key"), seed)).withColumn("block", F.pmod(F.xxhash64("order", F.lit(seed + 1)), F.col("blocks")))
     sizes = cut_lineage(rows.select("doc_id", "source", "rank", "block", "order", "size", "source_size", "target"))
 
     blocks = sizes.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     blocks = blocks.withColumn("full", full.cast("int")).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("full"))))
-    permuted = Window.partitionBy("rank", "pass").orderBy(F.xxhash64("block", "pass", F.lit(seed + 2)), "block")
-    blocks = blocks.withColumn("at", F.row_number().over(permuted)).withColumn("before", F.sum("words").over(permuted) - F.col("words"))
+    blocks = _by_pass(blocks, seed)
     rest = F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long")
-    room = F.when(F.col("pass") < F.col("full"), F.col("words")).otherwise(F.least("words", rest - F.col("before")))
+    room = F.when(F.col("pass") < F.col("full"), F.col("words")).otherwise(F.least("words", rest - F.col("words_before")))
     blocks = blocks.withColumn("room", room).filter((F.col("room") > 0) | ((F.col("words") == 0) & (F.col("pass") < F.col("full"))))
-    blocks = blocks.withColumn("position", F.row_number().over(Window.partitionBy("rank").orderBy("pass", "at")) - 1)
+    blocks = _running(blocks.drop("at"), ["rank", "pass"], F.xxhash64("block", "pass", F.lit(seed + 2))).withColumnRenamed("at", "position")
     draws = cut_lineage(blocks.select("rank", "block", "pass", "position", "words", "room"))
 
     quotas = draws.groupBy("rank").agg(F.count("*").alias("q"))
-    total = quotas.agg(F.sum("q")).first()[0] or 0
-    levels = max(0, ceil(log2(max(1, total / blocks_per_shard))))
+    total, words = draws.agg(F.count("*"), F.sum("room")).first()
+    levels = max(0, ceil(log2(max(1, min(total, (words or 0) / shard_words)))))
     nodes = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", "q"))).alias("all"))
     ranks = nodes.select(F.posexplode(F.expr("transform(all, x -> x.rank)")).alias("i", "rank"))
     nodes = nodes.filter("size(all) > 0").select(F.lit(1).cast("long").alias("node"), F.expr("transform(all, x -> x.q)").alias("quotas"))
@@ -128,8 +160,14 @@ def plan(docs: DataFrame, size: Column, weights=WEIGHTS, share=SHARE, most=MOST,
     docs_cut = docs_cut.select("rank", "block", "pass", F.col("order").alias("cut"), F.floor(F.col("left") / F.col("ties")).alias("take"))
     slot = F.xxhash64("rank", "position", "shard", F.lit(seed + 4)).alias("slot")
     dealt = dealt.join(docs_cut, ["rank", "block", "pass"], "left")
-    drawn = dealt.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", slot, "cut", "take"))).alias("draws"))
-    return sizes, drawn
+    drawn = as_table(dealt.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", slot, "cut", "take"))).alias("draws")))
+    return sizes, drawn, sources, 2**levels
+
+
+def _by_pass(blocks: DataFrame, seed: int) -> DataFrame:
+    """Adds words_before: what blocks earlier in the same permuted pass hold."""
+    blocks = blocks.withColumn("turn", F.concat_ws("|", F.col("rank").cast("string"), F.col("pass").cast("string")))
+    return _running(blocks, ["turn"], F.xxhash64("block", "pass", F.lit(seed + 2)), "words").drop("turn")
 
 
 def _words(d: Column) -> Column:
@@ -140,10 +178,11 @@ def _words(d: Column) -> Column:
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and the shards that take it.
 
-    A null text has size 0. Rows with the same doc_id share a block and an order hash, and share what a cut leaves them.
+    A null text has size 0. Rows with the same doc_id (without one: with the same text) share a block and an order hash, and share
+    what a cut leaves them.
     An empty table gives an empty result. Other columns of ``docs`` are not looked at.
     """
-    sizes, drawn = plan(docs.select("doc_id", "source", "text"), word_count(F.col("text")), **options)
+    sizes, drawn, _, _ = plan(docs.select("doc_id", "source", "text"), **options)
     rows = sizes.join(drawn, ["rank", "block"], "left")
     counted = F.transform(F.coalesce("draws", F.expr("cast(array() as array<struct<pass:int,shard:bigint,slot:bigint,cut:bigint,take:bigint>>)")), lambda d: F.struct(d["shard"].alias("shard"), _words(d).alias("words")))
     rows = rows.withColumn("counted", F.filter(counted, lambda d: d["words"] > 0))
@@ -159,20 +198,15 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it was drawn (at most ``MOST`` times and once more if cut), with
-    its own columns only, shuffled within shards. A document at a cut is taken whole if at least half of it was left, else not,
-    so no text is shortened."""
-    names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    keys = row.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"))
-    sizes, drawn = plan(keys, word_count(F.col("text")), **options)
-    facts = sizes.groupBy("source").agg(F.first("rank").alias("rank"))
-    n_blocks = options.get("rows_per_block", 256)
-    counts = sizes.groupBy("source").agg(F.ceil(F.count("*") / n_blocks).alias("blocks")).withColumnRenamed("source", "s")
-    facts = facts.join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    its own columns only, shuffled within shards, one partition a shard. A document at a cut is taken whole if at least half of it
+    was left, else not, so no text is shortened; one without words goes with its block."""
     seed = options.get("seed", 7)
-    row = row.join(facts, F.col("row.source").eqNullSafe(F.col("source")))
-    row = row.withColumn("order", F.xxhash64(F.col("row.doc_id"), F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("order", F.lit(seed + 1)), F.col("blocks")))
-    row = row.withColumn("size", word_count(F.col("row.text"))).join(drawn, ["rank", "block"])
-    row = row.withColumn("d", F.explode("draws")).filter((F.col("size") == 0) & F.col("d.cut").isNull() | (_words(F.col("d")) * 2 >= F.col("size")) & (F.col("size") > 0))
-    mixed = row.repartition(F.col("d.shard")).sortWithinPartitions(F.col("d.shard"), F.xxhash64("d.slot", "order", F.lit(seed + 5)))
-    return mixed.select("row.*")
+    row = docs.select(whole_row(docs), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text")
+    _, drawn, sources, shards = plan(docs.select("doc_id", "source", "text"), **options)
+    facts = as_table(sources.select("source", "rank", "blocks"))
+    row = row.withColumn("order", _order(F.col("_id"), _text_key(F.col("_id"), F.col("text")), seed))
+    row = row.join(facts, F.col("_source").eqNullSafe(F.col("source"))).withColumn("block", F.pmod(F.xxhash64("order", F.lit(seed + 1)), F.col("blocks")))
+    row = row.join(drawn, ["rank", "block"]).withColumn("d", F.explode("draws"))
+    enough = F.when(F.col("d.cut").isNull() | (F.col("order") < F.col("d.cut")), True).when(F.col("order") == F.col("d.cut"), F.col("d.take") * 2 >= word_count(F.col("text"))).otherwise(False)
+    mixed = row.filter(enough).repartitionById(shards, F.col("d.shard").cast("int"))
+    return row_again(mixed.sortWithinPartitions(F.xxhash64("d.slot", "order", F.lit(seed + 5)), "order"), docs.columns)

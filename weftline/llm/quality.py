@@ -1,8 +1,9 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics, calibrated by isotonic regression.
 
-Statistics come from the text alone. The features approximate a Gaussian kernel over the standardised statistics; every
-partition of labelled rows sums its part of the normal equations, the parts are summed, and the driver solves one system of
-``FEATURES`` unknowns. All labelled rows are used. Calibration pools adjacent violators over a histogram of raw scores.
+Statistics come from the text alone. The features approximate a Gaussian kernel over the standardised statistics; each of ``PARTS``
+partitions of labelled rows sums its part of the normal equations, and the driver adds the parts and solves one system of
+``FEATURES`` unknowns. Training takes at most ``TRAIN_ROWS`` labels, chosen by the order of a hash, so it costs the same beside any
+corpus; scoring takes every text whole. Calibration pools adjacent violators over a histogram of raw scores.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from .common import remainder
 from .shared import bounded_batches, cut_lineage
 from .words import SPACED, blocks, mix64, words_of
 
-FEATURES, RIDGE, WIDTH, SEED, BINS, SLOTS = 256, 1e-3, 0.35, 11, 2000, 16
+FEATURES, RIDGE, WIDTH, SEED, BINS, PARTS, TRAIN_ROWS = 256, 1e-3, 0.35, 11, 2000, 8, 50_000
 _MARKS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
 STATISTICS = (
     "log_bytes log_words mean_length deviation_length upper digit mark plain_mark space beyond_ascii letters "
@@ -157,22 +158,9 @@ def fit(labelled: DataFrame, ridge: float = RIDGE) -> Model:
                 a += z.T @ np.concatenate([z, y[:, None]], axis=1)
                 n += b.num_rows
         if n:
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part % SLOTS], pa.int32()), pa.array([part], pa.int32()), pa.array([a.tobytes()], pa.binary())], ["slot", "part", "a"])
-
-    def summed(batches):
-        a = None
-        for b in batches:
-            for part in b.column(2):
-                x = np.frombuffer(part.as_py())
-                a = x.copy() if a is None else a + x
-        if a is not None:
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["a"])
 
-    parts = labelled.select("x", F.col("y").cast("int").alias("y")).mapInArrow(partial, "slot int, part int, a binary")
-    sums = parts.repartition(SLOTS, "slot").sortWithinPartitions("slot", "part").mapInArrow(summed, "a binary").collect()
+    sums = labelled.select("x", F.col("y").cast("int").alias("y")).coalesce(PARTS).mapInArrow(partial, "a binary").collect()
     a = sum(np.frombuffer(r[0]) for r in sums).reshape(dim, dim + 1)
     penalty = np.full(dim, ridge * moments[0])
     penalty[-1] = 0
@@ -194,12 +182,17 @@ def scorer(model: Model):
     return F.arrow_udf(lambda x: pa.array(model.score(_rows(x)), pa.float64()), "double")
 
 
-def train(features: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
-    """Fit on rows of features (doc_id, x) with a label, whose id's crc32 modulo ``folds`` isn't 0. Labels that are null are left
-    out; a row with several labels counts once for each."""
-    known = labels.filter("quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("y"))
-    known = known.filter(remainder(F.col("_id"), folds) != 0)
-    return fit(cut_lineage(features.join(known, F.col("doc_id") == F.col("_id")).select("x", "y")))
+def chosen(labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = 5) -> DataFrame:
+    """(_id, y): at most ``rows`` labels, by the order of a hash, whose id's crc32 modulo ``folds`` isn't 0. Null labels and ids are
+    left out; a row with several labels counts once for each."""
+    known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("y"))
+    return known.filter(remainder(F.col("_id"), folds) != 0).orderBy(F.xxhash64("_id", F.lit(5)), "_id", "y").limit(rows)
+
+
+def train(features: DataFrame, labels: DataFrame, **options) -> Model:
+    """Fit on rows of features (doc_id, x) with one of the ``chosen`` labels, which are few enough to broadcast."""
+    known = chosen(labels, **options)
+    return fit(cut_lineage(features.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("x", "y")))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,7 +204,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without those that score under ``threshold``; statistics are computed where the texts lie."""
-    features = docs.select("doc_id", statistics()(F.col("text")).alias("x"))
-    model = train(features, labels)
+    """``docs`` without those that score under ``threshold``; statistics are computed where the texts lie, for training only those of
+    the chosen labels. A row with a null or repeated doc_id is scored by its text like any other."""
+    known = chosen(labels)
+    some = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    model = fit(cut_lineage(some.select(statistics()(F.col("text")).alias("x"), "y")))
     return docs.filter(scorer(model)(statistics()(F.col("text"))) >= threshold)
