@@ -290,14 +290,50 @@ def test_licences(spark):
     assert licences.scan(frame(spark, [])).count() == 0
 
 
+def template_pattern(template):
+    """A template as a regular expression over words that each have a space behind them."""
+    out = ""
+    for optional, least, most, word in re.findall(r"\[\[(.*?)\]\]|\{\{(\d+)-(\d+)\}\}|(\S+)", template):
+        out += f"(?:{optional} )?" if optional else rf"(?:\S+ ){{{least},{most}}}" if most else f"{word} "
+    return re.compile(r"(?<!\S)" + out)
+
+
+def test_licences_against_regular_expressions(spark):
+    rng, texts = random.Random(4), []
+    for label, _, template in licences.TEMPLATES:
+        for turn in range(8):
+            text = re.sub(r"\[\[(.*?)\]\]", lambda m: m[1] if rng.random() < 0.5 else "", template)
+            text = re.sub(r"\{\{(\d+)-(\d+)\}\}", lambda m: " ".join(["Body"] * (rng.randint(int(m[1]), int(m[2])) if turn == 0 or rng.random() < 0.8 else 13)), text)
+            words = text.split()
+            if turn and rng.random() < 0.4:
+                words[rng.randrange(len(words))] = rng.choice(["", "other", "the"])
+            if turn and rng.random() < 0.2:
+                words = words[: rng.randrange(1, len(words))]
+            filler = [rng.choice(["all", "rights", "reserved", "licensed", "cc", "by", "copyright", "0", "permission"]) for _ in range(rng.randrange(8))]
+            texts.append(rng.choice([" ", ", ", " - "]).join(filler + words + filler))
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licences.scan(frame(spark, rows)).collect()}
+    seen = set()
+    for k, t, _ in rows:
+        w = alnum(t)
+        places = {i: label for p, label in licences.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+        n_base = sum(w[i : i + len(p.split())] == p.split() for p in licences.PHRASES for i in range(len(w)))
+        line = "".join(x + " " for x in w)
+        more = {label: score for label, score, template in licences.TEMPLATES if template_pattern(template).search(line)}
+        seen |= set(more)
+        want = (len(w), n_base, min(places, default=None), max(places, default=None), ",".join(sorted(set(places.values()))), ",".join(sorted(set(places.values()) | set(more))), max([*more.values(), 0.5 if places else 0.0]))
+        assert tuple(got[k])[1:] == want, t
+    assert seen == {label for label, _, _ in licences.TEMPLATES}
+
+
 def test_automaton_regions():
-    a = licences.Automaton("x", "one [[two three]] four {{1-2}} end")
+    a = licences.Automaton("x", 1.0, "one [[two three]] four {{1-2}} end")
     for text, want in (("one four q end", 1), ("one two three four p q end", 1), ("one two four q end", 0), ("one four end", 0), ("one four p q r end", 0)):
         raw = np.frombuffer(text.encode(), np.uint8)
         w = words_of(raw, np.array([0, len(raw)]))
         assert a.accepts(w, 0, len(w.starts)) == bool(want), text
     with pytest.raises(ValueError):
-        licences.Automaton("x", "{{0-2}} end")
+        licences.Automaton("x", 1.0, "{{0-2}} end")
 
 
 def brute_model(texts, order):
@@ -420,6 +456,73 @@ def test_classifiers_without_labels_or_rows(spark):
     assert kept.columns == docs.columns
 
 
+def test_quality_against_plain_numpy(spark):
+    docs, labels = labelled(spark)
+    x = docs.select("doc_id", quality.statistics()(F.col("text")).alias("x"))
+    model = quality.train(x, labels)
+    rows = [(r.x, r.y) for r in x.join(labels.filter("quality is not null"), "doc_id").select("x", F.col("quality").alias("y"), "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    a, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    assert model.mean == pytest.approx(a.mean(0)) and 1 / model.scale == pytest.approx(np.maximum(a.std(0), 1e-6), rel=1e-6)
+    z = model.project(a)
+    plain = np.linalg.solve(z.T @ z + np.diag([quality.RIDGE * len(y) + 1e-9] * quality.FEATURES + [1e-9]), z.T @ y)
+    assert model.raw(a) == pytest.approx(z @ plain, abs=1e-5)
+    bins = np.clip(((model.raw(a) + 1) / 3 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    groups = [[b, b, sum(bins == b), y[bins == b].sum()] for b in sorted(set(bins))]  # runs of bins: first, last, weight, sum
+    while any(groups[i][3] / groups[i][2] >= groups[i + 1][3] / groups[i + 1][2] for i in range(len(groups) - 1)):
+        i = next(i for i in range(len(groups) - 1) if groups[i][3] / groups[i][2] >= groups[i + 1][3] / groups[i + 1][2])
+        groups[i : i + 2] = [[groups[i][0], groups[i + 1][1], groups[i][2] + groups[i + 1][2], groups[i][3] + groups[i + 1][3]]]
+    assert model.steps[1] == pytest.approx([g[3] / g[2] for g in groups])
+    scored = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    for r in x.filter("doc_id < 40").collect():
+        assert scored[r.doc_id] == pytest.approx(float(np.clip(np.interp(model.raw(np.array([r.x])), *model.steps), 0, 1)[0]), abs=1e-4)
+    kept = collections.Counter(r.doc_id for r in quality.keep_good(docs, labels).select("doc_id").collect())
+    assert kept == collections.Counter(r.doc_id for r in quality.score(docs, labels).collect() if r.predicted)
+
+
+def test_toxicity_against_loops():
+    rng = np.random.default_rng(0)
+    weights, bias = rng.normal(0, 1, 12), -1.5
+    bags = [[rng.choice(12, rng.integers(1, 4)).tolist() for _ in range(rng.integers(0, 5))] for _ in range(30)]
+    y, empty = rng.random(30) < 0.5, rng.integers(0, 3, 30)
+    pairs = [np.array([(s, k) for s, words in enumerate(b) for k in words], np.int32).reshape(-1, 2).tobytes() for b in bags]
+
+    def loss(w, c):
+        total = 0.0
+        for b, toxic, more in zip(bags, y, empty, strict=True):
+            clean = 1.0
+            for words in [*b, *[[]] * int(more)]:
+                clean *= 1 - 1 / (1 + math.exp(-(c + sum(w[k] for k in words))))
+            total += math.log(1 - clean) if toxic and clean < 1 else math.log(clean) if not toxic else 0.0
+        return total
+
+    some = np.array([bool(b) or bool(e) for b, e in zip(bags, empty, strict=True)])
+    got = toxicity.gradient_of(y[some], empty[some], [p for p, k in zip(pairs, some, strict=True) if k], weights, bias)
+    for k in range(13):
+        step = np.zeros(13)
+        step[k] = 1e-5
+        slope = (loss(weights + step[:-1], bias + step[-1]) - loss(weights - step[:-1], bias - step[-1])) / 2e-5
+        assert got[k] == pytest.approx(slope, abs=1e-5)
+
+
+def test_toxicity_score_against_loops(spark):
+    docs, labels = labelled(spark, 60)
+    model = toxicity.train(docs, labels)
+
+    def hashed(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        w = words_of(raw, np.array([0, len(raw)]), ALNUM)
+        return [int(h[0]) >> 46 for h in (w.hashes, *[w.prefixes(n) for n in toxicity.PREFIXES])]
+
+    got = {(r.doc_id, r.n_sentences): r for r in toxicity.score(docs, labels).collect()}
+    for d in docs.filter("doc_id < 60 or doc_id > 999").collect():
+        clean, sentences = 1.0, [alnum(x) for x in re.split(r"[.!?\n]", d.text or "")]
+        sentences = [x for x in sentences if x]
+        for words in sentences:
+            clean *= 1 - 1 / (1 + math.exp(-min(30, max(-30, model.bias + sum(float(model.weights[b]) for w in words for b in hashed(w))))))
+        r = got[d.doc_id, len(sentences)]
+        assert r.score == pytest.approx(1 - clean, abs=2e-5)
+
+
 def test_isotonic_pooling():
     at, mean = quality.pool(np.ones(5), np.array([0.0, 1, 0, 1, 1]), np.arange(5.0))
     assert mean.tolist() == [0, 0.5, 1] and at.tolist() == [0, 1.5, 3.5]

@@ -57,7 +57,8 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, equal to the library's ``encode(text, add_special_tokens=False)``.
 
     With ``spaced`` the tokenizer must drop white space, fold case by character and split letters from marks, as word_bpe_49k does;
-    distinct pieces are then encoded once, known by a 64-bit hash. A text that may hold a special token's string is encoded whole.
+    distinct pieces are then encoded once, known by a 64-bit hash and checked by a second one; where the two disagree the block's
+    texts are encoded whole, as is a text that may hold a special token's string.
     """
 
     def __init__(self, path: str, spaced: bool = True):
@@ -69,10 +70,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, second: np.ndarray, pieces: list[bytes]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
         length = np.fromiter(map(len, got), np.int64, len(got))
         total = int(length.sum())
@@ -82,11 +84,13 @@ class Encoder:
         start = self.used + np.cumsum(length) - length
         self.used += total
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.length = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.length, at, length)
+        self.keys, self.second = np.insert(self.keys, at, keys), np.insert(self.second, at, second)
+        self.start, self.length = np.insert(self.start, at, start), np.insert(self.length, at, length)
 
-    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a block, and where each text's begin."""
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a block, and where each text's begin; none if two pieces have the same hash."""
         w = pieces_of(data, offsets)
+        second = polynomial(w.folded.astype(np.uint64) + np.uint64(7), w.starts, w.ends, 0x5851F42D4C957F2D)
         if len(self.keys) > KNOWN_PIECES:
             self._forget()
         distinct, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -95,8 +99,10 @@ class Encoder:
         if len(self.keys):
             new = self.keys[np.minimum(at, len(self.keys) - 1)] != distinct
         if new.any():
-            self._learn(distinct[new], [w.word(i) for i in first[new].tolist()])
+            self._learn(distinct[new], second[first[new]], [w.word(i) for i in first[new].tolist()])
             at = np.searchsorted(self.keys, distinct)
+        if (self.second[at][back] != second).any():
+            return None
         length = self.length[at][back]
         stop = np.cumsum(length)
         bounds = np.concatenate([[0], stop])[w.first]
@@ -114,7 +120,10 @@ class Encoder:
             whole = set()
             if not self.spaced or any(s in raw for s in self.special):
                 whole = {k for k in range(stop - row) if not self.spaced or any(s in raw[bounds[k] : bounds[k + 1]] for s in self.special)}
-            ids, cut = self._block(data, offsets) if self.spaced else (np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64))
+            found = self._block(data, offsets) if self.spaced else None
+            if found is None:
+                whole = set(range(stop - row))
+            ids, cut = found or (np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64))
             cut = cut.tolist()
             for k in range(stop - row):
                 yield self._whole(raw[bounds[k] : bounds[k + 1]]) if k in whole else ids[cut[k] : cut[k + 1]].tobytes()

@@ -17,7 +17,7 @@ from .common import remainder
 from .shared import bounded_batches, cut_lineage
 from .words import ALNUM, blocks, words_of
 
-BUCKETS, KEPT, TRAIN_ROWS, PARTS, STEPS, RATE, PENALTY, CLEAR = 1 << 18, 4096, 20_000, 8, 40, 0.25, 1e-3, 2.5
+BUCKETS, KEPT, TRAIN_ROWS, PARTS, STEPS, RATE, PENALTY, CLEAR = 1 << 18, 4096, 20_000, 8, 60, 0.25, 1e-5, 5.0
 #: Lengths of word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 _ENDS = np.zeros(256, bool)
@@ -58,6 +58,23 @@ class Model:
         }
 
 
+def gradient_of(y: np.ndarray, empty: np.ndarray, pairs: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Gradient of the documents' log likelihood by weights and bias. ``empty`` sentences of each have no telling word; ``pairs``
+    are the (sentence, word) numbers of the others, as 32-bit integers."""
+    text = np.repeat(np.arange(len(y)), [len(r) // 8 for r in pairs])
+    both = np.frombuffer(b"".join(pairs), np.int32).reshape(-1, 2)
+    _, at = np.unique(text * (1 << 32) + both[:, 0], return_inverse=True)
+    n = at.max() + 1 if len(at) else 0
+    owner = np.zeros(n, np.int64)
+    owner[at] = text
+    p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(at, weights[both[:, 1]], n), -30, 30)))
+    rest = 1 / (1 + np.exp(-bias))
+    clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + empty * np.log1p(-rest)
+    toxic = np.maximum(1 - np.exp(clean), 1e-9)
+    pull = np.where(y, (1 - toxic) / toxic, -1.0)
+    return np.append(np.bincount(both[:, 1], (p * pull[owner])[at], len(weights)), (p * pull[owner]).sum() + (empty * rest * pull).sum())
+
+
 def _set(batches, fit_rows):
     for b in batches:
         y = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -69,6 +86,8 @@ def _set(batches, fit_rows):
 def fit(labelled: DataFrame) -> Model:
     """labelled: (text, y), at most TRAIN_ROWS rows, checkpointed. Without toxic rows every score is near zero.
 
+    A bucket is telling if the share of toxic documents that have it lies ``CLEAR`` deviations above that of clean ones, so that rare
+    words of one or two documents explain nothing. Weights are penalised little, since many telling words never stand in clean text.
     The rows are bounded, so few partitions take them, and as many partial sums reach the driver at any size of input.
     """
     labelled = labelled.coalesce(PARTS)
@@ -129,25 +148,11 @@ def fit(labelled: DataFrame) -> Model:
         def gradient(batches, weights=weights, bias=bias):
             out = np.zeros(len(weights) + 1)
             for b in batches:
-                y, empty = b.column(0).to_numpy().astype(bool), b.column(1).to_numpy()
-                raw = b.column(2).to_pylist()
-                text = np.repeat(np.arange(len(y)), [len(r) // 8 for r in raw])
-                both = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2)
-                _, at = np.unique(text * (1 << 32) + both[:, 0], return_inverse=True)
-                n = at.max() + 1 if len(at) else 0
-                owner = np.zeros(n, np.int64)
-                owner[at] = text
-                p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(at, weights[both[:, 1]], n), -30, 30)))
-                rest = 1 / (1 + np.exp(-bias))
-                clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + empty * np.log1p(-rest)
-                toxic = np.maximum(1 - np.exp(clean), 1e-9)
-                pull = np.where(y, (1 - toxic) / toxic, -1.0)
-                out[:-1] += np.bincount(both[:, 1], (p * pull[owner])[at], len(weights))
-                out[-1] += (p * pull[owner]).sum() + (empty * rest * pull).sum()
+                out += gradient_of(b.column(0).to_numpy().astype(bool), b.column(1).to_numpy(), b.column(2).to_pylist(), weights, bias)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["g"])
 
         g = sum(np.frombuffer(r[0]) for r in sorted(bags.mapInArrow(gradient, "g binary").collect())) / (total[0] + total[1])
-        g[:-1] -= PENALTY * weights / 10
+        g[:-1] -= PENALTY * weights
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
         weights, bias = weights + move[:-1], bias + move[-1]
