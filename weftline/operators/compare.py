@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.stats import chi2_sf, kolmogorov_p
 
+from .lineage import cut
+
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     q = lambda p: F.percentile(value, F.lit(p))
@@ -34,13 +36,12 @@ def lorenz(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def _pairs(counts: DataFrame) -> DataFrame:
-    """Values of every two groups side by side: (g1, g2, x, c1, c2)."""
-    groups = counts.select("g").distinct()
-    two = groups.withColumnRenamed("g", "g1").join(groups.withColumnRenamed("g", "g2"), F.col("g1") < F.col("g2"))
-    xs = counts.select("x").distinct()
-    grid = two.join(xs, F.lit(True))
-    one = grid.join(counts.select(F.col("g").alias("g1"), "x", F.col("c").alias("c1")), ["g1", "x"], "left")
-    return one.join(counts.select(F.col("g").alias("g2"), "x", F.col("c").alias("c2")), ["g2", "x"], "left").fillna(0, ["c1", "c2"])
+    """Values that either of two groups has, for every two groups: (g1, g2, x, c1, c2). Each count goes to the pairs of its group."""
+    counts = cut(counts)
+    other = cut(counts.select(F.col("g").alias("h")).distinct())
+    first = F.col("g") < F.col("h")
+    rows = counts.join(other, F.col("g") != F.col("h")).select(F.least("g", "h").alias("g1"), F.greatest("g", "h").alias("g2"), "x", F.when(first, F.col("c")).otherwise(0).alias("c1"), F.when(first, 0).otherwise(F.col("c")).alias("c2"))
+    return rows.groupBy("g1", "g2", "x").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
 
 
 def kolmogorov_smirnov(df: DataFrame, group: str, value: str) -> DataFrame:

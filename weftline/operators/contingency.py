@@ -1,8 +1,9 @@
 """Co-occurrence of items on units as 2x2 tables per stratum.
 
 ``incidence`` frames have strata columns, ``unit`` and ``item``, one row for each item present. A unit's items are gathered into one
-sorted array (a shuffle by unit), pairs come out of that array, and counts are pre-aggregated before the second shuffle.
-Margins and sizes are joined to the pairs; both have one row per stratum and item.
+sorted array (a shuffle by unit) and written as a table, from which pairs, margins and sizes are read; counts are pre-aggregated
+before the second shuffle. Margins and sizes are joined to the pairs; both have one row per stratum and item. A unit with more than
+``LONG`` items is cut into chunks, and pairs of chunks are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.metrics import lift
 
+from .lineage import cut
+
 CELLS = ("a", "b", "c", "d", "fl", "fr", "n")
+LONG = 2000
 
 
 def incidence_from_wide(wide: DataFrame, unit: str, suffix: str = "_Tested", strata: list[str] = (), keep_absent: bool = False) -> DataFrame:
@@ -34,17 +38,30 @@ def _fill(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("d", F.col("n") - F.col("fl") - F.col("fr") + F.col("a"))
 
 
+def _left_items(sets: DataFrame, keep: list[str], items: str = "items") -> DataFrame:
+    """(keep, items, i, left_item) of every item of a unit, to be paired with what stands right of place i. Units of more than
+    ``LONG`` items are cut into chunks, and every two chunks are dealt to a task of their own."""
+    short, long = sets.filter(F.size(items) <= LONG), sets.filter(F.size(items) > LONG)
+    chunk = lambda c: F.slice(items, F.col(c) * LONG + 1, F.lit(LONG))
+    last = F.floor((F.size(items) - 1) / LONG).cast("int")
+    two = long.withColumn("_c", F.explode(F.sequence(F.lit(0), last))).withColumn("_d", F.explode(F.sequence(F.col("_c"), last)))
+    two = two.select(*keep, chunk("_c").alias("_l"), chunk("_d").alias("_r"), (F.col("_c") == F.col("_d")).alias("_same")).repartition(F.xxhash64("_l", "_r"))
+    two = two.select(*keep, "_l", "_r", "_same", F.posexplode("_l").alias("_p", "left_item"))
+    rest = F.when(F.col("_same"), F.slice("_l", F.col("_p") + 1, F.lit(LONG))).otherwise(F.concat(F.array("left_item"), "_r"))
+    return short.select(*keep, items, F.posexplode(items).alias("i", "left_item")).unionByName(two.select(*keep, rest.alias(items), F.lit(0).alias("i"), "left_item"))
+
+
 def pair_counts(inc: DataFrame, strata: list[str], complete: bool = True) -> DataFrame:
     """(strata, left_item, right_item, CELLS) with left_item < right_item.
 
     ``complete`` also gives pairs that never meet: item x item within a stratum, as many rows as the result has.
     """
-    rows = inc.select(*strata, "unit", "item").distinct()
-    sets = rows.groupBy(*strata, "unit").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    left = sets.select(*strata, "items", F.posexplode("items").alias("i", "left_item"))
+    sets = cut(inc.select(*strata, "unit", "item").groupBy(*strata, "unit").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    left = _left_items(sets, strata)
     met = left.select(*strata, "left_item", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("right_item"))
     met = met.groupBy(*strata, "left_item", "right_item").agg(F.count("*").alias("a"))
-    f, n = margins(rows, strata)
+    f = cut(sets.select(*strata, F.explode("items").alias("item")).groupBy(*strata, "item").agg(F.count("*").alias("f")))
+    n = cut(sets.groupBy(*strata).agg(F.count("*").alias("n")))
     fl, fr = f.withColumnRenamed("item", "left_item").withColumnRenamed("f", "fl"), f.withColumnRenamed("item", "right_item").withColumnRenamed("f", "fr")
     if complete:
         grid = (fl.join(fr, strata) if strata else fl.join(fr, F.lit(True))).filter("left_item < right_item")
@@ -90,7 +107,7 @@ def pair_counts_excluding(values: DataFrame, strata: list[str]) -> DataFrame:
     """
     rows = values.filter(F.col("value").isin(0, 1)).select(*strata, "unit", "item", F.col("value").cast("int").alias("value"))
     sets = rows.groupBy(*strata, "unit").agg(F.sort_array(F.collect_set(F.struct("item", "value"))).alias("s"))
-    left = sets.select(*strata, "s", F.posexplode("s").alias("i", "l"))
+    left = _left_items(cut(sets), strata, "s").withColumnRenamed("left_item", "l")
     met = left.select(*strata, F.col("l.item").alias("left_item"), F.col("l.value").alias("x"), F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("r"))
     cell = lambda x, y: F.count_if((F.col("x") == x) & (F.col("r.value") == y))
     met = met.groupBy(*strata, "left_item", F.col("r.item").alias("right_item")).agg(cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"))
@@ -123,6 +140,7 @@ def check_binary(wide: DataFrame, columns: list[str]) -> DataFrame:
 def with_item_weights(pairs: DataFrame, strata: list[str], domain: DataFrame | None = None, beta: float = 20.0, kappa: float = 1.0, unit_norm: bool = False) -> DataFrame:
     """Adds wl, wr (robust inverse frequency: 1 + kappa tanh of its deviation from the stratum's median in MADs), il, ir (smooth
     inverse frequency, of unit length over the stratum's items if ``unit_norm``) and gl, gr (``domain``: item, factor; else 1)."""
+    pairs = cut(pairs)
     items = pairs.select(*strata, F.col("left_item").alias("item"), F.col("fl").alias("f"), "n").unionByName(pairs.select(*strata, F.col("right_item").alias("item"), F.col("fr").alias("f"), "n")).distinct()
     items = items.withColumn("x", F.log((F.col("n") + beta) / (F.col("f") + beta))).withColumn("i", F.log((F.col("n") + 1) / (F.col("f") + 1)) + 1)
     over = Window.partitionBy(*strata)
@@ -148,15 +166,17 @@ def tfidf(inc: DataFrame, strata: list[str], smooth: bool = True, cosine: bool =
     rows = inc.select(*strata, "unit", "item").distinct()
     count = rows.groupBy(*strata).agg(F.count_distinct("item").alias("items"))
     sets = rows.groupBy(*strata, "unit").agg(F.sort_array(F.collect_set("item")).alias("s"))
+    count = cut(count)
     sets = sets.join(count, strata) if strata else sets.join(count, F.lit(True))
     df = F.size("s")
     idf = F.log((1 + F.col("items")) / (1 + df)) + 1 if smooth else F.log(F.col("items") / df) + 1
     sets = sets.withColumn("w", idf * idf)
-    left = sets.select(*strata, "w", "s", F.posexplode("s").alias("i", "left_item"))
+    sets = cut(sets)
+    left = _left_items(sets, [*strata, "w"], "s")
     pairs = left.select(*strata, "w", "left_item", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("right_item"))
     pairs = pairs.groupBy(*strata, "left_item", "right_item").agg(F.sum("w").alias("similarity"))
     if cosine:
-        length = left.groupBy(*strata, "left_item").agg(F.sqrt(F.sum("w")).alias("length"))
+        length = sets.select(*strata, "w", F.explode("s").alias("left_item")).groupBy(*strata, "left_item").agg(F.sqrt(F.sum("w")).alias("length"))
         for side in ("left", "right"):
             pairs = pairs.join(length.withColumnRenamed("left_item", f"{side}_item").withColumnRenamed("length", side), [*strata, f"{side}_item"])
         pairs = pairs.withColumn("similarity", F.col("similarity") / (F.col("left") * F.col("right")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def group_sizes(units: DataFrame, groups: list[str]) -> DataFrame:
     return units.groupBy(*groups).agg(F.count_distinct("unit").alias("n"))
@@ -12,15 +14,16 @@ def group_sizes(units: DataFrame, groups: list[str]) -> DataFrame:
 
 def rates(inc: DataFrame, units: DataFrame, groups: list[str], complete: bool = True) -> DataFrame:
     """(groups, item, count, n, rate): units of the group with the item, all its units, their ratio. ``units`` has one row per
-    unit with its groups. ``complete`` also gives items that a group lacks, so groups x items rows."""
-    sizes = group_sizes(units, groups)
+    unit with its groups. ``complete`` also gives items that a group lacks, so groups x items rows. The result is written once, as
+    what follows reads it more than once."""
+    sizes = cut(group_sizes(units, groups))
     counts = inc.select("unit", "item").distinct().join(units.select("unit", *groups), "unit").groupBy(*groups, "item").agg(F.count("*").alias("count"))
     if complete:
-        grid = sizes.join(inc.select("item").distinct(), F.lit(True))
+        grid = sizes.join(cut(inc.select("item").distinct()), F.lit(True))  # tables of known size: the smaller is broadcast
         out = grid.join(counts, [*groups, "item"], "left").fillna(0, ["count"])
     else:
         out = counts.join(sizes, groups)
-    return out.select(*groups, "item", "count", "n", (F.col("count") / F.col("n")).alias("rate"))
+    return cut(out.select(*groups, "item", "count", "n", (F.col("count") / F.col("n")).alias("rate")))
 
 
 def per_100k(rates_: DataFrame, population: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def _two(n):
     return n * (n - 1) / 2
@@ -42,6 +44,7 @@ def cohesion(pairs: DataFrame, communities: DataFrame, keys: list[str]) -> DataF
 
 def silhouette(pairs: DataFrame, communities: DataFrame, keys: list[str]) -> DataFrame:
     """Mean silhouette by distance 1 - similarity; null with fewer than two communities, 0 for a node alone in its own."""
+    pairs, communities = cut(pairs), cut(communities)
     one = pairs.select(*keys, F.col("left_item").alias("node"), F.col("right_item").alias("other"), (1 - F.col("similarity")).alias("d"))
     both = one.unionByName(one.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"), "d"))
     to = both.join(communities.select(*keys, F.col("node").alias("other"), F.col("community").alias("c_other")), [*keys, "other"]).join(communities, [*keys, "node"])

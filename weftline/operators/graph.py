@@ -46,6 +46,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(network_id, clustering, weighted_clustering): means over all nodes; the weighted one takes the cube root of the product of
     a triangle's weights, each over the network's largest."""
+    edges = cut(edges)
     most = edges.groupBy("network_id").agg(F.max("similarity").alias("top"))
     e = edges.join(most, "network_id").select("network_id", "left_item", "right_item", (F.col("similarity") / F.col("top")).alias("w"))
     uv = e.select("network_id", F.col("left_item").alias("a"), F.col("right_item").alias("b"), F.col("w").alias("w1"))
@@ -61,7 +62,8 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(network_id, n_nodes, n_edges, density, mean_degree, mean_strength, assortativity)."""
-    d = degrees(nodes, edges)
+    edges = cut(edges)
+    d = cut(degrees(nodes, edges))
     base = d.groupBy("network_id").agg(F.count("*").alias("n_nodes"), (F.sum("degree") / 2).cast("long").alias("n_edges"), F.avg("degree").alias("mean_degree"), F.avg("strength").alias("mean_strength"))
     n = F.col("n_nodes")
     base = base.withColumn("density", F.when(n > 1, 2 * F.col("n_edges") / (n * (n - 1))).otherwise(0.0))
@@ -69,9 +71,9 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return base.join(both.groupBy("network_id").agg(F.corr("du", "dv").alias("assortativity")), "network_id", "left")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(network_id, node, component): the smallest node that can be reached. Labels spread by minima and then jump to their
-    label's label; a checkpoint ends each round."""
+    label's label; a table ends each round. Labels that still move after ``max_rounds`` are an error."""
     links = mirrored(edges).select("network_id", "u", "v").persist()
     labels = cut(nodes.select("network_id", "node", F.col("node").alias("component")))
     for _ in range(max_rounds):
@@ -82,9 +84,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
         moved = new.filter("moved").limit(1).count()
         labels = new.drop("moved")
         if not moved:
-            break
-    links.unpersist()
-    return labels
+            links.unpersist()
+            return labels
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
 def modularity(edges: DataFrame, communities: DataFrame, gamma: float = 1.0, keys: list[str] = NET) -> DataFrame:

@@ -42,10 +42,10 @@ def adjusted(df: DataFrame, family: list[str], p: str = "p_value", method: str =
     if method == "bonferroni":
         return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * m)))
     df = df.withColumn("_m", m).withColumn("_i", F.row_number().over(tests.orderBy(p)))
-    factor = F.aggregate(F.sequence(F.lit(1), F.col("_m")), F.lit(0.0), lambda s, k: s + 1 / k) if method == "by" else F.lit(1.0)
-    raw = F.col(p) * F.col("_m") / F.col("_i") * factor
-    q = F.min(raw).over(tests.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("_m", "_i")
+    factor = F.sum(1 / F.col("_i")).over(tests) if method == "by" else F.lit(1.0)
+    df = df.withColumn("_q", F.col(p) * F.col("_m") / F.col("_i") * factor)
+    q = F.min("_q").over(tests.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("_m", "_i", "_q")
 
 
 def fdr(edges: DataFrame, family: list[str], p: Column, alpha: float = 0.05, method: str = "bh", mode: str = "hard", min_weight: float = 0.0) -> DataFrame:
@@ -63,9 +63,8 @@ def prune(edges: DataFrame, family: list[str], alpha: float = 0.05, min_total: i
     enough = (F.col("n") >= min_total) & (F.col("a") >= min_both)
     if tau is not None:
         enough &= F.col("similarity") >= tau
-    tested = edges.filter(enough).withColumn("p_value", fisher())
-    rest = edges.filter(~enough).withColumn("p_value", F.lit(None).cast("double"))
-    out = adjusted(tested.unionByName(rest), family)
+    a, fl, fr, n = (F.when(enough, F.col(c)) for c in ("a", "fl", "fr", "n"))
+    out = adjusted(edges.withColumn("p_value", fisher_p()(a, fl, fr, n)), family)
     return out.withColumn("keep", F.coalesce(F.col("q_value") <= alpha, F.lit(False)))
 
 
@@ -79,8 +78,7 @@ def retention(pruned: DataFrame, by: list[str], tau: float) -> DataFrame:
 def backbone(edges: DataFrame, family: list[str], alpha: float = 0.05, min_support: int = 5, min_margin: int = 20, tau: float = 1.0) -> DataFrame:
     """log_odds (maximum likelihood), p_value (greater), q_value, gate and weight 1/(1+exp(-log_odds/tau)) of screened edges."""
     screened = (F.col("a") >= min_support) & (F.col("fl") >= min_margin) & (F.col("fr") >= min_margin)
-    some = edges.filter(screened).withColumn("log_odds", log_odds_mle(F.col("a"), F.col("fl"), F.col("fr"), F.col("n"))).withColumn("p_value", fisher("greater"))
-    rest = edges.filter(~screened).withColumn("log_odds", F.lit(None).cast("double")).withColumn("p_value", F.lit(None).cast("double"))
-    out = adjusted(some.unionByName(rest), family)
+    cells = [F.when(screened, F.col(c)) for c in ("a", "fl", "fr", "n")]
+    out = adjusted(edges.withColumn("log_odds", log_odds_mle(*cells)).withColumn("p_value", fisher_p("greater")(*cells)), family)
     gate = F.coalesce((F.col("q_value") <= alpha) & (F.col("log_odds") > 0), F.lit(False))
     return out.withColumn("gate", gate).withColumn("weight", F.when(gate, 1 / (1 + F.exp(-F.col("log_odds") / tau))).otherwise(0.0))

@@ -93,8 +93,8 @@ def split_points(values: np.ndarray, penalty: float, least: int = 3) -> list[int
     return out[::-1]
 
 
-def breaks(series: DataFrame, keys: list[str], value: str = "count", least: int = 3, most: int = 2) -> DataFrame:
-    """(keys, break_number, month) of the first ``most`` level shifts of each series: the last month before the shift.
+def breaks(series: DataFrame, keys: list[str], value: str = "count", least: int = 3, most: int | None = None) -> DataFrame:
+    """(keys, break_number, month) of the level shifts of each series (the first ``most``): the last month before the shift.
 
     A group is one monthly series, some hundred rows at most; the penalty is three times the log of its length.
     """
