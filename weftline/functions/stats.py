@@ -46,10 +46,14 @@ def support(fl: int, fr: int, n: int, tilt: float = 0.0) -> tuple[int, int]:
     return max(low, int(mode) - reach), min(high, int(mode) + reach)
 
 
+def _weights(k: np.ndarray, fl: int, fr: int, n: int) -> np.ndarray:
+    """Log probabilities of counts of both, given margins, but for a constant."""
+    return -log_gamma(np.concatenate([k + 1, fl - k + 1, fr - k + 1, n - fl - fr + k + 1])).reshape(4, -1).sum(0)
+
+
 def _logs(k: np.ndarray, fl: int, fr: int, n: int) -> np.ndarray:
-    """Log probabilities of counts of both, given margins."""
-    parts = [log_gamma(np.array([x + 1.0])) for x in (fl, n - fl, fr, n - fr, n)]
-    return (parts[0] + parts[1] + parts[2] + parts[3] - parts[4]) - (log_gamma(k + 1) + log_gamma(fl - k + 1) + log_gamma(fr - k + 1) + log_gamma(n - fl - fr + k + 1))
+    top = log_gamma(np.array([fl + 1.0, n - fl + 1, fr + 1, n - fr + 1, n + 1]))
+    return _weights(k, fl, fr, n) + top[:4].sum() - top[4]
 
 
 def fisher_tail(a: int, fl: int, fr: int, n: int, tail: str) -> float:
@@ -175,25 +179,29 @@ def clopper_pearson(count: pa.Array, n: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("low", pa.float64()), ("high", pa.float64())]))
 
 
+def tilted_odds(x: int, l: int, r: int, t: int) -> float:
+    """Log odds ratio whose noncentral hypergeometric mean is x; ±20 at the ends of the range. Newton's steps, at most 2 long."""
+    low, high = max(0, l + r - t), min(l, r)
+    if x in (low, high):
+        return 0.0 if low == high else -20.0 if x == low else 20.0
+    tilt = math.log((x + 0.5) * (t - l - r + x + 0.5) / ((l - x + 0.5) * (r - x + 0.5)))
+    for _ in range(100):
+        first, last = support(l, r, t, tilt)
+        k = np.arange(first, last + 1, dtype=float)
+        w = _weights(k, l, r, t) + tilt * k
+        w = np.exp(w - w.max())
+        w /= w.sum()
+        mean = (k * w).sum()
+        step = (mean - x) / max(((k - mean) ** 2 * w).sum(), 1e-9)
+        tilt = min(20.0, max(-20.0, tilt - min(2.0, max(-2.0, step))))
+        if abs(step) < 1e-11:
+            break
+    return tilt
+
+
 @F.arrow_udf(DoubleType())
 def log_odds_mle(a: pa.Array, fl: pa.Array, fr: pa.Array, n: pa.Array) -> pa.Array:
-    """Log odds ratio whose noncentral hypergeometric mean is the count seen; ±20 at the ends of the range."""
-    out = []
-    for x, l, r, t in zip(a.to_pylist(), fl.to_pylist(), fr.to_pylist(), n.to_pylist(), strict=True):
-        if None in (x, l, r, t):
-            out.append(None)
-            continue
-        low, high = max(0, l + r - t), min(l, r)
-        if x in (low, high):
-            out.append(0.0 if low == high else -20.0 if x == low else 20.0)
-            continue
-        lo, hi = -20.0, 20.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            first, last = support(l, r, t, mid)
-            k = np.arange(first, last + 1, dtype=float)
-            w = _logs(k, l, r, t) + mid * k
-            w = np.exp(w - w.max())
-            lo, hi = (mid, hi) if (k * w).sum() / w.sum() < x else (lo, mid)
-        out.append((lo + hi) / 2)
-    return pa.array(out, pa.float64())
+    """Maximum likelihood log odds of 2x2 tables; null counts give null. Equal tables are computed once in a batch."""
+    rows = list(zip(a.to_pylist(), fl.to_pylist(), fr.to_pylist(), n.to_pylist(), strict=True))
+    found = {r: None if None in r else tilted_odds(*r) for r in set(rows)}
+    return pa.array([found[r] for r in rows], pa.float64())
