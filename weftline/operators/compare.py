@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.stats import chi2_sf, kolmogorov_p
+from weftline.functions.stats import chi2_sf, erfc, kolmogorov_p
 
 from .lineage import cut
+from .significance import adjusted
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -82,3 +83,55 @@ def welch(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
     side = lambda g, s: df.filter(F.col(group) == g).agg(F.avg(value).alias(f"m{s}"), F.var_samp(value).alias(f"v{s}"), F.count(value).cast("double").alias(f"n{s}"))
     both = side(first, 1).join(side(second, 2), F.lit(True))
     return both.selectExpr("(m1 - m2) / sqrt(v1 / n1 + v2 / n2) as t", "pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) as df", "(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) as cohens_d")
+
+
+def _ranked(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of value counts: (g, k, r) sizes and rank sums, ties at their mean rank; and (n, ties)."""
+    counts = cut(counts)
+    values = counts.groupBy("x").agg(F.sum("c").alias("t"))
+    up_to = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = values.withColumn("rank", F.sum("t").over(up_to) - (F.col("t") - 1) / 2)
+    size = values.agg(F.sum("t").cast("double").alias("n"), F.sum(F.expr("double(t) * t * t - t")).alias("ties"))
+    return counts.join(ranks, "x").groupBy("g").agg(F.sum("c").alias("k"), F.sum(F.col("rank") * F.col("c")).alias("r")), size
+
+
+def dunn(df: DataFrame, group: str, value: str, method: str = "bh") -> DataFrame:
+    """(g1, g2, z, p_value, q_value) of every two groups after a rank test over all groups; ties corrected, q over all pairs."""
+    sums, size = _ranked(value_counts(df, group, value))
+    sums = cut(sums)
+    one, two = (sums.select(F.col("g").alias(f"g{i}"), F.col("k").alias(f"k{i}"), (F.col("r") / F.col("k")).alias(f"m{i}")) for i in (1, 2))
+    rows = one.join(two, F.col("g1") < F.col("g2")).join(cut(size), F.lit(True))
+    spread = F.expr("sqrt((n * (n + 1) / 12 - ties / (12 * (n - 1))) * (1 / k1 + 1 / k2))")
+    rows = rows.withColumn("z", (F.col("m1") - F.col("m2")) / spread).withColumn("p_value", erfc(F.abs("z") / 2**0.5))
+    return adjusted(rows.withColumn("_all", F.lit(0)), ["_all"], method=method).select("g1", "g2", "z", "p_value", "q_value")
+
+
+def ordered_dunn_trend(df: DataFrame, order: DataFrame, group: str, value: str) -> DataFrame:
+    """(ascending, min_adjacent_p): whether medians rise in the given order (group, place), and the least Dunn p of neighbours."""
+    medians = df.groupBy(F.col(group).alias("g")).agg(F.percentile(value, F.lit(0.5)).alias("median")).join(order.select(F.col(group).alias("g"), "place"), "g")
+    w = Window.orderBy("place")
+    steps = cut(medians.select("g", "median", F.lag("median").over(w).alias("before"), F.lag("g").over(w).alias("h")))
+    pairs = dunn(df, group, value)
+    near = steps.filter("h is not null").select(F.least("g", "h").alias("g1"), F.greatest("g", "h").alias("g2")).join(pairs, ["g1", "g2"])
+    return steps.agg(F.coalesce(F.bool_and(F.col("median") >= F.col("before")), F.lit(True)).alias("ascending")).join(near.agg(F.min("p_value").alias("min_adjacent_p")), F.lit(True))
+
+
+def decisions(df: DataFrame, group: str, value: str, min_median: float = 1.0, min_share: float = 0.5, min_delta: float = 0.147, alpha: float = 0.05) -> DataFrame:
+    """(median_range, ks_share, max_delta, median_ok, ks_ok, delta_ok): the range of group medians, the share of group pairs whose
+    distributions differ, and the largest absolute Cliff's delta, each against its limit."""
+    medians = df.groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("m")).agg((F.max("m") - F.min("m")).alias("median_range"))
+    ks = kolmogorov_smirnov(df, group, value).agg(F.avg((F.col("p_value") < alpha).cast("int")).alias("ks_share"))
+    delta = cliffs_delta(df, group, value).agg(F.max(F.abs("delta")).alias("max_delta"))
+    out = medians.join(ks, F.lit(True)).join(delta, F.lit(True))
+    return out.select("*", (F.col("median_range") >= min_median).alias("median_ok"), (F.col("ks_share") >= min_share).alias("ks_ok"), (F.col("max_delta") >= min_delta).alias("delta_ok"))
+
+
+def mann_whitney(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
+    """(n1, n2, u, z, p_value) of two groups; ties corrected, with continuity correction. u counts pairs in which the first is larger,
+    ties half."""
+    sums, size = _ranked(value_counts(df.filter(F.col(group).isin(first, second)), group, value))
+    both = sums.agg(*[F.max(F.when(F.col("g") == g, F.col(c))).cast("double").alias(f"{c}{i}") for i, g in ((1, first), (2, second)) for c in ("k", "r")]).join(size, F.lit(True))
+    both = both.withColumn("u", F.expr("r1 - k1 * (k1 + 1) / 2")).withColumn("away", F.expr("u - k1 * k2 / 2"))
+    spread = F.expr("sqrt(k1 * k2 / 12 * (n + 1 - ties / (n * (n - 1))))")
+    z = F.signum("away") * F.greatest(F.abs("away") - 0.5, F.lit(0.0)) / spread
+    return both.select(F.col("k1").cast("long").alias("n1"), F.col("k2").cast("long").alias("n2"), "u", z.alias("z"), erfc(F.abs(z) / 2**0.5).alias("p_value"))

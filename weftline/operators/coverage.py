@@ -26,8 +26,35 @@ def rates(inc: DataFrame, units: DataFrame, groups: list[str], complete: bool =
     return cut(out.select(*groups, "item", "count", "n", (F.col("count") / F.col("n")).alias("rate")))
 
 
-def per_100k(rates_: DataFrame, population: DataFrame, key: str) -> DataFrame:
-    """Counts per 100,000 of a population (key, population); a group without one takes the mean of all."""
+def metric(inc: DataFrame, units: DataFrame, groups: list[str], how: str, population: DataFrame | None = None) -> DataFrame:
+    """(groups, item, numerator, denominator, value): ``sum`` (units with the item), ``mean`` (their share), ``percentage`` and
+    ``coverage`` (in percent; of an empty group 0), or ``per_100k`` of a population (groups, population)."""
+    r = rates(inc, units, groups)
+    if how == "per_100k":
+        out = per_100k(r, population, groups)
+        return out.select(*groups, "item", F.col("count").alias("numerator"), F.col("population").alias("denominator"), F.col("per_100k").alias("value"))
+    share = F.col("count") / F.greatest(F.col("n"), F.lit(1))
+    value = {"sum": F.col("count").cast("double"), "mean": share, "percentage": share * 100, "coverage": share * 100}[how]
+    return r.select(*groups, "item", F.col("count").alias("numerator"), F.col("n").alias("denominator"), value.alias("value"))
+
+
+def group_comparison(inc: DataFrame, units: DataFrame, group: str, classes: DataFrame | None = None, min_size: int = 0, how: str = "coverage") -> DataFrame:
+    """(scope, name, group, numerator, denominator, value, place): items, and item classes (item, item_group) if given, by groups of
+    at least ``min_size`` units; ``place`` ranks a name's groups, highest first."""
+    sizes = units.groupBy(group).agg(F.count_distinct("unit").alias("_n")).filter(F.col("_n") >= min_size).select(group)
+    kept = units.join(sizes, group, "left_semi")
+    parts = [metric(inc, kept, [group], how).withColumn("scope", F.lit("item"))]
+    if classes is not None:
+        whole = inc.select("unit", "item").join(classes.select("item", "item_group"), "item").select("unit", F.col("item_group").alias("item")).distinct()
+        parts.append(metric(whole, kept, [group], how).withColumn("scope", F.lit("class")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    place = F.row_number().over(Window.partitionBy("scope", "item").orderBy(F.desc("value"), group))
+    return out.select("scope", F.col("item").alias("name"), group, "numerator", "denominator", "value", place.alias("place"))
+
+
+def per_100k(rates_: DataFrame, population: DataFrame, key: str | list[str]) -> DataFrame:
+    """Counts per 100,000 of a population (key, population), so by sex if sex is among the keys; a group without one takes the mean
+    of all."""
     mean = population.agg(F.avg("population").alias("_mean"))
     out = rates_.join(population, key, "left").join(mean, F.lit(True))
     return out.withColumn("per_100k", F.col("count") * 100_000 / F.coalesce("population", "_mean")).drop("_mean")
@@ -130,6 +157,29 @@ def pattern_matrix(rates_: DataFrame, groups: list[str], min_mean: float = 0.0)
     return rates_.join(items, "item").select(*groups, "item", "rate", "mean", "tier")
 
 
+def column_profile(df: DataFrame, rsd: float | None = None) -> DataFrame:
+    """(column, type, role, rows, nulls, distinct, min, max, mean, q25, median, q75) in one pass: ``distinct`` is exact, or an estimate
+    of relative error ``rsd``. Roles: id (as many values as rows), constant, date, number, category (at most 50 values), text."""
+    number = ("int", "bigint", "double", "float", "smallint", "tinyint", "decimal")
+    entries = []
+    for c, t in df.dtypes:
+        x = F.col(f"`{c}`")
+        some = t.startswith(number)
+        q = [F.percentile_approx(x.cast("double"), p, 10_000) if some else F.lit(None).cast("double") for p in (0.25, 0.5, 0.75)]
+        count = F.count_distinct(x) if rsd is None else F.approx_count_distinct(x, rsd)
+        entries.append(F.struct(F.lit(t).alias("type"), F.count("*").alias("rows"), (F.count("*") - F.count(x)).alias("nulls"), count.alias("distinct"), F.min(x).cast("string").alias("min"), F.max(x).cast("string").alias("max"), (F.avg(x) if some else F.lit(None).cast("double")).alias("mean"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75")).alias(c))
+    out = df.agg(*entries).unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "v").select("column", "v.*")
+    d, t = F.col("distinct"), F.col("type")
+    role = F.when(d <= 1, "constant").when((d == F.col("rows")) & ~t.isin("double", "float"), "id").when(t.startswith("date") | t.startswith("timestamp"), "date").when(t.rlike("^(" + "|".join(number) + ")"), "number").when(d <= 50, "category").otherwise("text")
+    return out.select("column", "type", role.alias("role"), *[c for c in out.columns if c not in ("column", "type")])
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """(rows, duplicates): rows, and how many of them repeat an earlier one."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return df.groupBy(*names).agg(F.count("*").alias("_n")).agg(F.sum("_n").alias("rows"), (F.sum("_n") - F.count("*")).alias("duplicates"))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """(column, type, rows, nulls, distinct, constant, key): every column in one exact pass."""
     n = F.count("*")

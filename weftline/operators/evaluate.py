@@ -74,9 +74,11 @@ def over_seeds(scores: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     return scores.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
-def best_configuration(scores: DataFrame, dataset: list[str], score: str, parameters: list[str]) -> DataFrame:
-    """The row of the highest score of each dataset; ties by the parameters."""
-    return scores.withColumn("_k", F.row_number().over(Window.partitionBy(*dataset).orderBy(F.desc_nulls_last(score), *parameters))).filter("_k = 1").drop("_k")
+def best_configuration(scores: DataFrame, dataset: list[str], score: str | list[str], parameters: list[str]) -> DataFrame:
+    """The row of the highest score of each dataset. Of several scores the first that has a value anywhere in a dataset decides, the
+    next ones break ties; then the parameters do."""
+    order = [F.desc_nulls_last(s) for s in ([score] if isinstance(score, str) else score)]
+    return scores.withColumn("_k", F.row_number().over(Window.partitionBy(*dataset).orderBy(*order, *parameters))).filter("_k = 1").drop("_k")
 
 
 def first_group(groups: DataFrame) -> DataFrame:

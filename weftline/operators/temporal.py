@@ -40,7 +40,7 @@ def mann_kendall(series: DataFrame, keys: list[str], value: str = "count", seaso
     pairs = rows.withColumnsRenamed({"t": "t1", "x": "x1"}).join(rows, by).filter("t1 < t").groupBy(*by).agg(F.sum(F.signum(F.col("x") - F.col("x1"))).alias("s"))
     ties = rows.groupBy(*by, "x").agg(F.count("*").alias("c")).groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.expr("c * (c - 1) * (2 * c + 5)")).alias("tied"))
     out = ties.join(pairs, by, "left").fillna(0.0, ["s"]).withColumn("v", F.expr("(n * (n - 1) * (2 * n + 5) - tied) / 18")).withColumn("p", F.expr("n * (n - 1) / 2"))
-    out = out.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), (F.sum("s") / F.sum("p")).alias("tau"), F.sum("v").alias("variance"))
+    out = out.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.try_divide(F.sum("s"), F.sum("p")).alias("tau"), F.sum("v").alias("variance"))
     return out.withColumn("z", F.when(F.col("variance") > 0, (F.col("s") - F.signum("s")) / F.sqrt("variance")).otherwise(0.0))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pairs", "tables", "graphs", "series")
+MODULES = ("pairs", "tables", "graphs", "series", "more")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
