@@ -528,6 +528,76 @@ def test_isotonic_pooling():
     assert mean.tolist() == [0, 0.5, 1] and at.tolist() == [0, 1.5, 3.5]
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _found string, row string, fp string, block string, `order` string, d string, `x``y` string"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "q", "f", "r", "p", "b", "o", "d", "xy") for i, t, s in rows], CLASHING)
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null, empty, very long and repeated texts, null and repeated ids, no rows, and columns named like those of the operators."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = [a + b for a in ("ka", "lo", "mi", "zé", "tu", "ba") for b in ("ran", "sol", "ß", "x1", "dé", "n't")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(20, 60))) + ".", f"s{i % 3}" if i % 7 else None) for i in range(60)]
+    rows += [(60, None, "s1"), (61, "", "s1"), (None, rows[3][1] + " more", "s2"), (None, "null id words here", "s1"), (None, "null id words here", "s1"), (5, "another text of this id", "s0"), (7, rows[7][1], "s1")]
+    rows += [(62, " ".join(rng.choice(words) for _ in range(40_000)), "s2"), (63, rows[4][1], "s0"), (64, rows[4][1], "s1")]
+    bench = spark.createDataFrame([(1, " ".join(alnum(rows[8][1])[:12])), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, table in (("benchmark", bench), ("labels", labels)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    for docs in (clashing(spark, rows), clashing(spark, rows).limit(0), clashing(spark, [(1, None, None)] * 3)):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = collections.Counter(tuple(r) for r in kept.collect())
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == docs.columns, name
+            after = collections.Counter(tuple(r) for r in kept.collect())
+            assert set(after) <= set(before), name
+            if name == "SimHash near-dedup":
+                prints = {t: fingerprint(t) for _, t, *_ in before}
+                todo, groups = set(prints.values()), 0
+                while todo:
+                    groups, near = groups + 1, [todo.pop()]
+                    while near:
+                        x = near.pop()
+                        found = {y for y in todo if (x ^ y).bit_count() <= simhash.DISTANCE}
+                        todo -= found
+                        near += found
+                assert sum(after.values()) == groups
+            elif name == "benchmark decontamination":
+                assert after == collections.Counter({r: n for r, n in before.items() if not brute_hits(r[1], [("1", bench.first().text)])[1]})
+            elif name == "mixing sources":
+                assert all(n <= 3 * before[r] for r, n in after.items())
+        tokens = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        assert len(tokens) == sum(after.values())
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(tokens)
+
+
+def test_ids_are_integers_or_their_text(spark):
+    text = spark.createDataFrame([("3", "a b"), ("11", "c")], "doc_id string, text string")
+    assert sorted(r.doc_id for r in token_output.write_and_read(text).collect()) == sorted(r.doc_id for r in media.store_and_read(text).collect()) == [3, 11]
+    assert sorted(r.doc_id for r in language_model.score(text).collect()) == [3, 11]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        media.store_and_read(spark.createDataFrame([("x", "a")], "doc_id string, text string")).collect()
+
+
+def test_documents_without_an_id_are_spread_over_blocks(spark):
+    rows = [(None, f"word{i} " * (i % 5 + 1), "s") for i in range(400)]
+    sizes, _, _, _ = mixing.plan(frame(spark, rows).select("doc_id", "source", "text"), rows_per_block=20)
+    counts = [r["count"] for r in sizes.groupBy("block").count().collect()]
+    assert len(counts) == 20 and max(counts) < 60
+
+
+def test_near_duplicates_are_fingerprinted_once(spark):
+    docs = frame(spark, sample(1, 30))
+    plan = simhash.deduplicate(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "CartesianProduct" not in plan
+
+
 def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
 

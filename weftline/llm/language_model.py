@@ -665,6 +665,6 @@ def score_with(docs: DataFrame, model: Model, held_out) -> DataFrame:
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER) -> DataFrame:
     """Score all documents by a model of those whose id's crc32 modulo ``folds`` isn't ``fold``. Null and empty texts are one end.
-    Repeated documents count and are scored each. Other columns of ``docs`` are not looked at."""
+    Repeated documents count and are scored each. doc_ids are integers or their decimal text; other texts raise. Other columns of ``docs`` are not looked at."""
     held_out = remainder(F.col("doc_id"), folds) == fold
     return score_with(docs, train(docs.filter(~held_out), order), held_out)

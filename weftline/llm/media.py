@@ -72,7 +72,8 @@ def payload_of(text: bytes) -> bytes:
 
 
 def write_archives(docs: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
-    """(folder, manifest): the manifest has one row per archive and is also stored beside the archives."""
+    """(folder, manifest): the manifest has one row per archive and is also stored beside the archives. doc_ids are integers or their
+    decimal text; other texts raise."""
     folder = folder or shared_dir(docs.sparkSession, "media")
     make_dir(folder)
     bounded_batches()

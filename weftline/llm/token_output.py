@@ -5,7 +5,7 @@ of frames and a chunk index at its end: ids lie in blocks of ``BLOCK`` ids; each
 planes), and each plane is a zstandard frame of its own. Document ids and lengths are stored in the same way. A file's name is new
 for each attempt and only files of finished tasks enter the manifest, so a repeated task leaves no double rows.
 
-doc_id null comes first; rows with the same doc_id follow each other in the order of their texts' hashes. A null or empty text is
+doc_ids are integers or their decimal text; other texts raise. doc_id null comes first; rows with the same doc_id follow each other in the order of their texts' hashes. A null or empty text is
 just the end id. An empty table gives an empty result.
 """
 
