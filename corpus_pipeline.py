@@ -1,6 +1,9 @@
 """A training corpus from raw documents: filter by quality, drop near-duplicates and benchmark leaks, mix sources, write tokens.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. A mixed document may come twice.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whatever their names. A mixed document may
+come twice. Null and empty texts are documents without words: they are scored, are near-duplicates of each other, hold no benchmark
+passage, go with their block in the mix, and become one end id. Rows with a null or repeated doc_id are told apart by their texts.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
