@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import domain, stats
-from weftline.operators import compare, contingency, coverage, disparity, trend
-from weftline.plans import networks
+from weftline.operators import compare, contingency, coverage, disparity, filters, graph, trend
+from weftline.plans import networks, reports
+from weftline.sources import io
 
 
 def monthly(spark, values, key="a"):
@@ -177,3 +178,77 @@ def test_rates_of_empty_tables(spark):
     inc = spark.createDataFrame([], "unit int, item string")
     assert coverage.rates(inc, units, ["g"]).count() == 0 and coverage.metric(inc, units, ["g"], "coverage").count() == 0
     assert contingency.pair_counts(inc.withColumn("s", F.lit("x")), ["s"]).count() == 0
+
+
+def test_weighted_paths_against_brute_force(spark):
+    rng = random.Random(8)
+    names = [f"n{i:02d}" for i in range(14)]
+    weights = {p: round(rng.random() + 0.05, 3) for p in itertools.combinations(names, 2) if rng.random() < 0.18}
+    edges = spark.createDataFrame([("x", a, b, w) for (a, b), w in weights.items()], "network_id string, left_item string, right_item string, similarity double")
+    far = {(a, b): 0.0 if a == b else math.inf for a in names for b in names}
+    for (a, b), w in weights.items():
+        far[a, b] = far[b, a] = w
+    for k, a, b in itertools.product(names, repeat=3):
+        far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    found = graph.weighted_paths(edges)
+    got = {(r.s, r.t): r.distance for r in found.collect()}
+    assert got == pytest.approx({p: d for p, d in far.items() if p[0] != p[1] and d < math.inf})
+    reach = {a: frozenset(b for b in names if far[a, b] < math.inf) for a in names}
+    largest = min((r for r in reach.values() if len(r) > 1), key=lambda r: (-len(r), min(r)))
+    inside = [far[a, b] for a, b in itertools.permutations(sorted(largest), 2)]
+    row = graph.path_summary(found).first()
+    assert (row["size"], row["mean"], row["longest"]) == (len(largest), pytest.approx(sum(inside) / len(inside)), pytest.approx(max(inside)))
+    with pytest.raises(ValueError):
+        graph.weighted_paths(edges.withColumn("similarity", -F.col("similarity")))
+    assert graph.weighted_paths(edges.limit(0)).count() == 0
+
+
+def test_correlation_p_values(spark):
+    df = spark.createDataFrame([(0.5, 10), (-0.5, 10), (1.0, 5), (0.3, 2), (0.0, 8)], "r double, n long")
+    got = [r.p for r in df.select(stats.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    # with 8 degrees of freedom t = 0.5 * sqrt(8 / 0.75) = 1.633, two-sided 0.1411
+    assert got == [pytest.approx(0.1411, abs=1e-4), pytest.approx(0.1411, abs=1e-4), 0.0, None, pytest.approx(1.0)]
+
+
+def test_stratum_report(spark):
+    rows = [(t, v) for t, values in {"Critical": [1, 2, 2, 3], "High": [2, 3, 3, 4], "Other": [5, 6, 7, 7], "unheard of": [9]}.items() for v in values]
+    df = spark.createDataFrame([*rows, (None, 4), ("High", None)], "tier string, v int")
+    got = {(r.scope, r["name"], r.other, r.measure): r.value for r in reports.priority_alignment(df, "tier", "v").collect()}
+    assert {k[1] for k in got if k[0] == "group"} == {"Critical", "High", "Other"}
+    assert (got["group", "High", None, "n"], got["group", "High", None, "median"]) == (4, 3)
+    assert got["pair", "Critical", "Other", "delta"] == -1 and got["pair", "Critical", "Other", "d"] == 1
+    assert got["all", "all", None, "ascending"] == 1 and got["all", "all", None, "groups"] == 3
+    free = {r["name"] for r in reports.stratum_report(df, "tier", "v").filter("scope = 'group'").collect()}
+    assert free == {"Critical", "High", "Other", "unheard of"}
+
+
+def test_outputs_are_replaced_and_found(spark):
+    root = io.scratch(spark, "versions")
+    assert io.latest_output(root, "a") is None
+    one = io.save_version(spark.range(5), root, "a")
+    assert io.latest_output(root, "a") == one
+    spark.range(3).write.parquet(f"{root}/a/{10**19}-unfinished")  # no facts: not whole
+    assert io.latest_output(root, "a") == one
+    two = io.save_version(spark.range(7), root, "a", rows_per_file=1)
+    assert io.latest_output(root, "a") == two and spark.read.parquet(two).count() == 7
+    place = f"{root}/b"
+    io.replace_flat(spark.range(4), place)
+    facts = io.replace_flat(spark.read.parquet(place).filter("id < 2").withColumn("x", F.lit(1)), place)
+    assert (facts["rows"], facts["cols"]) == (2, 2) and facts["files"] >= 1
+    assert sorted(r.id for r in spark.read.parquet(place).collect()) == [0, 1]
+    got = {r["name"]: (r.ready, r["rows"], r.columns) for r in io.dataset_facts(spark, {"b": place, "none": root + "/none"}).collect()}
+    assert got == {"b": (True, 2, 2), "none": (False, 0, 0)}
+
+
+def test_tables_with_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), ("b", 5)], "g string, unit int")
+    assert [(r.g, r.n) for r in coverage.counts_by(df, ["g"], 2).collect()] == [(None, 2), ("a", 2)]
+    kept = spark.createDataFrame([("a",), ("a",), (None,)], "g string")
+    assert filters.members(df, "g", kept).count() == 2 and filters.members(df, "g", kept, keep=False).count() == 3
+    twice = spark.createDataFrame([("a", "x"), ("a", "x")], "g string, label string")
+    assert sorted(r.label for r in filters.mapped(df, "g", twice, "Unknown").collect()) == ["Unknown"] * 3 + ["x"] * 2
+    assert filters.renamed(df, {"g": "group", "absent": "z"}).columns == ["group", "unit"]
+    inc = spark.createDataFrame([], "unit int, item string")
+    assert coverage.box_table(coverage.rates(inc, df, ["g"])).count() == 0
+    assert coverage.top_items(inc, df, ["g"], 3).count() == 0
+    assert coverage.group_totals(inc, spark.createDataFrame([], "item string, item_group string"), 5).count() == 0

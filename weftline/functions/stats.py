@@ -152,6 +152,13 @@ def t_two_sided(t: pa.Array, df: pa.Array) -> pa.Array:
     return pa.array([None if v is None or k is None else beta_share(k / (k + v * v), k / 2, 0.5) for v, k in zip(t.to_pylist(), df.to_pylist(), strict=True)], pa.float64())
 
 
+def correlation_p(r, n):
+    """Two-sided p of a Pearson correlation of n pairs by Student's t; null below three pairs, 0 where |r| is 1."""
+    left = F.greatest(1 - r * r, F.lit(0.0))
+    df = F.when(n > 2, (n - 2).cast("double"))
+    return F.when((left == 0) & df.isNotNull(), 0.0).otherwise(t_two_sided(F.when(left > 0, r * F.sqrt(df / left)), df))
+
+
 @F.arrow_udf(DoubleType())
 def kolmogorov_p(d: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
     """Asymptotic two-sample p of a distance."""

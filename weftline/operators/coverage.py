@@ -120,6 +120,42 @@ def top_values(df: DataFrame, column: str, n: int, stack: str | None = None) ->
     return kept.join(total, F.lit(True)).select(*by, "count", (F.col("count") * 100 / F.col("_t")).alias("share"))
 
 
+def counts_by(df: DataFrame, columns: list[str], top: int | None = None) -> DataFrame:
+    """(columns, n): rows of each combination, null ones too; the ``top`` largest (ties: smallest values, nulls first)."""
+    out = df.groupBy(*columns).agg(F.count("*").alias("n"))
+    return out if top is None else out.orderBy(F.desc("n"), *[F.asc_nulls_first(c) for c in columns]).limit(top)
+
+
+def box_table(rates_: DataFrame, by: str = "item", order: str = "median") -> DataFrame:
+    """(by, groups, low, q1, median, q3, high, mean, iqr, place) of rates over groups; ``place`` counts from the largest ``order``
+    (median, mean or iqr; ties: the smaller name)."""
+    q = [F.percentile("rate", F.lit(p)) for p in (0.25, 0.5, 0.75)]
+    out = rates_.groupBy(by).agg(F.count("rate").alias("groups"), F.min("rate").alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max("rate").alias("high"), F.avg("rate").alias("mean"), (q[2] - q[0]).alias("iqr"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round(order, 12)), by)))
+
+
+def group_totals(inc: DataFrame, classes: DataFrame, top: int | None = None) -> DataFrame:
+    """(item_group, item, n): units with each item, for items of the ``top`` groups that have most in all."""
+    counts = inc.select("unit", "item").distinct().groupBy("item").agg(F.count("*").alias("n")).join(classes.select("item", "item_group"), "item")
+    if top is not None:
+        most = counts.groupBy("item_group").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "item_group").limit(top).select("item_group")
+        counts = counts.join(most, "item_group", "left_semi")
+    return counts.select("item_group", "item", "n")
+
+
+def top_items(inc: DataFrame, units: DataFrame, groups: list[str], top: int, min_rate: float = 0.0) -> DataFrame:
+    """(groups, item, n, rank): the ``top`` items of each group by units, of those in a share of at least ``min_rate`` of its units."""
+    r = rates(inc, units, groups, complete=False).filter(F.col("rate") >= min_rate)
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("count"), "item"))
+    return r.select(*groups, "item", F.col("count").alias("n"), rank.alias("rank")).filter(F.col("rank") <= top)
+
+
+def ordered_grid(rates_: DataFrame, group: str, levels: list | None = None) -> DataFrame:
+    """(group, item, rate, order_key): rates of the chosen levels, with the item's mean rate over them to sort by."""
+    rows = rates_ if levels is None else rates_.filter(F.col(group).isin(*levels))
+    return rows.select(group, "item", "rate", F.avg("rate").over(Window.partitionBy("item")).alias("order_key"))
+
+
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, present, percent) in one pass."""
     n = F.count("*")

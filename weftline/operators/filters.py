@@ -112,6 +112,38 @@ def continuous_entities(df: DataFrame, entity: str, year: str, first: int, last:
     return span.join(steady, entity, "left_semi")
 
 
+def members(df: DataFrame, column: str, values: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows whose value of ``column`` is among ``values`` (a table with that column), or with ``keep`` off those whose isn't; a null
+    value is among none."""
+    return df.join(values.select(column).distinct(), column, "left_semi" if keep else "left_anti").select(*[f"`{c}`" for c in df.columns])
+
+
+def tested_units(units: DataFrame, inc: DataFrame, unit: str = "unit") -> DataFrame:
+    """Units with at least one test."""
+    return members(units, unit, inc)
+
+
+def mapped(df: DataFrame, key: str, dimension: DataFrame, default: str | None = None) -> DataFrame:
+    """The dimension's other columns joined by key, one row of it for each key; where it has none, text columns are ``default``."""
+    out = df.join(dimension.dropDuplicates([key]), key, "left")
+    return out if default is None else out.fillna(default, [c for c, kind in dimension.dtypes if c != key and kind == "string"])
+
+
+def renamed(df: DataFrame, names: DataFrame | dict[str, str]) -> DataFrame:
+    """Columns renamed after a mapping: a dict, or a table (old, new), read on the driver as it has at most one row of use a column."""
+    if isinstance(names, DataFrame):
+        names = {r.old: r.new for r in names.filter(F.col("old").isin(*df.columns)).select("old", "new").distinct().collect()}
+    return df.withColumnsRenamed(names)
+
+
+def recoded(levels: dict[str, Column], other: str = "Other") -> Column:
+    """The name of the first condition that holds; ``other`` where none does."""
+    out = F.lit(other)
+    for name, holds in reversed(levels.items()):
+        out = F.when(holds, name).otherwise(out)
+    return out
+
+
 def restrict_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs whose both ends are in ``items`` (item)."""
     left, right = items.withColumnRenamed("item", "left_item"), items.withColumnRenamed("item", "right_item")

@@ -176,6 +176,34 @@ def paths(edges: DataFrame) -> DataFrame:
     return seen
 
 
+def weighted_paths(edges: DataFrame) -> DataFrame:
+    """(network_id, s, t, distance): least sum of weights of every connected pair; weights count as distances.
+
+    Each round lengthens the distances that the last one lowered by one edge, for all sources at once, until none is lowered. A
+    negative weight is an error: its distances would fall for ever. As many rows as pairs of nodes.
+    """
+    links = cut(mirrored(edges).select("network_id", F.col("u").alias("t"), F.col("v").alias("next"), "w"))
+    if not links.filter("w < 0").isEmpty():
+        raise ValueError("weights of paths must not be negative")
+    keys = ["network_id", "s", "t"]
+    front = cut(links.groupBy("network_id", F.col("t").alias("s"), F.col("next").alias("t")).agg(F.min("w").alias("distance")).filter("s <> t"))
+    best = front
+    while not front.isEmpty():
+        grown = front.join(links, ["network_id", "t"]).filter("s <> next").groupBy("network_id", "s", F.col("next").alias("t")).agg(F.min(F.col("distance") + F.col("w")).alias("distance"))
+        front = cut(grown.join(best.withColumnRenamed("distance", "_d"), keys, "left").filter("_d is null or distance < _d").drop("_d"))
+        best = cut(best.unionByName(front).groupBy(*keys).agg(F.min("distance").alias("distance")))
+    return best
+
+
+def path_summary(distances: DataFrame, value: str = "distance") -> DataFrame:
+    """(network_id, size, mean, longest) of the pairs in each network's largest component (ties: that of the smallest node), from
+    the distances of all connected pairs; networks without edges are left out."""
+    reach = distances.groupBy("network_id", "s").agg((F.count("*") + 1).alias("size"), F.least(F.min("t"), F.first("s")).alias("root"))
+    largest = reach.groupBy("network_id").agg(F.min(F.struct((-F.col("size")).alias("size"), "root")).alias("c")).select("network_id", "c.root", (-F.col("c.size")).alias("size"))
+    inside = distances.join(reach.select("network_id", "s", "root"), ["network_id", "s"]).join(largest, ["network_id", "root"])
+    return inside.groupBy("network_id", "size").agg(F.avg(value).alias("mean"), F.max(value).alias("longest"))
+
+
 def betweenness(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(network_id, node, betweenness), normalised: the share of shortest paths of other pairs that run through the node."""
     a = found.select("network_id", "s", F.col("t").alias("node"), F.col("hops").alias("h1"), F.col("routes").alias("r1"))

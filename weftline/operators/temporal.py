@@ -24,6 +24,18 @@ def monthly(df: DataFrame, date: str, keys: list[str] = (), window: int = 3) ->
     return out.withColumn("moving", F.avg("count").over(Window.partitionBy(*keys).orderBy("month").rowsBetween(1 - window, 0)))
 
 
+def monthly_items(inc: DataFrame, date: str, by: list[str] = (), top: int | None = None) -> DataFrame:
+    """(by, month, item, count, n, rate): units with each item, all units of the month (and group), and their share in percent;
+    ``top`` keeps the items of most units. Months without the item are not filled."""
+    rows = inc.filter(F.col(date).isNotNull()).withColumn("month", F.trunc(date, "month")).select(*by, "month", "unit", "item").distinct()
+    size = rows.groupBy(*by, "month").agg(F.count_distinct("unit").alias("n"))
+    counts = rows.groupBy(*by, "month", "item").agg(F.count("*").alias("count"))
+    if top is not None:
+        most = counts.groupBy("item").agg(F.sum("count").alias("_k")).orderBy(F.desc("_k"), "item").limit(top).select("item")
+        counts = counts.join(most, "item", "left_semi")
+    return counts.join(size, [*by, "month"]).select(*by, "month", "item", "count", "n", (F.col("count") * 100 / F.col("n")).alias("rate"))
+
+
 def shocks(series: DataFrame, keys: list[str], value: str = "count", window: int = 12, least: int = 4, limit: float = 2.5) -> DataFrame:
     """Adds z (against the trailing window, the month itself included) and shock; null before ``least`` months."""
     w = Window.partitionBy(*keys).orderBy("month").rowsBetween(1 - window, 0)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.metrics import METRICS
+from weftline.functions.stats import correlation_p
 from weftline.operators import contingency, evaluate, filters, graph, significance
 from weftline.operators.lineage import cut
 
@@ -166,6 +167,15 @@ def compare_networks(scored: DataFrame, nodes: DataFrame, tau: float, top: int =
     return out
 
 
+def correlation_tests(scored: DataFrame) -> DataFrame:
+    """(first, second, pairs, pearson, pearson_p, spearman, spearman_p) of every two networks over the item pairs that both score."""
+    one, two = (scored.select(F.col("network_id").alias(name), "left_item", "right_item", F.col("similarity").alias(v)) for name, v in (("first", "x"), ("second", "y")))
+    rows = cut(one.join(two, ["left_item", "right_item"]).filter("first < second and x is not null and y is not null"))
+    ranked = rows.select("first", "second", "x", "y", _average_rank("x", ["first", "second"]).alias("rx"), _average_rank("y", ["first", "second"]).alias("ry"))
+    out = ranked.groupBy("first", "second").agg(F.count("*").alias("pairs"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    return out.select("first", "second", "pairs", "pearson", correlation_p(F.col("pearson"), F.col("pairs")).alias("pearson_p"), "spearman", correlation_p(F.col("spearman"), F.col("pairs")).alias("spearman_p"))
+
+
 def node_changes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(first, second, node, degree_change, strength_change) of every node in every two networks; a missing node counts 0."""
     d = cut(graph.degrees(nodes, edges).select("network_id", "node", "degree", "strength"))

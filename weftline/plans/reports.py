@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import coverage, filters
+from weftline.operators import compare, coverage, filters
+from weftline.operators.lineage import cut
 
 
 def publication_counts(df: DataFrame, row: str, columns: list[str], top: int | None = None, restrict: filters.Cohort | None = None) -> DataFrame:
@@ -55,6 +56,46 @@ def class_by_stratifier(inc: DataFrame, units: DataFrame, classes: DataFrame, st
     return out.withColumnRenamed("item", "item_group")
 
 
+def stratum_report(df: DataFrame, group: str, value: str, order: list | None = None, restrict: filters.Cohort | None = None) -> DataFrame:
+    """(scope, name, other, measure, value): one stratum's comparison of groups. Scope ``group`` has the summary and Gini of each
+    group, ``pair`` distance, delta and p-values of every two groups, ``all`` the rank test over all groups and, where ``order`` names
+    levels from first to last, whether medians rise and the least p of neighbours. Rows of other levels, null groups and null values
+    are left out."""
+    if restrict is not None:
+        df = df.filter(restrict.predicate(df))
+    df = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
+    if order is not None:
+        df = df.filter(F.col(group).isin(*order))
+    df = cut(df.select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v")))
+
+    def tall(frame, scope, name, other, measures):
+        entries = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("e")
+        return frame.select(F.lit(scope).alias("scope"), name.alias("name"), other.alias("other"), entries).select("scope", "name", "other", "e.*")
+
+    none, all_ = F.lit(None).cast("string"), F.lit("all")
+    groups = compare.describe(df, ["g"], "v").join(coverage.gini(df, ["g"], "v"), "g")
+    pairs = compare.kolmogorov_smirnov(df, "g", "v").withColumnRenamed("p_value", "ks_p").join(compare.cliffs_delta(df, "g", "v"), ["g1", "g2"])
+    pairs = pairs.join(compare.dunn(df, "g", "v").select("g1", "g2", F.col("q_value").alias("dunn_q")), ["g1", "g2"])
+    parts = [
+        tall(groups, "group", F.col("g"), none, ["n", "median", "iqr", "p10", "p90", "mean", "sd", "min", "max", "gini"]),
+        tall(pairs, "pair", F.col("g1"), F.col("g2"), ["d", "ks_p", "delta", "dunn_q"]),
+        tall(compare.kruskal(df, "g", "v"), "all", all_, none, ["groups", "h", "p_value"]),
+    ]
+    if order is not None:
+        places = df.sparkSession.createDataFrame([(str(level), i) for i, level in enumerate(order)], "g string, place int")
+        parts.append(tall(compare.ordered_dunn_trend(df, places, "g", "v"), "all", all_, none, ["ascending", "min_adjacent_p"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Priority tiers from first to last.
+TIERS = ["Critical", "High", "Medium", "Other"]
+
+
+def priority_alignment(df: DataFrame, tier: str, value: str) -> DataFrame:
+    """``stratum_report`` over the four priority tiers."""
+    return stratum_report(df, tier, value, TIERS)
+
+
 def questions(df: DataFrame, specs: list[dict]) -> DataFrame:
     """(question, value, stack, count, share) of a list of descriptive questions: ``name``, ``field``, ``top``, and optionally ``stack``
     (a second column) and ``among`` (column, n): only rows of the n most frequent values of that column."""

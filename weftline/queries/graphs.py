@@ -172,17 +172,27 @@ def g9(spark, sf):
     return out.select("network_id", "n_nodes", "n_edges", *[F.round(c, 6).alias(c) for c in ("mean_degree", "mean_strength", "density", "assortativity")])
 
 
-@R.add("g10_paths", f"""WITH RECURSIVE {_GRAPH}, walk AS (SELECT network_id, u AS s, v AS t, 1 AS hops FROM mir UNION SELECT w.network_id, w.s, m.v, hops + 1 FROM walk w JOIN mir m ON m.network_id = w.network_id AND m.u = w.t WHERE hops < 6 AND m.v <> w.s)
+@R.add("g10_paths", f"""WITH RECURSIVE {_GRAPH}, walk AS (SELECT network_id, u AS s, v AS t, 1 AS hops FROM mir UNION SELECT w.network_id, w.s, m.v, hops + 1 FROM walk w JOIN mir m ON m.network_id = w.network_id AND m.u = w.t WHERE hops < (SELECT count(DISTINCT node) FROM nd) AND m.v <> w.s)
 SELECT network_id, round(avg(h), 6) AS mean_hops, max(h) AS diameter, count(*) AS pairs FROM (SELECT network_id, s, t, min(hops) AS h FROM walk GROUP BY ALL) GROUP BY ALL""")
 def g10(spark, sf):
     return G.paths(graph(spark, sf)).groupBy("network_id").agg(F.round(F.avg("hops"), 6).alias("mean_hops"), F.max("hops").alias("diameter"), F.count("*").alias("pairs"))
 
 
-@R.add("g10_betweenness")
+@R.add("g10_betweenness", f"""WITH RECURSIVE {_GRAPH}, walk AS (SELECT network_id, u AS s, v AS t, 1 AS h, CAST(1 AS DOUBLE) AS r FROM mir UNION ALL SELECT b.network_id, b.s, m.v, h + 1, sum(r) FROM walk b JOIN mir m ON m.network_id = b.network_id AND m.u = b.t WHERE m.v <> b.s AND h < (SELECT count(DISTINCT node) FROM nd) GROUP BY b.network_id, b.s, m.v, h),
+sp AS (SELECT network_id, s, t, min(h) AS h, arg_min(r, h) AS r FROM walk GROUP BY ALL), th AS (SELECT a.network_id, a.t AS node, sum(a.r * b.r / c.r) AS x FROM sp a JOIN sp b ON b.network_id = a.network_id AND b.s = a.t AND b.t <> a.s JOIN sp c ON c.network_id = a.network_id AND c.s = a.s AND c.t = b.t AND c.h = a.h + b.h GROUP BY ALL),
+sz AS (SELECT network_id, count(*) AS n FROM nd GROUP BY ALL) SELECT nd.network_id, nd.node, round(CASE WHEN n > 2 THEN coalesce(x, 0) / ((n - 1) * (n - 2)) ELSE 0 END, 9) AS betweenness FROM nd JOIN sz USING (network_id) LEFT JOIN th ON th.network_id = nd.network_id AND th.node = nd.node""")
 def g10b(spark, sf):
     return G.betweenness(nodes(spark, sf), G.paths(graph(spark, sf))).select("network_id", "node", F.round("betweenness", 9).alias("betweenness"))
 
 
+@R.add("g10_weighted_paths", f"""WITH RECURSIVE {_GRAPH}, best AS (SELECT network_id, u AS s, v AS t, w AS d, 1 AS k FROM mir UNION ALL SELECT network_id, s, t, min(d), k + 1 FROM (SELECT network_id, s, t, d, k FROM best UNION ALL SELECT b.network_id, b.s, m.v, b.d + m.w, k FROM best b JOIN mir m ON m.network_id = b.network_id AND m.u = b.t WHERE m.v <> b.s) x WHERE k < (SELECT count(DISTINCT node) FROM nd) GROUP BY network_id, s, t, k),
+sd AS (SELECT network_id, s, t, min(d) AS d FROM best GROUP BY ALL), re AS (SELECT network_id, s, count(*) + 1 AS size, least(min(t), s) AS root FROM sd GROUP BY network_id, s), lc AS (SELECT network_id, arg_min(root, (-size, root)) AS root, max(size) AS size FROM re GROUP BY ALL)
+SELECT sd.network_id, lc.size, round(avg(d), 6) AS mean, round(max(d), 6) AS longest FROM sd JOIN re USING (network_id, s) JOIN lc ON lc.network_id = sd.network_id AND lc.root = re.root GROUP BY ALL""")
+def g10w(spark, sf):
+    out = G.path_summary(G.weighted_paths(graph(spark, sf)))
+    return out.select("network_id", "size", F.round("mean", 6).alias("mean"), F.round("longest", 6).alias("longest"))
+
+
 @R.add("g11_homophily", f"""WITH {_GRAPH}, {_CLASS}, x AS (SELECT e.*, coalesce(l.item_group = r.item_group, false) AS same FROM e LEFT JOIN cls l ON l.item = left_item LEFT JOIN cls r ON r.item = right_item)
 SELECT network_id, round(avg(similarity) FILTER (same), 6) AS within_weight, round(avg(similarity) FILTER (NOT same), 6) AS across_weight, round(avg(CAST(same AS INTEGER)), 6) AS within_share FROM x GROUP BY ALL""")
 def g11(spark, sf):

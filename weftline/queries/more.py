@@ -16,6 +16,7 @@ from weftline.operators import temporal as T
 from weftline.operators import trend as W
 from weftline.plans import networks as P
 from weftline.plans import reports as B
+from weftline.sources import io
 
 from .base import INC, TWO_BY_TWO, Registry, incidence, table
 from .graphs import _GRAPH, _SCORED, TAU, by_name, graph, nodes, scored
@@ -332,3 +333,70 @@ def snk4(spark, sf):
 @R.add("w5_monthly_by_year", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS count FROM orders GROUP BY ALL")
 def w5y(spark, sf):
     return T.monthly(orders(spark, sf), "o_orderdate").groupBy(F.year("month").alias("y")).agg(F.sum("count").alias("count"))
+
+
+# --- stratum bundles, correlations, versions of outputs
+_PAIR_P = f"""WITH {_SCORED}, ab AS (SELECT x.network_id AS first, y.network_id AS second, x.similarity AS x, y.similarity AS y FROM sc x JOIN sc y ON x.left_item = y.left_item AND x.right_item = y.right_item AND x.network_id < y.network_id),
+rk AS (SELECT *, rank() OVER (PARTITION BY first, second ORDER BY x) + (count(*) OVER (PARTITION BY first, second, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY first, second ORDER BY y) + (count(*) OVER (PARTITION BY first, second, y) - 1) / 2 AS ry FROM ab)"""
+
+
+@R.add("g14_correlations", f"{_PAIR_P} SELECT first, second, count(*) AS pairs, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM rk GROUP BY ALL")
+def g14_correlations(spark, sf):
+    return rounded(P.correlation_tests(scored(spark, sf)).drop("pearson_p", "spearman_p"), "pearson", "spearman")
+
+
+@R.add("g14_correlation_p")
+def g14_correlation_p(spark, sf):
+    return P.correlation_tests(scored(spark, sf)).select("first", "second", "pearson_p", "spearman_p")
+
+
+_TIERED = "pt AS (SELECT unit, CASE stratum WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Other' END AS g, count(*) AS v FROM inc GROUP BY ALL)"
+
+
+def _tiers(spark, sf):
+    tier = S.recoded({"Critical": F.col("g") == "1-URGENT", "High": F.col("g") == "2-HIGH", "Medium": F.col("g") == "3-MEDIUM"})
+    return B.priority_alignment(breadth(spark, sf).withColumn("tier", tier), "tier", "breadth")
+
+
+@R.add("t10_priority_alignment", f"""WITH {INC}, {_TIERED}, s AS (SELECT g, {{'n': CAST(count(*) AS DOUBLE), 'median': median(v), 'iqr': quantile_cont(v, .75) - quantile_cont(v, .25), 'p10': quantile_cont(v, .1), 'p90': quantile_cont(v, .9), 'mean': avg(v), 'sd': stddev_samp(v), 'min': CAST(min(v) AS DOUBLE), 'max': CAST(max(v) AS DOUBLE)}} AS x FROM pt GROUP BY ALL),
+c AS (SELECT a.g AS g1, b.g AS g2, avg(sign(a.v - b.v)) AS delta FROM pt a JOIN pt b ON a.g < b.g GROUP BY ALL), md AS (SELECT g, x.median AS m FROM s)
+SELECT 'group' AS scope, g AS name, NULL::VARCHAR AS other, u.measure, round(u.value, 6) AS value FROM s, (SELECT unnest([{{'measure': 'n', 'value': x.n}}, {{'measure': 'median', 'value': x.median}}, {{'measure': 'iqr', 'value': x.iqr}}, {{'measure': 'p10', 'value': x.p10}}, {{'measure': 'p90', 'value': x.p90}}, {{'measure': 'mean', 'value': x.mean}}, {{'measure': 'sd', 'value': x.sd}}, {{'measure': 'min', 'value': x.min}}, {{'measure': 'max', 'value': x.max}}]) AS u)
+UNION ALL SELECT 'pair', g1, g2, 'delta', round(delta, 6) FROM c
+UNION ALL SELECT 'all', 'all', NULL, 'ascending', CAST((SELECT m FROM md WHERE g = 'Critical') <= (SELECT m FROM md WHERE g = 'High') AND (SELECT m FROM md WHERE g = 'High') <= (SELECT m FROM md WHERE g = 'Medium') AND (SELECT m FROM md WHERE g = 'Medium') <= (SELECT m FROM md WHERE g = 'Other') AS DOUBLE)
+UNION ALL SELECT 'all', 'all', NULL, 'groups', CAST(count(DISTINCT g) AS DOUBLE) FROM pt""")
+def t10(spark, sf):
+    shown = ["n", "median", "iqr", "p10", "p90", "mean", "sd", "min", "max", "delta", "ascending", "groups"]
+    return rounded(_tiers(spark, sf).filter(F.col("measure").isin(*shown)), "value")
+
+
+@R.add("t10_tests")
+def t10_tests(spark, sf):
+    return _tiers(spark, sf).filter(F.col("measure").isin("d", "ks_p", "dunn_q", "h", "p_value", "min_adjacent_p", "gini"))
+
+
+@R.add("snk1_replaced", "SELECT o_orderpriority, count(*) AS n, (SELECT count(*) FROM orders) AS rows, 6 AS cols FROM orders GROUP BY ALL")
+def snk1_replaced(spark, sf):
+    path = io.scratch(spark, "replaced")
+    io.replace_flat(table(spark, sf, "nation"), path)
+    facts = io.replace_flat(table(spark, sf, "orders"), path, rows_per_file=5_000)
+    return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n")).select("*", F.lit(facts["rows"]).cast("long").alias("rows"), F.lit(facts["cols"]).alias("cols"))
+
+
+@R.add("snk2_latest_output", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL")
+def snk2_latest(spark, sf):
+    root = io.scratch(spark, "outputs")
+    io.save_version(table(spark, sf, "nation"), root, "customers")
+    io.save_version(table(spark, sf, "customer"), root, "customers")
+    return spark.read.parquet(io.latest_output(root, "customers")).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@R.add("src5_dataset_facts", "SELECT 'orders' AS name, count(*) > 0 AS ready, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) > 0, count(*) FROM lineitem UNION ALL SELECT 'documents', count(*) > 0, count(*) FROM documents UNION ALL SELECT 'missing', false, 0")
+def src5_facts(spark, sf):
+    return io.dataset_facts(spark, {n: f"{sf}/{n}.parquet" for n in ("orders", "lineitem", "documents", "missing")}).drop("columns")
+
+
+@R.add("a15_class_boxes", f"WITH {INC}, {_UNITS}, {_CLASS}, sz AS (SELECT g, count(*) AS n FROM un GROUP BY ALL), cn AS (SELECT g, item_group, count(DISTINCT unit) AS c FROM inc JOIN un USING (unit) JOIN cls USING (item) GROUP BY ALL), rt AS (SELECT sz.g, k.item_group, coalesce(c, 0) / n AS rate FROM sz CROSS JOIN (SELECT DISTINCT item_group FROM cls JOIN inc USING (item)) k LEFT JOIN cn ON cn.g = sz.g AND cn.item_group = k.item_group), b AS (SELECT item_group, count(*) AS groups, min(rate) AS low, max(rate) AS high, avg(rate) AS mean, quantile_cont(rate, .75) - quantile_cont(rate, .25) AS iqr FROM rt GROUP BY ALL) SELECT item_group, groups, round(low, 6) AS low, round(high, 6) AS high, round(iqr, 6) AS iqr, CAST(row_number() OVER (ORDER BY round(mean, 12) DESC, item_group) AS INTEGER) AS place FROM b")
+def a15_classes(spark, sf):
+    whole = S.group_items(incidence(spark, sf).select("unit", "item"), classes(spark, sf))
+    out = V.box_table(V.rates(whole, units(spark, sf), ["g"]).withColumnRenamed("item", "item_group"), "item_group", "mean")
+    return rounded(out.select("item_group", "groups", "low", "high", "iqr", "place"), "low", "high", "iqr")

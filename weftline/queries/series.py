@@ -44,9 +44,7 @@ def w2(spark, sf):
 
 @R.add("w3_monthly_item_rates", f"WITH {INC}, n AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(DISTINCT unit) AS n FROM inc GROUP BY ALL) SELECT month, item, count(*) AS count, round(count(*) * 100 / n, 6) AS rate FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, item FROM inc) JOIN n USING (month) GROUP BY month, item, n")
 def w3(spark, sf):
-    rows = incidence(spark, sf, "o_orderdate").withColumn("month", F.trunc("o_orderdate", "month"))
-    n = rows.groupBy("month").agg(F.count_distinct("unit").alias("n"))
-    return rows.groupBy("month", "item").agg(F.count("*").alias("count")).join(n, "month").select("month", "item", "count", F.round(F.col("count") * 100 / F.col("n"), 6).alias("rate"))
+    return T.monthly_items(incidence(spark, sf, "o_orderdate"), "o_orderdate").select("month", "item", "count", F.round("rate", 6).alias("rate"))
 
 
 @R.add("w6_shocks", f"""WITH {_M}, z AS (SELECT *, CASE WHEN count(count) OVER w >= 4 AND stddev_samp(count) OVER w > 0 THEN (count - avg(count) OVER w) / stddev_samp(count) OVER w END AS z FROM ser WINDOW w AS (PARTITION BY g ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
@@ -107,9 +105,7 @@ def w17(spark, sf):
 
 @R.add("w18_monthly_items", f"WITH {INC} SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, item, count(*) AS n FROM inc WHERE item IN (SELECT item FROM inc GROUP BY ALL ORDER BY count(*) DESC, item LIMIT 3) GROUP BY ALL")
 def w18(spark, sf):
-    rows = incidence(spark, sf, "o_orderdate")
-    top = rows.groupBy("item").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "item").limit(3).select("item")
-    return rows.join(top, "item", "left_semi").groupBy(F.trunc("o_orderdate", "month").alias("month"), "item").agg(F.count("*").alias("n"))
+    return T.monthly_items(incidence(spark, sf, "o_orderdate"), "o_orderdate", top=3).select("month", "item", F.col("count").alias("n"))
 
 
 @R.add("t2_breadth_summary", f"WITH {_B} SELECT g, count(*) AS n, median(breadth) AS median, quantile_cont(breadth, .75) - quantile_cont(breadth, .25) AS iqr, round(quantile_cont(breadth, .1), 6) AS p10, round(quantile_cont(breadth, .9), 6) AS p90, round(avg(breadth), 6) AS mean, round(stddev_samp(breadth), 6) AS sd, min(breadth) AS min, max(breadth) AS max FROM b GROUP BY ALL")

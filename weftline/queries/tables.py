@@ -121,7 +121,7 @@ def p3(spark, sf):
 @R.add("p4_units_with_tests", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL")
 def p4(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").join(lines, "o_orderkey", "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return S.tested_units(table(spark, sf, "orders"), lines, "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @R.add("p5_rare_items", f"WITH {INC}, n AS (SELECT count(DISTINCT unit) AS n FROM inc) SELECT item, count(*) AS units, round(count(*) / n * 100, 2) AS percent, CASE WHEN count(*) / n >= .16 THEN 'Kept' ELSE 'Dropped' END AS status FROM inc, n GROUP BY item, n")
@@ -220,13 +220,14 @@ def p17(spark, sf):
 
 @R.add("p18_renamed", "SELECT n_nationkey AS nation_id, n_name AS nation, n_regionkey FROM nation")
 def p18(spark, sf):
-    return table(spark, sf, "nation").withColumnsRenamed({"n_nationkey": "nation_id", "n_name": "nation"})
+    names = spark.createDataFrame([("n_nationkey", "nation_id"), ("n_name", "nation"), ("absent", "nothing")], "old string, new string")
+    return S.renamed(table(spark, sf, "nation"), names)
 
 
-@R.add("p19_after_colon", "SELECT p_type AS tail, count(*) AS n FROM part WHERE p_size < 25 GROUP BY ALL")
+@R.add("p19_after_colon", "SELECT p_type AS tail, count(*) AS n FROM part GROUP BY ALL")
 def p19(spark, sf):
     text = F.concat(F.lit("type:  "), F.col("p_type"))
-    return table(spark, sf, "part").filter("p_size < 25").groupBy(E.after_colon(text).alias("tail")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "part").groupBy(E.after_colon(text).alias("tail")).agg(F.count("*").alias("n"))
 
 
 @R.add("p20_priority_tiers", "SELECT CASE WHEN regexp_matches(p_type || ' ' || p_name, 'economy|ring', 'i') THEN 'Critical' WHEN regexp_matches(p_type || ' ' || p_name, 'promo', 'i') THEN 'High' ELSE 'Other' END AS tier, count(*) AS n FROM part GROUP BY ALL")
@@ -399,7 +400,7 @@ def a6(spark, sf):
 
 @R.add("a7_counts_by_dimension", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL ORDER BY n DESC, c_mktsegment LIMIT 3")
 def a7(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c_mktsegment").limit(3)
+    return V.counts_by(table(spark, sf, "customer"), ["c_mktsegment"], 3)
 
 
 @R.add("a8_coverage_of_top", f"WITH {_RATES} SELECT g, item, count, round(rate, 6) AS rate FROM rt WHERE g IN (SELECT g FROM sz ORDER BY n DESC, g LIMIT 2)")
@@ -449,8 +450,7 @@ def a14(spark, sf):
 
 @R.add("a18_top_items", f"WITH {INC}, {_UNITS}, c AS (SELECT region, y, item, count(*) AS n FROM inc JOIN un USING (unit) GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY region, y ORDER BY n DESC, item) AS INTEGER) AS rank FROM c) WHERE rank <= 3")
 def a18(spark, sf):
-    counts = incidence(spark, sf).select("unit", "item").join(units(spark, sf), "unit").groupBy("region", "y", "item").agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("region", "y").orderBy(F.desc("n"), "item"))).filter("rank <= 3")
+    return V.top_items(incidence(spark, sf), units(spark, sf), ["region", "y"], 3)
 
 
 @R.add("a19_publication_table", "SELECT g, printf('%d (%.1f)', f, round(f * 100 / t, 1)) AS f, printf('%d (%.1f)', o, round(o * 100 / t, 1)) AS o, t AS total FROM (SELECT o_orderpriority AS g, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) AS t FROM orders GROUP BY ALL)")
@@ -494,7 +494,7 @@ def j1(spark, sf):
 @R.add("p21_grouped_levels", "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS grp, count(*) AS n FROM part GROUP BY ALL")
 def p21(spark, sf):
     size = F.col("p_size")
-    grp = F.when(size < 10, "small").when(size < 30, "middle").otherwise("large")
+    grp = S.recoded({"small": size < 10, "middle": size < 30}, "large")
     return table(spark, sf, "part").groupBy(grp.alias("grp")).agg(F.count("*").alias("n"))
 
 
@@ -520,14 +520,14 @@ def f13(spark, sf):
 @R.add("j2_mapped_classes", f"WITH {INC}, {_CLASS} SELECT coalesce(item_group, 'Unknown') AS item_group, count(*) AS n FROM inc LEFT JOIN cls ON cls.item = inc.item AND item_group <> 'PROMO' GROUP BY ALL")
 def j2(spark, sf):
     dim = classes(spark, sf).filter("item_group <> 'PROMO'")
-    return incidence(spark, sf).join(dim, "item", "left").groupBy(F.coalesce("item_group", F.lit("Unknown")).alias("item_group")).agg(F.count("*").alias("n"))
+    return S.mapped(incidence(spark, sf), "item", dim, "Unknown").groupBy("item_group").agg(F.count("*").alias("n"))
 
 
 @R.add("j3_removed_items", f"WITH {INC} SELECT DISTINCT p_brand AS item FROM part WHERE p_brand NOT IN (SELECT item FROM inc WHERE o_orderstatus = 'P' GROUP BY ALL HAVING count(*) > (SELECT count(*) / count(DISTINCT item) FROM inc WHERE o_orderstatus = 'P'))")
 def j3(spark, sf):
     counts = incidence(spark, sf, "o_orderstatus").filter("o_orderstatus = 'P'").groupBy("item").count()
     kept = counts.join(counts.agg(F.avg("count").alias("mean")), F.lit(True)).filter("count > mean").select("item")
-    return table(spark, sf, "part").select(F.col("p_brand").alias("item")).distinct().join(kept, "item", "left_anti")
+    return S.members(table(spark, sf, "part").select(F.col("p_brand").alias("item")).distinct(), "item", kept, keep=False)
 
 
 @R.add("a10_long_counts", f"WITH {INC}, {_UNITS}, sz AS (SELECT g, s, count(*) AS n FROM un GROUP BY ALL), cn AS (SELECT g, s, item, count(*) AS c FROM inc JOIN un USING (unit) GROUP BY ALL) SELECT sz.g, sz.s, i.item, coalesce(c, 0) AS count, n FROM sz CROSS JOIN (SELECT DISTINCT item FROM inc) i LEFT JOIN cn ON cn.g = sz.g AND cn.s = sz.s AND cn.item = i.item")
@@ -537,8 +537,7 @@ def a10(spark, sf):
 
 @R.add("a15_box_table", f"WITH {_RATES} SELECT item, round(quantile_cont(rate, .25), 6) AS q1, round(median(rate), 6) AS median, round(quantile_cont(rate, .75), 6) AS q3, round(avg(rate), 6) AS mean FROM rt GROUP BY ALL")
 def a15(spark, sf):
-    q = lambda p, name: F.round(F.percentile("rate", F.lit(p)), 6).alias(name)
-    return group_rates(spark, sf).groupBy("item").agg(q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.round(F.avg("rate"), 6).alias("mean"))
+    return V.box_table(group_rates(spark, sf)).select("item", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "mean")])
 
 
 @R.add("a16_disparity_range", f"WITH {_RATES} SELECT item, round(max(rate) - min(rate), 6) AS range, round(avg(rate), 6) AS mean, count(*) AS groups FROM rt GROUP BY ALL")
@@ -548,10 +547,10 @@ def a16(spark, sf):
 
 @R.add("a17_group_totals", f"WITH {INC}, {_CLASS} SELECT item_group, item, count(*) AS n FROM inc JOIN cls USING (item) GROUP BY ALL")
 def a17(spark, sf):
-    return incidence(spark, sf).join(classes(spark, sf), "item").groupBy("item_group", "item").agg(F.count("*").alias("n"))
+    return V.group_totals(incidence(spark, sf), classes(spark, sf))
 
 
 @R.add("a27_ordered_grid", f"WITH {_RATES} SELECT g, item, round(rate, 6) AS rate, round(avg(rate) OVER (PARTITION BY item), 6) AS order_key FROM rt WHERE g <> '3-MEDIUM'")
 def a27(spark, sf):
-    rows = group_rates(spark, sf).filter("g <> '3-MEDIUM'")
-    return rows.select("g", "item", F.round("rate", 6).alias("rate"), F.round(F.avg("rate").over(Window.partitionBy("item")), 6).alias("order_key"))
+    rows = V.ordered_grid(group_rates(spark, sf), "g", ["1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW"])
+    return rows.select("g", "item", F.round("rate", 6).alias("rate"), F.round("order_key", 6).alias("order_key"))

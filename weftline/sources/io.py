@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
+import time
 import uuid
+from functools import reduce
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +84,69 @@ def write_flat(df: DataFrame, path: str, rows_per_file: int = 250_000, partition
     (writer.partitionBy(*partition_by) if partition_by else writer).format(form).save(path)
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path)) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def _with_facts(df: DataFrame, path: str, rows_per_file: int) -> dict:
+    """Writes flat Parquet and, last, a file of facts beside it; readers skip names that begin with ``_``."""
+    write_flat(df, path, rows_per_file)
+    where, root = _file_system(path)
+    files = sum(f.base_name.endswith(".parquet") for f in where.get_file_info(fs.FileSelector(root)))
+    facts = {"format": "parquet", "layout": "flat", "files": files, "rows": df.sparkSession.read.parquet(path).count(), "cols": len(df.columns), "compression": "zstd"}
+    with where.open_output_stream(f"{root}/_facts.json") as out:
+        out.write(json.dumps(facts, indent=2).encode())
+    return facts
+
+
+def replace_flat(df: DataFrame, path: str, rows_per_file: int = 250_000) -> dict:
+    """Flat Parquet that takes the place of what is at ``path`` once it is whole, with its facts in ``_facts.json``; returns them.
+
+    ``df`` may read from ``path``. Written beside it and renamed, so a failed job leaves the old table. Between removal and renaming
+    there is none; where readers must always find one, or renaming is a copy (object stores), use ``save_version``.
+    """
+    path = path.rstrip("/")
+    new = f"{path}.new-{uuid.uuid4().hex[:12]}"
+    facts = _with_facts(df, new, rows_per_file)
+    (where, to), (_, source) = _file_system(path), _file_system(new)
+    if where.get_file_info(to).type != fs.FileType.NotFound:
+        where.delete_dir(to)
+    where.move(source, to)
+    return facts
+
+
+def save_version(df: DataFrame, root: str, name: str, rows_per_file: int = 250_000) -> str:
+    """A new version of a named output: the folder root/name/version, whole when its ``_facts.json`` is there. Versions sort by
+    the time of writing."""
+    path = f"{root.rstrip('/')}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    _with_facts(df, path, rows_per_file)
+    return path
+
+
+def latest_output(root: str, name: str) -> str | None:
+    """The newest whole version of a named output; None without one."""
+    uri = f"{root.rstrip('/')}/{name}"
+    where, base = _file_system(uri)
+    found = where.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    for v in sorted((f.base_name for f in found if f.type == fs.FileType.Directory), reverse=True):
+        if where.get_file_info(f"{base}/{v}/_facts.json").type == fs.FileType.File:
+            return f"{uri}/{v}"
+    return None
+
+
+def dataset_facts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, ready, rows, columns) of Parquet datasets, in one job; unreadable ones have 0 rows and aren't ready."""
+    parts = []
+    for name, path in paths.items():
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException:
+            df = None
+        rows = df.agg(F.count("*").alias("rows")) if df is not None else spark.range(1).select(F.lit(0).cast("long").alias("rows"))
+        parts.append(rows.select(F.lit(name).alias("name"), (F.col("rows") > 0).alias("ready"), "rows", F.lit(0 if df is None else len(df.columns)).alias("columns")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def split_columns(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """(flag columns, outcome columns, the rest) of a wide table."""
     flags = [c for c in df.columns if c.endswith("_Tested")]
