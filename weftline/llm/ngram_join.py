@@ -11,8 +11,9 @@ number that follows from their sizes, so they can't differ in every one of H + 1
   many uncommon shingles first; empty ones come last.
 
 The number of segments and of loose ones is allocated for each band by the least estimated cost of entries and false meetings.
-Entries go to their buckets as packed arrays; a bucket's first set is compared with its others on the whole sets, and then, of
-buckets whose sets aren't all connected, every other pair of sets in different components. Links within a component are never needed.
+Entries go to their buckets as packed arrays; a bucket's first set is compared with its others on the whole sets. Where the partners
+of a first set aren't all connected by that, they are compared with each other in tasks of bounded size, which give a spanning forest
+of the links between components. Links within a component are never needed, and pairs are no rows.
 
 Shingles are compared by 64-bit hashes. Equal sets are one class, known by a hash that a second one checks. Null texts and texts
 without words have an empty set and are linked with nothing. Null doc_ids are never the smallest unless a component has no other.
@@ -34,8 +35,8 @@ from .words import SPACED, blocks, mix64, polynomial, words_of
 SHINGLE, PERCENT = 5, 80
 #: Each band's largest set has about this many times the size of its smallest.
 BAND = 1.6
-#: Entries of a partition and of what a task packs at a time; pairs with one set that are verified in one task.
-ENTRIES, PACK, CHUNK = 2_000_000, 1_000_000, 256
+#: Entries of a partition and of what a task packs at a time; pairs with one set that are verified in one task; shingles of a chunk.
+ENTRIES, PACK, CHUNK, SHINGLES = 2_000_000, 1_000_000, 256, 3_000_000
 #: Shingles held to be common: at most so many, each in so many documents of a task's batch, or a share of them. Only the order of subsets depends on it.
 COMMON, COMMON_DOCS, COMMON_SHARE = 65_536, 20, 1 / 500
 #: Seconds for an entry and for a false meeting, and how likely another set of the band shares a subset of k shingles: A * B^k.
@@ -369,20 +370,79 @@ def _rooted(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(components(links).withColumnRenamed("id", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
-def _left_over(met: DataFrame, rooted: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share an entry, may be similar by their sizes, are in different components, and were not compared yet."""
-    of_first = rooted.select(F.col("set").alias("first"), F.col("root").alias("first_root"))
-    rows = met.select("key", "set", "first").join(rooted.select("set", "root", "size"), "set")
-    open_keys = as_table(rows.join(of_first, "first").filter("root <> first_root").select("key").distinct())
-    rows = as_table(rows.join(open_keys, "key", "left_semi").select("key", "set", "root", "size").distinct())
-    main = rows.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-    apart = as_table(rows.join(main, "key").filter("root <> main").select("key", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa")))
-    pairs = apart.join(rows.select("key", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb")), "key")
-    pairs = pairs.filter(f"ra <> rb and 100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select("a", "b").distinct()
-    twice = pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("b < a")
-    pairs = pairs.join(twice, ["a", "b"], "left_anti")
-    seen = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(seen, ["a", "b"], "left_anti")
+def _links_across(lefts: list, rights: list, percent: int) -> tuple[list[int], list[int]]:
+    """Links between sets (set, root, shingles) of different components, as many as connect what they connect."""
+    size = np.array([len(r[2]) for r in rights])
+    tokens = np.concatenate([r[2] for r in rights])
+    owner = np.repeat(np.arange(len(rights)), size)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    roots, names = np.array([r[1] for r in rights]), [r[0] for r in rights]
+    up: dict[int, int] = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    a, b = [], []
+    for name, root, shingles in lefts:
+        low, high = np.searchsorted(tokens, shingles, "left"), np.searchsorted(tokens, shingles, "right")
+        n = high - low
+        at = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+        same = np.bincount(owner[at], minlength=len(rights))
+        for i in np.flatnonzero((100 * same >= percent * (len(shingles) + size - same)) & (roots != root)).tolist():
+            x, y = find(root), find(int(roots[i]))
+            if x != y:
+                up[x] = y
+                a.append(name)
+                b.append(names[i])
+    return a, b
+
+
+def across(stars: DataFrame, rooted: DataFrame, texts: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links between sets in different components that share an entry, enough to connect what they connect.
+
+    Sets that share an entry share its first set, so they are partners of one star: (a, b) are stars, a among them. Where a star has
+    partners in several components, those outside its largest one are compared with all others in one task, by an index of shingles;
+    stars of more than ``SHINGLES`` are cut into chunks, and pairs of chunks are tasks. No pair becomes a row that isn't a link.
+    """
+    members = stars.unionByName(stars.select("a", F.col("a").alias("b"))).distinct().withColumnRenamed("b", "set").join(rooted.select("set", "root", "size"), "set")
+    open_ = members.groupBy("a").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("a")
+    members = as_table(members.join(open_, "a", "left_semi"))
+    main = members.groupBy("a", "root").agg(F.sum("size").alias("n")).groupBy("a").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    members = members.join(main, "a").withColumn("out", F.col("root") != F.col("main")).drop("main")
+    pieces = lambda x: F.ceil(F.coalesce(F.sum(x), F.lit(0)) / SHINGLES).cast("int")
+    chunks = as_table(members.groupBy("a").agg(pieces(F.col("size")).alias("k"), pieces(F.when(F.col("out"), F.col("size"))).alias("ko")))
+    members = as_table(members.join(chunks, "a"))
+    place = lambda count: F.pmod(F.xxhash64("set"), F.col(count)).cast("int")
+    to = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = members.filter("out").select("a", place("ko").alias("i"), to("k").alias("j"), F.lit(0).alias("side"), "set", "root")
+    right = members.select("a", place("k").alias("j"), to("ko").alias("i"), F.lit(1).alias("side"), "set", "root").select(left.columns)
+    rows = left.unionByName(right).join(texts, "set").select("a", "i", "j", "side", "set", "root", "text")
+    rows = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+
+    def compare(batches):
+        task, sides = None, ([], [])
+
+        def done():
+            a, b = _links_across(*sides, percent) if sides[0] and sides[1] else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True))
+            for row, _, data, offsets in blocks(batch.column(6)):
+                first, shingles = sets_of(data, offsets, n)
+                for k in range(len(first) - 1):
+                    *new, side, name, root = keys[row + k]
+                    if new != task:
+                        yield done()
+                        task, sides = new, ([], [])
+                    sides[side].append((name, root, shingles[first[k] : first[k + 1]]))
+        yield done()
+
+    bounded_batches()
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -401,16 +461,16 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     met = as_table(meetings(docs, plan, common_shingles(docs, n), parts, n))
     stars = as_table(met.filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct())
     sized = sets.select("set", "size")
-    stars = as_table(stars.join(sized.select(F.col("set").alias("a"), F.col("size").alias("sa")), "a").join(sized.select(F.col("set").alias("b"), F.col("size").alias("sb")), "b").filter(f"100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select("a", "b"))
+    near = stars.join(sized.select(F.col("set").alias("a"), F.col("size").alias("sa")), "a").join(sized.select(F.col("set").alias("b"), F.col("size").alias("sb")), "b")
+    near = as_table(near.filter(f"100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select("a", "b"))
     want = sets.join(met.select("set").distinct(), "set", "left_semi").select("set", "k")
     texts = docs.groupBy(F.xxhash64("text").alias("k")).agg(F.first("text").alias("text")).join(want, "k").select("set", "text")
     texts = as_table(texts)
-    links = as_table(verify(stars, texts, n, percent))
+    links = as_table(verify(near, texts, n, percent))
     rooted = as_table(_rooted(sized, links))
-    more = as_table(_left_over(met, rooted, stars, percent))
+    more = as_table(across(stars, rooted, texts, n, percent))
     if not more.isEmpty():
-        links = links.unionByName(verify(more, texts, n, percent))
-        rooted = as_table(_rooted(sized, as_table(links)))
+        rooted = as_table(_rooted(sized, links.unionByName(more)))
     firsts = rooted.join(sets.select("set", "doc"), "set").withColumn("least", F.col("doc"))
     least = as_table(firsts.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     named = cut_lineage(firsts.drop("least").join(least, "root", "left").select("set", F.when(F.col("least").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id")))
