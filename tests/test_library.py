@@ -17,6 +17,7 @@ from weftline.functions import encode, stats
 from weftline.functions.metrics import METRICS
 from weftline.operators import compare, contingency, coverage, evaluate, filters, graph, significance, temporal
 from weftline.plans import networks
+from weftline.plans import rules as rules_of
 from weftline.queries import ORACLES, QUERIES
 from weftline.sources import io
 
@@ -143,7 +144,7 @@ def test_graph_measures(triangles):
     assert c == pytest.approx((4 * 1 + 2 * (2 / 6)) / 7)
     hops = {(r.s, r.t): (r.hops, r.routes) for r in graph.paths(edges).collect()}
     assert hops["a", "f"] == (3, 1) and ("a", "g") not in hops
-    b = {r.node: r.betweenness for r in graph.betweenness(nodes, graph.paths(edges)).collect()}
+    b = {r.node: r.betweenness for r in graph.betweenness(nodes, edges).collect()}
     assert b["c"] == b["d"] == max(b.values()) and b["a"] == b["g"] == 0
 
 
@@ -157,7 +158,7 @@ def test_paths_of_a_long_chain(spark):
     chain = {("chain", f"n{i:02}", f"n{j:02}"): (abs(i - j), 1) for i in range(24) for j in range(24) if i != j}
     ring = {("ring", f"n{i:02}", f"n{j:02}"): (min((i - j) % 5, (j - i) % 5), 1) for i in range(5) for j in range(5) if i != j}
     assert got == chain | ring
-    b = {(r.network_id, r.node): r.betweenness for r in graph.betweenness(nodes, found).collect()}
+    b = {(r.network_id, r.node): r.betweenness for r in graph.betweenness(nodes, edges).collect()}
     assert all(b["chain", f"n{i:02}"] == pytest.approx(2 * i * (23 - i) / (23 * 22)) for i in range(24))
 
 
@@ -216,14 +217,14 @@ def test_agreement(spark):
 
 def test_rules_with_larger_consequents(spark):
     rows = [(u, i) for u in range(10) for i in ("x", "y", "z")] + [(11, "x"), (12, "w")]
-    rules = networks.association_rules(spark.createDataFrame(rows, "unit int, item string"), 0.1, 0.3, 1.0).collect()
+    rules = rules_of.association_rules(spark.createDataFrame(rows, "unit int, item string"), 0.1, 0.3, 1.0).collect()
     r = next(r for r in rules if r.antecedent == ["x"] and r.consequent == ["y", "z"])
     assert r.support == pytest.approx(10 / 12) and r.confidence == pytest.approx(10 / 11)
 
 
 def test_rules_of_all_sizes_against_brute_force(spark):
     baskets = ["abcdef"] * 6 + ["abc", "abd", "ef", "f", "g", "ag"]
-    rules = networks.association_rules(spark.createDataFrame([(u, i) for u, b in enumerate(baskets) for i in b], "unit int, item string"), 0.1, 0.3, 1.0)
+    rules = rules_of.association_rules(spark.createDataFrame([(u, i) for u, b in enumerate(baskets) for i in b], "unit int, item string"), 0.1, 0.3, 1.0)
     n, got = len(baskets), {(tuple(r.antecedent), tuple(r.consequent)): (r.support, r.confidence, r.lift) for r in rules.collect()}
     share = {s: sum(set(s) <= set(b) for b in baskets) / n for k in range(1, 8) for s in itertools.combinations("abcdefg", k)}
     want = {}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -112,7 +114,26 @@ def tier(text: Column, tiers: list[tuple[str, str]], default: str = "Other") ->
     return out.otherwise(default)
 
 
+@lru_cache(1)
+def _marked() -> tuple[str, str]:
+    """Letters of the basic plane that decompose into a letter and marks, and these letters."""
+    source, target = [], []
+    for code in range(0xC0, 0x10000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and unicodedata.category(chr(code)).startswith("L") and all(unicodedata.combining(c) for c in parts[1:]):
+            source.append(chr(code))
+            target.append(parts[0])
+    return "".join(source), "".join(target)
+
+
+def fold(text: str) -> str:
+    """What ``folded`` makes of a text."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", text.strip(" ").lower()) if not unicodedata.category(c).startswith("M"))
+    return plain.replace("ß", "ss")
+
+
 def folded(text: Column) -> Column:
-    """Lower case, without accents and outer space; null is empty."""
-    source, target = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-    return F.lower(F.trim(F.translate(F.coalesce(text.cast("string"), F.lit("")), source, target)))
+    """Lower case, without marks on letters (by Unicode decomposition) and outer space, ß as ss; null is empty. Letters that only look
+    like marked ones (ø, ł, đ) stay."""
+    plain = F.translate(F.lower(F.trim(F.coalesce(text.cast("string"), F.lit("")))), *_marked())
+    return F.replace(F.regexp_replace(plain, r"\p{M}", ""), F.lit("ß"), F.lit("ss"))

@@ -152,6 +152,12 @@ def t_two_sided(t: pa.Array, df: pa.Array) -> pa.Array:
     return pa.array([None if v is None or k is None else beta_share(k / (k + v * v), k / 2, 0.5) for v, k in zip(t.to_pylist(), df.to_pylist(), strict=True)], pa.float64())
 
 
+def correlation(x: str, y: str):
+    """Pearson correlation as an aggregate; null where a side has no spread."""
+    one, two = (F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c)) for c in (x, y))
+    return F.try_divide(F.covar_pop(one, two), F.stddev_pop(one) * F.stddev_pop(two))
+
+
 def correlation_p(r, n):
     """Two-sided p of a Pearson correlation of n pairs by Student's t; null below three pairs, 0 where |r| is 1."""
     left = F.greatest(1 - r * r, F.lit(0.0))

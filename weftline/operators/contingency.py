@@ -4,6 +4,8 @@
 sorted array (a shuffle by unit) and written as a table, from which pairs, margins and sizes are read; counts are pre-aggregated
 before the second shuffle. Margins and sizes are joined to the pairs; both have one row per stratum and item. A unit with more than
 ``LONG`` items is cut into chunks, and pairs of chunks are dealt to many tasks.
+
+A null stratum is a stratum. Strata may have any names but those of the result. Null items and units are left out.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.metrics import lift
 
+from .keys import KEY, columns_of, key_of, refuse
 from .lineage import cut
 
 CELLS = ("a", "b", "c", "d", "fl", "fr", "n")
@@ -51,38 +54,41 @@ def _left_items(sets: DataFrame, keep: list[str], items: str = "items") -> DataF
     return short.select(*keep, items, F.posexplode(items).alias("i", "left_item")).unionByName(two.select(*keep, rest.alias(items), F.lit(0).alias("i"), "left_item"))
 
 
+def _rows(inc: DataFrame, strata: list[str], *more: Column) -> DataFrame:
+    return inc.filter("unit is not null and item is not null").select(key_of(strata), "unit", "item", *more)
+
+
 def pair_counts(inc: DataFrame, strata: list[str], complete: bool = True) -> DataFrame:
     """(strata, left_item, right_item, CELLS) with left_item < right_item.
 
     ``complete`` also gives pairs that never meet: item x item within a stratum, as many rows as the result has.
     """
-    sets = cut(inc.select(*strata, "unit", "item").groupBy(*strata, "unit").agg(F.sort_array(F.collect_set("item")).alias("items")))
-    left = _left_items(sets, strata)
-    met = left.select(*strata, "left_item", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("right_item"))
-    met = met.groupBy(*strata, "left_item", "right_item").agg(F.count("*").alias("a"))
-    f = cut(sets.select(*strata, F.explode("items").alias("item")).groupBy(*strata, "item").agg(F.count("*").alias("f")))
-    n = cut(sets.groupBy(*strata).agg(F.count("*").alias("n")))
+    refuse(strata, ["left_item", "right_item", *CELLS])
+    sets = cut(_rows(inc, strata).groupBy(KEY, "unit").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    left = _left_items(sets, [KEY])
+    met = left.select(KEY, "left_item", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("right_item"))
+    met = met.groupBy(KEY, "left_item", "right_item").agg(F.count("*").alias("a"))
+    f = cut(sets.select(KEY, F.explode("items").alias("item")).groupBy(KEY, "item").agg(F.count("*").alias("f")))
+    n = cut(sets.groupBy(KEY).agg(F.count("*").alias("n")))
     fl, fr = f.withColumnRenamed("item", "left_item").withColumnRenamed("f", "fl"), f.withColumnRenamed("item", "right_item").withColumnRenamed("f", "fr")
     if complete:
-        grid = (fl.join(fr, strata) if strata else fl.join(fr, F.lit(True))).filter("left_item < right_item")
-        pairs = grid.join(met, [*strata, "left_item", "right_item"], "left")
+        pairs = fl.join(fr, KEY).filter("left_item < right_item").join(met, [KEY, "left_item", "right_item"], "left")
     else:
-        pairs = met.join(fl, [*strata, "left_item"]).join(fr, [*strata, "right_item"])
-    pairs = pairs.join(n, strata) if strata else pairs.join(n, F.lit(True))
-    return _fill(pairs).select(*strata, "left_item", "right_item", *CELLS)
+        pairs = met.join(fl, [KEY, "left_item"]).join(fr, [KEY, "right_item"])
+    return _fill(pairs.join(n, KEY)).select(*columns_of(strata), "left_item", "right_item", *CELLS)
 
 
 def rectangular_counts(left: DataFrame, right: DataFrame, strata: list[str]) -> DataFrame:
     """Items of one incidence frame against items of another on the same units; every observed pair."""
-    units = left.select(*strata, "unit").unionByName(right.select(*strata, "unit")).distinct()
-    n = units.groupBy(*strata).agg(F.count("*").alias("n"))
-    fl = margins(left, strata)[0].select(*strata, F.col("item").alias("left_item"), F.col("f").alias("fl"))
-    fr = margins(right, strata)[0].select(*strata, F.col("item").alias("right_item"), F.col("f").alias("fr"))
-    met = left.select(*strata, "unit", F.col("item").alias("left_item")).distinct().join(right.select(*strata, "unit", F.col("item").alias("right_item")).distinct(), [*strata, "unit"])
-    met = met.groupBy(*strata, "left_item", "right_item").agg(F.count("*").alias("a"))
-    pairs = met.join(fl, [*strata, "left_item"]).join(fr, [*strata, "right_item"])
-    pairs = pairs.join(n, strata) if strata else pairs.join(n, F.lit(True))
-    return _fill(pairs).select(*strata, "left_item", "right_item", *CELLS)
+    refuse(strata, ["left_item", "right_item", *CELLS])
+    left, right = (cut(_rows(df, strata).distinct()) for df in (left, right))
+    n = left.select(KEY, "unit").unionByName(right.select(KEY, "unit")).distinct().groupBy(KEY).agg(F.count("*").alias("n"))
+    fl = left.groupBy(KEY, F.col("item").alias("left_item")).agg(F.count("*").alias("fl"))
+    fr = right.groupBy(KEY, F.col("item").alias("right_item")).agg(F.count("*").alias("fr"))
+    met = left.withColumnRenamed("item", "left_item").join(right.withColumnRenamed("item", "right_item"), [KEY, "unit"])
+    met = met.groupBy(KEY, "left_item", "right_item").agg(F.count("*").alias("a"))
+    pairs = met.join(fl, [KEY, "left_item"]).join(fr, [KEY, "right_item"]).join(n, KEY)
+    return _fill(pairs).select(*columns_of(strata), "left_item", "right_item", *CELLS)
 
 
 def category_counts(inc: DataFrame, units: DataFrame, category: str, keep_null: bool = True) -> DataFrame:
@@ -105,17 +111,18 @@ def pair_counts_excluding(values: DataFrame, strata: list[str]) -> DataFrame:
 
     Other values and nulls exclude the pair on that unit. Every pair of items of a stratum appears.
     """
-    rows = values.filter(F.col("value").isin(0, 1)).select(*strata, "unit", "item", F.col("value").cast("int").alias("value"))
-    sets = rows.groupBy(*strata, "unit").agg(F.sort_array(F.collect_set(F.struct("item", "value"))).alias("s"))
-    left = _left_items(cut(sets), strata, "s").withColumnRenamed("left_item", "l")
-    met = left.select(*strata, F.col("l.item").alias("left_item"), F.col("l.value").alias("x"), F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("r"))
+    refuse(strata, ["left_item", "right_item", *CELLS])
+    values = values.withColumn("value", F.col("value").cast("double"))
+    rows = _rows(values.filter(F.col("value").isin(0.0, 1.0)), strata, F.col("value").cast("int").alias("value"))
+    sets = rows.groupBy(KEY, "unit").agg(F.sort_array(F.collect_set(F.struct("item", "value"))).alias("s"))
+    left = _left_items(cut(sets), [KEY], "s").withColumnRenamed("left_item", "l")
+    met = left.select(KEY, F.col("l.item").alias("left_item"), F.col("l.value").alias("x"), F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("r"))
     cell = lambda x, y: F.count_if((F.col("x") == x) & (F.col("r.value") == y))
-    met = met.groupBy(*strata, "left_item", F.col("r.item").alias("right_item")).agg(cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"))
-    items = values.select(*strata, "item").distinct()
-    l, r = items.withColumnRenamed("item", "left_item"), items.withColumnRenamed("item", "right_item")
-    grid = (l.join(r, strata) if strata else l.join(r, F.lit(True))).filter("left_item < right_item")
-    out = grid.join(met, [*strata, "left_item", "right_item"], "left").fillna(0, ["a", "b", "c", "d"])
-    return with_margins(out)
+    met = met.groupBy(KEY, "left_item", F.col("r.item").alias("right_item")).agg(cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"))
+    items = cut(_rows(values, strata).select(KEY, "item").distinct())
+    grid = items.withColumnRenamed("item", "left_item").join(items.withColumnRenamed("item", "right_item"), KEY).filter("left_item < right_item")
+    out = grid.join(met, [KEY, "left_item", "right_item"], "left").fillna(0, ["a", "b", "c", "d"])
+    return with_margins(out.select(*columns_of(strata), "left_item", "right_item", "a", "b", "c", "d"))
 
 
 def with_margins(pairs: DataFrame) -> DataFrame:
@@ -140,10 +147,11 @@ def check_binary(wide: DataFrame, columns: list[str]) -> DataFrame:
 def with_item_weights(pairs: DataFrame, strata: list[str], domain: DataFrame | None = None, beta: float = 20.0, kappa: float = 1.0, unit_norm: bool = False) -> DataFrame:
     """Adds wl, wr (robust inverse frequency: 1 + kappa tanh of its deviation from the stratum's median in MADs), il, ir (smooth
     inverse frequency, of unit length over the stratum's items if ``unit_norm``) and gl, gr (``domain``: item, factor; else 1)."""
-    pairs = cut(pairs)
-    items = pairs.select(*strata, F.col("left_item").alias("item"), F.col("fl").alias("f"), "n").unionByName(pairs.select(*strata, F.col("right_item").alias("item"), F.col("fr").alias("f"), "n")).distinct()
+    refuse(strata, ["wl", "wr", "il", "ir", "gl", "gr"])
+    pairs = cut(pairs.withColumn(KEY, key_of(strata)))
+    items = pairs.select(KEY, F.col("left_item").alias("item"), F.col("fl").alias("f"), "n").unionByName(pairs.select(KEY, F.col("right_item").alias("item"), F.col("fr").alias("f"), "n")).distinct()
     items = items.withColumn("x", F.log((F.col("n") + beta) / (F.col("f") + beta))).withColumn("i", F.log((F.col("n") + 1) / (F.col("f") + 1)) + 1)
-    over = Window.partitionBy(*strata)
+    over = Window.partitionBy(KEY)
     items = items.withColumn("middle", F.percentile("x", F.lit(0.5)).over(over)).withColumn("away", F.abs(F.col("x") - F.col("middle")))
     items = items.withColumn("w", 1 + kappa * F.tanh((F.col("x") - F.col("middle")) / (F.percentile("away", F.lit(0.5)).over(over) + 1e-9)))
     if unit_norm:
@@ -152,10 +160,11 @@ def with_item_weights(pairs: DataFrame, strata: list[str], domain: DataFrame | N
         items = items.join(domain.select("item", F.col("factor").alias("g")), "item", "left").withColumn("g", F.coalesce("g", F.lit(1.0)))
     else:
         items = items.withColumn("g", F.lit(1.0))
+    items = cut(items)
     for side in ("left", "right"):
         s = side[0]
-        pairs = pairs.join(items.select(*strata, F.col("item").alias(f"{side}_item"), F.col("w").alias(f"w{s}"), F.col("i").alias(f"i{s}"), F.col("g").alias(f"g{s}")), [*strata, f"{side}_item"])
-    return pairs
+        pairs = pairs.join(items.select(KEY, F.col("item").alias(f"{side}_item"), F.col("w").alias(f"w{s}"), F.col("i").alias(f"i{s}"), F.col("g").alias(f"g{s}")), [KEY, f"{side}_item"])
+    return pairs.drop(KEY)
 
 
 def tfidf(inc: DataFrame, strata: list[str], smooth: bool = True, cosine: bool = False) -> DataFrame:
@@ -163,24 +172,22 @@ def tfidf(inc: DataFrame, strata: list[str], smooth: bool = True, cosine: bool =
 
     A unit's weight depends on how many items it has, so it is known before pairs are made.
     """
-    rows = inc.select(*strata, "unit", "item").distinct()
-    count = rows.groupBy(*strata).agg(F.count_distinct("item").alias("items"))
-    sets = rows.groupBy(*strata, "unit").agg(F.sort_array(F.collect_set("item")).alias("s"))
-    count = cut(count)
-    sets = sets.join(count, strata) if strata else sets.join(count, F.lit(True))
+    refuse(strata, ["left_item", "right_item", "similarity"])
+    rows = _rows(inc, strata).distinct()
+    count = cut(rows.groupBy(KEY).agg(F.count_distinct("item").alias("items")))
+    sets = rows.groupBy(KEY, "unit").agg(F.sort_array(F.collect_set("item")).alias("s")).join(count, KEY)
     df = F.size("s")
     idf = F.log((1 + F.col("items")) / (1 + df)) + 1 if smooth else F.log(F.col("items") / df) + 1
-    sets = sets.withColumn("w", idf * idf)
-    sets = cut(sets)
-    left = _left_items(sets, [*strata, "w"], "s")
-    pairs = left.select(*strata, "w", "left_item", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("right_item"))
-    pairs = pairs.groupBy(*strata, "left_item", "right_item").agg(F.sum("w").alias("similarity"))
+    sets = cut(sets.withColumn("w", idf * idf))
+    left = _left_items(sets, [KEY, "w"], "s")
+    pairs = left.select(KEY, "w", "left_item", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("right_item"))
+    pairs = pairs.groupBy(KEY, "left_item", "right_item").agg(F.sum("w").alias("similarity"))
     if cosine:
-        length = sets.select(*strata, "w", F.explode("s").alias("left_item")).groupBy(*strata, "left_item").agg(F.sqrt(F.sum("w")).alias("length"))
+        length = cut(sets.select(KEY, "w", F.explode("s").alias("left_item")).groupBy(KEY, "left_item").agg(F.sqrt(F.sum("w")).alias("length")))
         for side in ("left", "right"):
-            pairs = pairs.join(length.withColumnRenamed("left_item", f"{side}_item").withColumnRenamed("length", side), [*strata, f"{side}_item"])
+            pairs = pairs.join(length.withColumnRenamed("left_item", f"{side}_item").withColumnRenamed("length", side), [KEY, f"{side}_item"])
         pairs = pairs.withColumn("similarity", F.col("similarity") / (F.col("left") * F.col("right")))
-    return pairs.select(*strata, "left_item", "right_item", "similarity")
+    return pairs.select(*columns_of(strata), "left_item", "right_item", "similarity")
 
 
 def scaled_lift(pairs: DataFrame, strata: list[str]) -> DataFrame:

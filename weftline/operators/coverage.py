@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import KEY, columns_of, key_of, refuse
 from .lineage import cut
 
 
@@ -14,16 +17,19 @@ def group_sizes(units: DataFrame, groups: list[str]) -> DataFrame:
 
 def rates(inc: DataFrame, units: DataFrame, groups: list[str], complete: bool = True) -> DataFrame:
     """(groups, item, count, n, rate): units of the group with the item, all its units, their ratio. ``units`` has one row per
-    unit with its groups. ``complete`` also gives items that a group lacks, so groups x items rows. The result is written once, as
-    what follows reads it more than once."""
-    sizes = cut(group_sizes(units, groups))
-    counts = inc.select("unit", "item").distinct().join(units.select("unit", *groups), "unit").groupBy(*groups, "item").agg(F.count("*").alias("count"))
+    unit with its groups; a null group is one. ``complete`` also gives items that a group lacks, so groups x items rows. The result
+    is written once, as what follows reads it more than once."""
+    refuse(groups, ["unit", "item", "count", "n", "rate"])
+    units = units.select(key_of(groups), "unit")
+    sizes = cut(units.groupBy(KEY).agg(F.count_distinct("unit").alias("n")))
+    counts = inc.select("unit", "item").distinct().join(units, "unit").groupBy(KEY, "item").agg(F.count("*").alias("count"))
     if complete:
         grid = sizes.join(cut(inc.select("item").distinct()), F.lit(True))  # tables of known size: the smaller is broadcast
-        out = grid.join(counts, [*groups, "item"], "left").fillna(0, ["count"])
+        counts = counts.withColumnRenamed("item", "_item")
+        out = grid.join(counts.withColumnRenamed(KEY, "_of"), (F.col(KEY) == F.col("_of")) & F.col("item").eqNullSafe(F.col("_item")), "left").fillna(0, ["count"])
     else:
-        out = counts.join(sizes, groups)
-    return cut(out.select(*groups, "item", "count", "n", (F.col("count") / F.col("n")).alias("rate")))
+        out = counts.join(sizes, KEY)
+    return cut(out.select(*columns_of(groups), "item", "count", "n", (F.col("count") / F.col("n")).alias("rate")))
 
 
 def metric(inc: DataFrame, units: DataFrame, groups: list[str], how: str, population: DataFrame | None = None) -> DataFrame:
@@ -54,10 +60,10 @@ def group_comparison(inc: DataFrame, units: DataFrame, group: str, classes: Data
 
 def per_100k(rates_: DataFrame, population: DataFrame, key: str | list[str]) -> DataFrame:
     """Counts per 100,000 of a population (key, population), so by sex if sex is among the keys; a group without one takes the mean
-    of all."""
+    of all, and of a population of 0 the value is null."""
     mean = population.agg(F.avg("population").alias("_mean"))
     out = rates_.join(population, key, "left").join(mean, F.lit(True))
-    return out.withColumn("per_100k", F.col("count") * 100_000 / F.coalesce("population", "_mean")).drop("_mean")
+    return out.withColumn("per_100k", F.try_divide(F.col("count") * 100_000, F.coalesce("population", "_mean"))).drop("_mean")
 
 
 def population_of(regions: DataFrame, exact: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -92,14 +98,14 @@ def variation(df: DataFrame, by: list[str], value: str, threshold: float | None
 
 
 def error_bars(df: DataFrame, by: list[str], value: str, mode: str) -> DataFrame:
-    """(by, mean, low, high) by iqr, stddev, sem, ci, minmax or mad (mean absolute deviation about the mean)."""
+    """(by, mean, low, high) by iqr, stddev, sem, ci, minmax, mad (mean absolute deviation about the mean) or none."""
     v, mean = F.col(value), F.avg(value)
     if mode == "mad":
         centred = df.join(df.groupBy(*by).agg(mean.alias("_m")), by)
         half = F.avg(F.abs(v - F.col("_m")))
         return centred.groupBy(*by).agg(mean.alias("mean"), (mean - half).alias("low"), (mean + half).alias("high"))
     half = {"stddev": F.stddev_samp(value), "sem": F.stddev_samp(value) / F.sqrt(F.count(value)), "ci": 1.96 * F.stddev_samp(value) / F.sqrt(F.count(value))}
-    low, high = {"iqr": (F.percentile(value, F.lit(0.25)), F.percentile(value, F.lit(0.75))), "minmax": (F.min(value), F.max(value))}.get(mode) or (mean - half[mode], mean + half[mode])
+    low, high = {"iqr": (F.percentile(value, F.lit(0.25)), F.percentile(value, F.lit(0.75))), "minmax": (F.min(value), F.max(value)), "none": (mean, mean)}.get(mode) or (mean - half[mode], mean + half[mode])
     return df.groupBy(*by).agg(mean.alias("mean"), low.alias("low"), high.alias("high"))
 
 
@@ -210,6 +216,40 @@ def column_profile(df: DataFrame, rsd: float | None = None) -> DataFrame:
     return out.select("column", "type", role.alias("role"), *[c for c in out.columns if c not in ("column", "type")])
 
 
+def frequent_values(df: DataFrame, share: float = 0.01, most: int = 10) -> DataFrame:
+    """(column, place, value, count, share): of every column the values, as text, that at least ``share`` of the rows have, the ``most``
+    frequent ones (ties by value). Nulls are no values, but count as rows.
+
+    One pass keeps a summary of bounded size a column, which misses no value of that share; its candidates, at most some 1/share a
+    column, are then counted exactly.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("share must be in (0, 1]")
+    candidates = int(2 / share) + 10
+    tracked = max(8 * candidates, 1024)
+    text = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
+    tops = df.agg(F.count("*").alias("_rows"), *[F.call_function("approx_top_k", text[c], F.lit(candidates), F.lit(tracked)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    tops = cut(tops)
+    likely = reduce(DataFrame.unionByName, [tops.select(F.lit(c).alias("column"), F.explode(f"c{i}").alias("v")) for i, c in enumerate(df.columns)])
+    likely = cut(likely.select("column", F.col("v.item").alias("value")).filter("value is not null"))
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text[c].alias("value")) for c in df.columns])).alias("v")).select("v.*")
+    counted = rows.join(likely, ["column", "value"]).groupBy("column", "value").agg(F.count("*").alias("count"))
+    out = counted.join(tops.select("_rows"), F.lit(True)).filter(F.col("count") >= share * F.col("_rows"))
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))).filter(F.col("place") <= most)
+    return out.select("column", "place", "value", "count", (F.col("count") / F.col("_rows")).alias("share"))
+
+
+def full_profile(df: DataFrame, share: float = 0.01, rsd: float = 0.01) -> DataFrame:
+    """``column_profile`` with distinct values by a mergeable sketch of relative error ``rsd`` (a column whose estimate is within twice
+    that of its rows counts as an id), and the top value of each column with its count, where one has at least ``share`` of the rows.
+    Scans keep one row a task for all columns; nothing is sorted or expanded but the candidates."""
+    base = column_profile(df, rsd)
+    whole = F.abs(F.col("distinct") - F.col("rows")) <= 2 * rsd * F.col("rows")
+    top = frequent_values(df, share, 1).select("column", F.col("value").alias("top_value"), F.col("count").alias("top_count"))
+    role = F.when(whole & (F.col("nulls") == 0) & (F.col("distinct") > 50) & ~F.col("type").isin("double", "float"), "id").otherwise(F.col("role"))
+    return base.withColumn("role", role).join(top, "column", "left")
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(rows, duplicates): rows, and how many of them repeat an earlier one."""
     names = [F.col(f"`{c}`") for c in df.columns]

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.encode import folded
+from weftline.functions.encode import fold, folded
 
 
 def _all(conditions: Iterable[Column]) -> Column:
@@ -24,7 +24,7 @@ def condition(column: str, values=None, regex: str | None = None, case_insensiti
             return c == values
         values = list(values)
         if all(isinstance(v, str) for v in values):
-            return folded(c).isin([v.casefold().strip() for v in values])
+            return folded(c).isin([fold(v) for v in values])
         return c.isin(values)
     return F.coalesce(c.cast("string").rlike(("(?i)" if case_insensitive else "") + (regex if values is None else values)), F.lit(False))
 

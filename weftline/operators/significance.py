@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.stats import erfc, fisher_p, log_odds_mle
 
+from .keys import key_of
+from .lineage import cut
+from .ordered import in_ranges, running
+
 
 def g_statistic(eps: float = 0.5) -> Column:
     """Likelihood ratio statistic of a 2x2 table with ``eps`` added to every cell."""
@@ -33,19 +37,31 @@ def hypergeometric_sf() -> Column:
 
 
 def adjusted(df: DataFrame, family: list[str], p: str = "p_value", method: str = "bh", out: str = "q_value") -> DataFrame:
-    """q-values by ``bh``, ``by`` or ``bonferroni`` within a family; rows with a null p are not tests and stay null.
+    """q-values by ``bh``, ``by`` or ``bonferroni`` within a family; rows with a null p are not tests and stay null. A null family is
+    a family.
 
-    A family is sorted in one task: key families so that they have as many rows as item pairs, not units.
+    Distinct p are counted first; their places and the least of what follows come from running totals over ranges, so a family may
+    hold all rows.
     """
-    tests = Window.partitionBy(*family, F.col(p).isNull())
-    m = F.count(F.lit(1)).over(tests)
+    df = cut(df.withColumn("_of", key_of(family)))
+    tests = df.filter(F.col(p).isNotNull()).groupBy("_of", F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    size = cut(tests.groupBy("_of").agg(F.sum("_c").alias("_m")))
     if method == "bonferroni":
-        return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * m)))
-    df = df.withColumn("_m", m).withColumn("_i", F.row_number().over(tests.orderBy(p)))
-    factor = F.sum(1 / F.col("_i")).over(tests) if method == "by" else F.lit(1.0)
-    df = df.withColumn("_q", F.col(p) * F.col("_m") / F.col("_i") * factor)
-    q = F.min("_q").over(tests.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("_m", "_i", "_q")
+        found = tests.join(size, "_of").select("_of", "_p", F.least(F.lit(1.0), F.col("_p") * F.col("_m")).alias(out))
+    else:
+        rows = running(in_ranges(tests, ["_of"], "_p"), ["_of"], "_p", F.col("_c"), "_i").join(size, "_of")
+        m = F.col("_m").cast("double")
+        few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("_m", F.lit(1000))), F.lit(0.0), lambda s, k: s + 1 / k)
+        harmonic = F.when(m <= 1000, few).otherwise(F.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m))
+        rows = rows.withColumn("_q", F.col("_p") * m / F.col("_i") * (harmonic if method == "by" else F.lit(1.0)))
+        rows = running(cut(rows), ["_of"], "_p", F.col("_q"), "_least", "min", backwards=True)
+        found = rows.select("_of", "_p", F.least(F.lit(1.0), "_least").alias(out))
+    return _joined(df, found, p, out)
+
+
+def _joined(df: DataFrame, found: DataFrame, p: str, out: str) -> DataFrame:
+    found = cut(found.withColumnRenamed("_of", "_family"))
+    return df.join(found, (F.col("_of") == F.col("_family")) & (F.col(p) == F.col("_p")), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != "_of"], F.col(out))
 
 
 def fdr(edges: DataFrame, family: list[str], p: Column, alpha: float = 0.05, method: str = "bh", mode: str = "hard", min_weight: float = 0.0) -> DataFrame:
@@ -75,10 +91,19 @@ def retention(pruned: DataFrame, by: list[str], tau: float) -> DataFrame:
     return out.withColumn("retention", F.when(F.col("n_testable") > 0, F.col("n_significant") / F.col("n_testable")))
 
 
-def backbone(edges: DataFrame, family: list[str], alpha: float = 0.05, min_support: int = 5, min_margin: int = 20, tau: float = 1.0) -> DataFrame:
-    """log_odds (maximum likelihood), p_value (greater), q_value, gate and weight 1/(1+exp(-log_odds/tau)) of screened edges."""
+def backbone(edges: DataFrame, family: list[str], alpha: float = 0.05, min_support: int = 5, min_margin: int = 20, tau: float = 1.0, tail: str = "greater", method: str = "bh") -> DataFrame:
+    """log_odds (maximum likelihood), p_value, q_value, gate and weight 1/(1+exp(-log_odds/tau)) of screened edges; edges that the
+    screen leaves out are not tested and have no gate."""
     screened = (F.col("a") >= min_support) & (F.col("fl") >= min_margin) & (F.col("fr") >= min_margin)
     cells = [F.when(screened, F.col(c)) for c in ("a", "fl", "fr", "n")]
-    out = adjusted(edges.withColumn("log_odds", log_odds_mle(*cells)).withColumn("p_value", fisher_p("greater")(*cells)), family)
+    out = adjusted(edges.withColumn("log_odds", log_odds_mle(*cells)).withColumn("p_value", fisher_p(tail)(*cells)), family, method=method)
     gate = F.coalesce((F.col("q_value") <= alpha) & (F.col("log_odds") > 0), F.lit(False))
     return out.withColumn("gate", gate).withColumn("weight", F.when(gate, 1 / (1 + F.exp(-F.col("log_odds") / tau))).otherwise(0.0))
+
+
+def through_backbone(edges: DataFrame, family: list[str], hard: bool = True, soft: bool = False, tau: float = 1.0, alpha: float = 0.05, tail: str = "two-sided", **options) -> DataFrame:
+    """``backbone`` with its effect on the similarity: ``hard`` sets edges without a gate to 0, ``soft`` multiplies the tested ones by
+    the logistic of their log odds."""
+    out = backbone(edges, family, alpha=alpha, tau=tau, tail=tail, **options)
+    value = F.col("similarity") * F.when(F.col("log_odds").isNotNull(), 1 / (1 + F.exp(-F.col("log_odds") / tau))).otherwise(1.0) if soft else F.col("similarity")
+    return out.withColumn("similarity", F.when(F.col("gate"), value).otherwise(0.0) if hard else value)

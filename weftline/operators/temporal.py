@@ -87,17 +87,28 @@ def seasonal_means(series: DataFrame, keys: list[str], value: str = "count") ->
 
 def split_points(values: np.ndarray, penalty: float, least: int = 3) -> list[int]:
     """Ends of segments (but for the last) that minimise squared deviations from segment means plus a penalty for each segment,
-    segments having at least ``least`` values: optimal partitioning over all positions."""
+    segments having at least ``least`` values.
+
+    A start s is dropped once a later end t is cheaper even without the penalty of a new segment, as every segmentation through s is
+    then beaten by one through t; as a segment from t needs ``least`` values, s stays for so many steps more.
+    """
     n = len(values)
     if n < 2 * least:
         return []
     s1, s2 = np.concatenate([[0], np.cumsum(values)]), np.concatenate([[0], np.cumsum(values**2)])
     best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
+    room = 1e-9 * max(float(s2[-1]), 1.0)
+    starts, beaten = np.zeros(0, int), np.zeros(0, int)
     for t in range(least, n + 1):
-        s = np.arange(0, t - least + 1)
-        cost = best[s] + s2[t] - s2[s] - (s1[t] - s1[s]) ** 2 / (t - s) + penalty
-        best[t], last[t] = cost.min(), s[cost.argmin()]
+        if t == least or t >= 2 * least:
+            starts, beaten = np.append(starts, t - least), np.append(beaten, n + least)
+        cost = best[starts] + s2[t] - s2[starts] - (s1[t] - s1[starts]) ** 2 / (t - starts)
+        k = int(cost.argmin())
+        best[t], last[t] = cost[k] + penalty, starts[k]
+        beaten = np.minimum(beaten, np.where(cost > best[t] + room, t, n + least))
+        stay = beaten > t + 1 - least
+        starts, beaten = starts[stay], beaten[stay]
     out, t = [], n
     while last[t] > 0:
         t = last[t]

@@ -1,16 +1,14 @@
-"""From incidence to scored networks: pruned pairs of graphs, comparisons, the parameter grid, and association rules."""
+"""From incidence to scored networks: pruned pairs of graphs, comparisons, the parameter grid."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import PowerIterationClustering
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.metrics import METRICS
-from weftline.functions.stats import correlation_p
+from weftline.functions.stats import correlation, correlation_p
 from weftline.operators import contingency, evaluate, filters, graph, significance
 from weftline.operators.lineage import cut
 
@@ -28,24 +26,6 @@ def compare_all(scored: DataFrame, tau: float) -> DataFrame:
     return graph.compare_edges(both, tau, ["first", "second"])
 
 
-def power_clusters(edges: DataFrame, k: int) -> DataFrame:
-    """Spectral-like clusters of one network's similarity by power iteration: (node, cluster)."""
-    names = edges.select(F.explode(F.array("left_item", "right_item")).alias("node")).distinct().withColumn("id", F.xxhash64("node"))
-    ids = edges.select(F.xxhash64("left_item").alias("src"), F.xxhash64("right_item").alias("dst"), F.col("similarity").alias("weight"))
-    found = PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(ids)
-    return names.join(found, "id").select("node", "cluster")
-
-
-def power_clusters_by_network(edges: DataFrame, k: int) -> DataFrame:
-    """power_clusters within each of a few networks, whose names are read first: (network_id, node, cluster) of nodes with an edge."""
-    names = [r[0] for r in edges.select("network_id").distinct().orderBy("network_id").collect()]
-    out = None
-    for name in names:
-        part = power_clusters(edges.filter(F.col("network_id") == name), k).select(F.lit(name).alias("network_id"), "node", "cluster")
-        out = part if out is None else out.unionByName(part)
-    return edges.sparkSession.createDataFrame([], "network_id string, node string, cluster int") if out is None else out
-
-
 @dataclass
 class Grid:
     # The default grid.
@@ -91,38 +71,6 @@ def grid_search(inc: DataFrame, dataset: str, labels: DataFrame | dict[str, Data
     return networks.join(out, "network_id").drop("network_id")
 
 
-def association_rules(inc: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3, min_lift: float = 1.0, most_items: int | None = None) -> DataFrame:
-    """(antecedent, consequent, support, confidence, lift) of all frequent itemsets, consequents of any size; ``most_items`` keeps to
-    itemsets of that many items.
-
-    FP-growth finds the itemsets; every split of one is a rule, scored by joining the supports of both sides.
-    """
-    baskets = inc.groupBy("unit").agg(F.collect_set("item").alias("items"))
-    n = inc.agg(F.count_distinct("unit").alias("n"))
-    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets).freqItemsets
-    if most_items is not None:
-        sets = sets.filter(F.size("items") <= most_items)
-    sets = cut(sets.select(F.sort_array("items").alias("items"), "freq"))
-    masks = F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2), F.size("items")) - 2).cast("long"))
-    split = sets.filter("size(items) > 1").select("items", F.col("freq").alias("both"), F.explode(masks).alias("mask"))
-    side = lambda bit: F.expr(f"filter(items, (x, i) -> shiftright(mask, i) % 2 = {bit})")
-    split = split.select("both", side(1).alias("antecedent"), side(0).alias("consequent"))
-    left, right = sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("fa")), sets.select(F.col("items").alias("consequent"), F.col("freq").alias("fc"))
-    out = split.join(left, "antecedent").join(right, "consequent").join(n, F.lit(True))
-    out = out.select("antecedent", "consequent", (F.col("both") / F.col("n")).alias("support"), (F.col("both") / F.col("fa")).alias("confidence"), (F.col("both") * F.col("n") / (F.col("fa") * F.col("fc"))).alias("lift"))
-    return out.filter((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
-
-
-def stratified_rules(inc: DataFrame, stratum: str, **options) -> DataFrame:
-    """Rules within each of a few strata, whose names are read first."""
-    names = [r[0] for r in inc.select(stratum).distinct().orderBy(stratum).collect()]
-    out = None
-    for name in names:
-        part = association_rules(inc.filter(F.col(stratum) == name), **options).withColumn(stratum, F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def _average_rank(value: str, over: list[str]):
     w = Window.partitionBy(*over)
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*over, value)) - 1) / 2
@@ -153,11 +101,11 @@ def compare_networks(scored: DataFrame, nodes: DataFrame, tau: float, top: int =
     both = cut(both)
     out = graph.compare_edges(both, tau, pair)
     ranks = both.select(*pair, _average_rank("x", pair).alias("rx"), _average_rank("y", pair).alias("ry"))
-    out = out.join(ranks.groupBy(*pair).agg(F.corr("rx", "ry").alias("spearman")), pair)
+    out = out.join(ranks.groupBy(*pair).agg(correlation("rx", "ry").alias("spearman")), pair)
     one, two = (pick(degrees, s, ["node", F.col("degree").alias(f"d{i}"), F.col("strength").alias(f"s{i}")]) for i, s in ((1, "first"), (2, "second")))
     same = one.join(two, "node").filter("first < second")
     same = same.select(*pair, *[_average_rank(c, pair).alias(c) for c in ("d1", "d2", "s1", "s2")])
-    out = out.join(same.groupBy(*pair).agg(F.corr("d1", "d2").alias("degree_spearman"), F.corr("s1", "s2").alias("strength_spearman")), pair, "left")
+    out = out.join(same.groupBy(*pair).agg(correlation("d1", "d2").alias("degree_spearman"), correlation("s1", "s2").alias("strength_spearman")), pair, "left")
     out = out.join(_top_jaccard(edges, ["network_id"], ["left_item", "right_item"], "similarity", top, "top_edge_jaccard"), pair, "left")
     out = out.join(_top_jaccard(degrees, ["network_id"], ["node"], "strength", top, "top_node_jaccard"), pair, "left")
     if communities is not None:
@@ -172,7 +120,7 @@ def correlation_tests(scored: DataFrame) -> DataFrame:
     one, two = (scored.select(F.col("network_id").alias(name), "left_item", "right_item", F.col("similarity").alias(v)) for name, v in (("first", "x"), ("second", "y")))
     rows = cut(one.join(two, ["left_item", "right_item"]).filter("first < second and x is not null and y is not null"))
     ranked = rows.select("first", "second", "x", "y", _average_rank("x", ["first", "second"]).alias("rx"), _average_rank("y", ["first", "second"]).alias("ry"))
-    out = ranked.groupBy("first", "second").agg(F.count("*").alias("pairs"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    out = ranked.groupBy("first", "second").agg(F.count("*").alias("pairs"), correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"))
     return out.select("first", "second", "pairs", "pearson", correlation_p(F.col("pearson"), F.col("pairs")).alias("pearson_p"), "spearman", correlation_p(F.col("spearman"), F.col("pairs")).alias("spearman_p"))
 
 
@@ -181,7 +129,7 @@ def node_changes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     d = cut(graph.degrees(nodes, edges).select("network_id", "node", "degree", "strength"))
     names = cut(d.select("network_id").distinct())
     pairs = names.withColumnRenamed("network_id", "first").join(names.withColumnRenamed("network_id", "second"), F.col("first") < F.col("second"))
-    rows = d.join(pairs, (F.col("network_id") == F.col("first")) | (F.col("network_id") == F.col("second")))
+    rows = d.join(cut(pairs.select("first", "second", F.explode(F.array("first", "second")).alias("network_id"))), "network_id")
     sign = F.when(F.col("network_id") == F.col("second"), 1).otherwise(-1)
     return rows.groupBy("first", "second", "node").agg(F.sum(sign * F.col("degree")).alias("degree_change"), F.sum(sign * F.col("strength")).alias("strength_change"))
 

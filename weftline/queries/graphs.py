@@ -9,7 +9,10 @@ from weftline.operators import contingency as X
 from weftline.operators import evaluate as V
 from weftline.operators import graph as G
 from weftline.operators import significance as S
+from weftline.operators import spectral as L
+from weftline.operators.lineage import cut
 from weftline.plans import networks as P
+from weftline.plans import rules as U
 
 from .base import INC, TWO_BY_TWO, Registry, incidence, table
 from .pairs import pairs
@@ -46,9 +49,16 @@ def s1(spark, sf):
     return pairs(spark, sf).select("stratum", "left_item", "right_item", F.round(S.g_statistic(), 5).alias("g"))
 
 
-@R.add("s1_g_test")
+def erfc_sql(x: str) -> str:
+    """The complementary error function of a non-negative SQL expression: a series, and a continued product far out."""
+    near = f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1. ELSE -1. END) * exp((2 * k + 1) * ln(greatest({x}, 1e-300)) - lgamma(k + 1)) / (2 * k + 1)))"
+    far = f"exp(-({x}) * ({x})) / (({x}) * sqrt(pi())) * (1 - 1 / (2 * pow({x}, 2)) + 3 / (4 * pow({x}, 4)) - 15 / (8 * pow({x}, 6)) + 105 / (16 * pow({x}, 8)))"
+    return f"CASE WHEN {x} < 3.5 THEN {near} ELSE {far} END"
+
+
+@R.add("s1_g_test", f"WITH {TWO_BY_TWO}, g AS (SELECT *, sqrt(greatest(0., {_G2}) / 2) AS x FROM t), h AS (SELECT *, {erfc_sql('x')} AS p FROM g) SELECT stratum, left_item, right_item, round(CASE WHEN a * d > b * c THEN p / 2 ELSE 1 - p / 2 END, 7) AS p_value FROM h")
 def s1p(spark, sf):
-    return pairs(spark, sf).select("stratum", "left_item", "right_item", F.round(S.g_test_p("greater"), 9).alias("p_value"))
+    return pairs(spark, sf).select("stratum", "left_item", "right_item", F.round(S.g_test_p("greater"), 7).alias("p_value"))
 
 
 _LP = "(lgamma(fl + 1) - lgamma({k} + 1) - lgamma(fl - {k} + 1) + lgamma(n - fl + 1) - lgamma(fr - {k} + 1) - lgamma(n - fl - fr + {k} + 1) - lgamma(n + 1) + lgamma(fr + 1) + lgamma(n - fr + 1))"
@@ -182,7 +192,7 @@ def g10(spark, sf):
 sp AS (SELECT network_id, s, t, min(h) AS h, arg_min(r, h) AS r FROM walk GROUP BY ALL), th AS (SELECT a.network_id, a.t AS node, sum(a.r * b.r / c.r) AS x FROM sp a JOIN sp b ON b.network_id = a.network_id AND b.s = a.t AND b.t <> a.s JOIN sp c ON c.network_id = a.network_id AND c.s = a.s AND c.t = b.t AND c.h = a.h + b.h GROUP BY ALL),
 sz AS (SELECT network_id, count(*) AS n FROM nd GROUP BY ALL) SELECT nd.network_id, nd.node, round(CASE WHEN n > 2 THEN coalesce(x, 0) / ((n - 1) * (n - 2)) ELSE 0 END, 9) AS betweenness FROM nd JOIN sz USING (network_id) LEFT JOIN th ON th.network_id = nd.network_id AND th.node = nd.node""")
 def g10b(spark, sf):
-    return G.betweenness(nodes(spark, sf), G.paths(graph(spark, sf))).select("network_id", "node", F.round("betweenness", 9).alias("betweenness"))
+    return G.betweenness(nodes(spark, sf), graph(spark, sf)).select("network_id", "node", F.round("betweenness", 9).alias("betweenness"))
 
 
 @R.add("g10_weighted_paths", f"""WITH RECURSIVE {_GRAPH}, best AS (SELECT network_id, u AS s, v AS t, w AS d, 1 AS k FROM mir UNION ALL SELECT network_id, s, t, min(d), k + 1 FROM (SELECT network_id, s, t, d, k FROM best UNION ALL SELECT b.network_id, b.s, m.v, b.d + m.w, k FROM best b JOIN mir m ON m.network_id = b.network_id AND m.u = b.t WHERE m.v <> b.s) x WHERE k < (SELECT count(DISTINCT node) FROM nd) GROUP BY network_id, s, t, k),
@@ -193,6 +203,16 @@ def g10w(spark, sf):
     return out.select("network_id", "size", F.round("mean", 6).alias("mean"), F.round("longest", 6).alias("longest"))
 
 
+@R.add("g10_weighted_betweenness", f"""WITH RECURSIVE {_GRAPH}, best AS (SELECT network_id, u AS s, v AS t, w AS d, 1 AS k FROM mir UNION ALL SELECT network_id, s, t, min(d), k + 1 FROM (SELECT network_id, s, t, d, k FROM best UNION ALL SELECT b.network_id, b.s, m.v, round(b.d + m.w, 9), k FROM best b JOIN mir m ON m.network_id = b.network_id AND m.u = b.t WHERE m.v <> b.s) x WHERE k < (SELECT count(DISTINCT node) FROM nd) GROUP BY network_id, s, t, k),
+sd AS MATERIALIZED (SELECT network_id, s, t, min(d) AS d FROM best GROUP BY ALL UNION ALL SELECT DISTINCT network_id, u, u, 0 FROM mir), dag AS MATERIALIZED (SELECT a.network_id, a.s, a.t AS v, b.t AS t FROM sd a JOIN mir m ON m.network_id = a.network_id AND m.u = a.t JOIN sd b ON b.network_id = a.network_id AND b.s = a.s AND b.t = m.v AND round(a.d + m.w, 9) = b.d),
+wk AS (SELECT DISTINCT network_id, u AS s, u AS t FROM mir UNION ALL SELECT wk.network_id, wk.s, dag.t FROM wk JOIN dag ON dag.network_id = wk.network_id AND dag.s = wk.s AND dag.v = wk.t), sp AS (SELECT sd.network_id, s, t, d, r FROM sd JOIN (SELECT network_id, s, t, count(*) AS r FROM wk GROUP BY ALL) USING (network_id, s, t) WHERE s <> t),
+th AS (SELECT a.network_id, a.t AS node, sum(a.r * b.r / c.r) AS x FROM sp a JOIN sp b ON b.network_id = a.network_id AND b.s = a.t AND b.t <> a.s JOIN sp c ON c.network_id = a.network_id AND c.s = a.s AND c.t = b.t AND abs(c.d - a.d - b.d) < 1e-9 GROUP BY ALL),
+sz AS (SELECT network_id, count(*) AS n FROM nd GROUP BY ALL) SELECT nd.network_id, nd.node, round(CASE WHEN n > 2 THEN coalesce(x, 0) / ((n - 1) * (n - 2)) ELSE 0 END, 9) AS betweenness FROM nd JOIN sz USING (network_id) LEFT JOIN th ON th.network_id = nd.network_id AND th.node = nd.node""")
+def g10wb(spark, sf):
+    out = G.betweenness(nodes(spark, sf), graph(spark, sf), weighted=True)
+    return out.select("network_id", "node", F.round("betweenness", 9).alias("betweenness"))
+
+
 @R.add("g11_homophily", f"""WITH {_GRAPH}, {_CLASS}, x AS (SELECT e.*, coalesce(l.item_group = r.item_group, false) AS same FROM e LEFT JOIN cls l ON l.item = left_item LEFT JOIN cls r ON r.item = right_item)
 SELECT network_id, round(avg(similarity) FILTER (same), 6) AS within_weight, round(avg(similarity) FILTER (NOT same), 6) AS across_weight, round(avg(CAST(same AS INTEGER)), 6) AS within_share FROM x GROUP BY ALL""")
 def g11(spark, sf):
@@ -205,12 +225,12 @@ def g12(spark, sf):
     return X.edge_list(scored(spark, sf), F.col("similarity"), ["network_id"], topk=10).select(*PAIR, "similarity", "rank")
 
 
-_ALIGNED = f"{_SCORED}, al AS (SELECT coalesce(x.left_item, y.left_item) AS left_item, coalesce(x.right_item, y.right_item) AS right_item, coalesce(x.similarity, 0) AS x, coalesce(y.similarity, 0) AS y FROM (SELECT * FROM sc WHERE network_id = '1-URGENT' AND similarity >= .08) x FULL JOIN (SELECT * FROM sc WHERE network_id = '5-LOW' AND similarity >= .08) y ON x.left_item = y.left_item AND x.right_item = y.right_item)"
+_ALIGNED = f"""{_SCORED}, s8 AS (SELECT network_id, left_item, right_item, similarity FROM sc WHERE similarity >= .08), nn AS (SELECT DISTINCT network_id FROM s8), pr AS (SELECT x.network_id AS first, y.network_id AS second FROM nn x JOIN nn y ON x.network_id < y.network_id),
+al AS (SELECT first, second, left_item, right_item, coalesce(max(similarity) FILTER (network_id = first), 0) AS x, coalesce(max(similarity) FILTER (network_id = second), 0) AS y FROM pr JOIN s8 ON network_id IN (first, second) GROUP BY ALL)"""
 
 
 def aligned(spark, sf):
-    e = G.threshold(scored(spark, sf), 0.08)
-    return G.align(e.filter("network_id = '1-URGENT'"), e.filter("network_id = '5-LOW'"))
+    return G.align_all(G.threshold(scored(spark, sf), 0.08))
 
 
 @R.add("j6_aligned_edges", f"WITH {_ALIGNED} SELECT * FROM al")
@@ -218,10 +238,10 @@ def j6(spark, sf):
     return aligned(spark, sf)
 
 
-@R.add("g14_compare_edges", f"WITH {_ALIGNED} SELECT round(count(*) FILTER (x >= {TAU} AND y >= {TAU}) / count(*) FILTER (x >= {TAU} OR y >= {TAU}), 6) AS edge_jaccard, round(corr(x, y), 6) AS pearson, round(sqrt(avg(pow(x - y, 2))), 6) AS rmse FROM al")
+@R.add("g14_compare_edges", f"WITH {_ALIGNED} SELECT first, second, round(count(*) FILTER (x >= {TAU} AND y >= {TAU}) / count(*) FILTER (x >= {TAU} OR y >= {TAU}), 6) AS edge_jaccard, round(corr(x, y), 6) AS pearson, round(sqrt(avg(pow(x - y, 2))), 6) AS rmse FROM al GROUP BY ALL")
 def g14(spark, sf):
-    out = G.compare_edges(aligned(spark, sf), TAU)
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+    out = G.compare_edges(aligned(spark, sf), TAU, ["first", "second"])
+    return out.select("first", "second", *[F.round(c, 6).alias(c) for c in ("edge_jaccard", "pearson", "rmse")])
 
 
 @R.add("g13_compare_networks", f"""WITH {_SCORED}, ab AS (SELECT x.network_id AS first, y.network_id AS second, x.similarity AS x, y.similarity AS y FROM sc x JOIN sc y ON x.left_item = y.left_item AND x.right_item = y.right_item AND x.network_id < y.network_id)
@@ -239,7 +259,12 @@ def g3(spark, sf):
 
 @R.add("g5_power_iteration")
 def g5(spark, sf):
-    return P.power_clusters_by_network(graph(spark, sf), k=4)
+    return L.power_iteration(graph(spark, sf), k=4)
+
+
+@R.add("g5_spectral")
+def g5_spectral(spark, sf):
+    return L.partition(graph(spark, sf), k=4)
 
 
 #: Two fixed partitions of the brands: by their first digit, and by the class of their parts.
@@ -283,10 +308,7 @@ _SEEDS = "sd AS (SELECT DISTINCT stratum AS network_id, item AS node, s AS seed,
 @R.add("e5_stability", f"""WITH {INC}, {_SEEDS}, pr AS (SELECT a.network_id || '|' || a.seed || '|' || b.seed AS network_id, a.node AS item, a.community AS x, b.community AS y FROM sd a JOIN sd b ON a.network_id = b.network_id AND a.node = b.node AND a.seed < b.seed), {_AGREE.replace("(b.p - bx.p", "(CASE WHEN abs((bx.p + byy.p) / 2 - bx.p * byy.p / (n * (n - 1) / 2)) < 1e-12 THEN 1 ELSE 1 END) * (b.p - bx.p")}
 SELECT split_part(network_id, '|', 1) AS network_id, round(avg(ari), 6) AS stability, count(*) AS seed_pairs FROM ag GROUP BY ALL""")
 def e5(spark, sf):
-    n = F.col("node")
-    rows = nodes(spark, sf).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    rows = rows.withColumn("community", F.when(F.col("seed") == 0, F.substring(n, 1, 7)).when(F.col("seed") == 1, F.length(n).cast("string")).otherwise(F.substring(n, -1, 1)))
-    return V.stability(rows, ["network_id"]).withColumn("stability", F.round("stability", 6))
+    return V.stability(seeded(spark, sf), ["network_id"]).withColumn("stability", F.round("stability", 6))
 
 
 @R.add("e6_hierarchical", f"WITH {INC}, {_COMMUNITY}, {_PARTS}, {_AGREE} SELECT network_id, round((.4 * nmi + .3 * ari) / .7, 6) AS hierarchical FROM ag")
@@ -301,15 +323,46 @@ def e7(spark, sf):
     return V.first_group(groups)
 
 
-@R.add("e9_over_seeds", f"WITH {_SCORED} SELECT network_id, round(avg(similarity), 6) AS similarity_mean, round(stddev_samp(similarity), 6) AS similarity_std FROM sc GROUP BY ALL")
+#: A grid whose communities SQL knows: two metrics, two thresholds, and three fixed partitions in the place of seeds.
+_GRID = f"""{_SCORED}, {_SEEDS}, gm AS (SELECT network_id, left_item, right_item, unnest(['jaccard', 'dice']) AS metric, unnest([round(a / (a + b + c), 6), round(2 * a / (2 * a + b + c), 6)]) AS v FROM sc),
+gt AS (SELECT gm.*, tau, CASE WHEN v >= tau THEN v ELSE 0 END AS similarity FROM gm CROSS JOIN (SELECT CAST(unnest([0., .08]) AS DOUBLE) AS tau)),
+gs AS (SELECT gt.network_id, metric, tau, l.seed, avg(similarity) FILTER (l.community = r.community) / avg(similarity) AS ics, count(*) FILTER (l.community = r.community AND similarity > 0) AS inner_edges FROM gt JOIN sd l ON l.network_id = gt.network_id AND l.node = left_item JOIN sd r ON r.network_id = gt.network_id AND r.node = right_item AND r.seed = l.seed GROUP BY ALL),
+go AS (SELECT network_id, metric, tau, avg(ics) AS ics_mean, stddev_samp(ics) AS ics_std, avg(inner_edges) AS inner_edges_mean, stddev_samp(inner_edges) AS inner_edges_std FROM gs GROUP BY ALL)"""
+
+
+def seeded(spark, sf):
+    n = F.col("node")
+    rows = nodes(spark, sf).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return rows.withColumn("community", F.when(F.col("seed") == 0, F.substring(n, 1, 7)).when(F.col("seed") == 1, F.length(n).cast("string")).otherwise(F.substring(n, -1, 1)))
+
+
+def grid_over_seeds(spark, sf):
+    """Cohesion and edges within communities for every network, metric and threshold: means and deviations over the partitions."""
+    keys = ["network_id", "metric", "tau"]
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(t).alias("tau"), F.round(M.METRICS[m](), 6).alias("v")) for m in ("jaccard", "dice") for t in (0.0, 0.08)])).alias("g")
+    full = scored(spark, sf).select("network_id", "left_item", "right_item", values).select(*PAIR, "g.*")
+    full = cut(full.select(*keys, "left_item", "right_item", F.when(F.col("v") >= F.col("tau"), F.col("v")).otherwise(0.0).alias("similarity")))
+    runs = full.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("seed"))
+    communities = cut(runs.join(seeded(spark, sf), ["network_id", "seed"]).select(*keys, "seed", "node", "community"))
+    keyed = cut(full.join(runs, keys))
+    scores = V.cohesion(keyed, communities, [*keys, "seed"]).select(*keys, "seed", "ics")
+    inner = V.cohesion(keyed.filter("similarity > 0"), communities, [*keys, "seed"]).select(*keys, "seed", F.col("n_within").alias("inner_edges"))
+    return V.over_seeds(scores.join(inner, [*keys, "seed"]), keys, ["ics", "inner_edges"])
+
+
+_GRID_COLUMNS = ("ics_mean", "ics_std", "inner_edges_mean", "inner_edges_std")
+_GRID_SELECT = ", ".join(f"round({c}, 5) AS {c}" for c in _GRID_COLUMNS)
+
+
+@R.add("e9_over_seeds", f"WITH {_GRID} SELECT network_id, metric, tau, {_GRID_SELECT} FROM go")
 def e9(spark, sf):
-    out = V.over_seeds(scored(spark, sf), ["network_id"], ["similarity"])
-    return out.select("network_id", *[F.round(c, 6).alias(c) for c in ("similarity_mean", "similarity_std")])
+    return grid_over_seeds(spark, sf).select("network_id", "metric", "tau", *[F.round(c, 5).alias(c) for c in _GRID_COLUMNS])
 
 
-@R.add("e10_best_configuration", f"WITH {_SCORED} SELECT network_id, left_item, right_item, similarity FROM (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY similarity DESC, left_item, right_item) AS k FROM sc) WHERE k = 1")
+@R.add("e10_best_configuration", f"WITH {_GRID} SELECT network_id, metric, tau, round(ics_mean, 5) AS ics_mean, inner_edges_mean FROM go QUALIFY row_number() OVER (PARTITION BY network_id ORDER BY round(ics_mean, 5) DESC, inner_edges_mean DESC, metric, tau) = 1")
 def e10(spark, sf):
-    return V.best_configuration(scored(spark, sf).select(*PAIR, "similarity"), ["network_id"], "similarity", ["left_item", "right_item"])
+    grid = grid_over_seeds(spark, sf).select("network_id", "metric", "tau", F.round("ics_mean", 5).alias("ics_mean"), "inner_edges_mean")
+    return V.best_configuration(grid, ["network_id"], ["ics_mean", "inner_edges_mean"], ["metric", "tau"])
 
 
 @R.add("e11_composition", f"WITH {INC}, {_COMMUNITY}, {_CLASS} SELECT network_id, node AS item, community, count(*) OVER (PARTITION BY network_id, community) AS size, count(*) OVER (PARTITION BY network_id) AS total, item_group AS label FROM cm LEFT JOIN cls ON item = node")
@@ -327,15 +380,46 @@ def e8(spark, sf):
 p AS (SELECT x.item AS a, y.item AS b, count(*) AS c FROM inc x JOIN inc y ON x.unit = y.unit AND x.item <> y.item GROUP BY ALL)
 SELECT a AS antecedent, b AS consequent, round(c / n, 6) AS support, round(c / fa.f, 6) AS confidence, round(c * n / (fa.f * fb.f), 6) AS lift FROM p, n, f fa, f fb WHERE fa.item = a AND fb.item = b AND c / n >= .01 AND c / fa.f >= .1 AND c * n / (fa.f * fb.f) >= .9""")
 def r1(spark, sf):
-    out = P.association_rules(incidence(spark, sf), min_support=0.01, min_confidence=0.1, min_lift=0.9, most_items=2)
-    return out.select(F.col("antecedent")[0].alias("antecedent"), F.col("consequent")[0].alias("consequent"), *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
+    out = U.pair_rules(X.pair_counts(incidence(spark, sf), [], complete=False), 0.01, 0.1, 0.9)
+    return out.select("antecedent", "consequent", *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
+
+
+_SETS = """f1 AS (SELECT {k} item AS a, count(*) AS f FROM inc GROUP BY ALL),
+f2 AS (SELECT {kx} x.item AS a, y.item AS b, count(*) AS f FROM inc x JOIN inc y ON x.unit = y.unit AND x.item < y.item GROUP BY ALL),
+f3 AS (SELECT {kx} x.item AS a, y.item AS b, z.item AS c, count(*) AS f FROM inc x JOIN inc y ON x.unit = y.unit AND x.item < y.item JOIN inc z ON z.unit = y.unit AND y.item < z.item GROUP BY ALL),
+fs AS (SELECT {k} [a] AS s, f FROM f1 UNION ALL SELECT {k} [a, b], f FROM f2 UNION ALL SELECT {k} [a, b, c], f FROM f3)"""
+#: Rules from itemsets of up to three items: every proper part of a set against the rest.
+_RULES = _SETS + """, nn AS (SELECT {k} count(DISTINCT unit) AS n FROM inc GROUP BY ALL), sp AS (SELECT *, unnest(CASE len(s) WHEN 2 THEN [[s[1]], [s[2]]] ELSE [[s[1]], [s[2]], [s[3]], [s[1], s[2]], [s[1], s[3]], [s[2], s[3]]] END) AS p FROM fs WHERE len(s) > 1),
+rl AS (SELECT {ks} array_to_string(p, ',') AS antecedent, array_to_string(list_filter(sp.s, lambda x: NOT list_contains(p, x)), ',') AS consequent, sp.f / n AS support, sp.f / fa.f AS confidence, sp.f * n / (fa.f * fc.f) AS lift
+  FROM sp JOIN nn ON {jn} JOIN fs fa ON {ja} AND fa.s = p JOIN fs fc ON {jc} AND fc.s = list_filter(sp.s, lambda x: NOT list_contains(p, x)))"""
+
+
+def _rules(out):
+    sides = [F.concat_ws(",", c).alias(c) for c in ("antecedent", "consequent")]
+    return out.select(*[c for c in out.columns if c == "stratum"], *sides, *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
+
+
+@R.add("r1_itemsets", f"WITH {INC}, n AS (SELECT count(DISTINCT unit) AS n FROM inc), {_SETS.format(k='', kx='')} SELECT array_to_string(s, ',') AS items, f AS freq FROM fs, n WHERE f >= .001 * n")
+def r1_sets(spark, sf):
+    sets = U.frequent_itemsets(incidence(spark, sf), min_support=0.001, most_items=3)[1]
+    return sets.select(F.concat_ws(",", "items").alias("items"), "freq")
+
+
+@R.add("r1_rules_of_three", f"WITH {INC}, {_RULES.format(k='', kx='', ks='', jn='true', ja='true', jc='true')} SELECT antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rl WHERE support >= .001 AND confidence >= .1 AND lift >= 1")
+def r1_three(spark, sf):
+    return _rules(U.association_rules(incidence(spark, sf), 0.001, 0.1, 1.0, most_items=3))
+
+
+@R.add("r2_rules_of_three", f"WITH {INC}, {_RULES.format(k='stratum,', kx='x.stratum,', ks='sp.stratum,', jn='nn.stratum = sp.stratum', ja='fa.stratum = sp.stratum', jc='fc.stratum = sp.stratum')} SELECT stratum, antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rl WHERE support >= .002 AND confidence >= .1 AND lift >= 1")
+def r2_three(spark, sf):
+    return _rules(U.association_rules(incidence(spark, sf), 0.002, 0.1, 1.0, most_items=3, strata=["stratum"]))
 
 
 @R.add("r1_rules")
 def r1_all(spark, sf):
-    return P.association_rules(incidence(spark, sf), min_support=0.01, min_confidence=0.1, min_lift=0.9)
+    return U.association_rules(incidence(spark, sf), min_support=0.01, min_confidence=0.1, min_lift=0.9)
 
 
 @R.add("r2_stratified_rules")
 def r2(spark, sf):
-    return P.stratified_rules(incidence(spark, sf), "stratum", min_support=0.01, min_confidence=0.1, min_lift=1.0)
+    return U.association_rules(incidence(spark, sf), min_support=0.01, min_confidence=0.1, min_lift=1.0, strata=["stratum"])

@@ -16,10 +16,11 @@ from weftline.operators import temporal as T
 from weftline.operators import trend as W
 from weftline.plans import networks as P
 from weftline.plans import reports as B
+from weftline.plans import rules as U
 from weftline.sources import io
 
 from .base import INC, TWO_BY_TWO, Registry, incidence, table
-from .graphs import _GRAPH, _SCORED, TAU, by_name, graph, nodes, scored
+from .graphs import _GRAPH, _GRID, _PRUNED, _SCORED, TAU, by_name, erfc_sql, graph, grid_over_seeds, nodes, scored
 from .pairs import pairs
 from .series import _B, _M, breadth, orders, series
 from .tables import _CLASS, _COHORTS, _RATES, _UNITS, _SPECS, classes, cohort_rows, units
@@ -33,22 +34,31 @@ def rounded(df, *columns, digits=6):
 
 
 # --- items
-@R.add("p27_enriched_items", """WITH i AS (SELECT DISTINCT p_type, p_size % 3 AS k FROM part)
-SELECT p_type || CASE k WHEN 0 THEN '' WHEN 1 THEN ' -' ELSE 'X' END AS item, p_type AS name, lower(p_type) AS label, CASE WHEN k < 2 THEN 'exact' ELSE 'similar' END AS how, CASE WHEN k < 2 THEN 1. ELSE round(2 * length(p_type) / (2 * length(p_type) + 1.), 6) END AS ratio FROM i""")
+#: Names of two letters are alike by 0.8 with a third letter between, though they share no two letters in a row.
+@R.add("p27_enriched_items", """WITH i AS (SELECT DISTINCT p_type, p_size % 3 AS k FROM part), c AS (SELECT DISTINCT substr(p_type, 1, 1) AS x, substr(p_type, 2, 1) AS y FROM part)
+SELECT p_type || CASE k WHEN 0 THEN '' WHEN 1 THEN ' -' ELSE 'X' END AS item, p_type AS name, lower(p_type) AS label, CASE WHEN k < 2 THEN 'exact' ELSE 'similar' END AS how, CASE WHEN k < 2 THEN 1. ELSE round(2 * length(p_type) / (2 * length(p_type) + 1.), 6) END AS ratio FROM i
+UNION ALL SELECT x || '7' || y, x || y, 'short', 'similar', .8 FROM c UNION ALL SELECT DISTINCT '7' || substr(p_type, 2, 1) || '7', NULL, 'Not Set', 'none', NULL FROM part""")
 def p27(spark, sf):
     part = table(spark, sf, "part")
+    x, y = F.substring("p_type", 1, 1), F.substring("p_type", 2, 1)
     items = part.select(F.concat("p_type", F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, " -").otherwise("X")).alias("item"))
-    known = part.select(F.col("p_type").alias("name"), F.lower("p_type").alias("label")).distinct()
+    items = items.unionByName(part.select(F.concat(x, F.lit("7"), y).alias("item"))).unionByName(part.select(F.concat(F.lit("7"), y, F.lit("7")).alias("item")))
+    known = part.select(F.col("p_type").alias("name"), F.lower("p_type").alias("label")).unionByName(part.select(F.concat(x, y).alias("name"), F.lit("short").alias("label"))).distinct()
     return rounded(D.enrich(items, known), "ratio")
 
 
 _GROUPS = {"first": (2, 3, ("ECONOMY", "PROMO")), "second": (3, 0, ("PROMO",))}
 
 
-@R.add("ml4_domain_weights", "SELECT DISTINCT p_type || ' - x' AS item, p_type AS code, CASE p_type WHEN 'PROMO' THEN 3 WHEN 'ECONOMY' THEN 2 WHEN 'SMALL' THEN 0 ELSE 1 END AS guideline, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 3 WHEN p_type = 'SMALL' THEN 0 ELSE 1 END AS novelty, CASE p_type WHEN 'PROMO' THEN 'first,second' WHEN 'ECONOMY' THEN 'first' ELSE '' END AS groups FROM part")
+@R.add("ml4_domain_weights", "SELECT DISTINCT p_type || ' - x' AS item, p_type AS code, CASE p_type WHEN 'PROMO' THEN 3 WHEN 'ECONOMY' THEN 2 WHEN 'SMALL' THEN 0 ELSE 1 END AS guideline, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 3 WHEN p_type = 'SMALL' THEN 0 ELSE 1 END AS novelty, CASE p_type WHEN 'PROMO' THEN 'first,second' WHEN 'ECONOMY' THEN 'first,outside' WHEN 'SMALL' THEN 'outside' ELSE '' END AS groups FROM part")
 def ml4(spark, sf):
     items = table(spark, sf, "part").select(F.concat("p_type", F.lit(" - x")).alias("item"))
-    return D.domain_weights(items, _GROUPS, ("SMALL", "ECONOMY"))
+    return D.domain_weights(items, _GROUPS, {"outside": ("SMALL", "ECONOMY")})
+
+
+@R.add("ml4_domain_factors", "SELECT DISTINCT p_type || ' - x' AS item, round(CASE p_type WHEN 'PROMO' THEN 1.2 * 1.3 WHEN 'ECONOMY' THEN (1 + .4 / 3) * 1.3 WHEN 'SMALL' THEN 0 ELSE (1 + .2 / 3) * 1.1 END, 9) AS factor FROM part")
+def ml4_factors(spark, sf):
+    return rounded(D.domain_factors(ml4(spark, sf), mask=True), "factor", digits=9)
 
 
 # --- pairs
@@ -62,27 +72,27 @@ def j5(spark, sf):
     return cohort_rows(spark, sf).groupBy("cohort_id", "o_orderstatus", "stratum").agg(F.count("*").alias("n"))
 
 
-@R.add("s9_pairwise_pruning", f"WITH {TWO_BY_TWO}, g AS (SELECT stratum, count(*) FILTER (round(a / (a + b + c), 6) >= {TAU} AND a >= 3 AND n >= 20) AS tested FROM t GROUP BY ALL) SELECT * FROM g")
+@R.add("s9_pairwise_pruning", f"WITH {_PRUNED} SELECT stratum AS network_id, left_item, right_item, round(similarity, 6) AS similarity, round(p, 6) AS p_value, round(q_value, 5) AS q_value, q_value <= .5 AS keep, CASE WHEN q_value <= .5 THEN round(similarity, 6) ELSE 0 END AS pruned FROM q WHERE ok")
 def s9(spark, sf):
-    out = Q.prune(scored(spark, sf), ["network_id"], alpha=0.5, tau=TAU)
-    return out.groupBy(F.col("network_id").alias("stratum")).agg(F.count("p_value").alias("tested"))
+    out = Q.prune(scored(spark, sf), ["network_id"], alpha=0.5, tau=TAU).filter("p_value is not null")
+    return out.select("network_id", "left_item", "right_item", "similarity", F.round("p_value", 6).alias("p_value"), F.round("q_value", 5).alias("q_value"), "keep", F.when(F.col("keep"), F.col("similarity")).otherwise(0.0).alias("pruned"))
 
 
 @R.add("r2_stratified_pair_rules", f"""WITH {INC}, n AS (SELECT stratum, count(DISTINCT unit) AS n FROM inc GROUP BY ALL), f AS (SELECT stratum, item, count(*) AS f FROM inc GROUP BY ALL),
 p AS (SELECT x.stratum, x.item AS a, y.item AS b, count(*) AS c FROM inc x JOIN inc y ON x.unit = y.unit AND x.item <> y.item GROUP BY ALL)
 SELECT p.stratum, a AS antecedent, b AS consequent, round(c / n, 6) AS support, round(c / fa.f, 6) AS confidence, round(c * n / (fa.f * fb.f), 6) AS lift FROM p JOIN n USING (stratum) JOIN f fa ON fa.stratum = p.stratum AND fa.item = a JOIN f fb ON fb.stratum = p.stratum AND fb.item = b WHERE c >= ceil(.01 * n) AND c / fa.f >= .1 AND c * n / (fa.f * fb.f) >= 1""")
 def r2(spark, sf):
-    out = P.stratified_rules(incidence(spark, sf), "stratum", min_support=0.01, min_confidence=0.1, min_lift=1.0, most_items=2)
-    return rounded(out.select("stratum", F.col("antecedent")[0].alias("antecedent"), F.col("consequent")[0].alias("consequent"), "support", "confidence", "lift"), "support", "confidence", "lift")
+    out = U.pair_rules(X.pair_counts(incidence(spark, sf), ["stratum"], complete=False), 0.01, 0.1, 1.0, ["stratum"])
+    return rounded(out, "support", "confidence", "lift")
 
 
 # --- group comparisons
 _RANKS = f"{_B}, vx AS (SELECT x, sum(c) AS t FROM vc GROUP BY ALL), rk AS (SELECT x, t, sum(t) OVER (ORDER BY x) - (t - 1) / 2 AS r FROM vx), s AS (SELECT g, sum(c) AS k, sum(r * c) / sum(c) AS m FROM vc JOIN rk USING (x) GROUP BY ALL), nn AS (SELECT CAST(sum(t) AS DOUBLE) AS n, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM vx), dz AS (SELECT a.g AS g1, b.g AS g2, (a.m - b.m) / sqrt((n * (n + 1) / 12 - ties / (12 * (n - 1))) * (1 / a.k + 1 / b.k)) AS z FROM s a JOIN s b ON a.g < b.g CROSS JOIN nn)"
 
 
-@R.add("t6_dunn", f"WITH {_RANKS} SELECT g1, g2, round(z, 6) AS z FROM dz")
+@R.add("t6_dunn", f"WITH {_RANKS}, dp AS (SELECT *, {erfc_sql('(abs(z) / sqrt(2))')} AS p FROM dz), di AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM dp) SELECT g1, g2, round(z, 6) AS z, round(p, 6) AS p_value, round(least(1., min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_value FROM di")
 def dunn(spark, sf):
-    return rounded(C.dunn(breadth(spark, sf), "g", "breadth").select("g1", "g2", "z"), "z")
+    return rounded(C.dunn(breadth(spark, sf), "g", "breadth"), "z", "p_value", "q_value")
 
 
 @R.add("t8_ordered_trend", f"WITH {_RANKS}, md AS (SELECT g, median(breadth) AS m, row_number() OVER (ORDER BY g) AS place FROM b GROUP BY g), st AS (SELECT g, m, lag(m) OVER (ORDER BY place) AS before, lag(g) OVER (ORDER BY place) AS h FROM md) SELECT (SELECT coalesce(bool_and(m >= before), true) FROM st) AS ascending, (SELECT max(abs(z)) > 1.959963984540054 FROM st JOIN dz ON g1 = h AND g2 = g) AS differs")
@@ -105,9 +115,9 @@ def t9(spark, sf):
     return rounded(C.decisions(breadth(spark, sf), "g", "breadth"), "ks_share", "max_delta")
 
 
-@R.add("t11_mann_whitney", f"WITH {_B}, v2 AS (SELECT * FROM vc WHERE g IN ('1-URGENT', '5-LOW')), vx AS (SELECT x, sum(c) AS t FROM v2 GROUP BY ALL), rk AS (SELECT x, sum(t) OVER (ORDER BY x) - (t - 1) / 2 AS r FROM vx), s AS (SELECT CAST(sum(c) FILTER (g = '1-URGENT') AS DOUBLE) AS k1, CAST(sum(c) FILTER (g = '5-LOW') AS DOUBLE) AS k2, sum(r * c) FILTER (g = '1-URGENT') AS r1 FROM v2 JOIN rk USING (x)), nn AS (SELECT CAST(sum(t) AS DOUBLE) AS n, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM vx), q AS (SELECT *, r1 - k1 * (k1 + 1) / 2 AS u FROM s, nn) SELECT CAST(k1 AS BIGINT) AS n1, CAST(k2 AS BIGINT) AS n2, u, round(sign(u - k1 * k2 / 2) * greatest(0, abs(u - k1 * k2 / 2) - .5) / sqrt(k1 * k2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM q")
+@R.add("t11_mann_whitney", f"WITH {_B}, v2 AS (SELECT * FROM vc WHERE g IN ('1-URGENT', '5-LOW')), vx AS (SELECT x, sum(c) AS t FROM v2 GROUP BY ALL), rk AS (SELECT x, sum(t) OVER (ORDER BY x) - (t - 1) / 2 AS r FROM vx), s AS (SELECT CAST(sum(c) FILTER (g = '1-URGENT') AS DOUBLE) AS k1, CAST(sum(c) FILTER (g = '5-LOW') AS DOUBLE) AS k2, sum(r * c) FILTER (g = '1-URGENT') AS r1 FROM v2 JOIN rk USING (x)), nn AS (SELECT CAST(sum(t) AS DOUBLE) AS n, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM vx), q AS (SELECT *, r1 - k1 * (k1 + 1) / 2 AS u FROM s, nn), zz AS (SELECT CAST(k1 AS BIGINT) AS n1, CAST(k2 AS BIGINT) AS n2, u, sign(u - k1 * k2 / 2) * greatest(0, abs(u - k1 * k2 / 2) - .5) / sqrt(k1 * k2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM q) SELECT n1, n2, u, round(z, 6) AS z, round({erfc_sql('(abs(z) / sqrt(2))')}, 6) AS p_value FROM zz")
 def mwu(spark, sf):
-    return rounded(C.mann_whitney(breadth(spark, sf), "g", "breadth", "1-URGENT", "5-LOW").drop("p_value"), "z")
+    return rounded(C.mann_whitney(breadth(spark, sf), "g", "breadth", "1-URGENT", "5-LOW"), "z", "p_value")
 
 
 # --- disparities: level = priority, cluster = nation
@@ -231,22 +241,15 @@ def g15_failed(spark, sf):
     return _cohort_comparisons(spark, sf)[1]
 
 
-_CELLS = f"{_SCORED}, ce AS (SELECT network_id, t.tau, count(*) AS edges, avg(similarity) AS mean FROM sc CROSS JOIN (SELECT CAST(unnest([.07, .08, .085]) AS DOUBLE) AS tau) t WHERE similarity >= t.tau GROUP BY ALL)"
-
-
-def _cells(spark, sf):
-    taus = F.explode(F.array(*[F.lit(x) for x in (0.07, 0.08, 0.085)])).alias("tau")
-    return scored(spark, sf).select("network_id", "similarity", taus).filter("similarity >= tau").groupBy("network_id", "tau").agg(F.count("*").alias("edges"), F.avg("similarity").alias("mean"))
-
-
-@R.add("e12_grid_summary", f"WITH {_CELLS} SELECT tau, round(avg(edges), 6) AS edges, round(avg(mean), 6) AS mean, count(*) AS configurations FROM ce GROUP BY ALL")
+@R.add("e12_grid_summary", f"WITH {_GRID} SELECT metric, tau, round(avg(ics_mean), 5) AS ics_mean, round(avg(inner_edges_mean), 5) AS inner_edges_mean, count(*) AS configurations FROM go GROUP BY ALL")
 def e12(spark, sf):
-    return rounded(P.grid_summary(_cells(spark, sf), ["tau"], ["edges", "mean"]), "edges", "mean")
+    return rounded(P.grid_summary(grid_over_seeds(spark, sf), ["metric", "tau"], ["ics_mean", "inner_edges_mean"]), "ics_mean", "inner_edges_mean", digits=5)
 
 
-@R.add("e12_trade_off", f"WITH {_CELLS}, r AS (SELECT *, (rank() OVER (PARTITION BY network_id ORDER BY edges DESC) + rank() OVER (PARTITION BY network_id ORDER BY mean DESC)) / 2. AS mean_rank FROM ce) SELECT network_id, tau, edges, round(mean, 6) AS mean, mean_rank FROM (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY mean_rank, tau, edges, mean) AS k FROM r) WHERE k <= 2")
+@R.add("e12_trade_off", f"WITH {_GRID}, r AS (SELECT network_id, metric, tau, round(ics_mean, 5) AS ics_mean, inner_edges_mean, (rank() OVER (PARTITION BY network_id ORDER BY round(ics_mean, 5) DESC) + rank() OVER (PARTITION BY network_id ORDER BY inner_edges_mean DESC)) / 2. AS mean_rank FROM go) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY network_id ORDER BY mean_rank, metric, tau) <= 2")
 def e12_trade(spark, sf):
-    return rounded(P.trade_off(_cells(spark, sf), ["network_id"], "edges", "mean", 2), "mean")
+    grid = grid_over_seeds(spark, sf).select("network_id", "metric", "tau", F.round("ics_mean", 5).alias("ics_mean"), "inner_edges_mean")
+    return P.trade_off(grid, ["network_id"], "ics_mean", "inner_edges_mean", 2)
 
 
 # --- tables

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from weftline.functions import domain as D
 from weftline.functions import metrics as M
 from weftline.operators import contingency as X
+from weftline.operators import significance as S
 
 from .base import INC, STRATUM, TWO_BY_TWO, Registry, incidence, table
 
@@ -196,6 +200,63 @@ for _name, (_norm, _build, _sql) in _WEIGHT_METRICS.items():
     R.add(_name, f"WITH {_WEIGHTED} SELECT stratum, left_item, right_item, round(coalesce(greatest(0., least(1., {_sql})), 0), 6) AS similarity FROM w")(_weighted(_norm, _build))
 
 
+#: Domain factors by the first digit of a brand, from weights of 0 to 3; the last has none and is masked.
+_FACTORS = {"1": (3, 3), "2": (2, 1), "3": (1, 1), "4": (0, 2), "5": (0, 0)}
+_FACTOR_SQL = lambda item: "CASE substr(" + item + ", 7, 1) " + " ".join(f"WHEN '{d}' THEN {0 if g == n == 0 else (1 + .2 * g / 3) * (1 + .3 * n / 3)!r}" for d, (g, n) in _FACTORS.items()) + " ELSE 1 END"
+_THETA = f"pow((({_FACTOR_SQL('left_item')}) + ({_FACTOR_SQL('right_item')})) / 2, .35)"
+_STRETCH, _MULTIPLY = f"1 - pow(1 - greatest(0., least(1., coalesce({{base}}, 0))), greatest(1., {_THETA}))", f"least(1., coalesce({{base}}, 0) * {_THETA})"
+_B23, _B24 = _WEIGHT_METRICS["m23_idf_cfws"][2], _WEIGHT_METRICS["m24_idf_cosine"][2]
+
+
+def _factors(spark, sf):
+    digit = F.substring("item", 7, 1)
+    pick = lambda at: reduce(lambda e, d: e.when(digit == d, _FACTORS[d][at]), _FACTORS, F.when(F.lit(False), 0))
+    items = table(spark, sf, "part").select(F.col("p_brand").alias("item")).distinct()
+    return D.domain_factors(items.select("item", pick(0).alias("guideline"), pick(1).alias("novelty")), mask=True)
+
+
+def _with_domain(spark, sf, build):
+    return X.with_item_weights(pairs(spark, sf), STRATUM, domain=_factors(spark, sf)).withColumn("similarity", build)
+
+
+for _name, _build, _sql in (
+    ("m23_stretched", lambda: M.idf_cfws(effect="stretch"), _STRETCH.format(base=_B23)),
+    ("m23_multiplied", lambda: M.idf_cfws(effect="multiply"), _MULTIPLY.format(base=_B23)),
+    ("m24_stretched", lambda: M.idf_cfws(cosine_form=True, effect="stretch"), _STRETCH.format(base=_B24)),
+    ("m25_stretched_ppmi", lambda: M.idf_cfws(effect="stretch", ppmi_eta=0.3), f"pow({_STRETCH.format(base=_B23)}, .7) * pow({_PPMI}, .3)"),
+    ("m26_multiplied_ppmi", lambda: M.idf_cfws(cosine_form=True, effect="multiply", ppmi_eta=0.3), f"pow({_MULTIPLY.format(base=_B24)}, .7) * pow({_PPMI}, .3)"),
+):
+    R.add(_name, f"WITH {_WEIGHTED} SELECT stratum, left_item, right_item, round(greatest(0., least(1., {_sql})), 6) AS similarity FROM w")(lambda spark, sf, _build=_build: _with_domain(spark, sf, _build()).select(*PAIR, F.round("similarity", 6).alias("similarity")))
+
+#: Fisher's two-sided p of screened pairs (fp) and their q; a gate needs more pairs than independence gives.
+_LPMF = "(lgamma(fl + 1) - lgamma({k} + 1) - lgamma(fl - {k} + 1) + lgamma(n - fl + 1) - lgamma(fr - {k} + 1) - lgamma(n - fl - fr + {k} + 1) - lgamma(n + 1) + lgamma(fr + 1) + lgamma(n - fr + 1))"
+_GATED = f"""{_WEIGHTED}, sk AS (SELECT w.*, a >= 5 AND fl >= 20 AND fr >= 20 AS ok FROM w), bk AS (SELECT stratum, left_item, right_item, a, fl, fr, n, unnest(range(greatest(0, fl + fr - n), least(fl, fr) + 1)) AS k FROM sk WHERE ok),
+bp AS (SELECT stratum, left_item, right_item, least(1., sum(exp({_LPMF.format(k='k')})) FILTER ({_LPMF.format(k='k')} <= {_LPMF.format(k='a')} + 1e-7)) AS p FROM bk GROUP BY ALL),
+br AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS m, row_number() OVER (PARTITION BY stratum ORDER BY p) AS i FROM bp),
+bq AS (SELECT stratum, left_item, right_item, least(1., min(p * m / i) OVER (PARTITION BY stratum ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM br),
+gw AS (SELECT sk.*, coalesce(q <= .6, false) AND a * n > fl * fr AS gate FROM sk LEFT JOIN bq USING (stratum, left_item, right_item))"""
+
+
+def _through(spark, sf, build, soft=False):
+    edges = X.with_item_weights(pairs(spark, sf), STRATUM).withColumn("similarity", build)
+    return S.through_backbone(edges, STRATUM, alpha=0.6, soft=soft).select(*PAIR, "gate", F.round("similarity", 6).alias("similarity"))
+
+
+@R.add("m23_backbone", f"WITH {_GATED} SELECT stratum, left_item, right_item, gate, round(CASE WHEN gate THEN greatest(0., least(1., coalesce({_B23}, 0))) ELSE 0 END, 6) AS similarity FROM gw")
+def m23_backbone(spark, sf):
+    return _through(spark, sf, M.idf_cfws())
+
+
+@R.add("m26_backbone", f"WITH {_GATED} SELECT stratum, left_item, right_item, gate, round(CASE WHEN gate THEN greatest(0., least(1., coalesce({_WEIGHT_METRICS['m26_idf_cosine_ppmi'][2]}, 0))) ELSE 0 END, 6) AS similarity FROM gw")
+def m26_backbone(spark, sf):
+    return _through(spark, sf, M.idf_cfws(cosine_form=True, ppmi_eta=0.3))
+
+
+@R.add("m25_soft_backbone")
+def m25_soft(spark, sf):
+    return _through(spark, sf, M.idf_cfws(ppmi_eta=0.3), soft=True)
+
+
 @R.add("m29_distance", f"WITH {TWO_BY_TWO} SELECT stratum, left_item, right_item, round(1 - coalesce(a / (a + b + c), 0), 4) AS distance FROM t")
 def m29(spark, sf):
     return pairs(spark, sf).select(*PAIR, M.distance(M.jaccard(), 4).alias("distance"))
@@ -207,7 +268,7 @@ def ml1(spark, sf):
     return X.edge_list(pairs(spark, sf), M.jaccard(), STRATUM, threshold=0.05, topk=20, digits=6).select(*PAIR, "a", "fl", "fr", "similarity", "rank")
 
 
-_ALL = ["jaccard", "dice", "overlap", "cosine", "phi", "lift", "pmi"]
+_ALL = list(SQL_METRICS)
 
 
 @R.add("ml2_all_metrics", f"WITH {TWO_BY_TWO} SELECT stratum, left_item, right_item, " + ", ".join(f"round(coalesce({SQL_METRICS[m][1]}, 0), 6) AS {m}" for m in _ALL) + " FROM t")

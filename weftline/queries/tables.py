@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import encode as E
+from weftline.functions.stats import clopper_pearson
 from weftline.operators import contingency as X
 from weftline.operators import coverage as V
 from weftline.operators import filters as S
+from weftline.operators import ordered as O
 from weftline.sources import io
 
 from .base import INC, Registry, incidence, table
@@ -249,8 +253,7 @@ def p23(spark, sf):
 
 @R.add("p24_anonymised", "SELECT n_name, 'Lab ' || row_number() OVER (ORDER BY n_nationkey) AS alias FROM nation")
 def p24(spark, sf):
-    first = table(spark, sf, "nation").groupBy("n_name").agg(F.min("n_nationkey").alias("k"))
-    return first.select("n_name", F.concat(F.lit("Lab "), F.row_number().over(Window.orderBy("k", "n_name")).cast("string")).alias("alias"))
+    return O.anonymised(table(spark, sf, "nation"), "n_name", "n_nationkey", "Lab ")
 
 
 @R.add("p25_region_scores", "SELECT coalesce(r_name, 'Unknown') AS region, round(avg(c_acctbal), 4) AS score FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA' GROUP BY ALL")
@@ -283,6 +286,13 @@ def f1(spark, sf):
     return S.apply_filters(df, specs).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@R.add("f1_marked_names", "SELECT p_type, count(*) AS n FROM part WHERE p_type IN ('STANDARD', 'SMALL', 'ECONOMY') GROUP BY ALL")
+def f1_marked(spark, sf):
+    """Values with marks on their letters, in capitals and with space around, are those of the plain list."""
+    marked = F.concat(F.lit(" "), F.translate("p_type", "SAEOMDLN", "ŠẬĘŐṀĎĹŇ"), F.lit(" "))
+    return S.apply_filters(table(spark, sf, "part").withColumn("marked", marked), [{"column": "marked", "values": ["standard", "Small", "ÉCONOMY"]}]).groupBy("p_type").agg(F.count("*").alias("n"))
+
+
 @R.add("f2_name_pattern", "SELECT p_name, count(*) AS n FROM part WHERE regexp_matches(p_name, '\\b(?:ring|small)\\b') GROUP BY ALL")
 def f2(spark, sf):
     return table(spark, sf, "part").filter(F.col("p_name").rlike(E.names_pattern(["ring", "small"]))).groupBy("p_name").agg(F.count("*").alias("n"))
@@ -424,6 +434,19 @@ def a11(spark, sf):
     return group_rates(spark, sf).select("g", "item", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
+#: Bisection for the share at which the count seen, or more (or less), has a probability of .025.
+_TAIL = "list_sum(list_transform(range(CAST({a} AS BIGINT), CAST({b} AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))"
+_EXACT = f"""{_RATES}, bi AS (SELECT g, item, count, n, 0 AS k, CAST(0 AS DOUBLE) AS la, CAST(1 AS DOUBLE) AS lb, CAST(0 AS DOUBLE) AS ha, CAST(1 AS DOUBLE) AS hb FROM rt
+UNION ALL SELECT g, item, count, n, k + 1, CASE WHEN up < .025 THEN lm ELSE la END, CASE WHEN up < .025 THEN lb ELSE lm END, CASE WHEN down > .025 THEN hm ELSE ha END, CASE WHEN down > .025 THEN hb ELSE hm END
+  FROM (SELECT *, {_TAIL.format(a='count', b='n', p='lm')} AS up, {_TAIL.format(a='0', b='count', p='hm')} AS down FROM (SELECT *, (la + lb) / 2 AS lm, (ha + hb) / 2 AS hm FROM bi WHERE k < 30)))"""
+
+
+@R.add("a11_exact", f"WITH RECURSIVE {_EXACT} SELECT g, item, round(CASE WHEN count = 0 THEN 0 ELSE (la + lb) / 2 END, 6) AS low, round(CASE WHEN count = n THEN 1 ELSE (ha + hb) / 2 END, 6) AS high FROM bi WHERE k = 30")
+def a11_exact(spark, sf):
+    both = group_rates(spark, sf).select("g", "item", clopper_pearson("count", "n").alias("i"))
+    return both.select("g", "item", F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high"))
+
+
 _GINI = "CASE WHEN sum(rate) > 0 THEN 2 * sum(i * rate) / (count(*) * sum(rate)) - (count(*) + 1) / count(*) ELSE 0 END"
 
 
@@ -435,11 +458,15 @@ def a12(spark, sf):
     return out.select("item", "strata", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("item", "strata")])
 
 
-@R.add("a13_error_bars", f"WITH {_RATES}, c AS (SELECT *, avg(rate) OVER (PARTITION BY item) AS m FROM rt) SELECT item, 'ci' AS mode, round(avg(rate), 6) AS mean, round(avg(rate) - 1.96 * stddev_samp(rate) / sqrt(count(*)), 6) AS low, round(avg(rate) + 1.96 * stddev_samp(rate) / sqrt(count(*)), 6) AS high FROM rt GROUP BY ALL UNION ALL SELECT item, 'mad', round(avg(rate), 6), round(avg(rate) - avg(abs(rate - m)), 6), round(avg(rate) + avg(abs(rate - m)), 6) FROM c GROUP BY ALL")
+_HALF = {"stddev": "stddev_samp(rate)", "sem": "stddev_samp(rate) / sqrt(count(*))", "ci": "1.96 * stddev_samp(rate) / sqrt(count(*))", "mad": "avg(abs(rate - m))"}
+_BARS = {k: (f"avg(rate) - {h}", f"avg(rate) + {h}") for k, h in _HALF.items()} | {"iqr": ("quantile_cont(rate, .25)", "quantile_cont(rate, .75)"), "minmax": ("min(rate)", "max(rate)"), "none": ("avg(rate)", "avg(rate)")}
+
+
+@R.add("a13_error_bars", f"WITH {_RATES}, c AS (SELECT *, avg(rate) OVER (PARTITION BY item) AS m FROM rt) " + " UNION ALL ".join(f"SELECT item, '{k}' AS mode, round(avg(rate), 6) AS mean, round({low}, 6) AS low, round({high}, 6) AS high FROM c GROUP BY ALL" for k, (low, high) in _BARS.items()))
 def a13(spark, sf):
     r = group_rates(spark, sf)
-    both = [V.error_bars(r, ["item"], "rate", m).withColumn("mode", F.lit(m)) for m in ("ci", "mad")]
-    return both[0].unionByName(both[1]).select("item", "mode", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    bars = [V.error_bars(r, ["item"], "rate", m).withColumn("mode", F.lit(m)) for m in _BARS]
+    return reduce(DataFrame.unionByName, bars).select("item", "mode", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @R.add("a14_group_extremes", f"WITH {_RATES} SELECT item, round(min(rate), 6) AS min_rate, arg_min(g, (rate, g)) AS bottom, round(max(rate), 6) AS max_rate, arg_min(g, (-rate, g)) AS top, round(max(rate) - min(rate), 6) AS range, round(avg(rate), 6) AS mean, count(*) AS groups FROM rt GROUP BY ALL")
@@ -465,6 +492,18 @@ def a21(spark, sf):
     return V.profile(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"))
 
 
+@R.add("a21_frequent_values", "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM orders" for c in ("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey")) + "), c AS (SELECT \"column\", value, count(*) AS count FROM u WHERE value IS NOT NULL GROUP BY ALL), n AS (SELECT count(*) AS n FROM orders) SELECT \"column\", CAST(row_number() OVER (PARTITION BY \"column\" ORDER BY count DESC, value) AS INTEGER) AS place, value, count, round(count / n, 6) AS share FROM c, n WHERE count >= .0005 * n QUALIFY place <= 10")
+def a21_values(spark, sf):
+    out = V.frequent_values(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey"), share=0.0005, most=10)
+    return out.withColumn("share", F.round("share", 6))
+
+
+@R.add("a21_full_profile", "SELECT 'o_orderstatus' AS \"column\", 'category' AS role, count(*) AS rows, count(*) - count(o_orderstatus) AS nulls, mode(o_orderstatus) AS top_value, (SELECT max(c) FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderstatus)) AS top_count FROM orders UNION ALL SELECT 'o_orderkey', 'id', count(*), count(*) - count(o_orderkey), NULL, 0 FROM orders")
+def a21_full(spark, sf):
+    out = V.full_profile(table(spark, sf, "orders").select("o_orderstatus", "o_orderkey"), share=0.001)
+    return out.select("column", "role", "rows", "nulls", "top_value", F.coalesce("top_count", F.lit(0)).alias("top_count"))
+
+
 @R.add("a22_class_coverage", f"WITH {INC}, {_CLASS}, g AS (SELECT DISTINCT unit, stratum, item_group FROM inc JOIN cls USING (item)) SELECT stratum, item_group AS item, count(*) AS count, n, round(count(*) / n, 6) AS rate FROM g JOIN (SELECT o_orderpriority AS stratum, count(*) AS n FROM orders GROUP BY ALL) USING (stratum) GROUP BY stratum, item_group, n")
 def a22(spark, sf):
     inc = S.group_items(incidence(spark, sf).select("unit", "item"), classes(spark, sf))

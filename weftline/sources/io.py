@@ -7,10 +7,12 @@ import re
 import tempfile
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyarrow import fs
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,7 +35,7 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
 
     Without a schema CSV types are inferred; give one where codes with leading zeros must stay text.
     """
-    kind = next((k for k, ends in {"csv": ".csv", "json": (".json", ".jsonl", ".ndjson")}.items() if path.rstrip("/").endswith(ends)), "parquet")
+    kind = form_of(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None)
@@ -41,23 +43,77 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
     return df.drop(*[c for c in df.columns if re.fullmatch(r"Unnamed: \d+", c)])
 
 
-def load_many(spark: SparkSession, paths: list[str], source_column: str | None = None, drop_empty: bool = True, strict: bool = True) -> DataFrame:
-    """The outer union of all files' columns. With ``strict`` an unreadable path is an error, else it is left out."""
-    frames = []
-    for path in paths:
+def form_of(path: str) -> str:
+    """``csv``, ``json`` or ``parquet`` by the name's ending."""
+    return next((k for k, ends in {"csv": ".csv", "json": (".json", ".jsonl", ".ndjson")}.items() if path.rstrip("/").endswith(ends)), "parquet")
+
+
+def probe(spark: SparkSession, paths: list[str], threads: int = 16) -> list[dict]:
+    """For each path its form and either its schema or why it can't be read. A schema takes a file's footer or, for text, one pass;
+    paths are probed side by side."""
+
+    def one(path: str) -> dict:
         try:
-            df = read_any(spark, path)
-        except AnalysisException:
-            if strict:
-                raise
-            continue
-        frames.append(df if source_column is None else df.withColumn(source_column, F.lit(path.rstrip("/").rpartition("/")[2])))
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
+            return {"path": path, "form": form_of(path), "schema": read_any(spark, path).schema, "error": None}
+        except (PySparkException, Py4JError) as e:
+            return {"path": path, "form": form_of(path), "schema": None, "error": f"{type(e).__name__}: {str(e).strip().splitlines()[0][:500]}"}
+
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(one, paths))
+
+
+def load_with_errors(spark: SparkSession, paths: list[str], source_column: str | None = None, drop_empty: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """(the outer union of all readable files' columns, (path, form, error) of the others).
+
+    Paths of one form and schema are one scan, so the plan grows with the number of schemas and not with that of files. A column that
+    files have in different types takes the wider type, or text where they have none in common. ``source_column`` names the file a row
+    comes from; ``drop_empty`` leaves out columns without a value, which one pass over the union counts. Without a readable file the
+    first is None.
+    """
+    found = probe(spark, paths)
+    kinds = "path string, form string, error string"
+    errors = spark.createDataFrame([(f["path"], f["form"], f["error"]) for f in found if f["error"]], kinds)
+    groups: dict[tuple[str, str], list[dict]] = {}
+    for f in found:
+        if not f["error"]:
+            groups.setdefault((f["form"], f["schema"].json()), []).append(f)
+    frames = []
+    for (form, _), files in groups.items():
+        schema = files[0]["schema"]
+        reader = spark.read.schema(schema)
+        if form == "csv":
+            reader = reader.option("header", True)
+        df = reader.format(form).load([f["path"] for f in files])
+        if source_column is not None:
+            names = {re.sub("^[a-z]+:/+", "/", f["path"].rstrip("/")): f["path"].rstrip("/").rpartition("/")[2] for f in files}
+            at = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/+", "/")
+            parent = F.regexp_extract(at, "^(.*)/[^/]*$", 1)
+            table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+            df = df.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(table[at], table[parent]).alias(source_column))
+        frames.append(df)
+    if not frames:
+        return None, errors
+    types: dict[str, set[str]] = {}
+    for df in frames:
+        for c, t in df.dtypes:
+            types.setdefault(c, set()).add(t)
+    wider = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    common = {c: max(t, key=wider.index) if t <= set(wider) else "string" for c, t in types.items() if len(t) > 1}
+    frames = [df.select(*[F.col(f"`{c}`").cast(common[c]).alias(c) if c in common else F.col(f"`{c}`") for c in df.columns]) for df in frames]
+    out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
     if drop_empty:
         counts = out.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in out.columns]).first().asDict()
         out = out.select(*[F.col(f"`{c}`") for c in out.columns if counts[c]])
+    return out, errors
+
+
+def load_many(spark: SparkSession, paths: list[str], source_column: str | None = None, drop_empty: bool = True, strict: bool = True) -> DataFrame:
+    """The outer union of all files' columns, as ``load_with_errors``. With ``strict`` an unreadable path is an error, else it is left
+    out; no readable path is an error either way."""
+    out, errors = load_with_errors(spark, paths, source_column, drop_empty)
+    failed = errors.limit(1).collect() if strict or out is None else []
+    if failed or out is None:
+        raise ValueError(f"can't read {failed[0]['path']}: {failed[0]['error']}" if failed else "no paths")
     return out
 
 
@@ -102,16 +158,25 @@ def _with_facts(df: DataFrame, path: str, rows_per_file: int) -> dict:
 def replace_flat(df: DataFrame, path: str, rows_per_file: int = 250_000) -> dict:
     """Flat Parquet that takes the place of what is at ``path`` once it is whole, with its facts in ``_facts.json``; returns them.
 
-    ``df`` may read from ``path``. Written beside it and renamed, so a failed job leaves the old table. Between removal and renaming
-    there is none; where readers must always find one, or renaming is a copy (object stores), use ``save_version``.
+    ``df`` may read from ``path``. It is written beside it; then the old table is renamed aside, the new one takes its name, and only
+    then the old one goes. If the job or the renaming fails the old table is in its place again. Where readers must always find one
+    between the two renamings, or renaming is a copy (object stores), use ``save_version``.
     """
     path = path.rstrip("/")
-    new = f"{path}.new-{uuid.uuid4().hex[:12]}"
+    new, old = (f"{path}.{k}-{uuid.uuid4().hex[:12]}" for k in ("new", "old"))
     facts = _with_facts(df, new, rows_per_file)
-    (where, to), (_, source) = _file_system(path), _file_system(new)
-    if where.get_file_info(to).type != fs.FileType.NotFound:
-        where.delete_dir(to)
-    where.move(source, to)
+    (where, to), (_, source), (_, aside) = _file_system(path), _file_system(new), _file_system(old)
+    there = where.get_file_info(to).type != fs.FileType.NotFound
+    if there:
+        where.move(to, aside)
+    try:
+        where.move(source, to)
+    except Exception:
+        if there:
+            where.move(aside, to)
+        raise
+    if there:
+        where.delete_dir(aside)
     return facts
 
 
