@@ -580,3 +580,26 @@ def test_domain_effect_equals_loops(spark, effect):
         base = got[item].base
         want = {None: base, "stretch": 1 - (1 - base) ** max(theta, 1), "multiply": min(1, base * theta)}[effect]
         assert got[item].x == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("bins", "few"), [(16, 30), (1024, 4096)])
+def test_quantiles_equal_percentile(spark, bins, few):
+    from weftline.operators.quantiles import quantiles
+
+    rng = random.Random(bins)
+    rows = [(rng.choice(("a", "b", None)), rng.choice((rng.gauss(0, 1), rng.randrange(5), 1e6 * rng.random() ** 9))) for _ in range(1500)]
+    rows += [("one", 3.0), ("tie", 2.0), ("tie", 2.0), ("none", None), ("nan", float("nan")), ("huge", -1.7e308), ("huge", 1.7e308), ("huge", 1.0)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double")
+    shares = (0.0, 0.1, 0.25, 0.5, 0.77, 1.0)
+    got = {r.g: r.q for r in quantiles(df, ["g"], "v", shares, bins, few).collect()}
+    assert got.keys() == {"a", "b", None, "one", "tie", "huge"} and got["huge"][3] == 1.0
+    for g in ("a", "b", None, "one", "tie"):
+        v = np.array([x for k, x in rows if k == g], float)
+        assert got[g] == pytest.approx(np.quantile(v, shares).tolist(), rel=1e-12)
+
+
+def test_variation_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 0.0), ("a", None)], "k string, v double")
+    got = {r.k: r for r in coverage.variation(df, ["k"], "v", 2.0).collect()}
+    assert (got[None].median, got[None].iqr, got[None].mad, got[None].gini, got[None].below) == (2.0, 1.0, 1.0, 0.25, 0.5)
+    assert (got["a"].strata, got["a"].median, got["a"].gini, got["a"].cv) == (1, 0.0, 0.0, None)

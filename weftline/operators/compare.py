@@ -10,12 +10,27 @@ from weftline.functions.stats import chi2_sf, erfc, kolmogorov_p
 from .keys import KEY, key_of
 from .lineage import cut
 from .ordered import in_ranges, ranks, running
+from .quantiles import quantiles
 from .significance import adjusted
 
 
+def _beside(base: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of two frames with a row for each group side by side; a null group is one."""
+    found = found.withColumn("_of", key_of(by)).drop(*by)
+    return base.withColumn(KEY, key_of(by)).join(found, F.col(KEY) == F.col("_of"), "left").drop(KEY, "_of")
+
+
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"), q(0.1).alias("p10"), q(0.9).alias("p90"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    """(by, n, median, iqr, p10, p90, mean, sd, min, max); quantiles interpolate and are exact."""
+    basic = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, by, value, (0.1, 0.25, 0.5, 0.75, 0.9)).drop("n")
+    out = _beside(basic, q, by)
+    return out.select(*by, "n", F.col("q")[2].alias("median"), (F.col("q")[3] - F.col("q")[1]).alias("iqr"), F.col("q")[0].alias("p10"), F.col("q")[4].alias("p90"), "mean", "sd", "min", "max")
+
+
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(g, median)."""
+    return quantiles(df.select(F.col(group).alias("g"), F.col(value).alias("_value")), ["g"], "_value", (0.5,)).select("g", F.col("q")[0].alias("median"))
 
 
 def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -25,10 +40,10 @@ def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def _up_to(rows: DataFrame, by: list[str], **values: Column) -> DataFrame:
     """Adds for each name the sum of a value over the group's rows up to this x, and as ``<name>_all`` over all of them."""
-    rows = in_ranges(rows, by, "x")
+    rows = base = in_ranges(rows, by, "x")
     for name, value in values.items():
         rows = running(rows, by, "x", value, name)
-    size = cut(rows.groupBy(key_of(by)).agg(*[F.sum(value).alias(f"{name}_all") for name, value in values.items()]))
+    size = base.groupBy(key_of(by)).agg(*[F.sum(value).alias(f"{name}_all") for name, value in values.items()])
     return rows.withColumn(KEY, key_of(by)).join(size, KEY).drop(KEY, "_range")
 
 
@@ -74,7 +89,7 @@ def _ranked(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = cut(counts)
     values = cut(ranks(counts.groupBy("x").agg(F.sum("c").alias("t")), "x", "t"))
     size = values.agg(F.coalesce(F.sum("t"), F.lit(0)).cast("double").alias("n"), F.sum(F.expr("double(t) * t * t - t")).alias("ties"))
-    return cut(counts.join(values, "x").groupBy("g").agg(F.sum("c").alias("k"), F.sum(F.col("rank") * F.col("c")).alias("r"))), cut(size)
+    return counts.join(values, "x").groupBy("g").agg(F.sum("c").alias("k"), F.sum(F.col("rank") * F.col("c")).alias("r")), size
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -101,6 +116,7 @@ def dunn(df: DataFrame, group: str, value: str, method: str = "bh") -> DataFrame
     """(g1, g2, z, p_value, q_value) of every two groups after a rank test over all groups; ties corrected, q over all pairs. Where
     all values are alike z is 0."""
     sums, size = _ranked(value_counts(df, group, value))
+    sums = cut(sums)
     one, two = (sums.select(F.col("g").alias(f"g{i}"), F.col("k").alias(f"k{i}"), (F.col("r") / F.col("k")).alias(f"m{i}")) for i in (1, 2))
     rows = one.join(two, F.col("g1") < F.col("g2")).join(size, F.lit(True))
     spread = F.expr("sqrt(greatest(0D, n * (n + 1) / 12 - ties / (12 * (n - 1))) * (1 / k1 + 1 / k2))")
@@ -110,9 +126,10 @@ def dunn(df: DataFrame, group: str, value: str, method: str = "bh") -> DataFrame
 
 def ordered_dunn_trend(df: DataFrame, order: DataFrame, group: str, value: str) -> DataFrame:
     """(ascending, min_adjacent_p): whether medians rise in the given order (group, place), and the least Dunn p of neighbours."""
-    medians = df.groupBy(F.col(group).alias("g")).agg(F.percentile(value, F.lit(0.5)).alias("median")).join(order.select(F.col(group).alias("g"), "place"), "g")
+    df = cut(df.select(group, value))
+    middle = medians(df, group, value).join(order.select(F.col(group).alias("g"), "place"), "g")
     w = Window.orderBy("place")
-    steps = cut(medians.select("g", "median", F.lag("median").over(w).alias("before"), F.lag("g").over(w).alias("h")))
+    steps = cut(middle.select("g", "median", F.lag("median").over(w).alias("before"), F.lag("g").over(w).alias("h")))
     pairs = dunn(df, group, value)
     near = steps.filter("h is not null").select(F.least("g", "h").alias("g1"), F.greatest("g", "h").alias("g2")).join(pairs, ["g1", "g2"])
     return steps.agg(F.coalesce(F.bool_and(F.col("median") >= F.col("before")), F.lit(True)).alias("ascending")).join(near.agg(F.min("p_value").alias("min_adjacent_p")), F.lit(True))
@@ -121,10 +138,11 @@ def ordered_dunn_trend(df: DataFrame, order: DataFrame, group: str, value: str)
 def decisions(df: DataFrame, group: str, value: str, min_median: float = 1.0, min_share: float = 0.5, min_delta: float = 0.147, alpha: float = 0.05) -> DataFrame:
     """(median_range, ks_share, max_delta, median_ok, ks_ok, delta_ok): the range of group medians, the share of group pairs whose
     distributions differ, and the largest absolute Cliff's delta, each against its limit."""
-    medians = df.groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("m")).agg((F.max("m") - F.min("m")).alias("median_range"))
+    df = cut(df.select(group, value))
+    middle = medians(df, group, value).agg((F.max("median") - F.min("median")).alias("median_range"))
     ks = kolmogorov_smirnov(df, group, value).agg(F.avg((F.col("p_value") < alpha).cast("int")).alias("ks_share"))
     delta = cliffs_delta(df, group, value).agg(F.max(F.abs("delta")).alias("max_delta"))
-    out = medians.join(ks, F.lit(True)).join(delta, F.lit(True))
+    out = middle.join(ks, F.lit(True)).join(delta, F.lit(True))
     return out.select("*", (F.col("median_range") >= min_median).alias("median_ok"), (F.col("ks_share") >= min_share).alias("ks_ok"), (F.col("max_delta") >= min_delta).alias("delta_ok"))
 
 

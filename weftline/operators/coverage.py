@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .keys import KEY, columns_of, key_of, refuse
 from .lineage import cut
+from .ordered import in_ranges, running
+from .quantiles import quantiles
 
 
 def group_sizes(units: DataFrame, groups: list[str]) -> DataFrame:
@@ -80,20 +82,32 @@ def wilson(count: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colu
 
 
 def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, gini) of a non-negative value; 0 where the sum is."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order))
-    n, total = F.count("*"), F.sum(value)
-    g = F.when(total > 0, 2 * F.sum(F.col("_i") * F.col(value)) / (n * total) - (n + 1) / n).otherwise(0.0)
-    return ranked.groupBy(*by).agg(g.alias("gini"))
+    """(by, gini) of a non-negative value; 0 where the sum is. Places come from running totals of value counts."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key_of(by), F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    rows = running(in_ranges(counts.withColumnRenamed(KEY, "_g"), ["_g"], "_x"), ["_g"], "_x", F.col("_c"), "_up").withColumnRenamed("_g", KEY)
+    n, total = F.sum("_c").cast("double"), F.sum(F.col("_c") * F.col("_x"))
+    places = F.sum((F.col("_up") * F.col("_c") - F.col("_c") * (F.col("_c") - 1) / 2) * F.col("_x"))
+    g = F.when(total > 0, 2 * places / (n * total) - (n + 1) / n).otherwise(0.0)
+    return rows.groupBy(KEY).agg(g.alias("gini")).select(*columns_of(by), "gini")
+
+
+def _beside(base: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    found = found.withColumn("_of", key_of(by)).drop(*by)
+    return base.withColumn(KEY, key_of(by)).join(found, F.col(KEY) == F.col("_of"), "left").drop(KEY, "_of")
 
 
 def variation(df: DataFrame, by: list[str], value: str, threshold: float | None = None) -> DataFrame:
-    """Spread of a value over the strata of each key: quantiles, mean, deviation, coefficient, median absolute deviation, Gini."""
-    q = [F.percentile(value, F.lit(x)) for x in (0.25, 0.5, 0.75)]
-    basic = df.groupBy(*by).agg(F.count(value).alias("strata"), q[1].alias("median"), (q[2] - q[0]).alias("iqr"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), *([F.avg((F.col(value) < threshold).cast("int")).alias("below")] if threshold is not None else []))
-    away = df.join(basic.select(*by, "median"), by).groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
-    out = basic.join(away, by).join(gini(df, by, value), by)
+    """Spread of a value over the strata of each key: quantiles, mean, deviation, coefficient, median absolute deviation, Gini. A null
+    key is a key."""
+    refuse(by, ["strata", "median", "iqr", "mean", "sd", "min", "max", "below", "mad", "gini", "cv", "relative_iqr"])
+    df = cut(df.select(*[F.col(f"`{b}`") for b in by], F.col(value).alias("_value")))
+    basic = df.groupBy(*by).agg(F.count("_value").alias("strata"), F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("sd"), F.min("_value").alias("min"), F.max("_value").alias("max"), *([F.avg((F.col("_value") < threshold).cast("int")).alias("below")] if threshold is not None else []))
+    q = cut(quantiles(df, by, "_value", (0.25, 0.5, 0.75)).drop("n"))  # read twice
+    middle = q.select(key_of(by).alias("_of"), F.col("q")[1].alias("_m"))
+    away = df.withColumn(KEY, key_of(by)).join(middle, F.col(KEY) == F.col("_of")).select(*by, F.abs(F.col("_value") - F.col("_m")).alias("_away"))
+    mad = quantiles(away, by, "_away", (0.5,)).drop("n").withColumnRenamed("q", "_mad")
+    out = _beside(_beside(_beside(basic, q, by), mad, by), gini(df, by, "_value"), by)
+    out = out.select(*by, "strata", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "mean", "sd", "min", "max", *(["below"] if threshold is not None else []), F.col("_mad")[0].alias("mad"), "gini")
     return out.withColumn("cv", F.when(F.col("mean") != 0, F.col("sd") / F.col("mean"))).withColumn("relative_iqr", F.when(F.col("median") != 0, F.col("iqr") / F.col("median")))
 
 
@@ -105,7 +119,10 @@ def error_bars(df: DataFrame, by: list[str], value: str, mode: str) -> DataFrame
         half = F.avg(F.abs(v - F.col("_m")))
         return centred.groupBy(*by).agg(mean.alias("mean"), (mean - half).alias("low"), (mean + half).alias("high"))
     half = {"stddev": F.stddev_samp(value), "sem": F.stddev_samp(value) / F.sqrt(F.count(value)), "ci": 1.96 * F.stddev_samp(value) / F.sqrt(F.count(value))}
-    low, high = {"iqr": (F.percentile(value, F.lit(0.25)), F.percentile(value, F.lit(0.75))), "minmax": (F.min(value), F.max(value)), "none": (mean, mean)}.get(mode) or (mean - half[mode], mean + half[mode])
+    if mode == "iqr":
+        out = _beside(df.groupBy(*by).agg(mean.alias("mean")), quantiles(df, by, value, (0.25, 0.75)).drop("n"), by)
+        return out.select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    low, high = {"minmax": (F.min(value), F.max(value)), "none": (mean, mean)}.get(mode) or (mean - half[mode], mean + half[mode])
     return df.groupBy(*by).agg(mean.alias("mean"), low.alias("low"), high.alias("high"))
 
 

@@ -26,7 +26,7 @@ def running(rows: DataFrame, by: list[str], order: str, value: Column, name: str
     total = {"sum": F.sum, "min": F.min}[how]
     rows = rows.withColumn("_v", value).withColumn(KEY, key_of(by))
     by_range = rows.groupBy(KEY, _RANGE).agg(total("_v").alias("t"))
-    around = cut(by_range.groupBy(KEY).agg(F.collect_list(F.struct(F.col(_RANGE).alias("r"), "t")).alias("_ranges")))
+    around = by_range.groupBy(KEY).agg(F.collect_list(F.struct(F.col(_RANGE).alias("r"), "t")).alias("_ranges"))
     w = Window.partitionBy(KEY, _RANGE).orderBy(F.desc(order) if backwards else F.asc(order))
     others = F.filter("_ranges", lambda x: x["r"] > F.col(_RANGE) if backwards else x["r"] < F.col(_RANGE))
     if how == "sum":

@@ -45,7 +45,7 @@ def adjusted(df: DataFrame, family: list[str], p: str = "p_value", method: str =
     """
     df = cut(df.withColumn("_of", key_of(family)))
     tests = df.filter(F.col(p).isNotNull()).groupBy("_of", F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
-    size = cut(tests.groupBy("_of").agg(F.sum("_c").alias("_m")))
+    size = tests.groupBy("_of").agg(F.sum("_c").alias("_m"))
     if method == "bonferroni":
         found = tests.join(size, "_of").select("_of", "_p", F.least(F.lit(1.0), F.col("_p") * F.col("_m")).alias(out))
     else:
@@ -60,7 +60,7 @@ def adjusted(df: DataFrame, family: list[str], p: str = "p_value", method: str =
 
 
 def _joined(df: DataFrame, found: DataFrame, p: str, out: str) -> DataFrame:
-    found = cut(found.withColumnRenamed("_of", "_family"))
+    found = found.withColumnRenamed("_of", "_family")
     return df.join(found, (F.col("_of") == F.col("_family")) & (F.col(p) == F.col("_p")), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != "_of"], F.col(out))
 
 
