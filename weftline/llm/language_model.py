@@ -9,10 +9,10 @@ merges its blocks and stores sorted hash arrays (one file in the shared folder);
 bigrams it stands, which is merged by word. Shards hold about ``SHARD_TOKENS`` tokens, so their number follows the corpus and a
 task's memory doesn't.
 
-A file has, for each order, the 40-bit fingerprints of its contexts with their numbers of followers, and the followers as the low 24
-bits of their numbers (so exact below 16 million words) with counts of one byte (larger counts stand apart). Contexts with more than
-``WIDE`` followers keep 32 bits of each. So an n-gram takes about six bytes; with a million contexts in a shard, one that was never
-seen is taken for a seen one with probability 1e-6.
+A file has, for each order, the 40-bit fingerprints of its contexts with their numbers of followers, and the followers as numbers of
+three bytes, or of four where a shard has any beyond 16 million, with counts of one byte (larger counts stand apart). Contexts with
+more than ``WIDE`` followers keep four bytes of each. So an n-gram takes six or seven bytes; with a million contexts in a shard, one
+whose context was never seen is taken for a seen one with probability 1e-6. Numbers are exact up to four thousand million words.
 
 Scoring: workers memory-map the arrays and look up batches of tokens, shard by shard. What the driver holds is one row of figures
 for each shard and the spread words.
@@ -153,20 +153,29 @@ class Discounts(NamedTuple):
 
 
 def table(name: str, ctx: np.ndarray, word: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of distinct (context, word) rows, their names beginning with ``name``."""
+    """Arrays of distinct (context, word) rows, their names beginning with ``name``. A follower's number takes three bytes, and a fourth
+    where any is beyond them."""
     word = word.astype(np.uint64)
-    key = (ctx << np.uint64(24)) | (word & np.uint64(0xFFFFFF))
-    order = np.argsort(key)
-    key, counts = key[order], counts[order]
-    short = key >> np.uint64(24)
+    far = bool(len(word)) and word.max() >= 1 << 24
+    if far:
+        short, low = ctx & np.uint64((1 << 40) - 1), word & np.uint64(0xFFFFFFFF)
+        order = np.lexsort((low, short))
+        short, low, counts = short[order], low[order], counts[order]
+    else:
+        key = (ctx << np.uint64(24)) | word
+        order = np.argsort(key)
+        key, counts = key[order], counts[order]
+        short, low = key >> np.uint64(24), key & np.uint64(0xFFFFFF)
     first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(short)))
     wide = n > WIDE
     of_wide = np.repeat(wide, n)
-    some, w, c = short[first[~wide]], key[~of_wide] & np.uint64(0xFFFFFF), counts[~of_wide]
+    some, w, c = short[first[~wide]], low[~of_wide], counts[~of_wide]
     out = {"hi": (some >> np.uint64(8)).astype(np.uint32), "lo": some.astype(np.uint8), "n": n[~wide].astype(np.uint8)}
     out["starts"] = (np.cumsum(n[~wide]) - n[~wide])[::16].astype(np.uint32)
-    out |= {"w": (w >> np.uint64(8)).astype(np.uint16), "v": w.astype(np.uint8), **_bytes("c", c)}
+    out |= {"w": (w >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.uint16), "v": (w & np.uint64(0xFF)).astype(np.uint8), **_bytes("c", c)}
+    if far:
+        out["x"] = (w >> np.uint64(24)).astype(np.uint8)
     which = np.repeat(np.cumsum(wide) - 1, n)[of_wide].astype(np.uint64)
     full = word[order[of_wide]] & np.uint64(0xFFFFFFFF)
     by = np.argsort((which << np.uint64(32)) | full)
@@ -250,8 +259,9 @@ def look_up(f: dict[str, np.ndarray], name: str, ctx: np.ndarray, word: np.ndarr
         rows = np.flatnonzero(known[back])
         stats[rows] = per[back[rows]]
         mine = place[back[rows]]
-        fits = lambda x: (f["w"][x].astype(np.uint32) << np.uint32(8)) | f["v"][x]
-        _take(f, "c", fits, begin[mine], stop[mine], (word[rows] & 0xFFFFFF).astype(np.uint32), count, rows)
+        top = f.get("x")
+        fits = lambda x: (f["w"][x].astype(np.uint32) << np.uint32(8)) | f["v"][x] | (0 if top is None else top[x].astype(np.uint32) << np.uint32(24))
+        _take(f, "c", fits, begin[mine], stop[mine], (word[rows] & 0xFFFFFFFF).astype(np.uint32), count, rows)
     at, known = _find(f["wide"], short)
     if known.any():
         rows = np.flatnonzero(known[back])
