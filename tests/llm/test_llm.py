@@ -614,3 +614,38 @@ def test_pipeline_is_its_stages(spark):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+
+
+@pytest.mark.parametrize("most", [1 << 20, 1 << 26, (1 << 32) - 1])
+def test_followers_of_any_number_are_told_apart(most):
+    """Words whose numbers agree in their low 24 bits, in contexts of few and of many followers."""
+    rng = np.random.default_rng(most)
+    ctx = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    rows = {}
+    for i, c in enumerate(ctx.tolist()):
+        base = int(rng.integers(1, 1 << 19))
+        for w in {base, (base + (1 << 24)) % most, (base + (3 << 24)) % most, *rng.integers(1, most, 2 if i % 20 else 600).tolist()}:
+            rows[c, w] = int(rng.integers(1, 400))
+    keys = list(rows)
+    f = language_model.table("3.", np.array([c for c, _ in keys], np.uint64), np.array([w for _, w in keys], np.uint64), np.array(list(rows.values())))
+    assert ("3.x" in f) == (max(w for _, w in keys) >= 1 << 24)
+    asked = sorted({(c, (w + d) % (1 << 32)) for c, w in keys[::3] for d in (0, 1 << 24, 1 << 25, 7)} | set(keys), key=lambda k: (k[0] & ((1 << 40) - 1), k))
+    count, stats = language_model.look_up(f, "3.", np.array([c for c, _ in asked], np.uint64), np.array([w for _, w in asked], np.uint64))
+    assert count.tolist() == [rows.get(k, 0) for k in asked]
+    total = {}
+    for (c, _), n in rows.items():
+        total[c] = total.get(c, 0) + n
+    assert stats[:, 0].tolist() == [total[c] for c, _ in asked]
+
+
+def test_rows_without_an_id_are_dealt_to_many_files(spark):
+    docs = frame(spark, [(None if i % 4 else 7, f"text number {i} " * 50, "s") for i in range(400)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_output.write(docs)
+        assert manifest.count() > 2 and manifest.agg(F.max("n_docs")).first()[0] < 300
+        rows = token_output.read(manifest).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.doc_id for r in rows] == [None] * 300 + [7] * 100
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))

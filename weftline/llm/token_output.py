@@ -166,8 +166,9 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, bits:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "n_docs": [n_docs], "n_tokens": [writer.n_tokens], "n_bytes": [writer.at]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # rows without an id, or of one id, are dealt on by their texts
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return cut_lineage(rows.mapInArrow(save, MANIFEST))
 
 
