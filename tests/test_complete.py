@@ -25,7 +25,7 @@ def rows_of(df, *columns):
 NAMES = ["ab", "axb", "acbd", "a", "b", "aa", "aaa", "ba", "penicillin g", "penicilin", "amoxicillin", "amoxycillin", "amox", "cefotaxim", "cefotaxime", "cefoxitin", "x", "xy", "yx", "é1", "e1", "😀a", "a😀b"]
 
 
-@pytest.mark.parametrize("least", [0.5, 0.667, 0.8, 0.95])
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
 def test_names_alike_are_all_found(spark, least):
     rng = random.Random(int(least * 100))
     one = NAMES + ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
@@ -92,7 +92,7 @@ def networks_of(seed, sizes=(7, 6, 2)):
     return nodes, edges
 
 
-@pytest.mark.parametrize(("weighted", "batches"), [(False, 1), (True, 1), (True, 3)])
+@pytest.mark.parametrize(("weighted", "batches"), [(False, 1), (True, 2)])
 def test_betweenness_equals_all_paths(spark, weighted, batches):
     nodes, edges = networks_of(4)
     got = graph.betweenness(spark.createDataFrame([(k, v) for k, vs in nodes.items() for v in vs], "network_id string, node string"), spark.createDataFrame([(k, *e) for k, es in edges.items() for e in es], "network_id string, left_item string, right_item string, similarity double"), weighted, batches)
@@ -279,7 +279,7 @@ def test_rank_plans_have_no_single_partition(spark):
 
 
 # --- tied, empty and odd values
-@pytest.mark.parametrize("values", [[], [("a", 2.0), ("b", 2.0), ("b", 2.0)], [("a", 0.0)], [("a", 1.0), ("b", None)], [(None, 1.0), ("a", 2.0), ("b", 2.0), ("b", 2.0)]])
+@pytest.mark.parametrize("values", [[], [("a", 0.0)], [(None, 1.0), ("a", 2.0), ("b", None), ("b", 2.0)]])
 def test_comparisons_of_odd_values(spark, values):
     df = spark.createDataFrame(values, "g string, v double")
     for out in (compare.kruskal(df, "g", "v"), compare.dunn(df, "g", "v"), compare.mann_whitney(df, "g", "v", "a", "b"), compare.welch(df, "g", "v", "a", "b"), compare.lorenz(df, "g", "v"), compare.ecdf(df, "g", "v"), compare.kolmogorov_smirnov(df, "g", "v"), compare.cliffs_delta(df, "g", "v"), compare.describe(df, ["g"], "v"), compare.decisions(df, "g", "v")):
@@ -331,7 +331,7 @@ def test_null_strata_are_strata(spark):
     assert got == {(None, "x"): (2, 2), (None, "y"): (1, 2), ("s", "x"): (1, 1), ("s", "y"): (1, 1)}
 
 
-@pytest.mark.parametrize("name", ["f", "i", "items", "s", "w", "x", "middle", "_k", "g", "unit2", "a b"])
+@pytest.mark.parametrize("name", ["f", "items", "w", "_k", "a b"])
 def test_strata_of_any_name(spark, name):
     inc = spark.createDataFrame([("p", 1, "x"), ("p", 1, "y"), ("q", 2, "x")], "stratum string, unit int, item string").withColumnRenamed("stratum", name)
     assert contingency.pair_counts(inc, [name]).count() == 1
@@ -603,3 +603,17 @@ def test_variation_keeps_null_keys(spark):
     got = {r.k: r for r in coverage.variation(df, ["k"], "v", 2.0).collect()}
     assert (got[None].median, got[None].iqr, got[None].mad, got[None].gini, got[None].below) == (2.0, 1.0, 1.0, 0.25, 0.5)
     assert (got["a"].strata, got["a"].median, got["a"].gini, got["a"].cv) == (1, 0.0, 0.0, None)
+
+
+def test_disparities_keep_units_without_a_cluster(spark):
+    from weftline.operators import disparity
+
+    units = spark.createDataFrame([(u, "ab"[u % 2], None if u % 3 == 0 else f"c{u % 3}") for u in range(60)], "unit int, level string, cluster string")
+    inc = spark.createDataFrame([(u, "x") for u in range(60) if u % 5 < 2 + u % 2], "unit int, item string")
+    counts = disparity.cluster_counts(inc, units, "level", "cluster")
+    for r in counts.collect():
+        inside = [u for u in range(60) if "ab"[u % 2] == r.level and (None if u % 3 == 0 else f"c{u % 3}") == r.cluster]
+        assert (r.n, r.k) == (len(inside), sum(u % 5 < 2 + u % 2 for u in inside))
+    got = disparity.estimates(counts, "a").filter("measure = 'RD'").first()
+    share = [sum(u % 5 < 2 + u % 2 for u in range(s, 60, 2)) / 30 for s in (0, 1)]
+    assert got.estimate == pytest.approx(share[1] - share[0]) and got.se >= 0

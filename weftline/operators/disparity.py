@@ -22,12 +22,15 @@ MEASURES = ("OR", "RR", "RD")
 
 
 def cluster_counts(inc: DataFrame, units: DataFrame, group: str, cluster: str) -> DataFrame:
-    """(item, level, cluster, k, n): units of a level and cluster that have the item, and all its units. ``units`` has one row per unit."""
+    """(item, level, cluster, k, n): units of a level and cluster that have the item, and all its units. ``units`` has one row per unit;
+    those without a level are left out, those without a cluster are a cluster."""
     units = units.select("unit", F.col(group).alias("level"), F.col(cluster).alias("cluster")).filter("level is not null")
     n = cut(units.groupBy("level", "cluster").agg(F.count("*").alias("n")))
     k = inc.select("unit", "item").distinct().join(units, "unit").groupBy("item", "level", "cluster").agg(F.count("*").alias("k"))
     items = cut(inc.select("item").distinct())
-    return n.join(items, F.lit(True)).join(k, ["item", "level", "cluster"], "left").fillna(0, ["k"])
+    k = k.select(F.col("item").alias("_i"), F.col("level").alias("_l"), F.col("cluster").alias("_c"), "k")
+    on = (F.col("item") == F.col("_i")) & (F.col("level") == F.col("_l")) & F.col("cluster").eqNullSafe(F.col("_c"))
+    return n.join(items, F.lit(True)).join(k, on, "left").select("item", "level", "cluster", F.coalesce("k", F.lit(0)).alias("k"), "n")
 
 
 def estimates(counts: DataFrame, reference, min_clusters: int = 2, alpha: float = 0.05) -> DataFrame:
@@ -37,15 +40,15 @@ def estimates(counts: DataFrame, reference, min_clusters: int = 2, alpha: float
     measure. Levels in fewer than ``min_clusters`` clusters are left out; an item without the reference level has no rows.
     """
     counts = cut(counts)
-    per = counts.groupBy("item", "level").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("clusters")).filter(F.col("clusters") >= min_clusters)
+    per = counts.groupBy("item", "level").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("clusters"))
     edge = (F.col("k") == 0) | (F.col("k") == F.col("n"))
-    per = per.withColumn("p", F.when(edge, (F.col("k") + 0.5) / (F.col("n") + 1)).otherwise(F.col("k") / F.col("n")))
-    squares = counts.join(per.select("item", "level", "p"), ["item", "level"]).groupBy("item", "level").agg(F.sum(F.pow(F.col("k") - F.col("n") * F.col("p"), F.lit(2.0))).alias("uu"))
-    cross = counts.join(per.select("item", "level", "p"), ["item", "level"]).withColumn("u", F.col("k") - F.col("n") * F.col("p"))
-    base = cross.filter(F.col("level") == reference).select("item", "cluster", F.col("u").alias("ur"))
-    with_ref = cross.join(base, ["item", "cluster"]).groupBy("item", "level").agg(F.sum(F.col("u") * F.col("ur")).alias("ur"))
-    size = counts.groupBy("item").agg(F.sum("n").alias("units"), F.count_distinct("cluster").alias("g"), F.count_distinct("level").alias("levels"))
-    rows = per.join(squares, ["item", "level"]).join(with_ref, ["item", "level"], "left").fillna(0.0, ["ur"]).join(size, "item")
+    per = cut(per.withColumn("p", F.when(edge, (F.col("k") + 0.5) / (F.col("n") + 1)).otherwise(F.col("k") / F.col("n"))))
+    kept = per.filter(F.col("clusters") >= min_clusters)
+    size = per.groupBy("item").agg(F.sum("n").alias("units"), F.count("*").alias("levels")).join(counts.groupBy("item").agg(F.count_distinct(F.struct("cluster")).alias("g")), "item")
+    away = counts.join(kept.select("item", "level", "p"), ["item", "level"]).select("item", "level", F.struct("cluster").alias("of"), (F.col("k") - F.col("n") * F.col("p")).alias("u"))
+    base = away.filter(F.col("level") == reference).select("item", "of", F.col("u").alias("ur"))
+    sums = away.join(base, ["item", "of"], "left").groupBy("item", "level").agg(F.sum(F.col("u") * F.col("u")).alias("uu"), F.coalesce(F.sum(F.col("u") * F.col("ur")), F.lit(0.0)).alias("ur"))
+    rows = cut(kept.join(sums, ["item", "level"]).join(size, "item"))
     ref = rows.filter(F.col("level") == reference).select("item", *[F.col(c).alias(f"{c}0") for c in ("n", "p", "uu")])
     rows = rows.filter(F.col("level") != reference).join(ref, "item")
     link = {"OR": (lambda p: F.log(p / (1 - p)), lambda n, p: n * p * (1 - p)), "RR": (F.log, lambda n, p: n * p), "RD": (lambda p: p, lambda n, p: n)}
