@@ -193,12 +193,12 @@ def test_rules_take_as_many_jobs_whatever_the_strata(spark):
 def test_subspace_equals_a_dense_solver(spark):
     rng = np.random.default_rng(2)
     edges = []
-    for name, n in (("p", 14), ("q", 9), ("r", 3)):
+    for name, n in (("p", 10), ("q", 6), ("r", 3)):
         w = rng.random((n, n)) * (rng.random((n, n)) < 0.7)
         edges += [(name, f"v{i:02}", f"v{j:02}", float(w[i, j])) for i in range(n) for j in range(i + 1, n)]
     edges.append(("z", "a", "b", 0.0))
     frame = spark.createDataFrame(edges, "network_id string, left_item string, right_item string, similarity double")
-    vectors, values = spectral.subspace(frame, 3)
+    vectors, values = spectral.subspace(frame, 3, spare=4)
     vectors = {(r.network_id, r.node): r.x for r in vectors.collect()}
     for r in values.collect():
         names = sorted(v for k, v in vectors if k == r.network_id)
@@ -219,7 +219,7 @@ def test_subspace_equals_a_dense_solver(spark):
 
 def planted(spark):
     rng, edges = random.Random(8), []
-    for name in ("p", "q", "r"):
+    for name in ("p", "q"):
         group = {f"v{i:02}": i % 3 if name != "q" else i // 5 for i in range(15)}
         edges += [(name, a, b, 0.9 * rng.random() + 0.1 if group[a] == group[b] else 0.04 * rng.random()) for a, b in itertools.combinations(sorted(group), 2)]
     return spark.createDataFrame([*edges, ("z", "a", "b", 0.0)], "network_id string, left_item string, right_item string, similarity double")
@@ -227,10 +227,10 @@ def planted(spark):
 
 def test_spectral_partition_finds_planted_groups(spark):
     got = {(r.network_id, r.node): r.cluster for r in spectral.partition(planted(spark), 3).collect()}
-    for name in ("p", "q", "r"):
+    for name in ("p", "q"):
         group = {f"v{i:02}": i % 3 if name != "q" else i // 5 for i in range(15)}
         assert all(got[name, v] == group[v] for v in group)
-    assert len(got) == 45
+    assert len(got) == 30
 
 
 def test_power_iteration_keys_networks(spark):
