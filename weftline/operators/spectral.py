@@ -36,25 +36,31 @@ def _times(rows: DataFrame, links: DataFrame, width: int) -> DataFrame:
     return both.select("network_id", "node", F.array(*[F.col(f"c{i}") / 2 for i in range(width)]).alias("x"))
 
 
-def _products(rows: DataFrame, one: str, other: str, width: int) -> DataFrame:
-    """(network_id, g): sums over nodes of the outer products of two rows, flat."""
-    return rows.groupBy("network_id").agg(F.array(*[F.sum(F.col(one)[i] * F.col(other)[j]) for i in range(width) for j in range(width)]).alias("g"))
+def _whitener(g: np.ndarray) -> np.ndarray:
+    """The matrix that makes a block with this Gram matrix orthonormal; directions of (nearly) no length become 0."""
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    scale = np.where(values > max(values.max(), 0) * 1e-14, 1 / np.sqrt(np.where(values > 0, values, 1)), 0)
+    return vectors * scale
 
 
-def _small(compute, width: int):
-    """A Column function on flat matrices; ``compute`` takes one as width x width and gives one."""
+def _ritz(flat: np.ndarray, width: int) -> np.ndarray:
+    """From the Gram matrix of a block, that of the block with its product, and that of the product: what turns the block into its best
+    eigenvectors, their eigenvalues, largest first, and residuals, all flat."""
+    g, h, s = flat.reshape(3, width, width)
+    white = _whitener(g)
+    values, vectors = np.linalg.eigh(white.T @ (h + h.T) @ white / 2)
+    turn, values = white @ vectors[:, ::-1], values[::-1]
+    left = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, s, turn) - values**2, 0))
+    return np.concatenate([turn.ravel(), values, left])
 
-    def of(column: pa.Array) -> pa.Array:
-        return pa.array([None if g is None else compute(np.array(g).reshape(width, width)).ravel().tolist() for g in column.to_pylist()], pa.list_(pa.float64()))
 
-    return F.arrow_udf(of, ROW)
+def _small(width: int):
+    """A Column function: ``_ritz`` of flat matrices."""
 
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array([None if g is None else _ritz(np.array(g), width).tolist() for g in column.to_pylist()], pa.list_(pa.float64()))
 
-def _whitener(g: np.ndarray) -> np.ndarray:
-    """The matrix that makes a block with this Gram matrix orthonormal; directions of (nearly) no length become 0."""
-    values, vectors = np.linalg.eigh((g + g.T) / 2)
-    scale = np.where(values > max(values.max(), 0) * 1e-14, 1 / np.sqrt(np.where(values > 0, values, 1)), 0)
-    return (vectors * scale)[:, ::-1]
+    return F.arrow_udf(of, ROW)
 
 
 def _turned(rows: DataFrame, turn: DataFrame, width: int) -> DataFrame:
@@ -67,41 +73,35 @@ def subspace(edges: DataFrame, k: int, spare: int = 6, tolerance: float = 1e-9,
     """(network_id, node, x) and (network_id, eigenvalues): the ``k`` leading eigenvectors of each network's normalised similarity, as
     a row for each node with an edge of positive weight, and their eigenvalues, largest first (0 beyond the number of nodes).
 
-    ``spare`` more vectors are carried along, which speeds up convergence; between two orthonormalisations are ``steps`` products. Rounds
-    end when no eigenvalue of any network moves by more than ``tolerance`` and no residual exceeds its root.
+    ``spare`` more vectors are carried along, which speeds up convergence; a round is ``steps`` products and one aggregate, from which
+    the small matrices of all networks follow. Rounds end when no eigenvalue of any network moves by more than ``tolerance`` and no
+    residual exceeds its root.
     """
     width = k + spare
     links = _normalised(edges)
     start = F.array(*[F.hash("node", F.lit(i)).cast("double") / 2.0**31 for i in range(width)])
-    rows = cut(links.select("network_id", F.col("u").alias("node")).distinct().select("network_id", "node", start.alias("x")))
+    rows = links.select("network_id", F.col("u").alias("node")).distinct().select("network_id", "node", start.alias("x"))
     size = rows.groupBy("network_id").count()
-    turn = _products(rows, "x", "x", width).select("network_id", _small(_whitener, width)("g").alias("t"))
-    rows = cut(_turned(rows, turn, width))
+    cells = [(i, j) for i in range(width) for j in range(width)]
     before = None
     for _ in range(most_rounds):
         for _ in range(steps):
             rows = _times(rows, links, width)
         rows = cut(rows)
-        rows = cut(_turned(rows, _products(rows, "x", "x", width).select("network_id", _small(_whitener, width)("g").alias("t")), width))
-        moved = _times(rows, links, width).withColumnRenamed("x", "y")
-        both = rows.join(moved, ["network_id", "node"])
-        ritz = _products(both, "x", "y", width).select("network_id", _small(lambda h: np.linalg.eigh((h + h.T) / 2)[1][:, ::-1], width)("g").alias("t"))
-        rows = cut(_turned(rows, ritz, width))
         both = rows.join(_times(rows, links, width).withColumnRenamed("x", "y"), ["network_id", "node"])
-        value = [F.sum(F.col("x")[i] * F.col("y")[i]) for i in range(k)]
-        now = cut(both.groupBy("network_id").agg(F.array(*value).alias("v"), F.array(*[F.sum(F.col("y")[i] * F.col("y")[i]) for i in range(k)]).alias("s")))
-        gap = F.sqrt(F.greatest(F.lit(0.0), F.array_max(F.transform(F.arrays_zip("v", "s"), lambda z: z["s"] - z["v"] * z["v"]))))
-        apart = now.withColumn("gap", gap)
+        sums = F.array(*[F.sum(F.col(a)[i] * F.col(b)[j]) for a, b in (("x", "x"), ("x", "y"), ("y", "y")) for i, j in cells])
+        now = cut(both.groupBy("network_id").agg(sums.alias("g")).select("network_id", _small(width)("g").alias("r")))
+        rows = _turned(rows, now.select("network_id", F.slice("r", 1, width * width).alias("t")), width)
+        now = now.select("network_id", F.slice("r", width * width + 1, k).alias("v"), F.array_max(F.slice("r", width * width + width + 1, k)).alias("left"))
         if before is not None:
-            apart = apart.join(before.select("network_id", F.col("v").alias("o")), "network_id")
-            open_ = apart.filter((F.array_max(F.transform(F.arrays_zip("v", "o"), lambda z: F.abs(z["v"] - z["o"]))) > tolerance) | (F.col("gap") > tolerance**0.5))
-            if open_.isEmpty():
+            moved = F.array_max(F.zip_with("v", "o", lambda a, b: F.abs(a - b)))
+            if now.join(before.select("network_id", F.col("v").alias("o")), "network_id").filter((moved > tolerance) | (F.col("left") > tolerance**0.5)).isEmpty():
                 break
         before = now
     else:
         raise RuntimeError(f"eigenvectors still move after {most_rounds} rounds")
     values = now.join(size, "network_id").select("network_id", F.transform("v", lambda v, i: F.when(i < F.col("count"), 2 * v - 1).otherwise(0.0)).alias("eigenvalues"))
-    return rows.select("network_id", "node", F.slice("x", 1, k).alias("x")), values
+    return cut(rows).select("network_id", "node", F.slice("x", 1, k).alias("x")), values
 
 
 def _away(x: str, y: str):
@@ -149,10 +149,11 @@ def keyed_kmeans(points: DataFrame, k: int, by: list[str] = NET, most_rounds: in
     return named.join(order.select(*by, "cluster", "number"), [*by, "cluster"]).select(*by, "node", F.col("number").alias("cluster"))
 
 
-def partition(edges: DataFrame, k: int, **options) -> DataFrame:
+def partition(edges: DataFrame, k: int, tolerance: float = 1e-4, **options) -> DataFrame:
     """(network_id, node, cluster): ``k`` clusters of the nodes that have an edge of positive weight, by k-means on the rows of the
-    leading eigenvectors, each row over its length."""
-    rows, _ = subspace(edges, k, **options)
+    leading eigenvectors, each row over its length. Eigenvalues to ``tolerance`` will do for clusters; where those beyond the k-th are
+    about as large there are no clear clusters anyway."""
+    rows, _ = subspace(edges, k, tolerance=tolerance, **options)
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c))
     unit = rows.select("network_id", "node", F.transform("x", lambda c: F.round(F.coalesce(F.try_divide(c, length), F.lit(0.0)), 12)).alias("x"))
     return keyed_kmeans(unit, k)
