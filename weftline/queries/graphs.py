@@ -396,7 +396,7 @@ rl AS (SELECT {ks} array_to_string(p, ',') AS antecedent, array_to_string(list_f
 
 def _rules(out):
     sides = [F.concat_ws(",", c).alias(c) for c in ("antecedent", "consequent")]
-    return out.select(*[c for c in out.columns if c == "stratum"], *sides, *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
+    return out.select(*[c for c in out.columns if c == "stratum"], *sides, "support", "confidence", "lift")
 
 
 @R.add("r1_itemsets", f"WITH {INC}, n AS (SELECT count(DISTINCT unit) AS n FROM inc), {_SETS.format(k='', kx='')} SELECT array_to_string(s, ',') AS items, f AS freq FROM fs, n WHERE f >= .001 * n")
@@ -405,12 +405,12 @@ def r1_sets(spark, sf):
     return sets.select(F.concat_ws(",", "items").alias("items"), "freq")
 
 
-@R.add("r1_rules_of_three", f"WITH {INC}, {_RULES.format(k='', kx='', ks='', jn='true', ja='true', jc='true')} SELECT antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rl WHERE support >= .001 AND confidence >= .1 AND lift >= 1")
+@R.add("r1_rules_of_three", f"WITH {INC}, {_RULES.format(k='', kx='', ks='', jn='true', ja='true', jc='true')} SELECT antecedent, consequent, support, confidence, lift FROM rl WHERE support >= .001 AND confidence >= .1 AND lift >= 1")
 def r1_three(spark, sf):
     return _rules(U.association_rules(incidence(spark, sf), 0.001, 0.1, 1.0, most_items=3))
 
 
-@R.add("r2_rules_of_three", f"WITH {INC}, {_RULES.format(k='stratum,', kx='x.stratum,', ks='sp.stratum,', jn='nn.stratum = sp.stratum', ja='fa.stratum = sp.stratum', jc='fc.stratum = sp.stratum')} SELECT stratum, antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rl WHERE support >= .002 AND confidence >= .1 AND lift >= 1")
+@R.add("r2_rules_of_three", f"WITH {INC}, {_RULES.format(k='stratum,', kx='x.stratum,', ks='sp.stratum,', jn='nn.stratum = sp.stratum', ja='fa.stratum = sp.stratum', jc='fc.stratum = sp.stratum')} SELECT stratum, antecedent, consequent, support, confidence, lift FROM rl WHERE support >= .002 AND confidence >= .1 AND lift >= 1")
 def r2_three(spark, sf):
     return _rules(U.association_rules(incidence(spark, sf), 0.002, 0.1, 1.0, most_items=3, strata=["stratum"]))
 
