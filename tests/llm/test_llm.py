@@ -361,15 +361,17 @@ def brute_model(texts, order):
     return p, discounts, raw
 
 
-@pytest.mark.parametrize(("order", "shard_tokens"), [(1, 500), (2, 10**6), (2, 500), (3, 10**6), (3, 500), (4, 400)])
-def test_language_model(docs, order, shard_tokens, monkeypatch):
+@pytest.mark.parametrize(("order", "shard_tokens", "direct"), [(1, 500, 256), (2, 10**6, 256), (2, 500, 256), (2, 500, 0), (3, 10**6, 0), (3, 500, 256), (3, 500, 0), (4, 400, 0)])
+def test_language_model(docs, order, shard_tokens, direct, monkeypatch):
     monkeypatch.setattr(language_model, "WIDE", 3)
+    monkeypatch.setattr(language_model, "DIRECT_SHARDS", direct)
     held_out = F.col("doc_id").isin(1, 2, 105)
     rows = [(r.doc_id, [*spaced(r.text), "</s>"]) for r in docs.collect()]
     p, discounts, uni = brute_model([t for i, t in rows if i not in (1, 2, 105) and i is not None], order)
     model = language_model.train(docs.filter(~held_out & F.col("doc_id").isNotNull()), order, shard_tokens=shard_tokens)
     assert [(0, *d) for d in model.discounts] == [discounts[k] for k in range(1, order + 1)]
     assert (len(model.spread) > 0) == (shard_tokens < 10**6 and order > 1)
+    assert len(model.grams) == (model.shards if direct else 0) and (model.shards > 0) == (order > 1)
     for context in (("<s>", "<s>", "<s>"), ("kaß", "turan", "never seen"), ("never seen", "loran", "kaß")):
         context = context[len(context) - order + 1 :]
         assert sum(p(context, b) for b in uni) + p(context, "never seen") == pytest.approx(1)

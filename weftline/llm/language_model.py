@@ -14,8 +14,11 @@ three bytes, or of four where a shard has any beyond 16 million, with counts of
 more than ``WIDE`` followers keep four bytes of each. So an n-gram takes six or seven bytes; with a million contexts in a shard, one
 whose context was never seen is taken for a seen one with probability 1e-6. Numbers are exact up to four thousand million words.
 
-Scoring: workers memory-map the arrays and look up batches of tokens, shard by shard. What the driver holds is one row of figures
-for each shard and the spread words.
+Scoring: workers memory-map the arrays and look up batches of tokens, shard by shard. That suits a model of up to ``DIRECT_SHARDS``
+shards, of which every batch meets most. The n-grams of texts are sent to the shards of a larger model instead, by a join with the
+table of its files: a task reads a shard's file once for all that was sent to it, and sends back sums by document. N-grams whose last
+context word is spread go to their bigram's shard first. What the driver holds is a row of figures for each million words of the
+vocabulary and the spread words; only of a model for direct use, also the names of its files.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder
-from .shared import Arrays, bounded_batches, cut_lineage, make_dir, shared_dir
+from .shared import Arrays, as_table, bounded_batches, cut_lineage, make_dir, shared_dir
 from .words import SPACED, blocks, mix64, pack, unpack, words_of
 
-ORDER, SHARD_TOKENS, FLUSH_TOKENS, SCORE_TOKENS, WORD_SHARD, WIDE = 3, 3_000_000, 2_000_000, 1_000_000, 1_000_000, 255
+ORDER, SHARD_TOKENS, FLUSH_TOKENS, SCORE_TOKENS, WORD_SHARD, WIDE, DIRECT_SHARDS = 3, 3_000_000, 2_000_000, 1_000_000, 1_000_000, 255, 256
 END = np.uint64(0xFEDCBA9876543210)
 
 
@@ -320,9 +324,13 @@ class Vocabulary(NamedTuple):
 
 
 class Model(NamedTuple):
+    """``stored`` is the table of n-gram files (kind, shard, uri); ``grams`` and ``apart`` list them by shard in a model for direct use."""
+
     order: int
     words: Vocabulary
     seconds: list[str]
+    shards: int
+    stored: DataFrame | None
     grams: list[str]
     apart: list[str]
     spread: np.ndarray
@@ -337,7 +345,7 @@ class Model(NamedTuple):
         return self.words.begin - 1
 
     def words_at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers and training counts of distinct sorted hashes, and their probability below the bigram level."""
+        """Numbers and training counts of distinct sorted hashes, and what ``lowest`` takes."""
         number, count = self.words.find(h)
         stands = count
         if self.order > 1:
@@ -348,7 +356,18 @@ class Model(NamedTuple):
                 here = known[shard == s]
                 if self.seconds[s]:
                     stands[here] = Arrays.open(self.seconds[s])["counts"][number[here] - self.words.first[s]]
-        return number, count, np.maximum(self.discounts[0].after(stands), 0) / max(self.pairs, 1) + self.word_rest / (self.vocabulary + 1)
+        return number, count, stands
+
+    def lowest(self, stands: np.ndarray) -> np.ndarray:
+        """Probabilities below the bigram level of words that stand in so many bigrams."""
+        return np.maximum(self.discounts[0].after(stands), 0) / max(self.pairs, 1) + self.word_rest / (self.vocabulary + 1)
+
+    def raised(self, k: int, below: np.ndarray, c: np.ndarray, stats: np.ndarray) -> np.ndarray:
+        """Probabilities at the level of k-grams from those below, the k-grams' counts and their contexts' figures."""
+        d, total = self.discounts[k - 1], stats[:, 0]
+        rest = stats[:, 1] * d.one + stats[:, 2] * d.two + stats[:, 3] * d.more
+        some = np.maximum(total, 1)
+        return np.where(total > 0, np.maximum(d.after(c), 0) / some + rest / some * below, below)
 
     def rows_at(self, files: list[str], shard: np.ndarray, name: str, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, stats = np.zeros(len(ctx), np.int64), np.zeros((len(ctx), 4))
@@ -364,13 +383,13 @@ class Model(NamedTuple):
     def probabilities(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each token of texts after those before it, and its training count."""
         distinct, back = np.unique(tokens, return_inverse=True)
-        number, count, p = self.words_at(distinct)
-        count, p = count[back], p[back]
-        if self.order == 1 or not self.grams:
+        number, count, stands = self.words_at(distinct)
+        count, p = count[back], self.lowest(stands)[back]
+        if not self.shards:
             return p, count
         words = columns_of(number.astype(np.uint64)[back], lengths, self.order, self.words.begin)
         at, apart = _find(self.spread, words[-2])
-        shard = _route(words, self.spread, len(self.grams))
+        shard = _route(words, self.spread, self.shards)
         for k in range(2, self.order + 1):
             ctx = chain(words[-k:-1])
             if k > 2 or not apart.any():
@@ -379,12 +398,9 @@ class Model(NamedTuple):
                 c, stats, rows = np.zeros(len(p), np.int64), np.zeros((len(p), 4)), np.flatnonzero(~apart)
                 c[rows], stats[rows] = self.rows_at(self.grams, shard[rows], "2.", ctx[rows], words[-1][rows])
                 rows = np.flatnonzero(apart)
-                c[rows], _ = self.rows_at(self.apart, _whole_route(words[-2][rows], words[-1][rows], len(self.apart)), "2.", ctx[rows], words[-1][rows])
+                c[rows], _ = self.rows_at(self.apart, _whole_route(words[-2][rows], words[-1][rows], self.shards), "2.", ctx[rows], words[-1][rows])
                 stats[rows] = self.spread_stats[at[rows]]
-            d, total = self.discounts[k - 1], stats[:, 0]
-            rest = stats[:, 1] * d.one + stats[:, 2] * d.two + stats[:, 3] * d.more
-            some = np.maximum(total, 1)
-            p = np.where(total > 0, np.maximum(d.after(c), 0) / some + rest / some * p, p)
+            p = self.raised(k, p, c, stats)
         return p, count
 
 
@@ -538,7 +554,7 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
     if order == 1 or not total:
         times = np.sum([r["times"] for r in figures], axis=0).tolist() if figures else [0] * 4
         d = Discounts.of(times)
-        return Model(order, words, [""] * word_shards, [], [], none, np.zeros((0, 4)), total, total, [d], _rest(d, times, words.begin - 1, total))
+        return Model(order, words, [""] * word_shards, 0, None, [], [], none, np.zeros((0, 4)), total, total, [d], _rest(d, times, words.begin - 1, total))
     shards = max(1, -(-total // shard_tokens))
     floor = total / (2 * shards)
 
@@ -618,17 +634,23 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
     more = cut_lineage(by_shard(rows.filter("kind = 'apart'").select("shard", "body"), shards).mapInArrow(store_apart, ROW))
     second_blocks = rows.unionByName(more).filter("kind = 'second'").select("shard", "body")
     seconds = cut_lineage(by_shard(second_blocks, word_shards).mapInArrow(store_seconds, word_row)).collect()
-    grams, apart = (f.filter(F.col("kind") == k).select("shard", "uri", "times").collect() for f, k in ((rows, "grams"), (more, "rows")))
+    stored = rows.filter("kind = 'grams'").unionByName(more.filter("kind = 'rows'")).select("kind", "shard", "uri", "times")
     context_sums = [decode(r[0]) for r in more.filter("kind = 'rows'").select("body").coalesce(8).mapInArrow(add_up, "body binary").collect()]
     spread_stats = np.zeros((len(spread), 4))
     for keys, stats in context_sums:
         spread_stats[np.searchsorted(spread, keys)] += stats.reshape(-1, 4)
 
-    times = np.sum([r["times"] for r in [*grams, *apart]], axis=0).reshape(-1, 4)
+    times = np.zeros((order + 1) * 4, np.int64)
+    for at, n in stored.select(F.posexplode("times").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():
+        times[at] = n
+    times = times.reshape(-1, 4)
+    stored = stored.drop("times")
+    named = stored.collect() if shards <= DIRECT_SHARDS else []
+    grams, apart = (uris([r for r in named if r["kind"] == k], shards) if named else [] for k in ("grams", "rows"))
     second_times = np.sum([r["times"] for r in seconds], axis=0).tolist()
     pairs, kinds = sum(r["total"] for r in seconds), sum(r["n"] for r in seconds)
     discounts = [Discounts.of(second_times), *[Discounts.of(times[k].tolist()) for k in range(2, order + 1)]]
-    return Model(order, words, uris(seconds, word_shards), uris(grams, shards), uris(apart, shards), spread, spread_stats, total, pairs, discounts, _rest(discounts[0], second_times, kinds, pairs))
+    return Model(order, words, uris(seconds, word_shards), shards, stored, grams, apart, spread, spread_stats, total, pairs, discounts, _rest(discounts[0], second_times, kinds, pairs))
 
 
 def _rest(d: Discounts, times: list[int], kinds: int, total: int) -> float:
@@ -639,38 +661,150 @@ def _rest(d: Discounts, times: list[int], kinds: int, total: int) -> float:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _gathered(batches, keep):
+    """Texts in column ``keep``, gathered to about SCORE_TOKENS tokens at a time, as (tokens, lengths, the columns before the text)."""
+    waiting, n = [], 0
+    for batch in batches:
+        row = 0
+        for tokens, lengths in tokens_of(batch.column(keep)):
+            waiting.append((tokens, lengths, [batch.column(i).slice(row, len(lengths)) for i in range(keep)]))
+            row += len(lengths)
+            n += len(tokens)
+            if n >= SCORE_TOKENS:
+                yield _together(waiting)
+                waiting, n = [], 0
+    if waiting:
+        yield _together(waiting)
+
+
+def _together(waiting):
+    tokens, lengths, kept = zip(*waiting, strict=True)
+    return np.concatenate(tokens), np.concatenate(lengths), [pa.concat_arrays(c) for c in zip(*kept, strict=True)]
+
+
+def _base_columns(m: Model, kept: list, lengths: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+    """The columns of SCORED before the last."""
+    at = np.cumsum(lengths) - lengths
+    per = lambda x: pa.array(np.add.reduceat(x, at))
+    floor = m.tokens + m.vocabulary + 1
+    return [*kept, pa.array(lengths, pa.int64()), per((count > 0).astype(np.int64)), pa.array(np.full(len(lengths), m.tokens, np.int64)), per(np.log10((count + 1) / floor))]
+
+
+def _pack_asked(doc: np.ndarray, words: list[np.ndarray], stands: np.ndarray, pairs: np.ndarray) -> bytes:
+    names, codes = np.unique(np.concatenate(words), return_inverse=True)
+    kind = np.uint32 if len(names) > 65535 else np.uint16
+    return encode(_steps(doc), _narrow(_steps(names)), _small(stands), _small(pairs), *codes.reshape(len(words), -1).astype(kind))
+
+
+def _asked(batches):
+    """(uri, documents, words, stands, pairs) of packed n-grams, those of a file after each other, about SCORE_TOKENS at most at a time."""
+    last, parts, n = None, [], 0
+
+    def whole():
+        doc, stands, pairs, *words = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return last, doc, words, stands, pairs
+
+    for batch in batches:
+        for uri, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if parts and (uri != last or n >= SCORE_TOKENS):
+                yield whole()
+                parts, n = [], 0
+            last = uri
+            doc, names, stands, pairs, *codes = decode(body.as_py())
+            names = np.cumsum(names, dtype=np.uint64)
+            parts.append((np.cumsum(doc, dtype=np.uint64), stands.astype(np.int64), pairs.astype(np.int64), *[names[c] for c in codes]))
+            n += len(doc)
+    if parts:
+        yield whole()
+
+
+def _score_by_shards(rows: DataFrame, model: Model) -> DataFrame:
+    """SCORED of (doc_id, held_out, text), with n-grams sent to their shards. A document's key is made of its task, a number in the task and
+    its place there; it holds, as what was asked is written before it is used."""
+    held = rows.sparkSession.sparkContext.broadcast(model._replace(stored=None))
+    question = "kind string, shard int, body binary, doc long, " + SCORED.rsplit(", ", 1)[0]
+    names = [c.split()[0] for c in question.split(", ")]
+
+    def block(kind, b):
+        n = b.num_rows
+        kinds = {"kind": pa.array([kind] * n, pa.string()), "shard": b.column(0), "body": b.column(1)}
+        types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+        return pa.RecordBatch.from_arrays([kinds[c] if c in kinds else pa.nulls(n, types[t]) for c, t in (x.split() for x in question.split(", "))], names)
+
+    def ask(batches):
+        m, task = held.value, TaskContext.get().partitionId()
+        for flush, (tokens, lengths, kept) in enumerate(_gathered(batches, 2)):
+            distinct, back = np.unique(tokens, return_inverse=True)
+            number, count, stands = m.words_at(distinct)
+            n, key = len(lengths), np.arange(len(lengths), dtype=np.uint64) + np.uint64(task << 41 | flush << 21)
+            of_docs = [pa.array(["doc"] * n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(key.astype(np.int64)), *_base_columns(m, kept, lengths, count[back])]
+            yield pa.RecordBatch.from_arrays(of_docs, names)
+            words = columns_of(number.astype(np.uint64)[back], lengths, m.order, m.words.begin)
+            stands, doc, none = stands[back], np.repeat(key, lengths), np.zeros(len(back), np.int64)
+            apart = _find(m.spread, words[-2])[1]
+            for kind, some in (("apart", np.flatnonzero(apart)), ("grams", np.flatnonzero(~apart))):
+                if len(some):
+                    w = [x[some] for x in words]
+                    shard = _whole_route(w[-2], w[-1], m.shards) if kind == "apart" else _route(w, m.spread, m.shards)
+                    yield block(kind, _blocks_by(shard, m.shards, lambda i, w=w, some=some: _pack_asked(doc[some[i]], [x[i] for x in w], stands[some[i]], none[: len(i)])))
+
+    def ask_on(batches):
+        """N-grams with the counts of their bigrams, sent on to their own shards."""
+        m, waiting, n = held.value, [], 0
+
+        def sent():
+            doc, stands, pairs, *words = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            return _blocks_by(_route(words, m.spread, m.shards), m.shards, lambda i: _pack_asked(doc[i], [w[i] for w in words], stands[i], pairs[i]))
+
+        for uri, doc, words, stands, _ in _asked(batches):
+            pairs, _ = m.rows_at([uri], np.zeros(len(doc), np.int64), "2.", chain(words[-2:-1]), words[-1])
+            waiting.append((doc, stands, pairs, *words))
+            n += len(doc)
+            if n >= SCORE_TOKENS:
+                yield sent()
+                waiting, n = [], 0
+        if waiting:
+            yield sent()
+
+    def answer(batches):
+        m = held.value
+        for uri, doc, words, stands, pairs in _asked(batches):
+            p, (at, apart) = m.lowest(stands), _find(m.spread, words[-2])
+            for k in range(2, m.order + 1):
+                c, stats = m.rows_at([uri], np.zeros(len(doc), np.int64), f"{k}.", chain(words[-k:-1]), words[-1])
+                if k == 2 and apart.any():
+                    c[apart], stats[apart] = pairs[apart], m.spread_stats[at[apart]]
+                p = m.raised(k, p, c, stats)
+            key, back = np.unique(doc, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.bincount(back, np.log10(p)))], ["doc", "score"])
+
+    def with_files(asked, kind):
+        """Sorted by shard, as a merge join leaves them; adaptive execution may split the rows of a shard that many ask."""
+        return asked.select("shard", "body").hint("merge").join(model.stored.filter(F.col("kind") == kind).select("shard", "uri"), "shard", "left").select("uri", "body")
+
+    asked = as_table(rows.mapInArrow(ask, question))
+    on = with_files(asked.filter("kind = 'apart'"), "rows").mapInArrow(ask_on, "shard int, body binary")
+    grams = with_files(asked.filter("kind = 'grams'").select("shard", "body").unionByName(on), "grams")
+    sums = grams.mapInArrow(answer, "doc long, score double").groupBy("doc").agg(F.sum("score").alias("score"))
+    return asked.filter("kind = 'doc'").drop("kind", "shard", "body").join(sums, "doc", "left").drop("doc")
+
+
 def score_with(docs: DataFrame, model: Model, held_out) -> DataFrame:
     """One row per document: SCORED, with perplexity."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
+    if model.shards and not model.grams:
+        return _score_by_shards(rows, model).withColumn("perplexity", perplexity)
+    held = docs.sparkSession.sparkContext.broadcast(model._replace(stored=None))
 
     def of(batches):
         m = held.value
-        waiting, n = [], 0
-        floor = m.tokens + m.vocabulary + 1
-
-        def flush():
-            tokens, lengths = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
+        for tokens, lengths, kept in _gathered(batches, 2):
             p, count = m.probabilities(tokens, lengths)
-            at = np.cumsum(lengths) - lengths
-            per = lambda x: np.add.reduceat(x, at)
-            columns = [pa.concat_arrays([w[2] for w in waiting]), pa.concat_arrays([w[3] for w in waiting]), pa.array(lengths, pa.int64()), pa.array(per((count > 0).astype(np.int64))), pa.array(np.full(len(lengths), m.tokens, np.int64)), pa.array(per(np.log10((count + 1) / floor))), pa.array(per(np.log10(p)))]
-            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORED.split(", ")])
+            score = pa.array(np.add.reduceat(np.log10(p), np.cumsum(lengths) - lengths))
+            yield pa.RecordBatch.from_arrays([*_base_columns(m, kept, lengths, count), score], [c.split()[0] for c in SCORED.split(", ")])
 
-        for batch in batches:
-            row = 0
-            for tokens, lengths in tokens_of(batch.column(2)):
-                waiting.append((tokens, lengths, batch.column(0).slice(row, len(lengths)), batch.column(1).slice(row, len(lengths))))
-                row += len(lengths)
-                n += len(tokens)
-                if n >= SCORE_TOKENS:
-                    yield flush()
-                    waiting, n = [], 0
-        if waiting:
-            yield flush()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    out = rows.mapInArrow(of, SCORED)
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return rows.mapInArrow(of, SCORED).withColumn("perplexity", perplexity)
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER) -> DataFrame:
