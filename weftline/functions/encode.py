@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 MISSING_MARKS = ["", " ", "NA", "-", "."]
 MISSING_TOKENS = ["", ".", "-", "na", "nan", "none", "missing", "null"]
 RESULT_WORDS = {"R": ["r", "res", "resistant", "1"], "S": ["s", "sus", "susceptible", "0"], "I": ["i", "int", "intermediate"]}
-#: Outcome value of each result, by scheme.
+#: The outcome of each result, by scheme, and the seasons by code.
 OUTCOMES = {"RI_vs_S": {"R": 1, "I": 1, "S": 0}, "R_vs_SI": {"R": 1, "I": 0, "S": 0}, "ordinal_R2I1S0": {"R": 2, "I": 1, "S": 0}}
 SEASONS = {1: "Winter", 2: "Spring", 3: "Summer", 4: "Fall"}
 
