@@ -322,8 +322,9 @@ def align_all(edges: DataFrame) -> DataFrame:
     return rows.groupBy("first", "second", "left_item", "right_item").agg(value("first").alias("x"), value("second").alias("y"))
 
 
-def compare_edges(aligned: DataFrame, tau: float, by: list[str] = ()) -> DataFrame:
-    """Edge Jaccard at tau, Pearson correlation and root mean square difference of the weights."""
+def compare_edges(aligned: DataFrame, tau: float, by: list[str] = (), empty: float = 1.0) -> DataFrame:
+    """Edge Jaccard at tau (``empty`` where neither side has an edge), Pearson correlation and root mean square difference of the
+    weights."""
     x, y = F.col("x") >= tau, F.col("y") >= tau
     either = F.count_if(x | y)
-    return aligned.groupBy(*by).agg(F.when(either > 0, F.count_if(x & y) / either).otherwise(1.0).alias("edge_jaccard"), correlation("x", "y").alias("pearson"), F.sqrt(F.avg(F.pow(F.col("x") - F.col("y"), F.lit(2.0)))).alias("rmse"))
+    return aligned.groupBy(*by).agg(F.when(either > 0, F.count_if(x & y) / either).otherwise(F.lit(float(empty))).alias("edge_jaccard"), correlation("x", "y").alias("pearson"), F.sqrt(F.avg(F.pow(F.col("x") - F.col("y"), F.lit(2.0)))).alias("rmse"))

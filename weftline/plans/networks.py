@@ -19,11 +19,11 @@ def raw_and_pruned(scored: DataFrame, tau: float, alpha: float = 0.05) -> DataFr
     return out.groupBy("network_id").agg(F.count_if(F.col("similarity") >= tau).alias("raw_edges"), F.count_if("keep").alias("pruned_edges"))
 
 
-def compare_all(scored: DataFrame, tau: float) -> DataFrame:
-    """Every two networks on the pairs that both score."""
+def compare_all(scored: DataFrame, tau: float, empty: float = 1.0) -> DataFrame:
+    """Every two networks on the pairs that both score; ``empty`` as in ``graph.compare_edges``."""
     pick = lambda name, value: scored.select(F.col("network_id").alias(name), "left_item", "right_item", F.col("similarity").alias(value))
     both = pick("first", "x").join(pick("second", "y"), ["left_item", "right_item"]).filter("first < second")
-    return graph.compare_edges(both, tau, ["first", "second"])
+    return graph.compare_edges(both, tau, ["first", "second"], empty)
 
 
 @dataclass

@@ -21,6 +21,7 @@ from .tables import _CLASS, classes
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 TAU = 0.0825
+NAN = float("nan")
 PAIR = ["network_id", "left_item", "right_item"]
 
 
@@ -238,6 +239,12 @@ def j6(spark, sf):
     return aligned(spark, sf)
 
 
+def _compared(out):
+    """As SQL has it, a quotient without edges and a correlation without spread are NaN."""
+    out = out.withColumn("pearson", F.coalesce("pearson", F.lit(NAN)))
+    return out.select("first", "second", *[F.round(c, 6).alias(c) for c in ("edge_jaccard", "pearson", "rmse")])
+
+
 @R.add("g14_compare_edges", f"WITH {_ALIGNED} SELECT first, second, round(count(*) FILTER (x >= {TAU} AND y >= {TAU}) / count(*) FILTER (x >= {TAU} OR y >= {TAU}), 6) AS edge_jaccard, round(corr(x, y), 6) AS pearson, round(sqrt(avg(pow(x - y, 2))), 6) AS rmse FROM al GROUP BY ALL")
 def g14(spark, sf):
     out = G.compare_edges(aligned(spark, sf), TAU, ["first", "second"])
@@ -247,8 +254,7 @@ def g14(spark, sf):
 @R.add("g13_compare_networks", f"""WITH {_SCORED}, ab AS (SELECT x.network_id AS first, y.network_id AS second, x.similarity AS x, y.similarity AS y FROM sc x JOIN sc y ON x.left_item = y.left_item AND x.right_item = y.right_item AND x.network_id < y.network_id)
 SELECT first, second, round(count(*) FILTER (x >= {TAU} AND y >= {TAU}) / count(*) FILTER (x >= {TAU} OR y >= {TAU}), 6) AS edge_jaccard, round(corr(x, y), 6) AS pearson, round(sqrt(avg(pow(x - y, 2))), 6) AS rmse FROM ab GROUP BY ALL""")
 def g13(spark, sf):
-    out = P.compare_all(scored(spark, sf), TAU)
-    return out.select("first", "second", *[F.round(c, 6).alias(c) for c in ("edge_jaccard", "pearson", "rmse")])
+    return _compared(P.compare_all(scored(spark, sf), TAU, empty=NAN))
 
 
 @R.add("g3_louvain")
