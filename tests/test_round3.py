@@ -53,6 +53,13 @@ def one_pair_each(priority, k):
     return (1, 2) if k % 2 else (3,)
 
 
+def test_edges_of_networks_compare_as_in_sql(spark, tmp_path):
+    """Edges between .08 and .0825 are compared, and none of them counts at .0825."""
+    some = lambda p, k: (1, 2) if k < 4 and p != "3-MEDIUM" else (1 + k % 2,) if k < 49 else (4,)
+    rows = agree(spark, tables(tmp_path, some), tmp_path, "g14_compare_edges")
+    assert [r["edge_jaccard"] for r in rows] == ["nan"]
+
+
 def test_networks_in_full_leave_out_those_without_edges(spark, tmp_path):
     rows = agree(spark, tables(tmp_path, few_edges), tmp_path, "g13_networks_in_full")
     assert rows == []

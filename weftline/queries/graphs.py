@@ -247,8 +247,7 @@ def _compared(out):
 
 @R.add("g14_compare_edges", f"WITH {_ALIGNED} SELECT first, second, round(count(*) FILTER (x >= {TAU} AND y >= {TAU}) / count(*) FILTER (x >= {TAU} OR y >= {TAU}), 6) AS edge_jaccard, round(corr(x, y), 6) AS pearson, round(sqrt(avg(pow(x - y, 2))), 6) AS rmse FROM al GROUP BY ALL")
 def g14(spark, sf):
-    out = G.compare_edges(aligned(spark, sf), TAU, ["first", "second"])
-    return out.select("first", "second", *[F.round(c, 6).alias(c) for c in ("edge_jaccard", "pearson", "rmse")])
+    return _compared(G.compare_edges(aligned(spark, sf), TAU, ["first", "second"], empty=NAN))
 
 
 @R.add("g13_compare_networks", f"""WITH {_SCORED}, ab AS (SELECT x.network_id AS first, y.network_id AS second, x.similarity AS x, y.similarity AS y FROM sc x JOIN sc y ON x.left_item = y.left_item AND x.right_item = y.right_item AND x.network_id < y.network_id)
