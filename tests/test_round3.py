@@ -3,10 +3,13 @@
 import math
 
 import duckdb
-import pytest
+from pyspark.sql import functions as F
 
-from weftline.queries import ORACLES, QUERIES
+from weftline.operators import coverage, disparity
+from weftline.queries import ORACLES, QUERIES, base
+from weftline.queries import tables as T
 
+SF = "/root/testdata/sf0.001"
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 
 
@@ -66,3 +69,20 @@ def test_networks_in_full_leave_out_those_without_edges(spark, tmp_path):
     for k, of in enumerate((one_pair_each, lambda p, k: few_edges("3-MEDIUM", k))):
         (tmp_path / str(k)).mkdir()
         assert len(agree(spark, tables(tmp_path / str(k), of), tmp_path / str(k), "g13_networks_in_full")) == 3
+
+
+def test_incidence_and_units_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    """What a task holds doesn't grow with the table, also where the planner would join small partitions."""
+    monkeypatch.setattr(base, "ROWS", 300, raising=False)
+    for df in (base.incidence(spark, SF), T.units(spark, SF)):
+        per_task = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(per_task) >= 1500 and max(per_task) < 900
+
+
+def test_items_of_units_without_a_group_are_listed(spark):
+    inc = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (9, "c"), (9, "a")], "unit int, item string")
+    units = spark.createDataFrame([(1, "x", "k"), (2, None, "k"), (3, "x", None)], "unit int, g string, c string")
+    rates = {(r["g"], r["item"]): (r["count"], r["n"]) for r in coverage.rates(inc, units, ["g"]).collect()}
+    assert rates == {("x", "a"): (1, 2), ("x", "b"): (0, 2), ("x", "c"): (0, 2), (None, "a"): (0, 1), (None, "b"): (1, 1), (None, "c"): (0, 1)}
+    counts = {(r["item"], r["cluster"]): (r["k"], r["n"]) for r in disparity.cluster_counts(inc, units, "g", "c").collect()}
+    assert counts == {("a", "k"): (1, 1), ("a", None): (0, 1), ("b", "k"): (0, 1), ("b", None): (0, 1), ("c", "k"): (0, 1), ("c", None): (0, 1)}

@@ -24,9 +24,10 @@ def rates(inc: DataFrame, units: DataFrame, groups: list[str], complete: bool =
     refuse(groups, ["unit", "item", "count", "n", "rate"])
     units = units.select(key_of(groups), "unit")
     sizes = cut(units.groupBy(KEY).agg(F.count_distinct("unit").alias("n")))
-    counts = inc.select("unit", "item").distinct().join(units, "unit").groupBy(KEY, "item").agg(F.count("*").alias("count"))
+    counts = inc.select("unit", "item").distinct().join(units, "unit", "left" if complete else "inner").groupBy(KEY, "item").agg(F.count("*").alias("count"))
     if complete:
-        grid = sizes.join(cut(inc.select("item").distinct()), F.lit(True))  # tables of known size: the smaller is broadcast
+        counts = cut(counts)  # units of no group (the key is null) count for the list of items only
+        grid = sizes.join(cut(counts.select("item").distinct()), F.lit(True))  # tables of known size: the smaller is broadcast
         counts = counts.withColumnRenamed("item", "_item")
         out = grid.join(counts.withColumnRenamed(KEY, "_of"), (F.col(KEY) == F.col("_of")) & F.col("item").eqNullSafe(F.col("_item")), "left").fillna(0, ["count"])
     else:

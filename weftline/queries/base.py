@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STRATUM = ["stratum"]
+#: Rows of a source that a task gets where they are dealt by a key.
+ROWS = 250_000
 
 
 class Registry:
@@ -31,12 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key to as many tasks as their source has ``ROWS`` rows, or cores if those are more. Tasks that the planner
+    joins to 64 MB of compressed rows hold millions of rows, and what follows keeps several hash tables and sorts of them at once."""
+    tasks = max(math.ceil(source.count() / ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, key)
+
+
 def incidence(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """(stratum, unit, item, more order columns), one row for each brand on an order."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("item"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit"), F.col("o_orderpriority").alias("stratum"), *more)
-    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("unit"), "item").distinct()
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("unit"), "item")
+    rows = dealt(rows, lines, "unit").distinct()
     return rows.join(orders, "unit").select("stratum", "unit", "item", *more)
 
 

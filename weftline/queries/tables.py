@@ -15,7 +15,7 @@ from weftline.operators import filters as S
 from weftline.operators import ordered as O
 from weftline.sources import io
 
-from .base import INC, Registry, incidence, table
+from .base import INC, Registry, dealt, incidence, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -368,7 +368,8 @@ def units(spark, sf):
     orders = table(spark, sf, "orders")
     people = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select(F.col("o_orderkey").alias("unit"), F.col("o_orderpriority").alias("g"), F.col("o_orderstatus").alias("s"), F.year("o_orderdate").alias("y"), F.col("n_name").alias("region"))
+    rows = rows.select(F.col("o_orderkey").alias("unit"), F.col("o_orderpriority").alias("g"), F.col("o_orderstatus").alias("s"), F.year("o_orderdate").alias("y"), F.col("n_name").alias("region"))
+    return dealt(rows, orders, "unit")
 
 
 def group_rates(spark, sf):
