@@ -26,8 +26,8 @@ def cluster_counts(inc: DataFrame, units: DataFrame, group: str, cluster: str) -
     those without a level are left out, those without a cluster are a cluster."""
     units = units.select("unit", F.col(group).alias("level"), F.col(cluster).alias("cluster")).filter("level is not null")
     n = cut(units.groupBy("level", "cluster").agg(F.count("*").alias("n")))
-    k = inc.select("unit", "item").distinct().join(units, "unit").groupBy("item", "level", "cluster").agg(F.count("*").alias("k"))
-    items = cut(inc.select("item").distinct())
+    k = cut(inc.select("unit", "item").distinct().join(units, "unit", "left").groupBy("item", "level", "cluster").agg(F.count("*").alias("k")))
+    items = cut(k.select("item").distinct())  # those of units without a level too, whose counts match no level
     k = k.select(F.col("item").alias("_i"), F.col("level").alias("_l"), F.col("cluster").alias("_c"), "k")
     on = (F.col("item") == F.col("_i")) & (F.col("level") == F.col("_l")) & F.col("cluster").eqNullSafe(F.col("_c"))
     return n.join(items, F.lit(True)).join(k, on, "left").select("item", "level", "cluster", F.coalesce("k", F.lit(0)).alias("k"), "n")
